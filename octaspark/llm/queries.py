@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from octaspark.llm import bpe, langid, media, tokens
+from octaspark.llm import bpe, decontam, langid, media, minhash, substring, tokens
 from octaspark.llm.common import fold, read
 
 
@@ -29,19 +29,35 @@ def op1_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digest_documents(read(spark, sf_dir, "documents"))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return substring.remove_repeats(docs, counts=True).select("doc_id", "n_sentences", "n_removed", "words_removed", "text")
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest_documents(read(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_multi_50k.tiktoken"), pattern())
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     found = langid.identify(docs, langid.train_on_folds(docs))
     return found.select("doc_id", held_out(4, 2).alias("held_out"), "lang_pred", "score", "margin", "ambiguous")
 
 
+def op8_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(read(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op1_media_columns, op3_byte_bpe, op7_language_id, op10_token_counts)}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_media_columns, op2_substring_dedup, op3_byte_bpe, op6_decontamination, op7_language_id, op8_minhash_forest, op10_token_counts)
+}
 ORACLE: dict[str, str] = {}
