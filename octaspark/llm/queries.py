@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from octaspark.llm import bpe, decontam, langid, media, minhash, substring, tokens
+from octaspark.llm import bpe, decontam, html, langid, media, minhash, quality, substring, tokens, toxicity
 from octaspark.llm.common import fold, read
 
 
@@ -38,6 +38,17 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest_documents(read(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_multi_50k.tiktoken"), pattern())
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(read(spark, sf_dir, "pages"))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = toxicity.train(toxicity.training_rows(docs, read(spark, sf_dir, "labels"), "toxic"))
+    found = toxicity.score(docs, model)
+    return found.select("doc_id", held_out(3, 1).alias("held_out"), "score", "predicted", *toxicity.PATTERNS)
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
@@ -52,12 +63,29 @@ def op8_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    found = quality.score(docs, quality.train(docs, read(spark, sf_dir, "labels")))
+    return found.select("doc_id", held_out(3, 1).alias("held_out"), "score", "predicted", "n_passages", "top_passage")
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(read(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_media_columns, op2_substring_dedup, op3_byte_bpe, op6_decontamination, op7_language_id, op8_minhash_forest, op10_token_counts)
+    for f in (
+        op1_media_columns,
+        op2_substring_dedup,
+        op3_byte_bpe,
+        op4_html_extraction,
+        op5_toxicity,
+        op6_decontamination,
+        op7_language_id,
+        op8_minhash_forest,
+        op9_quality,
+        op10_token_counts,
+    )
 }
 ORACLE: dict[str, str] = {}
