@@ -66,6 +66,15 @@ EXAMPLES = [
     (7, 0.0, 8, 0.0, 9, 0.0, 1, 1, 0, 0, 1),
     (3, 0.0, 6, 1.0, 8, 0.0, 1, 1, 0, 0, 1),
     (9, 0.4, 30, 0.0, 44, 0.0, 1, 1, 0, 0, 1),
+    (9, 0.2, 3, 0.0, 2, 0.0, 1, 1, 0, 0, 1),
+    (2, 0.0, 9, 0.2, 20, 0.0, 1, 1, 0, 0, 1),
+    (3, 0.3, 5, 1.0, 4, 1.0, 1, 1, 0, 0, 1),
+    (6, 0.5, 5, 1.0, 6, 1.0, 1, 1, 0, 0, 1),
+    (2, 0.0, 3, 1.0, 3, 1.0, 1, 1, 0, 0, 1),
+    (5, 0.0, 3, 1.0, 3, 1.0, 1, 1, 0, 0, 1),
+    (14, 0.4, 12, 0.9, 40, 0.0, 1, 1, 0, 0, 1),
+    (30, 0.5, 4, 1.0, 6, 1.0, 1, 1, 0, 0, 1),
+    (1, 0.0, 0, 0.0, 0, 0.0, 1, 1, 0, 0, 1),
     # headings of the article
     (9, 0.0, 8, 0.0, 70, 0.0, 1, 1, 0, 1, 1),
     (3, 0.0, 60, 0.0, 50, 0.0, 1, 1, 0, 1, 1),
@@ -75,6 +84,12 @@ EXAMPLES = [
     (6, 1.0, 5, 1.0, 7, 1.0, 1, 1, 0, 0, 0),
     (5, 1.0, 90, 0.0, 6, 1.0, 1, 1, 0, 0, 0),
     (14, 0.9, 12, 0.9, 40, 0.0, 1, 1, 0, 0, 0),
+    (40, 0.95, 60, 0.0, 50, 0.0, 1, 1, 0, 0, 0),
+    (9, 1.0, 60, 0.0, 70, 0.0, 1, 1, 0, 0, 0),
+    (2, 1.0, 9, 0.2, 20, 0.0, 1, 1, 0, 0, 0),
+    (25, 0.9, 3, 0.0, 2, 0.0, 1, 1, 0, 0, 0),
+    (3, 1.0, 80, 0.0, 90, 0.0, 1, 1, 0, 0, 0),
+    (14, 0.8, 12, 0.0, 40, 0.0, 1, 1, 0, 0, 0),
     # named as a menu, advert, notice, footer, comment ..., also inside the article
     (60, 0.0, 50, 0.0, 40, 0.0, 1, 1, 1, 0, 0),
     (8, 0.0, 70, 0.0, 80, 0.0, 1, 1, 1, 0, 0),
@@ -89,6 +104,11 @@ EXAMPLES = [
     (5, 0.0, 3, 1.0, 9, 0.0, 0, 0, 1, 1, 0),
     # outside the article of a page that has one
     (90, 0.0, 40, 0.0, 30, 0.0, 0, 1, 0, 0, 0),
+    (30, 0.0, 40, 0.0, 30, 0.0, 0, 1, 0, 0, 0),
+    (60, 0.1, 60, 0.0, 60, 0.0, 0, 1, 0, 0, 0),
+    (20, 0.0, 70, 0.0, 45, 0.0, 0, 1, 0, 0, 0),
+    (45, 0.0, 9, 0.0, 100, 0.0, 0, 1, 0, 0, 0),
+    (7, 0.0, 50, 0.0, 60, 0.0, 0, 1, 0, 1, 0),
     (9, 0.0, 80, 0.0, 0, 0.0, 0, 1, 0, 0, 0),
     (4, 0.5, 2, 1.0, 8, 0.0, 0, 1, 0, 0, 0),
     (6, 0.0, 3, 1.0, 20, 0.0, 0, 1, 0, 1, 0),
