@@ -100,6 +100,8 @@ EXAMPLES = [
     (45, 0.1, 60, 0.0, 0, 0.0, 0, 1, 1, 0, 0),
     (80, 0.0, 60, 0.0, 90, 0.0, 0, 0, 1, 0, 0),
     (14, 0.0, 30, 0.0, 40, 0.0, 0, 0, 1, 0, 0),
+    (40, 0.0, 30, 0.0, 0, 0.0, 0, 0, 1, 0, 0),
+    (25, 0.2, 60, 0.0, 8, 0.0, 0, 0, 1, 0, 0),
     (3, 1.0, 3, 1.0, 3, 1.0, 0, 0, 1, 0, 0),
     (5, 0.0, 3, 1.0, 9, 0.0, 0, 0, 1, 1, 0),
     # outside the article of a page that has one
