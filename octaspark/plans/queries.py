@@ -13,6 +13,7 @@ from octaspark.operators.octree import SMALL
 from octaspark.plans import oracle
 from octaspark.plans.build import LodTree
 from octaspark.plans.oracle import morton_sql, num
+from octaspark.sources import hierarchy, las
 from octaspark.sources.tables import ORDER, PC_SQL, bounds, embedding_points, event_points, lineitem_points, read
 from octaspark.streaming.incremental import replay_events
 
@@ -509,3 +510,35 @@ def height_field_tiles(spark, d):
 @query()
 def incremental_octree(spark, d):
     return replay_events(event_points(spark, d), SMALL)
+
+
+# Files
+
+
+_LAS = ", ".join(f"CAST(floor({a} / {num(1e-6)} + {num(0.5)}) AS BIGINT) * {num(1e-6)} + 0 AS {a}" for a in "xyz")
+
+
+@query(f"{PC} SELECT {_LAS}, r, g, b FROM pc")
+def las_scan(spark, d):
+    """Points written as LAS files and decoded from their bytes."""
+    files = las.to_las_files(uniform(spark, d), scale=1e-6)
+    return las.scan_las_files(files, "name").select(*"xyzrgb")
+
+
+@query(f"{PC} SELECT count(*) AS points, {MM} FROM pc")
+def las_headers(spark, d):
+    """Points and box of all files from their headers alone."""
+    rows = las.header_rows(las.to_las_files(uniform(spark, d), scale=1e-6), "name")
+    return rows.agg(F.sum("points").alias("points"), *[f(f"{f.__name__}_{a}").alias(f"{f.__name__}_{a}") for a in "xyz" for f in (F.min, F.max)])
+
+
+@query(
+    f"""{TREE}, {oracle.described()}, sl AS (SELECT level, key, CAST(sum(n) OVER (ORDER BY level, key) - n AS BIGINT) AS o FROM tr WHERE is_leaf)
+SELECT name, ds.level, CASE WHEN is_leaf THEN 1 ELSE 0 END AS node_type, child_mask, n AS num_points, 18 * coalesce(o, 0) AS byte_offset, 18 * n AS byte_size
+FROM ds LEFT JOIN sl ON ds.level = sl.level AND ds.key = sl.key"""
+)
+def octree_hierarchy_roundtrip(spark, d):
+    """Nodes encoded as hierarchy chunks and decoded again."""
+    t = tree_of(spark, d)
+    slices = octree.leaf_slices(t.nodes).select("level", "key", "slice_offset")
+    return hierarchy.decode_chunks(hierarchy.encode_chunks(octree.describe(t.nodes).join(slices, ["level", "key"], "left")))
