@@ -5,8 +5,8 @@ other. Small transducers rewrite the class string of a clause: one marks what fo
 a reporting verb, one what follows a negation closely, one insults and threats with a
 target nearby. They are composed once into a single machine, which runs over each
 clause that holds an insult or threat; its outputs are the matched patterns. A text's
-score is a logistic function of how often each pattern matched; isolated words count
-only through the pattern of their clause.
+score is a logistic function of what each pattern matched, weighted by the words' log
+odds; isolated words count only through the pattern of their clause.
 
 What counts as an insult is learned: words, and word beginnings, that documents
 labelled toxic hold far more often than others. That, and the weights, come from at most
@@ -34,9 +34,12 @@ from octaspark.llm.common import fold
 
 #: Labelled rows of each class that training uses at most.
 SAMPLE = 5000
-#: An insult is in at least so many toxic rows, and its log odds are at least this.
-LEAST_ROWS, LEAST_ODDS = 5, 2.5
+#: An insult is in at least so many toxic rows and this share of them (rarer words look toxic by
+#: chance), and its log odds are at least this.
+LEAST_ROWS, LEAST_SHARE, LEAST_ODDS = 5, 0.01, 3.0
 MOST_ENTRIES = 2000
+#: The share of toxic texts that scores assume, whatever the sample's.
+PRIOR = 0.25
 STEMS = range(3, 9)
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, END = range(7)
 
@@ -119,38 +122,41 @@ class Lexicon:
         self.seeds |= dict.fromkeys(".!?;:\n", END)
         self.seen: dict[str, int] = {}
 
-    def classes(self, text: str) -> list[int]:
+    def weight(self, word: str) -> float:
+        """The greatest log odds of the word's entries, above the least an entry has; seed threats weigh 1."""
+        return max((self.insults[s] - LEAST_ODDS + 0.5 for s in stems(word) if s in self.insults), default=1.0)
+
+    def classes(self, words: list[str]) -> list[int]:
         seen = self.seen
         if len(seen) > 500_000:
             seen.clear()
-        words = _WORD.findall(text.lower())
-        for w in set(words) - seen.keys():
+        for w in [w for w in set(words) if w not in seen]:
             seen[w] = INSULT if any(s in self.insults for s in stems(w)) else self.seeds.get(w, OTHER)
         return list(map(seen.__getitem__, words))
 
-    def matches(self, text: str | None) -> Counter:
-        """How often each pattern matched."""
-        out: Counter = Counter()
-        if not text:
-            return out
-        kinds = self.classes(text)
+    def matches(self, text: str | None) -> tuple[Counter, Counter]:
+        """How often each pattern matched, and the summed weights of the words that it matched."""
+        number, weight = Counter(), Counter()
+        words = _WORD.findall(text.lower()) if text else []
+        kinds = self.classes(words)
         if INSULT not in kinds and THREAT not in kinds:
-            return out
+            return number, weight
         ends = [-1, *(i for i, k in enumerate(kinds) if k == END), len(kinds)]
         for a, b in zip(ends, ends[1:]):
             clause = kinds[a + 1 : b]
             if INSULT in clause or THREAT in clause:
                 state = 0
-                for k in clause:
+                for i, k in enumerate(clause, a + 1):
                     state, got = _MACHINE.step(state, k)
                     got = _NAMES.get(got, got)
                     if isinstance(got, str):
-                        out[got] += 1
-        return out
+                        number[got] += 1
+                        weight[got] += self.weight(words[i])
+        return number, weight
 
 
-def features(m: Counter) -> list[float]:
-    return [np.log1p(m[p]) for p in PATTERNS]
+def features(weight: Counter) -> list[float]:
+    return [np.log1p(weight[p]) for p in PATTERNS]
 
 
 @dataclass
@@ -159,14 +165,14 @@ class ToxicityModel:
     weights: np.ndarray
     bias: float
 
-    def score(self, m: Counter) -> float:
-        return float(1 / (1 + np.exp(-np.clip(np.dot(features(m), self.weights) + self.bias, -30, 30))))
+    def score(self, weight: Counter) -> float:
+        return float(1 / (1 + np.exp(-np.clip(np.dot(features(weight), self.weights) + self.bias, -30, 30))))
 
 
-def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1e-2, steps: int = 60) -> tuple[np.ndarray, float]:
-    """Weights and bias by Newton steps; both classes count alike."""
+def logistic(x: np.ndarray, y: np.ndarray, prior: float, penalty: float = 1e-2, steps: int = 60) -> tuple[np.ndarray, float]:
+    """Weights and bias by Newton steps; rows of class 1 count as a share of ``prior``."""
     z = np.hstack([x, np.ones((len(x), 1))])
-    share = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum()))
+    share = np.where(y == 1, prior / max(1, (y == 1).sum()), (1 - prior) / max(1, (y == 0).sum()))
     w = np.zeros(z.shape[1])
     keep = penalty * np.eye(len(w)) / len(x) ** 0.5
     for _ in range(steps):
@@ -197,27 +203,36 @@ def _count_stems(batches):
     yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), *(pa.array([counts[k][y] for k in keys], pa.int64()) for y in (0, 1))], ["stem", "n0", "n1"])
 
 
+def specific(found: dict[str, tuple[int, float]]) -> dict[str, float]:
+    """Drops word beginnings that are hardly more frequent than a longer entry they begin."""
+    most: dict[str, int] = {}
+    for entry, (n, _) in found.items():
+        for s in stems(entry.rstrip("*"))[1:]:
+            most[s] = max(most.get(s, 0), n)
+    return {e: odds for e, (n, odds) in found.items() if not e.endswith("*") or most.get(e, 0) < 0.8 * n}
+
+
 def train(rows: DataFrame) -> ToxicityModel:
     """Fit on rows of text and label (0 or 1)."""
     counts = rows.select("text", "label").mapInArrow(_count_stems, "stem string, n0 long, n1 long").groupBy("stem").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     totals = counts.where("stem = ''").collect()
     n0, n1 = (totals[0].n0, totals[0].n1) if totals else (0, 0)
-    fallback = ToxicityModel(dict.fromkeys("idiot moron stupid scum loser worthless pathetic disgusting".split(), 1.0), np.full(len(PATTERNS), 2.0), -3.0)
+    fallback = ToxicityModel(dict.fromkeys("idiot moron stupid scum loser worthless pathetic disgusting".split(), LEAST_ODDS + 1), np.full(len(PATTERNS), 2.0), -3.0)
     if not n0 or not n1:
         return fallback
     odds = F.log((F.col("n1") + 0.5) / (n1 + 1)) - F.log((F.col("n0") + 0.5) / (n0 + 1))
-    found = counts.where(f"stem <> '' AND n1 >= {LEAST_ROWS}").withColumn("odds", odds).where(F.col("odds") >= LEAST_ODDS)
+    found = counts.where(f"stem <> '' AND n1 >= {max(LEAST_ROWS, LEAST_SHARE * n1)}").withColumn("odds", odds).where(F.col("odds") >= LEAST_ODDS)
     top = found.orderBy(F.desc("n1"), "stem").limit(MOST_ENTRIES).collect()
-    insults = {r.stem: r.odds for r in top}
+    insults = specific({r.stem: (r.n1, r.odds) for r in top})
     lexicon = Lexicon(insults)
 
     def measure(batches):
         for b in batches:
-            x = np.array([features(lexicon.matches(t)) for t in b.column(0).to_pylist()]).reshape(-1, len(PATTERNS))
+            x = np.array([features(lexicon.matches(t)[1]) for t in b.column(0).to_pylist()]).reshape(-1, len(PATTERNS))
             yield pa.RecordBatch.from_arrays([b.column(1), *(pa.array(c) for c in x.T)], ["label", *PATTERNS])
 
     got = rows.select("text", F.col("label").cast("int").alias("label")).mapInArrow(measure, "label int, " + ", ".join(f"{p} double" for p in PATTERNS)).toPandas()
-    weights, bias = logistic(got[list(PATTERNS)].to_numpy(float), got["label"].to_numpy(float))
+    weights, bias = logistic(got[list(PATTERNS)].to_numpy(float), got["label"].to_numpy(float), PRIOR)
     return ToxicityModel(insults, weights, bias)
 
 
@@ -229,9 +244,9 @@ def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text: s
         lexicon = Lexicon(model.insults)
         for b in batches:
             found = [lexicon.matches(t) for t in b.column(1).to_pylist()]
-            s = [model.score(m) for m in found]
+            s = [model.score(w) for _, w in found]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(s, pa.float64()), pa.array([int(x >= threshold) for x in s], pa.int32()), *(pa.array([m[p] for m in found], pa.int64()) for p in PATTERNS)], names
+                [b.column(0), pa.array(s, pa.float64()), pa.array([int(x >= threshold) for x in s], pa.int32()), *(pa.array([n[p] for n, _ in found], pa.int64()) for p in PATTERNS)], names
             )
 
     kind = docs.schema[id_col].dataType.simpleString()

@@ -49,7 +49,7 @@ def test_language_held_out(spark):
 
 def test_grammar_reads_clauses():
     lexicon = toxicity.Lexicon({"idiot": 1.0, "scum*": 1.0})
-    m = lambda t: dict(lexicon.matches(t))
+    m = lambda t: dict(lexicon.matches(t)[0])
     assert m("what an idiot") == {"plain": 1}
     assert m("you are such an idiot") == {"targeted": 1}
     assert m("that is not an idiot. idiot") == {"negated": 1, "plain": 1}
