@@ -16,8 +16,8 @@ is a plain inner join that AQE splits, so no task holds a whole group.
 Defined results: null stays null; empty texts and texts of fewer than two sentences or
 ``SPAN_WORDS`` words are unchanged. Rows that repeat an id count as one document, also
 with different texts: neither loses what the other holds too. A row with a null id
-comes last: it loses what any other id holds and nothing to another null. White
-space before a removed sentence stays, white space after it goes. Extra columns stay.
+loses only what it repeats itself and costs no other row anything. White space
+before a removed sentence stays, white space after it goes. Extra columns stay.
 """
 
 from __future__ import annotations
@@ -152,15 +152,14 @@ def covered(s: Sentences, repeated: np.ndarray) -> np.ndarray:
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", counts: bool = False) -> DataFrame:
     """``docs`` with shortened texts; ``counts`` appends n_sentences, n_removed and words_removed."""
-    spans = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).mapInArrow(_spans, f"h1 long, h2 long, id {docs.schema[id_col].dataType.simpleString()}")
-    # A null id stands apart and loses to every other.
-    seen = spans.groupBy("h1", "h2").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.count("id").alias("n"), F.count("*").alias("rows"))
-    repeated = seen.where("least < most OR (n > 0 AND n < rows)").select("h1", "h2", "least")
-    hits = spans.join(repeated, ["h1", "h2"]).where("id IS NULL OR id <> least")
-    per_doc = hits.groupBy("id").agg(F.collect_set("h1").alias("_hits"))
+    known = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).where("id IS NOT NULL")
+    spans = known.mapInArrow(_spans, f"h1 long, h2 long, id {docs.schema[id_col].dataType.simpleString()}")
+    seen = spans.groupBy("h1", "h2").agg(F.min("id").alias("least"), F.max("id").alias("most"))
+    repeated = seen.where("least < most").select("h1", "h2", "least")
+    hits = spans.join(repeated, ["h1", "h2"]).where("id <> least")
+    per_doc = hits.groupBy(F.col("id").alias("_hit_id")).agg(F.collect_set("h1").alias("_hits"))
     columns, extra = docs.columns, ["n_sentences", "n_removed", "words_removed"] if counts else []
-    renamed = per_doc.withColumnRenamed("id", "_hit_id")
-    joined = docs.join(renamed, docs[id_col].eqNullSafe(renamed["_hit_id"]), "left").drop("_hit_id")
+    joined = docs.join(per_doc, docs[id_col] == per_doc["_hit_id"], "left").drop("_hit_id")
     at = columns.index(text)
 
     def rebuild(batches):

@@ -39,10 +39,11 @@ def brute(rows):
         gone, here = np.zeros(len(s.first), bool), set()
         for a, b in sorted(spans):
             words = tuple(s.hash[bound[a] : bound[b + 1]])
-            if words in here or first.get(words, i) != i:
+            if words in here or i is not None and first.get(words, i) != i:
                 gone[a : b + 1] = True
             here.add(words)
-            first.setdefault(words, i)
+            if i is not None:
+                first.setdefault(words, i)
         out[i] = s.without(gone) if gone.any() else t
     return out
 
@@ -92,5 +93,5 @@ def test_repeated_rows_and_none(make_docs):
     t = " ".join(sentence(rng, 10) for _ in range(6))
     rows = [(1, t), (1, t), (None, t), (None, t)]
     got = sorted((str(r.doc_id), r.text.strip()) for r in substring.remove_repeats(make_docs(rows)).collect())
-    assert got == [("1", t), ("1", t), ("None", ""), ("None", "")]
+    assert got == [("1", t), ("1", t), ("None", t), ("None", t)]
     assert substring.remove_repeats(make_docs(rows).limit(0)).count() == 0
