@@ -29,8 +29,8 @@ from pyspark.sql import DataFrame
 from octaspark.llm.common import chunks
 
 #: Pre-tokens that a worker remembers, and characters whose new pre-tokens are encoded together.
-REMEMBERED = 700_000
-BATCH_CHARS = 4 << 20
+REMEMBERED = 250_000
+BATCH_CHARS = 2 << 20
 
 
 def byte_characters() -> list[str]:
@@ -114,7 +114,7 @@ class ByteBPE:
             self.ids = {t: self.ids[t] for t in tokens if t in self.ids}
             self.back = {t: self.back[t] for t in self.ids}
         ids, hard = self.ids, []
-        for t in tokens - ids.keys():
+        for t in [t for t in tokens if t not in ids]:
             rank = self.ranks.get(t.encode("utf-8"))
             if rank is None:
                 hard.append(t)
