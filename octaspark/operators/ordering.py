@@ -5,16 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from octaspark.staging import cut_lineage
+
 
 def running_sum(df: DataFrame, value: Column, *order: Column | str, name: str) -> DataFrame:
     """Sum of ``value`` over all rows before this one in a total order.
 
     Rows are range-partitioned by the order, so each task sums its own range; the ranges'
-    totals, one row per partition, tell where each starts.
+    totals, one row per partition, tell where each starts. Both are taken from rows written
+    with their partition: a second range exchange would draw other bounds.
     """
     cols = [F.col(c) if isinstance(c, str) else c for c in order]
     keys = [f"_o{k}" for k in range(len(cols))]
-    dealt = df.withColumns(dict(zip(keys, cols)) | {"_v": value}).repartitionByRange(*keys).withColumn("_part", F.spark_partition_id())
+    dealt = cut_lineage(df.withColumns(dict(zip(keys, cols)) | {"_v": value}).repartitionByRange(*keys).withColumn("_part", F.spark_partition_id()))
     own = F.sum("_v").over(Window.partitionBy("_part").orderBy(*keys).rowsBetween(Window.unboundedPreceding, 0))
     totals = dealt.groupBy("_part").agg(F.sum("_v").alias("_total"))
     before = F.sum("_total").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_total")

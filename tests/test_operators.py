@@ -125,6 +125,18 @@ def test_ranks(spark):
     assert ordering.ranked(df.limit(0), "v").count() == 0
 
 
+def test_ranks_of_wide_rows(spark):
+    """More rows than the sample that range bounds are drawn from, and columns that aren't keys."""
+    n = 60_000
+    wide = spark.range(n).select(((F.col("id") * 7919) % n).alias("v"), *[F.sha2(F.concat_ws("-", "id", F.lit(k)), 256).alias(f"c{k}") for k in range(4)]).repartition(6)
+    read = F.sum(sum(F.length(f"c{k}") for k in range(1, 4))).alias("read")  # the other columns go through the exchange too
+    got = ordering.ranked(wide, "v").agg(F.count("*"), F.count_if(F.col("rank") != F.col("v")), read).first()
+    assert tuple(got) == (n, 0, 192 * n)
+    want = sum(F.floor((F.col("v") + 4 - r) / 5) * r for r in range(1, 5))
+    got = ordering.running_sum(wide, F.col("v") % 5, "v", name="s").agg(F.count("*"), F.count_if(F.col("s") != want), read).first()
+    assert tuple(got) == (n, 0, 192 * n)
+
+
 def test_mask_tree_round_trip(spark):
     keys = random.Random(2).sample(range(8**4), 300)
     cells = spark.createDataFrame([(k,) for k in keys], "key long")
