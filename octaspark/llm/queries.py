@@ -31,7 +31,7 @@ def op1_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    return substring.remove_repeats(docs, counts=True).select("doc_id", "n_sentences", "n_removed", "words_removed", "text")
+    return substring.remove_repeats(docs, counts=True, whole=True).select("doc_id", "n_sentences", "n_removed", "words_removed", "text")
 
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

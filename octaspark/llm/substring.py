@@ -10,6 +10,12 @@ hashed (128 bits) and joined over all documents. A sentence goes if it is covere
 span that isn't the first of its kind: first is the least id, and within a document
 the first position.
 
+With ``whole`` a repeat need not start or end with a sentence. Every run of ``SPAN_WORDS``
+words has a least window of ``WINDOW`` words, so texts that share a run share that
+window: windows chosen so are joined first, and then all windows around those that texts
+share. A run of ``WHOLE_WORDS`` words or more that is made of windows met before goes
+whole, also from within a sentence; in a shorter one the spans of sentences go.
+
 A span hash that is frequent is pre-aggregated before the shuffle, and the join back
 is a plain inner join that AQE splits, so no task holds a whole group.
 
@@ -33,6 +39,9 @@ SPAN_WORDS = 25
 LONG_SENTENCE = 24
 #: In a long sentence one word in so many ends a piece.
 CUT_EVERY = 12
+#: Least windows of so many words in as many places: one for every run of SPAN_WORDS words.
+WINDOW = (SPAN_WORDS + 1) // 2
+WHOLE_WORDS = 50
 _hasher = WordHasher(b"\x20\x09\x0a\x0b\x0c\x0d", seed=23)
 _END = np.zeros(256, bool)
 _END[list(b".!?")] = True
@@ -107,9 +116,18 @@ class Sentences:
             out.append(mix64((total[e] - total[s]) * down[s] + (e - s).astype(np.uint64)).view(np.int64))
         return first, last, out[0], out[1]
 
-    def without(self, gone: np.ndarray) -> str:
-        """The text without the sentences marked in ``gone``."""
-        edge = np.concatenate([self.start[self.first], [len(self.data)]])
+    def windows(self) -> np.ndarray:
+        """The hash of every ``WINDOW`` words."""
+        n = len(self.hash) - WINDOW + 1
+        if n < 1:
+            return np.zeros(0, np.int64)
+        up, down = _powers[0].upto(len(self.hash))
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.hash * up[: len(self.hash)])])
+        return mix64((total[WINDOW:] - total[:n]) * down[:n]).view(np.int64)
+
+    def without(self, gone: np.ndarray, words: bool = False) -> str:
+        """The text without the sentences (or words) marked in ``gone``."""
+        edge = np.concatenate([self.start if words else self.start[self.first], [len(self.data)]])
         keep = [self.data[: edge[0]]]
         change = np.flatnonzero(np.diff(np.concatenate([[True], gone, [True]]).astype(np.int8)))
         for a, b in zip(change[::2], change[1::2]):  # runs of kept sentences
@@ -150,14 +168,77 @@ def covered(s: Sentences, repeated: np.ndarray) -> np.ndarray:
     return np.cumsum(gone)[:-1] > 0
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", counts: bool = False) -> DataFrame:
-    """``docs`` with shortened texts; ``counts`` appends n_sentences, n_removed and words_removed."""
+def _by_rows(of_row):
+    """Rows h, id of the hashes that ``of_row`` gives for each row."""
+
+    def run(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, 512):
+                part = b.slice(at, 512)
+                found = [of_row(*r) for r in zip(*(c.to_pylist() for c in part.columns[1:]))]
+                rows = np.repeat(np.arange(len(found)), [len(x) for x in found])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *found])), part.column(0).take(pa.array(rows))], ["h", "id"])
+
+    return run
+
+
+def chosen(text: str | None) -> np.ndarray:
+    """The least window of every ``WINDOW`` neighbouring ones."""
+    h = Sentences(text).windows() if text else np.zeros(0, np.int64)
+    return np.unique(np.lib.stride_tricks.sliding_window_view(h, WINDOW).min(1)) if len(h) >= WINDOW else h[:0]
+
+
+def around(text: str | None, shared: list[int] | None) -> np.ndarray:
+    """The windows that can lie in a run of ``SPAN_WORDS`` words with one of ``shared``."""
+    h = Sentences(text).windows() if text and shared else np.zeros(0, np.int64)
+    at = np.flatnonzero(np.isin(h, np.array(shared or [], np.int64)))
+    near = np.zeros(len(h) + 1, np.int64)
+    np.add.at(near, np.maximum(at - WINDOW + 1, 0), 1)
+    np.add.at(near, np.minimum(at + WINDOW, len(h)), -1)
+    return np.unique(h[np.cumsum(near)[:-1] > 0])
+
+
+def covered_words(s: Sentences, repeated: np.ndarray) -> np.ndarray:
+    """Which words lie in a long run, or in a span of sentences, of windows met before, here or elsewhere."""
+    h = s.windows()
+    gone = np.zeros(len(s.hash) + 1, np.int64)
+    if len(h):
+        order = np.argsort(h, kind="stable")
+        hit = np.isin(h, repeated)
+        hit[order[1:]] |= h[order[1:]] == h[order[:-1]]
+        change = np.flatnonzero(np.diff(np.concatenate([[False], hit, [False]]).astype(np.int8)))
+        start, end = change[::2], change[1::2] + WINDOW - 1
+        long = end - start >= WHOLE_WORDS
+        first, last, _, _ = s.spans()
+        bound = np.concatenate([s.first, [len(s.hash)]])
+        a, b = bound[first], bound[last + 1]
+        hits = np.concatenate([[0], np.cumsum(hit)])
+        whole = hits[b - WINDOW + 1] - hits[a] == b - WINDOW + 1 - a
+        np.add.at(gone, np.concatenate([start[long], a[whole]]), 1)
+        np.add.at(gone, np.concatenate([end[long], b[whole]]), -1)
+    return np.cumsum(gone)[:-1] > 0
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", counts: bool = False, whole: bool = False) -> DataFrame:
+    """``docs`` with shortened texts; ``counts`` appends n_sentences, n_removed (also in part) and words_removed."""
     known = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).where("id IS NOT NULL")
-    spans = known.mapInArrow(_spans, f"h1 long, h2 long, id {docs.schema[id_col].dataType.simpleString()}")
-    seen = spans.groupBy("h1", "h2").agg(F.min("id").alias("least"), F.max("id").alias("most"))
-    repeated = seen.where("least < most").select("h1", "h2", "least")
-    hits = spans.join(repeated, ["h1", "h2"]).where("id <> least")
-    per_doc = hits.groupBy(F.col("id").alias("_hit_id")).agg(F.collect_set("h1").alias("_hits"))
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def repeats(rows, *keys):
+        seen = rows.groupBy(*keys).agg(F.min("id").alias("least"), F.max("id").alias("most"))
+        return rows.join(seen.where("least < most").select(*keys, "least"), list(keys))
+
+    def by_doc(hits, key):
+        return hits.groupBy(F.col("id").alias("_hit_id")).agg(F.collect_set(key).alias("_hits"))
+
+    if whole:
+        shared = by_doc(repeats(known.mapInArrow(_by_rows(chosen), f"h long, id {kind}"), "h"), "h")
+        # A left join, so that its exchange of texts is the same as that of the last join, and is reused.
+        near = docs.join(shared, docs[id_col] == shared["_hit_id"], "left").select(id_col, text, "_hits").mapInArrow(_by_rows(around), f"h long, id {kind}")
+        per_doc = by_doc(repeats(near, "h").where("id <> least"), "h")
+    else:
+        spans = known.mapInArrow(_spans, f"h1 long, h2 long, id {kind}")
+        per_doc = by_doc(repeats(spans, "h1", "h2").where("id <> least"), "h1")
     columns, extra = docs.columns, ["n_sentences", "n_removed", "words_removed"] if counts else []
     joined = docs.join(per_doc, docs[id_col] == per_doc["_hit_id"], "left").drop("_hit_id")
     at = columns.index(text)
@@ -173,9 +254,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
                         more.append((0, 0, 0))
                         continue
                     s = Sentences(t)
-                    gone = covered(s, np.array(h or [], np.int64))
-                    texts.append(s.without(gone) if gone.any() else t)
-                    more.append((len(gone), int(gone.sum()), int(np.diff(np.concatenate([s.first, [len(s.hash)]]))[gone].sum())))
+                    gone = (covered_words if whole else covered)(s, np.array(h or [], np.int64))
+                    texts.append(s.without(gone, whole) if gone.any() else t)
+                    words = gone if whole else np.repeat(gone, np.diff(np.concatenate([s.first, [len(s.hash)]])))
+                    parts = np.logical_or.reduceat(words, s.first) if len(words) else words
+                    more.append((len(parts), int(parts.sum()), int(words.sum())))
                 arrays = [pa.array(texts, pa.string()) if k == at else part.column(k) for k in range(len(columns))]
                 if counts:
                     arrays += [pa.array(c, pa.int64()) for c in zip(*more)]

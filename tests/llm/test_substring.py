@@ -3,6 +3,7 @@ import random
 import numpy as np
 
 from octaspark.llm import substring
+from octaspark.llm.queries import QUERIES
 from octaspark.llm.substring import SPAN_WORDS, Sentences
 from tests.llm.conftest import ODD
 
@@ -95,3 +96,24 @@ def test_repeated_rows_and_none(make_docs):
     got = sorted((str(r.doc_id), r.text.strip()) for r in substring.remove_repeats(make_docs(rows)).collect())
     assert got == [("1", t), ("1", t), ("None", t), ("None", t)]
     assert substring.remove_repeats(make_docs(rows).limit(0)).count() == 0
+
+
+def test_passages_that_start_within_sentences_go_whole(spark, make_docs, tmp_path):
+    rng = random.Random(11)
+    words, rows, want = lambda n: [w for _ in range(n) for w in sentence(rng, 9).split()], [], {}
+    for k in range(120):
+        n, at = rng.randint(51, 60), rng.randrange(9)
+        passage = words(8)[at : at + n]
+        for i in (k, k + 200):
+            before, after = words(6)[: rng.randint(20, 50)], words(6)[rng.randrange(1, 9) :]
+            rows.append((i, " ".join(before + passage + after)))
+            want[i] = " ".join(before + after) if i >= 200 else rows[-1][1]
+    t = sentence(rng, 60)
+    rows += [(500, t), (500, t), (None, f"{t} {t}"), (501, None), (502, "")] + [(600 + (i or 0), x) for i, x in ODD]
+    want |= {500: t, None: f"{t} ", 501: None, 502: ""}
+    make_docs(rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = QUERIES["op2_substring_dedup"](spark, str(tmp_path)).collect()
+    assert len(got) == len(rows)
+    left = {r.doc_id: r.text for r in got}
+    assert {i: left[i] for i in want} == want
+    assert all(r.words_removed == len(dict(rows)[r.doc_id].split()) - len(r.text.split()) for r in got if r.text and r.doc_id and 200 <= r.doc_id < 500)
