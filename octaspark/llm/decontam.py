@@ -8,13 +8,17 @@ in the document and the slots agree: each value of an item's placeholder always
 stands for the same value in the document, and different values for different ones.
 That finds verbatim copies and questions with other numbers or names alike.
 
+An item without such windows (a few words, or mostly numbers and names) is matched
+verbatim instead: windows of its lower-cased words as they are. One of fewer than
+``LEAST_VERBATIM`` words, which stand in any text, matches texts of just these words.
+
 Windows reach the join only if their hash is one of the benchmark's. That set, and the
 benchmark's side of the join, are broadcast while they hold at most
-``BROADCAST_WINDOWS`` windows, which is checked; beyond it all windows are shuffled to
+``BROADCAST_WINDOWS`` windows (about 30 MB), which is checked; beyond it all windows are shuffled to
 an equi-join.
 
-Defined results: null and empty texts, and items of fewer than ``LEAST_WORDS`` template
-words, match nothing. Items that repeat an id are separate items of that id. Rows that
+Defined results: null and empty texts, and items without a word,
+match nothing. Items that repeat an id are separate items of that id. Rows that
 repeat an id with the same text match as one. Null ids are kept as null.
 Extra columns are ignored, or kept by ``drop_contaminated``.
 """
@@ -29,16 +33,26 @@ from pyspark.sql import functions as F
 from octaspark.llm.common import WordHasher, cut_lineage, mix64
 
 WINDOW, LEAST_WORDS, LEAST_LITERALS = 8, 5, 4
+LEAST_VERBATIM = 3
 #: Enough windows: this share of the item's, or so many.
 COVER, MANY = 0.4, 24
-BROADCAST_WINDOWS = 1_000_000
+BROADCAST_WINDOWS = 250_000
+
+#: Alignments of an item's windows in a document that differ by no more belong to one occurrence.
+SHIFT = 4
 
-# Words for numbers and units.
-NUMBER_WORDS = "one two three four five six seven eight nine ten eleven twelve twenty thirty forty fifty hundred thousand million".split()
+# Words for numbers (English, German, French, Spanish) and units.
+NUMBER_WORDS = (
+    "one two three four five six seven eight nine ten eleven twelve twenty thirty forty fifty hundred thousand million "
+    "zwei drei vier fünf sechs sieben acht neun zehn zwölf zwanzig dreißig vierzig fünfzig hundert tausend million "
+    "deux trois quatre cinq sept huit neuf dix onze douze vingt trente quarante cinquante mille "
+    "dos tres cuatro cinco seis siete ocho nueve diez doce veinte treinta cuarenta cincuenta cien mil millón"
+).split()
 UNIT_WORDS = (
     "mm cm m km in ft yd mi mg g kg lb oz ml l s ms min h hr hz khz mhz w kw v a j n pa k c f inch inches foot feet yard yards mile miles meter meters metre metres "
     "kilometer kilometers gram grams kilogram kilograms pound pounds ounce ounces liter liters litre litres second seconds minute minutes hour hours day days week weeks "
-    "month months year years dollar dollars cent cents euro euros percent degree degrees"
+    "month months year years dollar dollars cent cents euro euros percent degree degrees tag tage stunden minuten sekunden kilometer jahre monate wochen grad prozent jours heures minutes secondes kilomètres mètres ans mois semaines "
+    "degrés pourcent días horas minutos segundos kilómetros metros años meses semanas grados"
 ).split()
 
 _hasher = WordHasher(bytes(b for b in range(128) if not chr(b).isalnum()), seed=31)
@@ -47,8 +61,6 @@ _number_words = np.sort(_hasher.words(" ".join(NUMBER_WORDS).encode())[0])
 _unit_words = np.sort(_hasher.words(" ".join(UNIT_WORDS).encode())[0])
 _digit = np.zeros(256, bool)
 _digit[48:58] = True
-_capital = np.zeros(256, bool)
-_capital[65:91] = True
 _stop = np.zeros(256, bool)
 _stop[list(b'.!?:;"\n')] = True
 _BASE = 0x9FB21C651E98DF25
@@ -58,14 +70,19 @@ def template(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Template words as hashes, and the values of placeholders (0 for words)."""
     data = text.encode("utf-8", "surrogatepass")
     low = text.lower().encode("utf-8", "surrogatepass")
-    h, start, end = _hasher.words(low if len(low) == len(data) else data.lower())
+    h, low_start, end = _hasher.words(low)
+    start = low_start
+    if len(low) != len(data):  # some letter's lower case has another length: same words, other places
+        _, start, end = _hasher.words(data)
     n = len(h)
     if not n:
         return h, h
-    a = np.frombuffer(data, np.uint8)
+    a, z = np.frombuffer(data, np.uint8), np.frombuffer(low, np.uint8)
     c = a[start]
-    second = a[np.minimum(start + 1, len(a) - 1)]
-    capital = _capital[c] | ((c == 0xC3) & (second >= 0x80) & (second <= 0x9E))
+    length = 1 + (c >= 0xC0).astype(np.int64) + (c >= 0xE0) + (c >= 0xF0)
+    capital = np.zeros(n, bool)
+    for k in range(4):  # the first letter's bytes
+        capital |= (length > k) & (a[np.minimum(start + k, len(a) - 1)] != z[np.minimum(low_start + k, len(z) - 1)])
     stops = np.concatenate([[0], np.cumsum(_stop[a])])
     begins = np.ones(n, bool)
     begins[1:] = stops[start[1:]] > stops[end[:-1]]
@@ -98,8 +115,20 @@ def windows(words: np.ndarray, value: np.ndarray, size: int) -> tuple[np.ndarray
     return at, mix64(total[at] + np.uint64(size)).view(np.int64)
 
 
+def verbatim(text: str, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Start and hash of each window of ``size`` lower-cased words; below LEAST_VERBATIM only of the whole text."""
+    words = _hasher.words(text.lower().encode("utf-8", "surrogatepass"))[0]
+    n = len(words) - size + 1
+    if n <= 0 or size < LEAST_VERBATIM and n > 1:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    total = np.zeros(n, np.uint64)
+    for j in range(size):
+        total = total * np.uint64(_BASE) + words[j : j + n]
+    return np.arange(n), mix64(total ^ np.uint64(size)).view(np.int64)
+
+
 def item_windows(benchmark: DataFrame, id_col: str, text: str) -> DataFrame:
-    """item, text_hash, size, n_windows, item_at, h and item_values of all windows of all items."""
+    """item, text_hash, size (negative if verbatim), n_windows, item_at, h and item_values of all windows of all items."""
     names = ["item", "item_hash", "size", "n_windows", "item_at", "h", "item_values"]
 
     def run(batches):
@@ -108,10 +137,13 @@ def item_windows(benchmark: DataFrame, id_col: str, text: str) -> DataFrame:
             for item, own, t in zip(*(b.column(k).to_pylist() for k in range(3))):
                 words, value = template(t or "")
                 size = min(WINDOW, len(words))
-                if size < LEAST_WORDS:
-                    continue
-                at, h = windows(words, value, size)
+                at, h = windows(words, value, size) if size >= LEAST_WORDS else (words[:0], words[:0])
                 v = value.view(np.int64)
+                if not len(at) and len(words):
+                    size = min(WINDOW, len(_hasher.words(t.lower().encode("utf-8", "surrogatepass"))[0]))
+                    at, h = verbatim(t, size)
+                    rows += [(item, own, -size, len(at), int(p), int(x), []) for p, x in zip(at, h)]
+                    continue
                 rows += [(item, own, size, len(at), int(p), int(x), v[p : p + size].tolist()) for p, x in zip(at, h)]
             cols = list(zip(*rows)) or [[]] * 7
             types = [b.schema.field(0).type, pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64())]
@@ -134,13 +166,13 @@ def document_windows(docs: DataFrame, sizes: list[int], wanted: np.ndarray | Non
                         continue
                     words, value = template(t)
                     for size in sizes:
-                        at, h = windows(words, value, size)
+                        at, h = windows(words, value, size) if size > 0 else verbatim(t, -size)
                         if wanted is not None and len(h):
                             near = np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)
                             at, h = at[ok := wanted[near] == h], h[ok]
                         v = value.view(np.int64)
                         ids += [k] * len(h)
-                        for c, x in zip(cols, ([size] * len(h), at.tolist(), h.tolist(), [v[p : p + size].tolist() for p in at])):
+                        for c, x in zip(cols, ([size] * len(h), at.tolist(), h.tolist(), [v[p : p + max(size, 0)].tolist() for p in at])):
                             c += x
                 rows = pa.array(ids, pa.int64())
                 types = (pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()))
@@ -153,12 +185,7 @@ def document_windows(docs: DataFrame, sizes: list[int], wanted: np.ndarray | Non
     return rows.mapInArrow(run, f"id {kind}, own long, size int, at int, h long, values array<long>")
 
 
-def slots_agree(matches: list[dict]) -> tuple[int, int]:
-    """How many of an item's windows occur with agreeing slots, and how many slot values changed.
-
-    Windows are taken in the item's order. A window whose slots contradict those
-    taken before isn't counted.
-    """
+def _bound(matches: list[dict]) -> tuple[int, int]:
     there: dict[int, int] = {}
     back: dict[int, int] = {}
     met, changed = set(), set()
@@ -172,6 +199,25 @@ def slots_agree(matches: list[dict]) -> tuple[int, int]:
     return len(met), len(changed)
 
 
+def slots_agree(matches: list[dict]) -> tuple[int, int]:
+    """How many of an item's windows occur with agreeing slots, and how many slot values changed.
+
+    Windows are taken in the item's order. A window whose slots contradict those
+    taken before isn't counted. Each occurrence (windows that lie in the document as in
+    the item, up to ``SHIFT``) is judged on its own, and all windows together; the best counts.
+    """
+    order = sorted(matches, key=lambda m: m["at"] - m["item_at"])
+    groups, last = [], None
+    for m in order:
+        d = m["at"] - m["item_at"]
+        if last is None or d - last > SHIFT:
+            groups.append([])
+        groups[-1].append(m)
+        last = d
+    found = [_bound(g) for g in groups] + ([_bound(matches)] if len(groups) > 1 else [])
+    return max(found, key=lambda x: (x[0], -x[1]))
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """Pairs of document and item that match: ids, n_matched, n_windows, coverage, slots_changed."""
     items = cut_lineage(item_windows(benchmark, item_col, item_text))
@@ -181,7 +227,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         found = items.select("h").distinct().toPandas()["h"].to_numpy(np.int64)
         wanted = np.sort(found)
         right = F.broadcast(items)
-    sizes = [r[0] for r in items.select("size").distinct().collect()]  # WINDOW - LEAST_WORDS + 1 values at most
+    sizes = [r[0] for r in items.select("size").distinct().collect()]  # 2 * WINDOW values at most
     if not sizes:
         wanted = np.zeros(1, np.int64)
     left = document_windows(docs, sizes, wanted, id_col, text)

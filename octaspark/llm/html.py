@@ -2,22 +2,28 @@
 
 A page becomes a flat list of text blocks: runs of text between block-level tags, with
 inline markup dropped. Each block has its number of words, its link density, both of
-its neighbours, and where it stands: inside an article or main element (and whether the
-page has one), inside something named as a menu, header, footer, sidebar, notice, advert,
-form or comments, and whether it is a heading. A decision tree, grown on the small table
-``EXAMPLES``, tells main text from the rest.
+its neighbours, and where it stands: in an article, in a main element or a container named
+as content, or in neither, and what is the most that the page has of these; inside something
+that is or is named a menu, header, footer, sidebar, notice, advert, form or comments;
+whether it is a heading, and whether it reads like a notice. A decision tree tells main
+text from the rest. It is grown on the blocks of a few hundred small pages made by rule
+(``labelled_pages``), whose main text is known by construction.
 
 Character references are decoded, white space inside a block becomes one space, and
-main blocks are joined in page order by two line ends. Scripts, styles and other
-raw elements are skipped to their end tag, or to the end of the page without one.
+main blocks are joined in page order by two line ends. Scripts, styles and templates
+are skipped to their end tag, or to the end of the page without one; other elements whose
+content isn't text (media, buttons) only if they have an end tag.
 
 Defined results: null and empty pages have empty text. A tag that the page's end cuts off
-is dropped. Equal pages have equal texts. Extra columns are ignored.
+is dropped. Where everything would be a form's, forms count as plain containers.
+Equal pages have equal texts. Repeated and very long pages are rows like others. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import functools
 import html
+import random
 import re
 from dataclasses import dataclass
 
@@ -26,25 +32,36 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 # HTML's element names by what they do here.
-RAW = "script style noscript template svg math iframe object select textarea button canvas video audio head title".split()
+RAW = "script style noscript template title textarea".split()
+CLOSED = "svg math iframe object select button canvas video audio".split()
 BLOCK = set(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html "
     "legend li main menu nav ol p pre search section summary table tbody tfoot thead tr ul caption".split()
 )
-SPACE = {"br", "td", "th", "img", "input", "wbr", "option"}
+SPACE = {"br", "td", "th", "option"}
 VOID = set("area base br col embed hr img input link meta source track wbr".split())
-CONTENT = {"article", "main"}
-ASIDE = {"nav", "aside", "footer", "form", "menu", "dialog", "search", "fieldset"}
-NAMED = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscribe|signup|login|"
-    r"navbar|nav|navigation|menu|breadcrumbs?|sidebar|side-bar|aside|widget|related|recommend\w*|share|sharing|social|comments?|commentlist|disqus|replies|reply|"
-    r"respond|footer|masthead|site-header|page-header|header|toolbar|pagination|pager|skip-link|search|copyright|legal|disclaimer)(?:$|[\s_-])",
-    re.I,
+ASIDE = {"nav", "aside", "footer", "menu", "dialog", "search", "fieldset"}
+#: Elements that end one of their own kind which is still open, up to these.
+IMPLIED = {"p": set(), "li": {"ul", "ol", "menu", "dir"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table", "tbody", "thead", "tfoot"}}
+# Words of class and id names.
+ASIDE_WORDS = set(
+    "ad ads advert adverts advertisement advertising adsense sponsor sponsors sponsored promo promos promotion banner cookie cookies consent gdpr notice notices alert alerts "
+    "popup modal overlay newsletter subscribe subscription signup login navbar nav navigation menu menus breadcrumb breadcrumbs sidebar aside widget widgets related recommended "
+    "recommendations share sharing social comment comments commentlist disqus replies reply respond footer masthead toolbar topbar pagination pager skip search copyright legal disclaimer".split()
 )
-_ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|style|aria-hidden|aria-label)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?""", re.I)
+HEADER_WORDS = {"header", "head", "top"}
+ARTICLE_WORDS = {"article", "post", "entry", "story", "content", "main"}
+CONTAINER_WORDS = ARTICLE_WORDS | {"body", "text", "page", "news", "blog", "single", "wrapper", "container", "area"}
+#: A name that starts so tells what an element has or lacks, not what it is.
+MODIFIERS = {"with", "has", "have", "no", "without", "non", "not", "after", "before", "is", "hide", "show"}
+ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "alert", "dialog", "form"}
+NOTICE = re.compile(r"\u00a9|\(c\) ?\d|\bcopyright\b|all rights reserved|\bcookies?\b|\bsubscribe\b|\bsign (?:up|in)\b|\blog ?in\b|privacy policy|terms of (?:use|service)", re.I)
+_ATTRIBUTE = re.compile(r"""(?<![\w-])(class|id|role|hidden|style|aria-hidden)(?![\w-])(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?""", re.I)
+_PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>" + "|".join(RAW) + r")\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?P<raw>" + "|".join(RAW) + r")(?=[\s/>])[^>]*>(?:.*?(?:</(?P=raw)\s*>|\Z))"
+    r"|<(?P<closed>" + "|".join(CLOSED) + r")(?=[\s/>])(?:[^>]*/>|[^>]*>.*?</(?P=closed)\s*>)"
     r"|<(?P<end>/?)(?P<tag>[a-z][a-z0-9:-]*)(?P<rest>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|<(?P<end2>/?)(?P<tag2>[a-z][a-z0-9:-]*)(?P<rest2>[^>]*+)>"
     r"|<[!?][^>]*(?:>|\Z)"
@@ -52,86 +69,58 @@ _TOKEN = re.compile(
     re.I | re.S,
 )
 
-FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "in_content", "page_has_content", "set_aside", "heading")
-#: The labelled table: features in that order, then 1 for main text. Typical blocks of article
-#: pages, and of pages without an article element.
-EXAMPLES = [
-    # article paragraphs, long and short, with few or no links
-    (80, 0.0, 60, 0.0, 90, 0.0, 1, 1, 0, 0, 1),
-    (35, 0.05, 80, 0.0, 20, 0.0, 1, 1, 0, 0, 1),
-    (12, 0.0, 40, 0.0, 0, 0.0, 1, 1, 0, 0, 1),
-    (4, 0.0, 70, 0.0, 6, 0.0, 1, 1, 0, 0, 1),
-    (1, 0.0, 9, 0.0, 50, 0.0, 1, 1, 0, 0, 1),
-    (60, 0.3, 12, 0.0, 80, 0.1, 1, 1, 0, 0, 1),
-    (7, 0.0, 8, 0.0, 9, 0.0, 1, 1, 0, 0, 1),
-    (3, 0.0, 6, 1.0, 8, 0.0, 1, 1, 0, 0, 1),
-    (9, 0.4, 30, 0.0, 44, 0.0, 1, 1, 0, 0, 1),
-    (9, 0.2, 3, 0.0, 2, 0.0, 1, 1, 0, 0, 1),
-    (2, 0.0, 9, 0.2, 20, 0.0, 1, 1, 0, 0, 1),
-    (3, 0.3, 5, 1.0, 4, 1.0, 1, 1, 0, 0, 1),
-    (6, 0.5, 5, 1.0, 6, 1.0, 1, 1, 0, 0, 1),
-    (2, 0.0, 3, 1.0, 3, 1.0, 1, 1, 0, 0, 1),
-    (5, 0.0, 3, 1.0, 3, 1.0, 1, 1, 0, 0, 1),
-    (14, 0.4, 12, 0.9, 40, 0.0, 1, 1, 0, 0, 1),
-    (30, 0.5, 4, 1.0, 6, 1.0, 1, 1, 0, 0, 1),
-    (1, 0.0, 0, 0.0, 0, 0.0, 1, 1, 0, 0, 1),
-    # headings of the article
-    (9, 0.0, 8, 0.0, 70, 0.0, 1, 1, 0, 1, 1),
-    (3, 0.0, 60, 0.0, 50, 0.0, 1, 1, 0, 1, 1),
-    (12, 0.0, 1, 1.0, 10, 0.0, 1, 1, 0, 1, 1),
-    # link lists inside the article
-    (3, 1.0, 4, 1.0, 3, 1.0, 1, 1, 0, 0, 0),
-    (6, 1.0, 5, 1.0, 7, 1.0, 1, 1, 0, 0, 0),
-    (5, 1.0, 90, 0.0, 6, 1.0, 1, 1, 0, 0, 0),
-    (14, 0.9, 12, 0.9, 40, 0.0, 1, 1, 0, 0, 0),
-    (40, 0.95, 60, 0.0, 50, 0.0, 1, 1, 0, 0, 0),
-    (9, 1.0, 60, 0.0, 70, 0.0, 1, 1, 0, 0, 0),
-    (2, 1.0, 9, 0.2, 20, 0.0, 1, 1, 0, 0, 0),
-    (25, 0.9, 3, 0.0, 2, 0.0, 1, 1, 0, 0, 0),
-    (3, 1.0, 80, 0.0, 90, 0.0, 1, 1, 0, 0, 0),
-    (14, 0.8, 12, 0.0, 40, 0.0, 1, 1, 0, 0, 0),
-    # named as a menu, advert, notice, footer, comment ..., also inside the article
-    (60, 0.0, 50, 0.0, 40, 0.0, 1, 1, 1, 0, 0),
-    (8, 0.0, 70, 0.0, 80, 0.0, 1, 1, 1, 0, 0),
-    (30, 0.0, 20, 0.0, 10, 0.0, 1, 1, 1, 1, 0),
-    (10, 0.0, 1, 1.0, 9, 0.0, 0, 1, 1, 0, 0),
-    (2, 1.0, 2, 1.0, 2, 1.0, 0, 1, 1, 0, 0),
-    (120, 0.0, 2, 1.0, 30, 0.0, 0, 1, 1, 0, 0),
-    (45, 0.1, 60, 0.0, 0, 0.0, 0, 1, 1, 0, 0),
-    (80, 0.0, 60, 0.0, 90, 0.0, 0, 0, 1, 0, 0),
-    (14, 0.0, 30, 0.0, 40, 0.0, 0, 0, 1, 0, 0),
-    (40, 0.0, 30, 0.0, 0, 0.0, 0, 0, 1, 0, 0),
-    (25, 0.2, 60, 0.0, 8, 0.0, 0, 0, 1, 0, 0),
-    (3, 1.0, 3, 1.0, 3, 1.0, 0, 0, 1, 0, 0),
-    (5, 0.0, 3, 1.0, 9, 0.0, 0, 0, 1, 1, 0),
-    # outside the article of a page that has one
-    (90, 0.0, 40, 0.0, 30, 0.0, 0, 1, 0, 0, 0),
-    (30, 0.0, 40, 0.0, 30, 0.0, 0, 1, 0, 0, 0),
-    (60, 0.1, 60, 0.0, 60, 0.0, 0, 1, 0, 0, 0),
-    (20, 0.0, 70, 0.0, 45, 0.0, 0, 1, 0, 0, 0),
-    (45, 0.0, 9, 0.0, 100, 0.0, 0, 1, 0, 0, 0),
-    (7, 0.0, 50, 0.0, 60, 0.0, 0, 1, 0, 1, 0),
-    (9, 0.0, 80, 0.0, 0, 0.0, 0, 1, 0, 0, 0),
-    (4, 0.5, 2, 1.0, 8, 0.0, 0, 1, 0, 0, 0),
-    (6, 0.0, 3, 1.0, 20, 0.0, 0, 1, 0, 1, 0),
-    # pages without an article element
-    (80, 0.0, 60, 0.0, 90, 0.0, 0, 0, 0, 0, 1),
-    (40, 0.1, 3, 1.0, 60, 0.0, 0, 0, 0, 0, 1),
-    (25, 0.0, 50, 0.0, 4, 0.5, 0, 0, 0, 0, 1),
-    (15, 0.0, 9, 0.0, 30, 0.1, 0, 0, 0, 0, 1),
-    (7, 0.0, 60, 0.0, 40, 0.0, 0, 0, 0, 0, 1),
-    (5, 0.0, 30, 0.0, 25, 0.0, 0, 0, 0, 0, 1),
-    (6, 0.0, 2, 1.0, 70, 0.0, 0, 0, 0, 1, 1),
-    (8, 0.0, 60, 0.0, 45, 0.0, 0, 0, 0, 1, 1),
-    (6, 0.0, 2, 1.0, 5, 0.5, 0, 0, 0, 0, 0),
-    (4, 0.0, 3, 1.0, 3, 1.0, 0, 0, 0, 0, 0),
-    (3, 0.0, 2, 0.0, 3, 0.0, 0, 0, 0, 0, 0),
-    (2, 1.0, 2, 1.0, 2, 1.0, 0, 0, 0, 0, 0),
-    (5, 1.0, 60, 0.0, 4, 1.0, 0, 0, 0, 0, 0),
-    (30, 0.9, 20, 0.8, 25, 0.9, 0, 0, 0, 0, 0),
-    (12, 0.7, 8, 1.0, 9, 1.0, 0, 0, 0, 0, 0),
-    (4, 0.0, 2, 1.0, 3, 1.0, 0, 0, 0, 1, 0),
-]
+FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "content", "page_content", "set_aside", "heading", "notice")
+
+
+def labelled_pages(seed: int = 7, pages: int = 80) -> list[str]:
+    """Small pages by rule, ``pages`` of each of four layouts; words of main text start with m, others with o."""
+    rng = random.Random(seed)
+
+    def text(kind: str, low: int, high: int, linked: float = 0.0) -> str:
+        n = rng.randint(low, high)
+        of = round(linked * n)
+        words = [kind + "".join(rng.choices("abcdefgh", k=rng.randint(1, 7))) for _ in range(n)]
+        return " ".join((['<a href="x">' + " ".join(words[:of]) + "</a>"] if of else []) + words[of:])
+
+    def links(low: int, high: int) -> str:
+        return "<ul>" + "".join(f"<li>{text('o', 1, 3, 1)}</li>" for _ in range(rng.randint(low, high))) + "</ul>"
+
+    def named(*names: str) -> str:
+        return f'<div class="{rng.choice(names)}">{text("o", 2, rng.choice((10, 90)), rng.choice((0, 0, 0.3)))}</div>'
+
+    def maybe(share: float, of) -> str:
+        return of() if rng.random() < share else ""
+
+    out = []
+    for layout in ("article", "main", "named", "bare"):
+        for _ in range(pages):
+            share = (0, 0, 0, 0.1, 0.4) if layout == "bare" else (0, 0, 0, 0.3, 1)
+            least = 6 if layout == "bare" else 1
+            body = [f"<h1>{text('m', 2, 12)}</h1>"]
+            for k in range(rng.choice((1, 1, 2, 3, 5, 8, 12))):
+                body.append(f"<p>{text('m', least if k else 2 * least, rng.choice((14, 40, 120)), rng.choice(share))}</p>")
+                body.append(maybe(0.2, lambda: f"<h2>{text('m', 1, 7)}</h2><p>{text('m', 2 * least, 60)}</p>"))
+                if layout != "bare":
+                    body.append(maybe(0.15, lambda: "<ul>" + "".join(f"<li>{text('m', 1, 12, rng.choice(share))}</li>" for _ in range(3)) + "</ul>"))
+                    body.append(maybe(0.15, lambda: named("ad", "related-posts", "share", "sidebar", "newsletter")))
+                else:
+                    body.append(maybe(0.2, lambda: f"<p>{text('m', 1, 6)}</p><p>{text('m', 12, 60)}</p>"))
+            body.append(maybe(0.3, lambda: named("comments", "userComments")))
+            inner = "".join(body)
+            stray = lambda: maybe(0.4, lambda: f"<p>{text('o', 3, 60)}</p>")
+            if layout == "article":
+                inner = stray() + f"<article>{inner}</article>" + stray()
+                if rng.random() < 0.4:
+                    inner = f"<main>{stray()}{inner}{stray()}</main>"
+            elif layout == "main":
+                inner = stray() + f"<main>{inner}</main>" + stray()
+            elif layout == "named":
+                inner = stray() + f'<div class="{rng.choice(("content", "article-body", "post-content"))}">{inner}</div>' + stray()
+            notice = lambda: rng.choice(("ocopy copyright oall", "we use cookies ohere", "subscribe ohere onow", "&copy; 2024 oname"))
+            top = rng.choice((f"<nav>{links(2, 8)}</nav>", links(2, 8), f"<header>{text('o', 1, 4, 1)}</header>", f"<div>{text('o', 1, 4, 1)}</div>{links(2, 6)}"))
+            end = rng.choice((f"<footer>{text('o', 2, 12)}</footer>", named("footer", "site-footer"), f"<div>{notice()} {text('o', 1, 12, 0.3)}</div>", f"<p>{notice()}</p>{links(2, 5)}", links(2, 6), ""))
+            out.append(f"<html><body>{maybe(0.3, lambda: f'<div>{notice()} {text('o', 2, 30)}</div>')}{top}{inner}{end}</body></html>")
+    return out
 
 
 @dataclass
@@ -149,29 +138,36 @@ class Node:
         return node.share
 
 
-def grow(x: np.ndarray, y: np.ndarray, depth: int = 8) -> Node:
-    """A decision tree by Gini impurity; cuts lie midway between neighbouring values."""
+def grow(x: np.ndarray, y: np.ndarray, depth: int = 10, least: int = 3) -> Node:
+    """A decision tree by Gini impurity; cuts lie midway between neighbouring values, with ``least`` rows on each side."""
     node = Node(float(y.mean()))
     if depth == 0 or node.share in (0.0, 1.0):
         return node
     best = None
     for f in range(x.shape[1]):
-        values = np.unique(x[:, f])
-        for a, b in zip(values, values[1:]):
-            low = x[:, f] <= (a + b) / 2
-            cost = sum(m.sum() * (p := y[m].mean()) * (1 - p) for m in (low, ~low))
-            if best is None or cost < best[0] - 1e-12:
-                best = cost, f, (a + b) / 2, low
+        order = np.argsort(x[:, f], kind="stable")
+        v, ones = x[order, f], np.cumsum(y[order])
+        n = np.arange(1, len(v))
+        a, b = ones[:-1], ones[-1] - ones[:-1]
+        cost = a * (1 - a / n) + b * (1 - b / (len(v) - n))
+        cost[(v[1:] == v[:-1]) | (n < least) | (len(v) - n < least)] = np.inf
+        k = int(np.argmin(cost)) if len(cost) else 0
+        if len(cost) and np.isfinite(cost[k]) and (best is None or cost[k] < best[0] - 1e-9):
+            best = cost[k], f, (v[k] + v[k + 1]) / 2
     if best is None:
         return node
-    _, node.feature, node.at, low = best
-    node.low, node.high = grow(x[low], y[low], depth - 1), grow(x[~low], y[~low], depth - 1)
+    _, node.feature, node.at = best
+    low = x[:, node.feature] <= node.at
+    node.low, node.high = grow(x[low], y[low], depth - 1, least), grow(x[~low], y[~low], depth - 1, least)
     return node
 
 
-def train(examples=EXAMPLES) -> Node:
-    table = np.array(examples, float)
-    return grow(table[:, :-1], table[:, -1])
+@functools.lru_cache(maxsize=1)
+def train() -> Node:
+    """The tree grown on the blocks of the labelled pages."""
+    found = [(f, b.text) for page in labelled_pages() for b, f in features(blocks(page))]
+    x = np.array([f for f, _ in found], float)
+    return grow(x, np.array([t[0] == "m" for _, t in found], float))
 
 
 @dataclass
@@ -179,31 +175,43 @@ class Block:
     text: str
     words: int
     links: float
-    in_content: bool
+    content: int  # 2 in an article, 1 in a main element or named container
     set_aside: bool
+    form: bool
     heading: bool
 
 
-def _named(rest: str) -> bool:
-    """Whether attributes name the element as something beside the main text, or hide it."""
+def _says(tag: str, rest: str, content: int) -> tuple[bool, int]:
+    """Whether attributes name the element as something beside the main text, or hide it, and what content it is."""
+    inside = 0
     for m in _ATTRIBUTE.finditer(rest):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value, re.I):
-            return True
-        if name == "role" and value.lower() in ("navigation", "banner", "contentinfo", "complementary", "search", "alert", "dialog", "form"):
-            return True
-        if name in ("class", "id") and NAMED.search(value):
-            return True
-    return False
+            return True, 0
+        if name == "role":
+            if value.lower() in ROLES and not (value.lower() == "banner" and content):
+                return True, 0
+            inside = max(inside, {"article": 2, "main": 1}.get(value.lower(), 0))
+        if name in ("class", "id"):
+            for token in value.split():
+                parts = [x.lower() for x in _PARTS.findall(token)]
+                if not parts or parts[0] in MODIFIERS:
+                    continue
+                of_article = not ARTICLE_WORDS.isdisjoint(parts)
+                if not ASIDE_WORDS.isdisjoint(parts) or parts[-1] in HEADER_WORDS and not content and not of_article:
+                    return True, 0
+                if of_article and CONTAINER_WORDS.issuperset(parts):
+                    inside = max(inside, 1)
+    return False, inside
 
 
 def blocks(page: str) -> list[Block]:
     """All text blocks of a page, in order."""
     out: list[Block] = []
-    open_tags: list[tuple[str, bool, bool]] = []  # name, content, set aside
+    open_tags: list[tuple[str, int, bool, bool]] = []  # name, content, set aside, form
     text: list[str] = []
     linked: list[str] = []
-    state = [False, False]  # inside content, set aside
+    state = (0, False, False)
     in_link = 0
     heading = ""
 
@@ -213,7 +221,7 @@ def blocks(page: str) -> list[Block]:
             words = html.unescape("".join(text)).split()
             if words:
                 n_linked = len(html.unescape("".join(linked)).split()) if linked else 0
-                out.append(Block(" ".join(words), len(words), min(1.0, n_linked / len(words)), state[0], state[1], bool(heading)))
+                out.append(Block(" ".join(words), len(words), min(1.0, n_linked / len(words)), *state, bool(heading)))
             text, linked = [], []
 
     at = 0
@@ -226,11 +234,12 @@ def blocks(page: str) -> list[Block]:
         at = m.end()
         tag = m["tag"] or m["tag2"]
         if m["raw"] is not None:
-            if m["raw"].lower() not in ("head", "title"):
-                text.append(" ")
-            else:
+            if m["raw"].lower() == "title":
                 close()
             continue
+        if m["closed"] is not None:
+            text.append(" ")
+            continue
         if tag is None:
             continue
         tag = tag.lower()
@@ -243,59 +252,59 @@ def blocks(page: str) -> list[Block]:
         if tag in SPACE:
             text.append(" ")
             linked.append(" ") if linked else None
-        aside = False
         if tag in BLOCK:
             close()
             heading = tag if not end and len(tag) == 2 and tag[0] == "h" and tag != "hr" else ""
-            aside = tag in ASIDE or tag == "header" and not state[0]
-        if tag in VOID:
+        if tag in VOID or tag not in BLOCK and tag != "span":
             continue
         if not end:
-            if tag in BLOCK or tag == "span":
-                rest = m["rest"] if m["rest"] is not None else m["rest2"]
-                aside = aside or (tag not in ("html", "body") and bool(rest) and _named(rest))
-                if tag == "p":  # its end tag is often left out: it ends with the next block
-                    if open_tags and open_tags[-1][0] == "p":
-                        open_tags.pop()
-                open_tags.append((tag, tag in CONTENT, aside))
+            rest = m["rest"] if m["rest"] is not None else m["rest2"]
+            if tag in IMPLIED:
+                for k in range(len(open_tags) - 1, -1, -1):
+                    if open_tags[k][0] in IMPLIED[tag] or tag == "p" and open_tags[k][0] != "p":
+                        break
+                    if open_tags[k][0] == tag or tag[0] == "d" and open_tags[k][0] in ("dt", "dd"):
+                        del open_tags[k:]
+                        break
+            aside, inside = tag in ASIDE or tag == "header" and not state[0], {"article": 2, "main": 1}.get(tag, 0)
+            if rest and tag not in ("html", "body"):
+                said, more = _says(tag, rest, state[0])
+                aside, inside = aside or said, max(inside, more)
+            if inside and not aside:  # a form around the content doesn't set it aside
+                open_tags = [(*t[:3], False) for t in open_tags]
+            open_tags.append((tag, inside, aside, tag == "form"))
         else:
             for k in range(len(open_tags) - 1, -1, -1):
                 if open_tags[k][0] == tag:
-                    if tag == "span" and open_tags[k][2]:
-                        close()
                     del open_tags[k:]
                     break
-        inside = [any(t[1] for t in open_tags), any(t[2] for t in open_tags)]
-        if inside != state:
+        now = (max((t[1] for t in open_tags), default=0), any(t[2] for t in open_tags), any(t[3] for t in open_tags))
+        if now != state:
             close()
-            state[:] = inside
+            state = now
     if at < len(page):
         text.append(page[at:])
     close()
     return out
 
 
-def main_text(page: str | None, tree: Node) -> tuple[str, int, int]:
-    """The main text, how many blocks it has and how many the page has."""
-    found = blocks(page) if page else []
-    content = any(b.in_content for b in found)
-    keep = []
+def features(found: list[Block]) -> list[tuple[Block, tuple]]:
+    """Blocks with what the tree looks at, in the order of ``FEATURES``."""
+    forms = all(b.form or b.set_aside for b in found)  # a page within one form
+    aside = [b.set_aside or b.form and not forms for b in found]
+    most = max((b.content for b, x in zip(found, aside) if not x), default=0)
+    out = []
     for k, b in enumerate(found):
         before, after = found[k - 1] if k else None, found[k + 1] if k + 1 < len(found) else None
-        x = (
-            b.words,
-            b.links,
-            before.words if before else 0,
-            before.links if before else 0.0,
-            after.words if after else 0,
-            after.links if after else 0.0,
-            b.in_content,
-            content,
-            b.set_aside,
-            b.heading,
-        )
-        if tree.predict(x) >= 0.5:
-            keep.append(b.text)
+        near = [x for n in (before, after) for x in ((n.words, n.links) if n else (0, 0.0))]
+        out.append((b, (b.words, b.links, *near, b.content, most, aside[k], b.heading, bool(NOTICE.search(b.text)))))
+    return out
+
+
+def main_text(page: str | None, tree: Node) -> tuple[str, int, int]:
+    """The main text, how many blocks it has and how many the page has."""
+    found = features(blocks(page)) if page else []
+    keep = [b.text for b, x in found if tree.predict(x) >= 0.5]
     return "\n\n".join(keep), len(keep), len(found)
 
 

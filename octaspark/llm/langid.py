@@ -6,7 +6,8 @@ a document gets the language whose codeword has the least weighted loss, and is
 flagged as ambiguous when the runner-up is nearly as close.
 
 Training needs only n-gram counts per language, which Spark sums over all training
-rows; what reaches the driver has at most ``languages x BUCKETS`` rows.
+rows; what reaches the driver has at most ``MOST_LANGUAGES x BUCKETS`` rows. Of more
+values in the language column those with most text are learned.
 
 Defined results: null text, empty text and text without a letter give ``und`` with
 score 0 and are not ambiguous. Equal texts get equal results. With no training
@@ -16,23 +17,26 @@ are not held out. Extra columns are ignored.
 
 from __future__ import annotations
 
-import re
+import itertools
+import math
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from octaspark.llm.common import fold
+from octaspark.llm.common import cut_lineage, fold
 
 BUCKETS = 8192
+MOST_LANGUAGES = 500
 UNDETERMINED = "und"
 #: Scale from a mean log-odds per n-gram to a classifier margin.
 SHARPNESS = 2.0
 #: A document is ambiguous when its two best losses differ by less than this share.
 AMBIGUOUS = 0.05
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 _KEEP = bytes(b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
 
 
@@ -49,19 +53,28 @@ def ngram_counts(text: str, block: int = 1 << 20) -> np.ndarray:
 
 
 def codewords(k: int) -> np.ndarray:
-    """A k x bits matrix of -1 and 1: all splits for few languages, random ones beyond."""
+    """A k x bits matrix of -1 and 1: all splits for few languages, balanced ones in random order beyond."""
     if k <= 1:
         return np.ones((k, 0), np.int8)
     if k <= 6:
         bits = [[1 if (m >> i) & 1 else -1 for i in range(k - 1)] + [-1] for m in range(1, 2 ** (k - 1))]
         return np.array(bits, np.int8).T
-    rng, n = np.random.default_rng(11), 15 * int(np.ceil(np.log2(k)))
-    columns: list[np.ndarray] = []
-    while len(columns) < n:
-        c = np.where(rng.permutation(k) < k // 2, 1, -1).astype(np.int8)
-        if not any(abs(int(c @ d)) == k for d in columns):
-            columns.append(c)
-    return np.array(columns).T
+    rng, n = np.random.default_rng(11), 15 * math.ceil(math.log2(k))
+    if k <= 10:
+        # Of a split and its complement one, which has the first language on the smaller side or, if equal, in it.
+        sides = [c for c in itertools.combinations(range(k), k // 2) if k % 2 or c[0] == 0]
+        sides = [sides[i] for i in rng.permutation(len(sides))[:n]]
+    else:
+        met: dict[tuple, None] = {}
+        while len(met) < n:  # over 400 splits for at most 60 bits, and far more for more languages
+            c = tuple(sorted(rng.permutation(k)[: k // 2].tolist()))
+            if k % 2 or 0 in c:
+                met[c] = None
+        sides = list(met)
+    code = np.full((k, len(sides)), -1, np.int8)
+    for bit, side in enumerate(sides):
+        code[list(side), bit] = 1
+    return code
 
 
 @dataclass
@@ -101,14 +114,10 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> LanguageMo
                 [pa.array([g] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(n[at], pa.int64())], ["lang", "bucket", "n"]
             )
 
-    rows = (
-        docs.select(F.col(text).alias("text"), F.col(lang).alias("lang"))
-        .where("text IS NOT NULL AND lang IS NOT NULL")
-        .mapInArrow(count, "lang string, bucket int, n long")
-        .groupBy("lang", "bucket")
-        .agg(F.sum("n").alias("n"))
-        .toPandas()  # at most languages x BUCKETS rows
-    )
+    known = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
+    counts = cut_lineage(known.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")))
+    most = counts.groupBy("lang").agg(F.sum("n").alias("total")).orderBy(F.desc("total"), "lang").limit(MOST_LANGUAGES).select("lang")
+    rows = counts.join(F.broadcast(most), "lang").toPandas()  # at most MOST_LANGUAGES x BUCKETS rows
     languages = sorted(rows["lang"].unique()) if len(rows) else []
     code = codewords(len(languages))
     counts = np.zeros((len(languages), BUCKETS))

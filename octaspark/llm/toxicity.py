@@ -2,15 +2,21 @@
 
 Words map to classes: insult, threat, target, negation, reporting verb, clause end and
 other. Small transducers rewrite the class string of a clause: one marks what follows
-a reporting verb, one what follows a negation closely, one insults and threats with a
-target nearby. They are composed once into a single machine, which runs over each
-clause that holds an insult or threat; its outputs are the matched patterns. A text's
-score is a logistic function of what each pattern matched, weighted by the words' log
-odds; isolated words count only through the pattern of their clause.
+a reporting verb, one what follows a negation closely, one insults with a target
+before them. They are composed once into a single machine. A second one reads what that
+gives from the end: it marks insults with a target after them, and threats whose object is one;
+threats of anything else come to nothing. Together they run over each
+clause that holds an insult or threat. A clause's weight for a pattern is that of its path,
+the sum over the arcs that matched; what is scored are clauses, not words.
+
+A text's score is a logistic function of its clauses that insult, those of them that
+have a target, and those that threaten one. None of these weights is below zero, and each
+is drawn towards a prior one, so a target never lowers a score; negated and reported
+clauses are told but have no weight, so they never raise one.
 
 What counts as an insult is learned: words, and word beginnings, that documents
 labelled toxic hold far more often than others. That, and the weights, come from at most
-``SAMPLE`` labelled rows of each class, chosen by a hash of the id; their words are
+``SAMPLE`` labelled rows of each class, chosen by a hash of the id and written once; their words are
 counted in Spark. Seed words are added for threats, targets, negations and reporting.
 
 Defined results: null and empty texts score like any text without a match. Equal texts
@@ -30,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from octaspark.llm.common import fold
+from octaspark.llm.common import fold, written
 
 #: Labelled rows of each class that training uses at most.
 SAMPLE = 5000
@@ -45,13 +51,17 @@ OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, END = range(7)
 
 # Seed words by class.
 SEEDS = {
-    THREAT: "kill hurt destroy beat shoot stab burn murder töten schlagen tuer frapper matar golpear",
-    TARGET: "you your he she they them him her his their people du dich ihr sie er tu te toi vous ils elle tú te usted ellos ella",
-    NEGATION: "not no never isn't aren't wasn't don't doesn't without nicht kein keine nie ne pas jamais sans nunca sin ni",
-    REPORT: "said says say wrote writes claimed claims called calls quoted told sagte schrieb behauptete disait dit écrit dijo dice escribió",
+    THREAT: "kill murder hurt destroy beat shoot stab burn strangle choke punch smash slap lynch poison attack töten umbringen schlagen erschießen verletzen "
+    "tuer frapper égorger étrangler brûler matar golpear degollar quemar",
+    TARGET: "you u ya your yourself he she they them him her his their people everyone women men family du dich dir euch ihr ihn sie er leute tu te toi vous ils elle elles lui leur gens tú usted ustedes "
+    "ellos ella ellas gente",
+    NEGATION: "not no never without cannot nicht kein keine keiner nie niemals ohne ne pas jamais sans nunca sin ni",
+    REPORT: "said says say wrote writes claimed claims called calls quoted told sagte schrieb behauptete nannte disait dit écrit traité dijo dice escribió llamó",
 }
-_WORD = re.compile(r"[^\W_]+(?:'[^\W_]+)?|[.!?;:\n]")
-PATTERNS = ("plain", "targeted", "negated", "reported", "threat", "targeted_threat")
+_WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)?|[.!?;:\n]")
+PATTERNS = ("insult", "targeted", "negated", "reported", "threat")
+#: How far after a reporting verb and a negation, and from its target, a match may be, in words.
+REPORT_REACH, NEGATION_REACH, TARGET_REACH, OBJECT_REACH = 12, 3, 6, 3
 
 
 @dataclass
@@ -81,31 +91,42 @@ def compose(first: Transducer, second: Transducer, symbols) -> Transducer:
     return Transducer({(names[s], x): (names[t], z) for (s, x), (t, z) in arcs.items()})
 
 
-def _window(trigger, length: int, rewrite: dict) -> Transducer:
-    """For ``length`` symbols after ``trigger``, inputs are rewritten; a clause end stops that."""
-    arcs = {}
+SYMBOLS = (OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, END)
+
+
+def _window(trigger, reach: dict) -> Transducer:
+    """After ``trigger``, a symbol of ``reach`` within its number of symbols is rewritten; a clause end stops that."""
+    arcs, length = {}, max(n for n, _ in reach.values())
     for s in range(length + 1):
-        for x in (OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT):
-            arcs[s, x] = (max(0, s - 1), rewrite.get(x, x) if s else x)
-        for x in rewrite.values():
-            arcs.setdefault((s, x), (max(0, s - 1), x))
-        for x in ("negated", "reported"):
-            arcs.setdefault((s, x), (max(0, s - 1), x))
+        for x in (*SYMBOLS, "targeted", "negated", "reported"):
+            n, to = reach.get(x, (0, x))
+            arcs[s, x] = (max(0, s - 1), to if s > length - n else x)
         arcs[s, trigger] = (length, trigger)
         arcs[s, END] = (0, END)
     return Transducer(arcs)
 
 
-def grammar() -> Transducer:
-    symbols = (OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, END)
-    reported = _window(REPORT, 12, {INSULT: "reported", THREAT: "reported"})
-    negated = _window(NEGATION, 3, {INSULT: "negated", THREAT: "negated"})
-    targeted = _window(TARGET, 6, {INSULT: "targeted", THREAT: "targeted_threat"})
-    return compose(compose(reported, negated, symbols), targeted, symbols)
+def grammar() -> tuple[Transducer, Transducer]:
+    """The machine that reads a clause, and the one that reads what it gives from the end."""
+    reported = _window(REPORT, {INSULT: (REPORT_REACH, "reported"), THREAT: (REPORT_REACH, "reported")})
+    negated = _window(NEGATION, {INSULT: (NEGATION_REACH, "negated"), THREAT: (NEGATION_REACH, "negated")})
+    before = _window(TARGET, {INSULT: (TARGET_REACH, "targeted")})
+    after = _window(TARGET, {INSULT: (TARGET_REACH, "targeted"), THREAT: (OBJECT_REACH, "threat")})
+    return compose(compose(reported, negated, SYMBOLS), before, SYMBOLS), after
+
+
+_FORWARD, _BACKWARD = grammar()
 
 
-_MACHINE = grammar()
-_NAMES = {INSULT: "plain", THREAT: "threat"}
+def read(clause: list[int]) -> list:
+    """What the grammar gives for each symbol of a clause."""
+    for machine in (_FORWARD, _BACKWARD):
+        state, out = 0, []
+        for x in clause:
+            state, y = machine.step(state, x)
+            out.append(y)
+        clause = out[::-1]
+    return clause
 
 
 def stems(word: str) -> list[str]:
@@ -131,11 +152,11 @@ class Lexicon:
         if len(seen) > 500_000:
             seen.clear()
         for w in [w for w in set(words) if w not in seen]:
-            seen[w] = INSULT if any(s in self.insults for s in stems(w)) else self.seeds.get(w, OTHER)
+            seen[w] = INSULT if any(s in self.insults for s in stems(w)) else NEGATION if w.endswith(("n't", "n’t")) else self.seeds.get(w, OTHER)
         return list(map(seen.__getitem__, words))
 
     def matches(self, text: str | None) -> tuple[Counter, Counter]:
-        """How often each pattern matched, and the summed weights of the words that it matched."""
+        """How many clauses matched each pattern, and the sums of their weights."""
         number, weight = Counter(), Counter()
         words = _WORD.findall(text.lower()) if text else []
         kinds = self.classes(words)
@@ -145,18 +166,23 @@ class Lexicon:
         for a, b in zip(ends, ends[1:]):
             clause = kinds[a + 1 : b]
             if INSULT in clause or THREAT in clause:
-                state = 0
-                for i, k in enumerate(clause, a + 1):
-                    state, got = _MACHINE.step(state, k)
-                    got = _NAMES.get(got, got)
+                path: dict[str, float] = {}
+                for i, got in enumerate(read(clause), a + 1):
+                    got = "insult" if got == INSULT else got
                     if isinstance(got, str):
-                        number[got] += 1
-                        weight[got] += self.weight(words[i])
+                        path[got] = path.get(got, 0.0) + self.weight(words[i])
+                number.update(path.keys())
+                weight.update(path)
         return number, weight
 
 
+FEATURES = ("insulting", "targeted", "threat")
+#: What the weights of the features are drawn towards.
+PRIOR_WEIGHTS = np.array([2.0, 1.0, 4.0])
+
+
 def features(weight: Counter) -> list[float]:
-    return [np.log1p(weight[p]) for p in PATTERNS]
+    return [np.log1p(x) for x in (weight["insult"] + weight["targeted"], weight["targeted"], weight["threat"])]
 
 
 @dataclass
@@ -169,19 +195,27 @@ class ToxicityModel:
         return float(1 / (1 + np.exp(-np.clip(np.dot(features(weight), self.weights) + self.bias, -30, 30))))
 
 
-def logistic(x: np.ndarray, y: np.ndarray, prior: float, penalty: float = 1e-2, steps: int = 60) -> tuple[np.ndarray, float]:
-    """Weights and bias by Newton steps; rows of class 1 count as a share of ``prior``."""
-    z = np.hstack([x, np.ones((len(x), 1))])
+def logistic(x: np.ndarray, y: np.ndarray, prior: float, towards: np.ndarray, penalty: float = 1e-2, steps: int = 60) -> tuple[np.ndarray, float]:
+    """Weights (none below zero) and bias by Newton steps; rows of class 1 count as a share of ``prior``."""
     share = np.where(y == 1, prior / max(1, (y == 1).sum()), (1 - prior) / max(1, (y == 0).sum()))
-    w = np.zeros(z.shape[1])
+    aim, free = np.append(towards, 0.0), np.ones(x.shape[1] + 1, bool)
+    w = aim.copy()
+    z = np.hstack([x, np.ones((len(x), 1))])
     keep = penalty * np.eye(len(w)) / len(x) ** 0.5
-    for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        step = np.linalg.solve((z * (share * p * (1 - p))[:, None]).T @ z + keep, z.T @ (share * (p - y)) + keep @ w)
-        w -= step
-        if np.abs(step).max() < 1e-6:
-            break
-    return w[:-1], float(w[-1])
+    while True:
+        for _ in range(steps):
+            p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+            slope = z.T @ (share * (p - y)) + keep @ (w - aim)
+            bend = (z * (share * p * (1 - p))[:, None]).T @ z + keep
+            step = np.clip(np.linalg.solve(bend[np.ix_(free, free)], slope[free]), -2, 2)
+            w[free] -= step
+            if np.abs(step).max() < 1e-6:
+                break
+        below = np.append(w[:-1] < 0, False)
+        if not below.any():
+            return w[:-1], float(w[-1])
+        free &= ~below
+        w[below] = 0.0
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, id_col: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> DataFrame:
@@ -197,7 +231,7 @@ def _count_stems(batches):
     counts: dict[str, list[int]] = {}
     for b in batches:
         for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            for s in {s for w in set(_WORD.findall((t or "").lower())) if 2 < len(w) <= 24 for s in stems(w)} | {""}:
+            for s in {s for w in set(_WORD.findall((t or "").lower())) if 2 < len(w) <= 24 for s in stems(w)}:
                 counts.setdefault(s, [0, 0])[y] += 1
     keys = list(counts)
     yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), *(pa.array([counts[k][y] for k in keys], pa.int64()) for y in (0, 1))], ["stem", "n0", "n1"])
@@ -214,25 +248,25 @@ def specific(found: dict[str, tuple[int, float]]) -> dict[str, float]:
 
 def train(rows: DataFrame) -> ToxicityModel:
     """Fit on rows of text and label (0 or 1)."""
-    counts = rows.select("text", "label").mapInArrow(_count_stems, "stem string, n0 long, n1 long").groupBy("stem").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    totals = counts.where("stem = ''").collect()
-    n0, n1 = (totals[0].n0, totals[0].n1) if totals else (0, 0)
-    fallback = ToxicityModel(dict.fromkeys("idiot moron stupid scum loser worthless pathetic disgusting".split(), LEAST_ODDS + 1), np.full(len(PATTERNS), 2.0), -3.0)
+    rows = written(rows.select("text", F.col("label").cast("int").alias("label")), "labelled")
+    totals = {r.label: r["count"] for r in rows.groupBy("label").count().collect()}
+    n0, n1 = totals.get(0, 0), totals.get(1, 0)
     if not n0 or not n1:
-        return fallback
+        return ToxicityModel(dict.fromkeys("idiot moron stupid scum loser worthless pathetic disgusting".split(), LEAST_ODDS + 1), PRIOR_WEIGHTS, -3.0)
+    counts = rows.mapInArrow(_count_stems, "stem string, n0 long, n1 long").groupBy("stem").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     odds = F.log((F.col("n1") + 0.5) / (n1 + 1)) - F.log((F.col("n0") + 0.5) / (n0 + 1))
-    found = counts.where(f"stem <> '' AND n1 >= {max(LEAST_ROWS, LEAST_SHARE * n1)}").withColumn("odds", odds).where(F.col("odds") >= LEAST_ODDS)
+    found = counts.where(f"n1 >= {max(LEAST_ROWS, LEAST_SHARE * n1)}").withColumn("odds", odds).where(F.col("odds") >= LEAST_ODDS)
     top = found.orderBy(F.desc("n1"), "stem").limit(MOST_ENTRIES).collect()
     insults = specific({r.stem: (r.n1, r.odds) for r in top})
     lexicon = Lexicon(insults)
 
     def measure(batches):
         for b in batches:
-            x = np.array([features(lexicon.matches(t)[1]) for t in b.column(0).to_pylist()]).reshape(-1, len(PATTERNS))
-            yield pa.RecordBatch.from_arrays([b.column(1), *(pa.array(c) for c in x.T)], ["label", *PATTERNS])
+            x = np.array([features(lexicon.matches(t)[1]) for t in b.column(0).to_pylist()]).reshape(-1, len(FEATURES))
+            yield pa.RecordBatch.from_arrays([b.column(1), *(pa.array(c) for c in x.T)], ["label", *FEATURES])
 
-    got = rows.select("text", F.col("label").cast("int").alias("label")).mapInArrow(measure, "label int, " + ", ".join(f"{p} double" for p in PATTERNS)).toPandas()
-    weights, bias = logistic(got[list(PATTERNS)].to_numpy(float), got["label"].to_numpy(float), PRIOR)
+    got = rows.mapInArrow(measure, "label int, " + ", ".join(f"{p} double" for p in FEATURES)).toPandas()  # at most 2 * SAMPLE rows
+    weights, bias = logistic(got[list(FEATURES)].to_numpy(float), got["label"].to_numpy(float), PRIOR, PRIOR_WEIGHTS)
     return ToxicityModel(insults, weights, bias)
 
 

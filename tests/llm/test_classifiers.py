@@ -50,15 +50,56 @@ def test_language_held_out(spark):
 def test_grammar_reads_clauses():
     lexicon = toxicity.Lexicon({"idiot": 1.0, "scum*": 1.0})
     m = lambda t: dict(lexicon.matches(t)[0])
-    assert m("what an idiot") == {"plain": 1}
-    assert m("you are such an idiot") == {"targeted": 1}
-    assert m("that is not an idiot. idiot") == {"negated": 1, "plain": 1}
-    assert m("the paper wrote that some are scummy idiot people") == {"reported": 2}
-    assert m("they will hurt you") == {"targeted_threat": 1}
-    assert m("he said so; scumbag") == {"plain": 1}
+    assert m("what an idiot") == {"insult": 1}
+    assert m("you are such an idiot") == m("idiot, that is what you are") == {"targeted": 1}
+    assert m("that is not an idiot. idiot") == m("it isn't the idiot; such an idiot") == {"negated": 1, "insult": 1}
+    assert m("the paper wrote that some are scummy idiot fellows") == {"reported": 1}
+    assert m("an idiot and another idiot") == {"insult": 1}  # a clause counts once
+    assert m("they will hurt you") == m("I will kill you all") == {"threat": 1}
+    assert m("we do kill weeds in gardens") == m("you kill time") == {}
+    assert m("I will not hurt you") == {"negated": 1}
+    assert m("he said so; scumbag") == {"insult": 1}
     assert m("nothing here") == {} and m(None) == {} and m("") == {}
 
 
+def clause_by_rule(kinds):
+    """What the two machines say, from the definition: every match looks at the symbols around it."""
+    out = []
+    for i, k in enumerate(kinds):
+        last = lambda kind: next((i - j for j in range(i - 1, -1, -1) if kinds[j] == kind), 99)  # noqa: B023, E731
+        after = next((j - i for j in range(i + 1, len(kinds)) if kinds[j] == toxicity.TARGET), 99)
+        if k in (toxicity.INSULT, toxicity.THREAT):
+            if last(toxicity.REPORT) <= toxicity.REPORT_REACH:
+                k = "reported"
+            elif last(toxicity.NEGATION) <= toxicity.NEGATION_REACH:
+                k = "negated"
+            elif k == toxicity.INSULT and min(last(toxicity.TARGET), after) <= toxicity.TARGET_REACH:
+                k = "targeted"
+            elif k == toxicity.THREAT and after <= toxicity.OBJECT_REACH:
+                k = "threat"
+        out.append(k)
+    return out
+
+
+def test_grammar_against_its_definition():
+    rng = np.random.default_rng(5)
+    for _ in range(3000):
+        kinds = rng.choice(6, rng.integers(1, 25), p=[0.6, 0.12, 0.1, 0.08, 0.05, 0.05]).tolist()
+        assert toxicity.read(kinds) == clause_by_rule(kinds)
+
+
+def test_patterns_never_outweigh_the_direct_one(spark):
+    """A target never lowers a score; negated and reported clauses never raise one, also as learned from the tables."""
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    model = toxicity.train(toxicity.training_rows(docs, labels, "toxic"))
+    lexicon, s = toxicity.Lexicon(model.insults), {}
+    for t in ("a plain text", "what an idiot", "you are an idiot", "you are not an idiot", "he said you are an idiot", "I will kill you", "we kill weeds"):
+        s[t] = model.score(lexicon.matches(t)[1])
+    assert (model.weights >= 0).all()
+    assert s["you are an idiot"] >= s["what an idiot"] > 0.7 and s["I will kill you"] > s["a plain text"]
+    assert s["you are not an idiot"] == s["he said you are an idiot"] == s["we kill weeds"] == s["a plain text"] < 0.5
+
+
 def test_odd_rows(spark, make_docs):
     docs = make_docs(ODD, extra=["score", "label", "lang_pred"])
     labels = spark.createDataFrame([(1, None, 1), (11, 1, 0), (5, 0, 1), (5, 0, 1), (None, 1, 1), (6, None, None)], "doc_id long, quality int, toxic int")
@@ -78,10 +119,33 @@ def test_odd_rows(spark, make_docs):
 
 
 def test_codewords_differ():
-    for k in (2, 3, 4, 6, 9, 40):
+    for k in range(2, 41):
         code = langid.codewords(k)
         assert len({tuple(r) for r in code}) == k
         assert all(len(set(c)) == 2 for c in code.T)
+        assert len({tuple(c * c[0]) for c in code.T}) == code.shape[1]  # no bit asks what another asks
+
+
+@pytest.mark.parametrize("k", [1, 2, 7, 8, 12])
+def test_languages_of_any_number(make_docs, k):
+    """Each language has its own letters; codewords are decoded as by comparing with every one of them."""
+    rng = np.random.default_rng(k)
+    word = lambda g: "".join(chr(97 + (2 * g + c) % 26) for c in rng.integers(0, 4, 6))
+    docs = make_docs([(i, " ".join(word(i % k) for _ in range(40)), f"l{i % k}") for i in range(20 * k)])
+    model = langid.train(docs)
+    got = langid.identify(docs, model).collect()
+    assert all(r.lang_pred == f"l{r.doc_id % k}" for r in got)
+    if k > 1:
+        for r in docs.limit(20).collect():
+            n = langid.ngram_counts(r.text)
+            margins = [langid.SHARPNESS * float(n @ model.weights[:, b]) / n.sum() for b in range(model.code.shape[1])]
+            loss = [sum(t * np.log1p(np.exp(-c * m)) for t, c, m in zip(model.trust, word, margins)) for word in model.code]
+            assert model.predict(r.text)[0] == model.languages[int(np.argmin(loss))]
+
+
+def test_texts_without_letters():
+    model = langid.LanguageModel(["en"], langid.codewords(1), np.zeros((langid.BUCKETS, 0)), np.ones(0))
+    assert [model.predict(t)[0] for t in ("\u00bd \u00b2 \u2167", "12 _", "\u00aa", "\u0905", "a")] == ["und", "und", "en", "en", "en"]
 
 
 def test_attention_finds_the_bad_passage():

@@ -37,6 +37,55 @@ def test_verbatim_and_reparameterised(spark, make_docs):
     assert got[5, 7].n_matched < got[1, 7].n_matched
 
 
+def test_letters_of_any_length_and_script():
+    """A letter whose lower case has another length changes nothing else; capitals of all scripts are names."""
+    plain, odd = "Über Äpfel reden wir mit Émile gern im Sommer", "Über Äpfel reden wir mit Émile gern im \u0130zmir"
+    assert template(plain)[0][:8].tolist() == template(odd)[0][:8].tolist() and template(plain)[1][:8].tolist() == template(odd)[1][:8].tolist()
+    a, b = template("Мы видели как Анна шла домой"), template("Мы видели как Ольга шла домой")
+    assert a[0].tolist() == b[0].tolist() and a[1].tolist() != b[1].tolist()
+    assert template("und Ökonomen")[0].tolist() == template("und Anna")[0].tolist()
+
+
+def test_items_without_windows_match_verbatim(spark, make_docs):
+    items = [(1, "Paris Lyon Nice"), (2, "3 4 5 6 7 8"), (3, "yes"), (4, "red blue"), (5, "?")]
+    rows = [(1, "they saw paris lyon nice today"), (2, "so 3, 4, 5, 6, 7 and 8 then 3 4 5 6 7 8 it is"), (3, "yes"), (4, "yes it is red blue"), (5, "Red, blue!"), (6, "paris lyon"), (7, "3 4 5 6 7 9")]
+    assert set(pairs(spark, make_docs(rows), items)) == {(1, 1), (2, 2), (3, 3), (5, 4)}
+
+
+def test_an_earlier_chance_hit_binds_nothing(spark, make_docs):
+    other = QUESTION.replace("Anna", "Beth").replace("12", "31").replace("3.5", "4.25").replace("7", "9").split()
+    early = " ".join(other[:16])
+    got = pairs(spark, make_docs([(1, f"{early} and more. {'filler words here ' * 20}. {QUESTION}")]), [(7, QUESTION)])
+    assert got[1, 7].coverage == 1 and got[1, 7].slots_changed == 0
+
+
+def test_very_long_text(spark, make_docs):
+    got = pairs(spark, make_docs([(1, "some filler of words " * 50_000 + QUESTION), (2, "12 kg " * 50_000)]), [(7, QUESTION)])
+    assert set(got) == {(1, 7)}
+
+
+def brute_pairs(rows, items):
+    """Items whose windows of template words occur often enough, looked for one by one."""
+    out = set()
+    for i, t in rows:
+        words, value = (x.tolist() for x in template(t))
+        for j, u in items:
+            w, v = (x.tolist() for x in template(u))
+            n = min(decontam.WINDOW, len(w))
+            at = [k for k in range(len(w) - n + 1) if sum(x == 0 for x in v[k : k + n]) >= min(decontam.LEAST_LITERALS, n - 1)]
+            there = [{"item_at": k, "at": p, "item_values": v[k : k + n], "values": value[p : p + n]} for k in at for p in range(len(words) - n + 1) if words[p : p + n] == w[k : k + n]]
+            if there and decontam.slots_agree(there)[0] >= min(decontam.COVER * len(at), decontam.MANY):
+                out.add((i, j))
+    return out
+
+
+def test_against_brute_force(spark, make_docs, sf):
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    docs = [(r.doc_id, r.text[:4000]) for r in spark.read.parquet(f"{sf}/documents.parquet").limit(120).collect()]
+    docs += [(10_000 + k, " ".join(t.split()[3:])) for k, (_, t) in enumerate(items)]
+    assert set(pairs(spark, make_docs(docs), items)) == brute_pairs(docs, items)
+
+
 def test_slots_must_agree():
     def m(at, item, doc):
         return {"item_at": at, "at": at, "item_values": item, "values": doc}

@@ -4,7 +4,7 @@ import numpy as np
 
 from octaspark.llm import substring
 from octaspark.llm.queries import QUERIES
-from octaspark.llm.substring import SPAN_WORDS, Sentences
+from octaspark.llm.substring import REACH, SPAN_WORDS, Sentences
 from tests.llm.conftest import ODD
 
 
@@ -13,7 +13,7 @@ def sentence(rng, n):
 
 
 def brute_spans(s):
-    """Forward and backward runs by their definition, as tuples of word hashes."""
+    """Forward and backward runs by their definition, and where each sentence starts."""
     bound = [*s.first, len(s.hash)]
     m, out = len(s.first), set()
     for i in range(m):
@@ -28,23 +28,49 @@ def brute_spans(s):
     return out, bound
 
 
+def runs_of(spans):
+    """Maximal runs of covered sentences, each with the longest span at its start and at its end."""
+    covered = {k for a, b in spans for k in range(a, b + 1)}
+    for k in sorted(covered):
+        if k - 1 not in covered:
+            end = k
+            while end + 1 in covered:
+                end += 1
+            yield max(x for x in spans if x[0] == k), max(x for x in spans if x[1] == end)
+
+
+def alike(x, y):
+    n = 0
+    while n < min(len(x), len(y), REACH) and x[n] == y[n]:
+        n += 1
+    return n
+
+
 def brute(rows):
-    """Texts without sentences covered by a span met before, in the order of ids."""
+    """Texts without the words of spans met before, in the order of ids, and of what continues them as where they were met first."""
     first, out = {}, {}
     for i, t in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)):
         if not t:
             out[i] = t
             continue
         s = Sentences(t)
+        w = s.hash.tolist()
         spans, bound = brute_spans(s) if len(s.first) else (set(), [])
-        gone, here = np.zeros(len(s.first), bool), set()
-        for a, b in sorted(spans):
-            words = tuple(s.hash[bound[a] : bound[b + 1]])
-            if words in here or i is not None and first.get(words, i) != i:
-                gone[a : b + 1] = True
-            here.add(words)
-            if i is not None:
-                first.setdefault(words, i)
+        words = {(a, b): tuple(w[bound[a] : bound[b + 1]]) for a, b in spans}
+        here = {}
+        for x in sorted(spans):
+            here.setdefault(words[x], (w, bound[x[0]], bound[x[1] + 1]))
+        gone = np.zeros(len(w), bool)
+        met = {x: first[words[x]] for x in spans if words[x] in first} if i is not None else {}
+        again = {x: here[words[x]] for x in spans if here[words[x]][1] != bound[x[0]]}
+        for known in (met, again):
+            for x, y in runs_of(set(known)):
+                (u, a, _), (v, _, b) = known[x], known[y]
+                start, end = bound[x[0]], bound[y[1] + 1]
+                gone[start - alike(w[:start][::-1], u[:a][::-1]) : end + alike(w[end:], v[b:])] = True
+        if i is not None:
+            for k, v in here.items():
+                first.setdefault(k, v)
         out[i] = s.without(gone) if gone.any() else t
     return out
 
@@ -78,6 +104,35 @@ def test_against_brute_force(make_docs, texts):
     assert {r.doc_id: r.text for r in got.collect()} == brute(rows)
 
 
+def test_short_repeated_sentences_go(make_docs):
+    rng = random.Random(6)
+    three = " ".join(sentence(rng, 7) for _ in range(3))
+    tiny = "Yes indeed. So be it. Fine."
+    rows = [(1, f"{sentence(rng, 9)} {three}"), (2, f"{three} {sentence(rng, 9)}"), (3, f"{tiny} {sentence(rng, 20)}"), (4, f"{sentence(rng, 20)} {tiny}")]
+    got = {r.doc_id: r.text.strip() for r in substring.remove_repeats(make_docs(rows)).collect()}
+    assert got == {1: rows[0][1], 2: rows[1][1][len(three) + 1 :], 3: rows[2][1], 4: rows[3][1]}  # few words repeat by chance
+
+
+def test_hot_spans_can_be_split(spark, make_docs, tmp_path):
+    """Texts cross one exchange, which all joins read; the join by span has a plain shuffle on both sides, as AQE needs to split it."""
+    rng = random.Random(4)
+    hot = " ".join(sentence(rng, 8) for _ in range(4))
+    tail = sentence(rng, 4).lower()  # of the sentence before, which differs in its beginning
+    make_docs([(k, f"{sentence(rng, 5)[:-1]} {tail} {hot} {sentence(rng, 9)}") for k in range(50)]).write.parquet(f"{tmp_path}/docs")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = substring.remove_repeats(spark.read.parquet(f"{tmp_path}/docs"))
+        rows = got.collect()
+        assert sum(r.text.count(hot) for r in rows) == sum(r.text.count(tail) for r in rows) == 1
+        plan = got._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    final = plan[: plan.index("== Initial Plan ==")]
+    assert final.count("docs") == 1 and final.count("ReusedExchange") >= 2
+    by_span = final[final.index("SortMergeJoin [h#") :]
+    assert "Aggregate" not in by_span
+
+
 def test_long_passages_go_everywhere_but_once(make_docs):
     rng = random.Random(8)
     passage = " ".join(sentence(rng, rng.randint(4, 12)) for _ in range(9))
