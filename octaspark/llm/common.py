@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import tempfile
+import threading
 import uuid
 
 import numpy as np
@@ -29,10 +30,27 @@ def shared_folder(spark: SparkSession) -> str:
     return named or sc.getCheckpointDir()
 
 
+_scratch = threading.local()
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """Tables that ``written`` makes inside are deleted at the end: use it around what writes its own result."""
+    before, _scratch.paths = getattr(_scratch, "paths", None), []
+    try:
+        yield
+    finally:
+        paths, _scratch.paths = _scratch.paths, before
+        for path in paths:
+            remove_folder(spark, path)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table below the shared folder: like ``cut_lineage``, but the planner knows its size."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    if getattr(_scratch, "paths", None) is not None:
+        _scratch.paths.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

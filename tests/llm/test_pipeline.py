@@ -28,3 +28,19 @@ def test_pipeline_against_brute_force(spark, sf):
 
 def test_stages():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "near_duplicates", "substring_dedup", "decontamination", "byte_bpe"]
+
+
+def test_odd_rows(spark, make_docs, tmp_path):
+    """Nulls, empty texts, repeated rows and extra columns with clashing names go through all stages; so does an empty table."""
+    from tests.llm.conftest import ODD
+
+    story = "The river ran under a bridge near our old house. We took bread and cheese along that morning. Nobody spoke until the sun was high."
+    rows = [*ODD, (20, story), (21, story), (22, story.upper()), (20, story), (None, None)]
+    make_docs(rows, extra=["key", "_row", "h", "reach"]).write.parquet(f"{tmp_path}/some/documents.parquet")
+    make_docs(rows, extra=["key"]).limit(0).write.parquet(f"{tmp_path}/none/documents.parquet")
+    for name in ("some", "none"):
+        spark.createDataFrame([(1, None), (2, ""), (3, "One sentence. Another one! A third? And a fourth here.")], "item_id long, text string").write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
+    got = sorted((r.doc_id for r in corpus_pipeline.run(spark, f"{tmp_path}/some").collect()), key=str)
+    # No letters: 1 to 4. Copies: 7 of 6, 21 and 22 of 20. Benchmark: 11.
+    assert got == sorted([5, 6, 8, 9, 10, 20, None], key=str)
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
