@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from octaspark.llm import bpe, decontam, langid, minhash, substring
-from octaspark.llm.common import read, shared_folder
+from octaspark.llm.common import read, remove_folder, scratch, shared_folder
 from octaspark.llm.queries import pattern, tokenizer_path
 
 
@@ -59,10 +59,19 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows; what lies between the stages is written to the shared folder."""
+    """The last stage's rows.
+
+    What lies between the stages is written to the shared folder, and deleted when the next
+    stage has read it; tables that a stage makes on its way are deleted when it is written.
+    """
     docs = read(spark, sf_dir, "documents")
     top = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    before = None
     for k, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{top}/{k}-{name}")
-        docs = spark.read.parquet(f"{top}/{k}-{name}")
+        path = f"{top}/{k}-{name}"
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        if before:
+            remove_folder(spark, before)
+        docs, before = spark.read.parquet(path), path
     return docs
