@@ -69,6 +69,49 @@ def bits_per_batch(batched: DataFrame, precision: float = 0.001) -> DataFrame:
     return out.withColumn("total_bits", (F.col("bits_x") + F.col("bits_y") + F.col("bits_z")) * F.col("n"))
 
 
+def bits_total(per_batch: DataFrame) -> DataFrame:
+    """Points, bits, bits per point and megabytes of a whole cloud at its batches' widths."""
+    out = per_batch.agg(F.sum("n").alias("points"), F.sum("total_bits").alias("bits"))
+    return out.withColumns({"bits_per_point": F.round(F.col("bits") / F.col("points"), 6), "megabytes": F.round(F.col("bits") / 8e6, 6)})
+
+
+def pack_batches(batched: DataFrame, precision: float = 0.001) -> DataFrame:
+    """Each point's steps in its batch's box at the batch's bit widths, as one number, and where its bits start in the batch."""
+    bits = bits_per_batch(batched, precision).select("batch_id", "bits_x", "bits_y", "bits_z")
+    low = batch_summary(batched).select("batch_id", *[f"min_{a}" for a in "xyz"])
+    rows = batched.join(bits, "batch_id").join(low, "batch_id")
+    rows = rows.withColumns({f"q{a}": F.floor((F.col(a) - F.col(f"min_{a}")) / F.lit(precision)).cast("long") for a in "xyz"})
+    code = F.expr("shiftleft(qx, bits_y + bits_z) | shiftleft(qy, bits_z) | qz")
+    place = F.col("pid") - F.min("pid").over(Window.partitionBy("batch_id"))
+    return rows.select("batch_id", "pid", code.alias("code"), (place * (F.col("bits_x") + F.col("bits_y") + F.col("bits_z"))).alias("bit_offset"))
+
+
+def packed(points: DataFrame, bits: int) -> DataFrame:
+    """The three steps of ``quantise`` in one number, x lowest."""
+    q = quantise(points, bits)
+    return q.select(*ORDER, F.expr(f"qx | shiftleft(qy, {bits}) | shiftleft(qz, {2 * bits})").alias("code"))
+
+
+def order_within(rows: DataFrame, group: list[str], code: Column) -> DataFrame:
+    """Place of each row in its group's Morton order. Groups are nodes or batches, whose size is bounded."""
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy(*group).orderBy(code, *ORDER)).cast("long") - 1)
+
+
+def residue_permutation(c: Column, prime: int = 2147483647) -> Column:
+    """A permutation of 0 .. prime - 1 by quadratic residues; the prime leaves 3 when divided by 4."""
+    square = (c * c) % prime
+    return F.when(2 * c <= prime, square).otherwise(prime - square)
+
+
+def single_octant(summary: DataFrame) -> DataFrame:
+    """The octant of the unit cube that holds a whole batch's box, or -1 if it lies in several."""
+    half = lambda c: F.least(F.floor(F.col(c) * 2), F.lit(1))
+    fits, octant = F.lit(True), F.lit(0)
+    for a, weight in zip("xyz", (4, 2, 1)):
+        fits, octant = fits & (half(f"min_{a}") == half(f"max_{a}")), octant + half(f"min_{a}") * weight
+    return summary.withColumn("octant", F.when(fits, octant).otherwise(F.lit(-1)).cast("int"))
+
+
 def delta_bits(batched: DataFrame) -> DataFrame:
     """Bits of the differences to the point before, in thousandths, summed by batch; the first
     point differs from 0."""

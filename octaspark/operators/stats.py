@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from octaspark.operators.ordering import ranked
+
 
 def bounding_box(points: DataFrame, *by: str) -> DataFrame:
     """min and max per axis and the edge of the bounding cube, per group if ``by`` is given."""
@@ -73,11 +75,14 @@ def reduction_stats(tree: DataFrame, voxel_counts: DataFrame) -> DataFrame:
 
 
 def median_run(runs: DataFrame, group: str, value: str, run: str) -> DataFrame:
-    """Of each group the row with the upper median of ``value``, its size and distinct runs."""
-    order = Window.partitionBy(group).orderBy(value, run)
-    whole = Window.partitionBy(group)
-    ranked = runs.withColumns({"_rank": F.row_number().over(order), "runs": F.count("*").over(whole)})
-    return ranked.where(F.col("_rank") == F.floor(F.col("runs") / 2) + 1).drop("_rank")
+    """Of each group the row with the upper median of ``value``, and the group's size.
+
+    All rows are ranked together, so a group of any size is spread over range partitions; the median's
+    rank follows from where its group starts, and the join back has one row for each rank.
+    """
+    rows = ranked(runs, group, value, run, name="_rank")
+    groups = rows.groupBy(group).agg(F.min("_rank").alias("_first"), F.count("*").alias("runs"))
+    return rows.join(groups.select((F.col("_first") + F.floor(F.col("runs") / 2)).alias("_rank"), "runs"), "_rank").drop("_rank")
 
 
 def timing_report(rows: DataFrame, label: str, seconds: str) -> DataFrame:
@@ -85,3 +90,9 @@ def timing_report(rows: DataFrame, label: str, seconds: str) -> DataFrame:
     by = rows.groupBy(label).agg(F.sum(seconds).alias("total"), F.min(seconds).alias("least"), F.max(seconds).alias("most"), F.count("*").alias("n"))
     total = rows.agg(F.sum(seconds).alias("_all"))
     return by.crossJoin(F.broadcast(total)).withColumn("percent", F.round(100 * F.try_divide("total", "_all"), 6)).drop("_all")  # one row
+
+
+def distinct_check(rows: DataFrame, group: str, value: str) -> DataFrame:
+    """Distinct values by group, and whether there is just one."""
+    out = rows.groupBy(group).agg(F.count_distinct(value).alias("distinct"), F.count("*").alias("n"))
+    return out.withColumn("single", F.col("distinct") == 1)

@@ -2,44 +2,46 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from octaspark.staging import written
 
-def poisson_disk(points: DataFrame, key: str, spacing: float, tile: float) -> DataFrame:
-    """Greedy blue-noise thinning in the order of ``key``, tile by tile.
 
-    Only the x, y plane counts. Tiles are independent, so points of different tiles may
-    be closer than ``spacing``; within a tile every rejected point has a kept one nearby.
-    Kept points of a tile are held in cells of ``spacing``, so a tile costs linear time and
-    its memory is bounded by the points that fit it, not by those it reads.
+def poisson_disk(points: DataFrame, key: str, spacing: float) -> DataFrame:
+    """``key``, x, y and ``accepted`` of all points: greedy blue-noise thinning of the x, y plane in the order of ``key``.
+
+    The result is that of taking points one by one and accepting those with no accepted one nearer
+    than ``spacing``. It is found in rounds: of the points that are still open, those that
+    come first among all open ones within the spacing are accepted, and the others near them rejected.
+    Cells are so small that a cell's points all exclude each other, so only each cell's first point can be
+    accepted; an open point meets at most those of the cells around it, however crowded they are.
+    Keys are unique. Rounds follow the longest chain of points that wait for each other, which is short unless
+    the key runs along the plane.
     """
-    if tile < spacing:
-        raise ValueError("a tile must not be smaller than the spacing")
-    cells = points.select(key, "x", "y", F.floor(F.col("x") / tile).alias("tx"), F.floor(F.col("y") / tile).alias("ty"))
-
-    def thin(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tile_of, kept = None, {}
-        for part in parts:
-            keep = []
-            for row in part.itertuples(index=False):
-                here = (row.tx, row.ty)
-                if here != tile_of:
-                    tile_of, kept = here, {}
-                cx, cy = int(row.x // spacing), int(row.y // spacing)
-                near = (p for i in (-1, 0, 1) for j in (-1, 0, 1) for p in kept.get((cx + i, cy + j), ()))
-                ok = all((p[0] - row.x) ** 2 + (p[1] - row.y) ** 2 >= spacing**2 for p in near)
-                if ok:
-                    kept.setdefault((cx, cy), []).append((row.x, row.y))
-                keep.append(ok)
-            yield part[np.array(keep, bool)]
-
-    dealt = cells.repartition("tx", "ty").sortWithinPartitions("tx", "ty", key)
-    return dealt.mapInPandas(thin, dealt.schema)
+    size, square = spacing * 0.7071, spacing * spacing
+    todo = points.select(F.col(key).alias("k"), "x", "y", F.floor(F.col("x") / size).alias("cx"), F.floor(F.col("y") / size).alias("cy"))
+    todo = written(todo, "open")
+    everything, accepted = todo, []
+    around = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(-2, 3) for j in range(-2, 3)])).alias("o")
+    while not todo.isEmpty():
+        first = todo.groupBy("cx", "cy").agg(F.min(F.struct("k", "x", "y")).alias("p")).select("cx", "cy", F.col("p.k").alias("pk"), F.col("p.x").alias("px"), F.col("p.y").alias("py"))
+        reach = todo.select("k", "x", "y", "cx", "cy", around).select("k", "x", "y", (F.col("cx") + F.col("o.i")).alias("cx"), (F.col("cy") + F.col("o.j")).alias("cy"))
+        dx, dy = F.col("px") - F.col("x"), F.col("py") - F.col("y")
+        near = written(reach.join(first, ["cx", "cy"]).where((F.col("k") != F.col("pk")) & (dx * dx + dy * dy < square)).select("k", "pk"), "near")
+        new = written(first.select("pk").join(near.where("k < pk").select("pk").distinct(), "pk", "left_anti"), "accepted")
+        gone = near.join(new, "pk").select("k").unionByName(new.select(F.col("pk").alias("k")))
+        todo = written(todo.join(gone, "k", "left_anti").select(todo.columns), "open")
+        accepted.append(new)
+    if not accepted:
+        return everything.select(F.col("k").alias(key), "x", "y", F.lit(False).alias("accepted"))
+    kept = accepted[0]
+    for more in accepted[1:]:
+        kept = kept.unionByName(more)
+    out = everything.join(kept.select(F.col("pk").alias("k"), F.lit(True).alias("accepted")), "k", "left")
+    return out.select(F.col("k").alias(key), "x", "y", F.coalesce("accepted", F.lit(False)).alias("accepted"))
 
 
 def height_field(uv: DataFrame) -> DataFrame:

@@ -133,14 +133,31 @@ def edl_response(depths: DataFrame, camera: Camera) -> DataFrame:
 
 
 def dilate(depths: DataFrame, radius: int, weight: float, camera: Camera) -> DataFrame:
-    """Separable sliding minimum of depth plus a quadratic penalty for distance; fills holes."""
+    """Sliding minimum of depth, along rows and then columns, within a circle of ``radius``; fills holes.
 
-    def pass_(df: DataFrame, axis: str, size: int) -> DataFrame:
-        d = F.explode(F.sequence(F.lit(-radius), F.lit(radius))).alias("d")
-        rows = df.select("px", "py", "depth", d).withColumns({axis: F.col(axis) + F.col("d"), "depth": F.col("depth") + F.col("d") * F.col("d") * F.lit(weight)})
-        return rows.where((F.col(axis) >= 0) & (F.col(axis) < size)).groupBy("px", "py").agg(F.min("depth").alias("depth"))
+    Depth grows by ``weight`` times the square of the distance, as a share of the radius, on either axis.
+    """
 
-    return pass_(pass_(depths.select("px", "py", "depth"), "px", camera.width), "py", camera.height)
+    def pass_(df: DataFrame, axis: str, size: int, keep: str, also: str | None = None) -> DataFrame:
+        d = F.explode(F.sequence(F.lit(-radius), F.lit(radius))).alias("d")
+        u = F.col("d") / F.lit(float(radius))
+        rows = df.select("*", d).withColumns({axis: F.col(axis) + F.col("d"), "depth": F.col("depth") + F.col("depth") * u * u * F.lit(weight), keep: F.abs("d")})
+        rows = rows.where((F.col(axis) >= 0) & (F.col(axis) < size))
+        if also:
+            rows = rows.where(F.col(keep) * F.col(keep) + F.col(also) * F.col(also) <= F.lit(1.05 * radius * radius))
+        return rows.groupBy("px", "py").agg(F.min(F.struct("depth", keep)).alias("s")).select("px", "py", "s.*")
+
+    across = pass_(depths.select("px", "py", "depth"), "px", camera.width, "dx")
+    return pass_(across, "py", camera.height, "dy", "dx").select("px", "py", "depth")
+
+
+def plane_distance(points: DataFrame, eye: Sequence[float], plane: Sequence[float]) -> DataFrame:
+    """Distance along the ray from the eye through each point to a plane, in multiples of the way to the point; null if they never meet."""
+    way = {a: F.col(a) - F.lit(float(e)) for a, e in zip("xyz", eye)}
+    slope = sum((F.lit(float(n)) * way[a] for a, n in zip("xyz", plane)), F.lit(0.0))
+    start = sum((float(n) * float(e) for n, e in zip(plane, eye)), 0.0) + float(plane[3])
+    t = F.when(slope != 0, F.lit(-start) / slope)
+    return points.withColumn("t", F.when(t >= 0, t))
 
 
 def in_bounds(points: DataFrame, low: Sequence[float], high: Sequence[float]) -> DataFrame:

@@ -1,8 +1,8 @@
 """Voxel samples of inner nodes, level by level, under selectable strategies.
 
 A node at level L samples its children on its own grid: leaf children give their
-points, inner children their voxels. Only the loop over levels runs on the driver; each
-level is one aggregation over a table that shrinks geometrically.
+points, inner children their voxels. All levels are one plan: each is one aggregation over the
+shuffle of the level below, which the result reads again, and the tables shrink geometrically.
 """
 
 from __future__ import annotations
@@ -14,12 +14,14 @@ from pyspark.sql import functions as F
 
 from octaspark.operators.octree import TreeSpec
 from octaspark.sources.tables import ORDER
-from octaspark.staging import cut_lineage
+from octaspark.staging import written
 
 STRATEGIES = ("average", "first", "random", "central", "neighborhood")
 CELL = ["vx", "vy", "vz"]
 #: Offsets of a cell's neighbourhood.
 TAPS = [(dx, dy, dz) for dx in (-1, 0, 1) for dy in (-1, 0, 1) for dz in (-1, 0, 1)]
+#: On each axis a sample reaches its own cell (0) and that on its nearer side (1).
+REACHED = [(x, y, z) for x in (0, 1) for y in (0, 1) for z in (0, 1)]
 
 
 def priority() -> Column:
@@ -32,9 +34,14 @@ PRIORITY_SQL = "((((k1 % 65521 * 40503 + k2 % 65521 * 30011 + k3 % 65521 * 20021
 
 
 def occupancy(points: DataFrame, spec: TreeSpec) -> DataFrame:
-    """Voxels per inner node in closed form: distinct cells of its grid below it."""
-    rows = points.where("leaf_level > 0").select("ix", "iy", "iz", F.explode(F.sequence(F.lit(0), F.col("leaf_level") - 1)).alias("level"))
-    cells = rows.select("level", *[F.expr(f"shiftright(i{a}, {spec.max_depth} - level)").alias(f"v{a}") for a in "xyz"]).distinct()
+    """Voxels per inner node in closed form: distinct cells of its grid below it.
+
+    Points meet in the cells of their leaf's parent first; only those cells are halved level by level.
+    """
+    at = lambda level: [F.expr(f"shiftright(i{a}, {spec.max_depth} - ({level}))").alias(f"v{a}") for a in "xyz"]
+    own = points.where("leaf_level > 0").select((F.col("leaf_level") - 1).alias("own"), *at("leaf_level - 1")).distinct()
+    rows = own.select("own", *CELL, F.explode(F.sequence(F.lit(0), F.col("own"))).alias("level"))
+    cells = rows.select("level", *[F.expr(f"shiftright({c}, own - level)").alias(c) for c in CELL]).distinct()
     node = cells.select("level", *[F.shiftright(f"v{a}", spec.grid_bits).alias(f"n{a}") for a in "xyz"])
     return node.groupBy("level", "nx", "ny", "nz").agg(F.count("*").alias("num_voxels"))
 
@@ -50,23 +57,43 @@ def _average(samples: DataFrame, spec: TreeSpec, level: int) -> DataFrame:
     return samples.groupBy(*CELL).agg(*mean, F.count("*").alias("samples"))
 
 
-def _neighborhood(samples: DataFrame, spec: TreeSpec, level: int) -> DataFrame:
+def linear_weight(d2: Column) -> Column:
+    """1 to 100 by distance."""
+    return F.floor(F.least(F.greatest(100 * (1 - F.sqrt(d2)), F.lit(1.0)), F.lit(100.0)))
+
+
+def exponential_weight(d2: Column) -> Column:
+    """exp(-3.5 d2), in ten-thousandths."""
+    return F.floor(10_000 * F.exp(-3.5 * d2))
+
+
+def _neighborhood(samples: DataFrame, spec: TreeSpec, level: int, weight=linear_weight) -> DataFrame:
     """Weighted by distance over the 27 cells around, of which only occupied ones count.
 
-    Cells beyond the node's border are clamped to it. Taps without weight go before the
-    shuffle; a cell is occupied if some sample lies in it, which its own taps tell, so the
-    filter needs no second pass over the samples.
+    Of the 27, a sample reaches its own and the nearer one on each axis: 8 taps. Cells beyond
+    the node's border are clamped to it, so their tap falls on the sample's own cell once more; such taps
+    are counted as a factor. Taps without weight go before the shuffle; a cell is occupied if some
+    sample lies in it, which its own taps tell, so the filter needs no second pass over the samples.
     """
     mask = (1 << spec.grid_bits) - 1
-    taps = F.explode(F.array(*[F.struct(*[F.lit(d).alias(a) for a, d in zip("xyz", t)]) for t in TAPS])).alias("t")
-    rows = samples.select(*CELL, "gx", "gy", "gz", "r", "g", "b", taps)
-    low = {a: F.col(f"v{a}").bitwiseAND(F.lit(~mask)) for a in "xyz"}
-    target = {a: F.least(F.greatest(F.col(f"v{a}") + F.col(f"t.{a}"), low[a]), low[a] + mask) for a in "xyz"}
-    rows = rows.withColumns({f"c{a}": target[a] for a in "xyz"})
+    out_of = lambda c, a: (c < F.col(f"low_{a}")) | (c > F.col(f"low_{a}") + mask)
+    rows = samples.withColumns(
+        {f"low_{a}": F.col(f"v{a}").bitwiseAND(F.lit(~mask)) for a in "xyz"} | {f"side_{a}": F.when(F.col(f"g{a}") - F.col(f"v{a}") < 0.5, F.lit(-1)).otherwise(F.lit(1)) for a in "xyz"}
+    )
+    rows = rows.withColumns(
+        {f"out_{a}": out_of(F.col(f"v{a}") + F.col(f"side_{a}"), a) for a in "xyz"}
+        | {f"far_{a}": out_of(F.col(f"v{a}") - F.col(f"side_{a}"), a) for a in "xyz"}
+    )
+    taps = F.explode(F.array(*[F.struct(*[F.lit(d).alias(a) for a, d in zip("xyz", t)]) for t in REACHED])).alias("t")
+    rows = rows.select("*", taps).where(" AND ".join(f"NOT (t.{a} = 1 AND out_{a})" for a in "xyz"))
+    rows = rows.withColumns({f"c{a}": F.col(f"v{a}") + F.col(f"t.{a}") * F.col(f"side_{a}") for a in "xyz"})
     square = sum(((F.col(f"g{a}") - F.col(f"c{a}") - 0.5) * (F.col(f"g{a}") - F.col(f"c{a}") - 0.5) for a in "xyz"), F.lit(0.0))
+    times = F.lit(1)
+    for a in "xyz":
+        times = times * F.when(F.col(f"t.{a}") == 0, 1 + F.col(f"out_{a}").cast("int") + F.col(f"far_{a}").cast("int")).otherwise(F.lit(1))
     own = (F.col("t.x") == 0) & (F.col("t.y") == 0) & (F.col("t.z") == 0)
-    rows = rows.select("cx", "cy", "cz", "r", "g", "b", square.alias("d2"), own.alias("own")).where("d2 < 1")
-    rows = rows.withColumn("w", F.floor(F.least(F.greatest(100 * (1 - F.sqrt("d2")), F.lit(1.0)), F.lit(100.0))))
+    rows = rows.select("cx", "cy", "cz", "r", "g", "b", square.alias("d2"), own.alias("own"), times.alias("times")).where("d2 < 1")
+    rows = rows.withColumn("w", weight(F.col("d2")) * F.col("times"))
     sums = [F.floor(F.sum(F.col("w") * F.col(c)) / F.sum("w")).cast("int").alias(c) for c in "rgb"]
     out = rows.groupBy("cx", "cy", "cz").agg(*sums, F.count_if("own").alias("samples")).where("samples > 0")
     return out.select(*[F.col(f"c{a}").alias(f"v{a}") for a in "xyz"], "r", "g", "b", "samples")
@@ -92,16 +119,18 @@ _CARRY = {"average": [], "first": list(ORDER), "random": ["priority", *ORDER], "
 def voxels(points: DataFrame, spec: TreeSpec, strategy: str = "average") -> DataFrame:
     """level, vx, vy, vz (cell on the level's whole grid), r, g, b and samples of all voxels.
 
-    ``points`` come from ``octree.with_leaf``. Points and each level's voxels are written to
-    the shared folder once, so no level is computed again for the next ones.
+    ``points`` come from ``octree.with_leaf``. They are written to the shared folder once, in
+    folders by leaf level, so that each level reads its own; levels below which no leaf lies are left out.
     """
     carry, positions = _CARRY[strategy], strategy in ("central", "neighborhood")
     if strategy == "random":
         points = points.withColumn("priority", priority())
-    points = cut_lineage(points)
+    points = points.select("ix", "iy", "iz", *("xyz" if positions else ()), "r", "g", "b", *carry, "leaf_level")
+    points = written(points, "points", "leaf_level")
+    deepest = points.agg(F.max("leaf_level")).first()[0] or 0  # one number, from the folders' names
     below: DataFrame | None = None
     done: list[DataFrame] = []
-    for level in range(spec.max_depth - 1, -1, -1):
+    for level in range(max(deepest, 1) - 1, -1, -1):
         shift = spec.max_depth - level
         own = points.where(F.col("leaf_level") == level + 1)
         columns = [F.shiftright(f"i{a}", shift).alias(f"v{a}") for a in "xyz"] + [F.col(c) for c in ("r", "g", "b", *carry)]
@@ -113,7 +142,7 @@ def voxels(points: DataFrame, spec: TreeSpec, strategy: str = "average") -> Data
             if positions:
                 columns += [((F.col(f"v{a}") + 0.5) * 0.5).alias(f"g{a}") for a in "xyz"]
             samples = samples.unionByName(below.select(*columns))
-        below = cut_lineage(_RUN[strategy](samples, spec, level))
+        below = _RUN[strategy](samples, spec, level)
         done.append(below.select(F.lit(level).alias("level"), *CELL, "r", "g", "b", "samples"))
     return reduce(DataFrame.unionByName, done)
 
@@ -122,16 +151,25 @@ def voxels(points: DataFrame, spec: TreeSpec, strategy: str = "average") -> Data
 
 
 def cloud_voxels(points: DataFrame, bits: int, method: str) -> DataFrame:
-    """first, average or interpolated colour per cell of a 2**bits grid."""
+    """first, average, interpolated or smooth (exponentially weighted) colour per cell of a 2**bits grid."""
     n = float(1 << bits)
     base = points.select(*[F.least(F.floor(F.col(a) * n), F.lit((1 << bits) - 1)).cast("long").alias(f"v{a}") for a in "xyz"], *[(F.col(a) * n).alias(f"g{a}") for a in "xyz"], "r", "g", "b", *ORDER)
     if method == "first":
         return _first(base, None, 0).select(*CELL, "r", "g", "b", "samples")
     if method == "average":
         return _average(base, None, 0)
-    return _neighborhood(base, TreeSpec(grid_bits=bits), 0)
+    return _neighborhood(base, TreeSpec(grid_bits=bits), 0, exponential_weight if method == "smooth" else linear_weight)
 
 
 def supported_voxels(points: DataFrame, bits: int, least: int) -> DataFrame:
     """Average colour of cells that hold more than ``least`` points."""
     return cloud_voxels(points, bits, "average").where(F.col("samples") > least)
+
+
+def vertex_voxels(vertices: DataFrame, bits: int) -> DataFrame:
+    """Cells of a 2**bits grid that hold vertices of the unit cube, with a mask of their filled octants."""
+    n = 2 << bits
+    fine = vertices.select(*[F.least(F.greatest(F.floor(F.col(a) * float(n)), F.lit(0)), F.lit(n - 1)).cast("long").alias(f"u{a}") for a in "xyz"])
+    bit = F.expr("shiftleft(1, cast(((ux & 1) << 2) | ((uy & 1) << 1) | (uz & 1) AS int))")
+    cells = fine.groupBy(*[F.shiftright(f"u{a}", 1).alias(f"v{a}") for a in "xyz"])
+    return cells.agg(F.bit_or(bit).cast("int").alias("mask"), F.count("*").alias("n"))

@@ -9,6 +9,8 @@ from octaspark.operators.voxelize import PRIORITY_SQL, TAPS
 from octaspark.sources.tables import ORDER, PC_SQL, PCS_SQL
 
 ORD = ", ".join(ORDER)
+LINEAR = "floor(least(greatest(100 * (1 - sqrt(d2)), CAST(1 AS DOUBLE)), CAST(100 AS DOUBLE)))"
+EXPONENTIAL = "floor(10000 * exp(-3.5 * d2))"
 
 
 def num(v: float) -> str:
@@ -67,13 +69,13 @@ def occupied(s: TreeSpec = SMALL) -> str:
 ok AS (SELECT level, {morton_sql('nx', 'ny', 'nz', s.max_depth)} AS key, num_voxels FROM oc)"""
 
 
-def _weighted(source: str, mask: int) -> str:
+def _weighted(source: str, mask: int, weight: str = LINEAR) -> str:
     """Rows of cx, cy, cz, r, g, b, w, own from samples with v*, g*."""
     taps = ", ".join(str(t) for t in TAPS)
     low = {a: f"(v{a} - (v{a} & {mask}))" for a in "xyz"}
     c = ", ".join(f"least(greatest(v{a} + d{a}, {low[a]}), {low[a]} + {mask}) AS c{a}" for a in "xyz")
     square = " + ".join(["CAST(0 AS DOUBLE)"] + [f"(g{a} - c{a} - {num(0.5)}) * (g{a} - c{a} - {num(0.5)})" for a in "xyz"])
-    return f"""SELECT cx, cy, cz, r, g, b, own, floor(least(greatest(100 * (1 - sqrt(d2)), CAST(1 AS DOUBLE)), CAST(100 AS DOUBLE))) AS w FROM (SELECT *, {square} AS d2 FROM
+    return f"""SELECT cx, cy, cz, r, g, b, own, {weight} AS w FROM (SELECT *, {square} AS d2 FROM
   (SELECT *, {c}, dx = 0 AND dy = 0 AND dz = 0 AS own FROM {source}, (VALUES {taps}) t(dx, dy, dz))) WHERE d2 < 1"""
 
 
@@ -93,6 +95,8 @@ def cells_by(strategy: str, source: str, mask: int = 31) -> str:
         return f"SELECT vx, vy, vz, {mean}, count(*) AS samples FROM {source} GROUP BY 1, 2, 3"
     if strategy == "neighborhood":
         return _resolve_cells(_weighted(source, mask))
+    if strategy == "smooth":
+        return _resolve_cells(_weighted(source, mask, EXPONENTIAL))
     if strategy == "central":
         square = " + ".join(["CAST(0 AS DOUBLE)"] + [f"(g{a} - v{a} - {num(0.5)}) * (g{a} - v{a} - {num(0.5)})" for a in "xyz"])
         return _picked(f"(SELECT *, {square} AS d2 FROM {source})", f"d2, {ORD}", ORD)
@@ -120,7 +124,7 @@ def voxel_ctes(strategy: str, s: TreeSpec = SMALL) -> str:
 
 
 def cloud(method: str, bits: int) -> str:
-    strategy = {"first": "first", "average": "average", "interpolated": "neighborhood"}[method]
+    strategy = {"interpolated": "neighborhood"}.get(method, method)
     n = 1 << bits
     rows = f"(SELECT *, {', '.join(f'{cell(a, bits)} AS v{a}, {a} * {num(n)} AS g{a}' for a in 'xyz')} FROM pc)"
     return f"WITH {PC_SQL} SELECT vx, vy, vz, r, g, b, samples FROM ({cells_by(strategy, rows, n - 1)})"

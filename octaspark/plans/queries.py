@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,9 +14,10 @@ from octaspark.operators.octree import SMALL
 from octaspark.plans import oracle
 from octaspark.plans.build import LodTree
 from octaspark.plans.oracle import morton_sql, num
-from octaspark.sources import hierarchy, las
+from octaspark.sources import hierarchy, las, sinks
 from octaspark.sources.tables import ORDER, PC_SQL, bounds, embedding_points, event_points, lineitem_points, read
-from octaspark.streaming.incremental import replay_events
+from octaspark.staging import shared_folder
+from octaspark.streaming.incremental import replay, replay_events
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -197,10 +199,36 @@ def _cloud(method: str):
     return query(oracle.cloud(method, CLOUD_BITS))(run)
 
 
-for _s in ("first", "average", "interpolated"):
+for _s in ("first", "average", "interpolated", "smooth"):
     _cloud(_s)
 
 
+@query(oracle.cloud("average", CLOUD_BITS + 2))
+def sparse_grid_level(spark, d):
+    """The grid of a deeper level: every level doubles the cells along an axis."""
+    return voxelize.cloud_voxels(uniform(spark, d), CLOUD_BITS + 2, "average")
+
+
+@query(f"{TREE}, {oracle.voxel_ctes('average')} SELECT CAST(leaf_level AS INT) AS level, x, y, z, r, g, b, false AS is_voxel FROM lv UNION ALL SELECT level, (vx + {num(0.5)}) / (32 * pow(2, level)) AS x, (vy + {num(0.5)}) / (32 * pow(2, level)) AS y, (vz + {num(0.5)}) / (32 * pow(2, level)) AS z, r, g, b, true FROM vo")
+def export_samples(spark, d):
+    """Points of leaves and voxels of inner nodes, at their cells' centres, as one table of samples."""
+    t = tree_of(spark, d)
+    points = t.points.select(F.col("leaf_level").alias("level"), *"xyzrgb", F.lit(False).alias("is_voxel"))
+    cells = F.lit(float(1 << SMALL.grid_bits)) * F.pow(F.lit(2.0), "level")
+    voxels = t.voxels("average").select("level", *[((F.col(f"v{a}") + 0.5) / cells).alias(a) for a in "xyz"], "r", "g", "b", F.lit(True).alias("is_voxel"))
+    return points.unionByName(voxels)
+
+
+@query(
+    f"""SELECT vx, vy, vz, CAST(bit_or(1 << CAST(((ux & 1) << 2) | ((uy & 1) << 1) | (uz & 1) AS INT)) AS INT) AS mask, count(*) AS n FROM
+(SELECT *, ux >> 1 AS vx, uy >> 1 AS vy, uz >> 1 AS vz FROM (SELECT {', '.join(f"CAST(least(greatest(floor((CAST(embedding[{k + 1}] AS DOUBLE) + 1) * {num(0.5)} * {num(32)}), 0), 31) AS BIGINT) AS u{a}" for k, a in enumerate("xyz"))} FROM embeddings)) GROUP BY 1, 2, 3"""
+)
+def vertex_voxels(spark, d):
+    """Voxels of vertices in the cube from -1 to 1, with the octants that are filled."""
+    unit = embedding_points(spark, d).select(*[((F.col(a) + 1) * 0.5).alias(a) for a in "xyz"])
+    return voxelize.vertex_voxels(unit, 4)
+
+
 @query(f"SELECT * FROM ({oracle.cloud('average', 4)}) WHERE samples > 5")
 def sparse_voxels_supported(spark, d):
     return voxelize.supported_voxels(uniform(spark, d), 4, 5)
@@ -294,14 +322,27 @@ def edl_response(spark, d):
     return view.edl_response(view.depth_map(_frags(spark, d)), CAMERA)
 
 
-def _dilated(source: str, axis: str, size: int) -> str:
-    return f"""(SELECT px, py, min(depth) AS depth FROM (SELECT {'px + d AS px, py' if axis == 'px' else 'px, py + d AS py'}, depth + d * d * {num(0.001)} AS depth
-FROM {source}, (SELECT CAST(range - 10 AS INT) AS d FROM range(21))) WHERE {axis} >= 0 AND {axis} < {size} GROUP BY 1, 2)"""
+_TAPS = f"(SELECT CAST(range - 10 AS INT) AS d, CAST(range - 10 AS INT) / {num(10)} AS u FROM range(21))"
 
 
-@query(f"{_FRAGS}, dm AS (SELECT px, py, min(depth) AS depth FROM fr GROUP BY 1, 2), a AS {_dilated('dm', 'px', CAMERA.width)}, c AS {_dilated('a', 'py', CAMERA.height)} SELECT * FROM c")
+@query(
+    f"""{_FRAGS}, dm AS (SELECT px, py, min(depth) AS depth FROM fr GROUP BY 1, 2),
+ax AS (SELECT px, py, depth, dx FROM (SELECT *, row_number() OVER (PARTITION BY px, py ORDER BY depth, dx) AS rn FROM (SELECT px + d AS px, py, depth + depth * u * u * {num(0.1)} AS depth, abs(d) AS dx FROM dm, {_TAPS}) WHERE px >= 0 AND px < {CAMERA.width}) WHERE rn = 1)
+SELECT px, py, min(depth) AS depth FROM (SELECT px, py + d AS py, depth + depth * u * u * {num(0.1)} AS depth, dx, d FROM ax, {_TAPS}) WHERE py >= 0 AND py < {CAMERA.height} AND dx * dx + d * d <= {num(105)} GROUP BY 1, 2"""
+)
 def depth_dilate(spark, d):
-    return view.dilate(view.depth_map(_frags(spark, d)), 10, 0.001, CAMERA)
+    return view.dilate(view.depth_map(_frags(spark, d)), 10, 0.1, CAMERA)
+
+
+_PLANE = (0.3, -0.4, 0.8, -0.25)
+_WAY = {a: f"({a} - {num(e)})" for a, e in zip("xyz", (1.6, -1.2, 1.1))}
+_SLOPE = " + ".join(["CAST(0 AS DOUBLE)"] + [f"{num(n)} * {_WAY[a]}" for a, n in zip("xyz", _PLANE)])
+_START = sum((n * e for n, e in zip(_PLANE, (1.6, -1.2, 1.1))), 0.0) + _PLANE[3]
+
+
+@query(f"{PC} SELECT {ORD}, CASE WHEN t >= 0 THEN t END AS t FROM (SELECT *, CASE WHEN s <> 0 THEN {num(-_START)} / s END AS t FROM (SELECT *, {_SLOPE} AS s FROM pc))")
+def plane_distance(spark, d):
+    return view.plane_distance(uniform(spark, d), (1.6, -1.2, 1.1), _PLANE).select(*ORDER, "t")
 
 
 # Layout
@@ -393,6 +434,85 @@ def bits_per_batch(spark, d):
     return layout.bits_per_batch(layout.with_batches(uniform(spark, d), BATCH))
 
 
+@query(f"{_BATCHED}, {_SUMMARY}, bb2 AS (SELECT *, (bits_x + bits_y + bits_z) * n AS total_bits FROM (SELECT batch_id, n, {_WIDTHS} FROM bs)) SELECT CAST(sum(n) AS BIGINT) AS points, CAST(sum(total_bits) AS BIGINT) AS bits, round(sum(total_bits) / CAST(sum(n) AS DOUBLE), 6) AS bits_per_point, round(sum(total_bits) / {num(8e6)}, 6) AS megabytes FROM bb2")
+def bits_total(spark, d):
+    return layout.bits_total(bits_per_batch(spark, d))
+
+
+_STEPS = ", ".join(f"CAST(floor((bt.{a} - bs.min_{a}) / {num(0.001)}) AS BIGINT) AS q{a}" for a in "xyz")
+
+
+@query(
+    f"""{_BATCHED}, {_SUMMARY}, wd AS (SELECT batch_id, {_WIDTHS} FROM bs),
+pk AS (SELECT bt.batch_id, pid, {_STEPS}, bits_x, bits_y, bits_z, min(pid) OVER (PARTITION BY bt.batch_id) AS first FROM bt JOIN bs ON bt.batch_id = bs.batch_id JOIN wd ON bt.batch_id = wd.batch_id)
+SELECT batch_id, pid, (qx << (bits_y + bits_z)) | (qy << bits_z) | qz AS code, (pid - first) * (bits_x + bits_y + bits_z) AS bit_offset FROM pk"""
+)
+def pack_variable_bits(spark, d):
+    return layout.pack_batches(layout.with_batches(uniform(spark, d), BATCH))
+
+
+def _packed(bits: int):
+    def run(spark, d):
+        return layout.packed(uniform(spark, d), bits)
+
+    run.__name__ = f"pack_{bits}bit"
+    return query(f"{PC} SELECT {ORD}, qx | (qy << {bits}) | (qz << {2 * bits}) AS code FROM (SELECT *, {', '.join(f'{oracle.cell(a, bits)} AS q{a}' for a in 'xyz')} FROM pc)")(run)
+
+
+for _b in (16, 20):
+    _packed(_b)
+
+_OCTANT = " + ".join(f"CASE WHEN floor(min_{a} * 2) >= 1 THEN {w} ELSE 0 END" for a, w in zip("xyz", (4, 2, 1)))
+_ALONE = " AND ".join(f"least(floor(min_{a} * 2), 1) = least(floor(max_{a} * 2), 1)" for a in "xyz")
+
+
+@query(f"WITH {PC_SQL}, mb AS (SELECT CAST(floor(rank / {BATCH}) AS BIGINT) AS batch_id, x, y, z FROM (SELECT *, row_number() OVER (ORDER BY x, {ORD}) - 1 AS rank FROM pc)), ms AS (SELECT batch_id, {MM}, count(*) AS n FROM mb GROUP BY 1) SELECT batch_id, n, CAST(CASE WHEN {_ALONE} THEN {_OCTANT} ELSE -1 END AS INT) AS octant FROM ms")
+def batch_octants(spark, d):
+    """Batches along x, with the octant that holds all of a batch."""
+    rows = ordering.ranked(uniform(spark, d), "x", *ORDER).withColumn("batch_id", F.floor(F.col("rank") / BATCH).cast("long"))
+    return layout.single_octant(layout.batch_summary(rows)).select("batch_id", "n", "octant")
+
+
+@query(f"{PC} SELECT CAST((CASE WHEN x > {num(0.5)} THEN 4 ELSE 0 END) + (CASE WHEN y > {num(0.5)} THEN 2 ELSE 0 END) + (CASE WHEN z > {num(0.5)} THEN 1 ELSE 0 END) AS INT) AS octant, count(*) AS n FROM pc GROUP BY 1")
+def strict_octants(spark, d):
+    """Points by octant where the middle belongs to the lower one."""
+    octant = sum((F.when(F.col(a) > 0.5, F.lit(w)).otherwise(F.lit(0)) for a, w in zip("xyz", (4, 2, 1))), F.lit(0)).cast("int")
+    return uniform(spark, d).groupBy(octant.alias("octant")).agg(F.count("*").alias("n"))
+
+
+@query(f"{TREE} SELECT {ORD}, leaf_level, leaf_key, row_number() OVER (PARTITION BY leaf_level, leaf_key ORDER BY {morton_sql(*[f'((i{a} >> greatest(6 - leaf_level, 0)) & 127)' for a in 'xyz'], 7)}, {ORD}) - 1 AS place FROM lv")
+def node_morton_order(spark, d):
+    """Places of points in their leaf's Morton order, seven bits to an axis as far as the grid goes."""
+    code = geometry.morton(*[F.expr(f"shiftright(i{a}, greatest({SMALL.fine_bits - 7} - leaf_level, 0)) & 127") for a in "xyz"])
+    return layout.order_within(tree_of(spark, d).points, ["leaf_level", "leaf_key"], code).select(*ORDER, "leaf_level", "leaf_key", "place")
+
+
+@query(f"{_BATCHED} SELECT {ORD}, batch_id, row_number() OVER (PARTITION BY batch_id ORDER BY {morton_sql(*[oracle.cell(a, 21) for a in 'xyz'], 21)}, {ORD}) - 1 AS place FROM bt")
+def batch_morton_order(spark, d):
+    rows = layout.with_morton(layout.with_batches(uniform(spark, d), BATCH))
+    return layout.order_within(rows, ["batch_id"], F.col("code")).select(*ORDER, "batch_id", "place")
+
+
+_D2 = " + ".join(["CAST(0 AS DOUBLE)"] + [f"({a} - {num(0.5)}) * ({a} - {num(0.5)})" for a in "xyz"])
+
+
+@query(f"{PC} SELECT {ORD}, d2, row_number() OVER (ORDER BY d2, {ORD}) - 1 AS rank FROM (SELECT *, {_D2} AS d2 FROM pc)")
+def order_by_centre(spark, d):
+    d2 = sum(((F.col(a) - 0.5) * (F.col(a) - 0.5) for a in "xyz"), F.lit(0.0))
+    return ordering.ranked(uniform(spark, d).withColumn("d2", d2), "d2", *ORDER).select(*ORDER, "d2", "rank")
+
+
+@query(f"{PC} SELECT {ORD}, CASE WHEN 2 * i <= 2147483647 THEN (i * i) % 2147483647 ELSE 2147483647 - (i * i) % 2147483647 END AS position FROM (SELECT *, k1 * 8 + k4 AS i FROM pc)")
+def residue_order(spark, d):
+    return uniform(spark, d).select(*ORDER, layout.residue_permutation(F.col("k1") * 8 + F.col("k4")).alias("position"))
+
+
+@query(f"{PC}, {_coded()} SELECT code >> 42 AS voxel, count(*) AS n, min(rank) AS first FROM mr GROUP BY 1")
+def morton_runs(spark, d):
+    """Runs of points along the Morton curve that share a voxel of 128 to an axis."""
+    return layout.morton_rank(uniform(spark, d)).groupBy(F.shiftright("code", 42).alias("voxel")).agg(F.count("*").alias("n"), F.min("rank").alias("first"))
+
+
 _DELTA = ", ".join(f"CAST(floor(abs(1000 * ({a} - lag({a}, 1, 0) OVER (PARTITION BY batch_id ORDER BY pid)))) AS BIGINT) AS e{a}" for a in "xyz")
 _COST = ", ".join(f"(CASE WHEN e{a} = 0 THEN 1 ELSE length(bin(e{a})) + 1 END) AS d{a}" for a in "xyz")
 
@@ -484,9 +604,22 @@ def timing_report(spark, d):
     return stats.timing_report(rows, "label", "ticks")
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE pt AS (SELECT row_number() OVER (ORDER BY vec_id) AS i, vec_id, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y FROM embeddings),
+gr AS (SELECT CAST(0 AS BIGINT) AS i, CAST([] AS STRUCT(x DOUBLE, y DOUBLE)[]) AS kept, false AS accepted UNION ALL
+SELECT i, CASE WHEN ok THEN list_append(kept, {{'x': x, 'y': y}}) ELSE kept END, ok FROM (SELECT pt.i, pt.x, pt.y, gr.kept,
+  len(list_filter(gr.kept, lambda k: (k.x - pt.x) * (k.x - pt.x) + (k.y - pt.y) * (k.y - pt.y) < {num(0.08 * 0.08)})) = 0 AS ok FROM gr JOIN pt ON pt.i = gr.i + 1))
+SELECT vec_id, x, y, accepted FROM gr JOIN pt ON pt.i = gr.i"""
+)
 def blue_noise_tiles(spark, d):
-    return thinning.poisson_disk(embedding_points(spark, d), "vec_id", spacing=0.08, tile=0.25)
+    """Accepted and rejected points of greedy thinning over the whole plane."""
+    return thinning.poisson_disk(embedding_points(spark, d), "vec_id", spacing=0.08)
+
+
+@query("SELECT event_type, count(DISTINCT user_id) AS users, count(DISTINCT user_id) = 1 AS single, count(*) AS n FROM events GROUP BY 1")
+def distinct_check(spark, d):
+    """Whether rows that should agree do: distinct values by group."""
+    return stats.distinct_check(read(spark, d, "events"), "event_type", "user_id").select("event_type", F.col("distinct").alias("users"), "single", "n")
 
 
 _HEIGHT = f"""WITH pt AS (SELECT p_partkey, (p_retailprice - lo) / (hi - lo) AS u, (p_size - s0) / CAST(s1 - s0 AS DOUBLE) AS v FROM part, (SELECT min(p_retailprice) lo, max(p_retailprice) hi, min(p_size) s0, max(p_size) s1 FROM part)),
@@ -507,11 +640,24 @@ def height_field_tiles(spark, d):
     return thinning.height_tiles(thinning.height_field(uv), 8, (0.05, 0.15, 0.3))
 
 
-@query()
+_EV = """evl AS (SELECT min(CAST(user_id AS DOUBLE)) u0, max(CAST(user_id AS DOUBLE)) u1, min(CAST(epoch_us(ts) AS DOUBLE)) t0, max(CAST(epoch_us(ts) AS DOUBLE)) t1, min(value) v0, max(value) v1 FROM events),
+pcs AS (SELECT event_id, (CAST(user_id AS DOUBLE) - u0) / (u1 - u0) AS x, (CAST(epoch_us(ts) AS DOUBLE) - t0) / (t1 - t0) AS y, (value - v0) / (v1 - v0) AS z FROM events, evl)"""
+
+
+@query(f"{TREE.replace(oracle.PCS_SQL, _EV)} SELECT * FROM tr")
 def incremental_octree(spark, d):
     return replay_events(event_points(spark, d), SMALL)
 
 
+@query(
+    f"""{TREE.replace(oracle.PCS_SQL, _EV)}, vc AS (SELECT CAST(l.range AS INT) AS level, {', '.join(f'i{a} >> (8 - l.range) AS v{a}' for a in 'xyz')}, count(*) AS n FROM lv, range(3) l WHERE leaf_level > l.range GROUP BY ALL)
+SELECT * FROM vc"""
+)
+def incremental_voxels(spark, d):
+    """Occupied voxels of the upper levels, kept up by the stream's counts."""
+    return replay(event_points(spark, d), SMALL).voxels(3)
+
+
 # Files
 
 
@@ -532,6 +678,38 @@ def las_headers(spark, d):
     return rows.agg(F.sum("points").alias("points"), *[f(f"{f.__name__}_{a}").alias(f"{f.__name__}_{a}") for a in "xyz" for f in (F.min, F.max)])
 
 
+@query(f"{PC} SELECT {_LAS}, r, g, b FROM pc")
+def las_sorted_rewrite(spark, d):
+    """Points written as LAS files in Morton order, and read again from the folder."""
+    path = f"{shared_folder(spark)}/las-{uuid.uuid4().hex}"
+    sinks.write_morton_sorted_las(uniform(spark, d), path, scale=1e-6, pointsPerFile=20_000)
+    return las.read_las_folder(spark, path, 7_000).select(*"xyzrgb")
+
+
+@query("SELECT CAST(count(*) AS BIGINT) AS points FROM lineitem")
+def probe_point_counts(spark, d):
+    """The point count that each file's header holds at byte 107, summed."""
+    return las.probe_int32(las.to_las_files(uniform(spark, d), scale=1e-6), 107, "name").agg(F.sum("value").alias("points"))
+
+
+@query(f"{TREE}, {oracle.described()} SELECT concat_ws(',', name, level, n, child_mask, ix, iy, iz) AS line FROM ds")
+def node_csv(spark, d):
+    return sinks.node_lines(octree.describe(tree_of(spark, d).nodes))
+
+
+_FIXED = ", ".join(f"CAST(floor({a} / {num(1e-6)} + {num(0.5)}) AS BIGINT) * {num(1e-6)} + 0 AS {a}" for a in "xyz")
+
+
+@query(
+    f"""{TREE}, sl AS (SELECT level, key, CAST(sum(n) OVER (ORDER BY level, key) - n AS BIGINT) AS o FROM tr WHERE is_leaf)
+SELECT lv.leaf_level AS level, lv.leaf_key AS key, CAST(floor(o / 5000) AS BIGINT) AS bin, {_FIXED}, r, g, b FROM lv JOIN sl ON lv.leaf_level = sl.level AND lv.leaf_key = sl.key"""
+)
+def payload_scan(spark, d):
+    """Leaf points encoded as records and scanned in bins of nodes that lie together."""
+    t = tree_of(spark, d)
+    return hierarchy.scan_payload(hierarchy.encode_payload(t.points, 1e-6), octree.leaf_slices(t.nodes), 1e-6, 5000)
+
+
 @query(
     f"""{TREE}, {oracle.described()}, sl AS (SELECT level, key, CAST(sum(n) OVER (ORDER BY level, key) - n AS BIGINT) AS o FROM tr WHERE is_leaf)
 SELECT name, ds.level, CASE WHEN is_leaf THEN 1 ELSE 0 END AS node_type, child_mask, n AS num_points, 18 * coalesce(o, 0) AS byte_offset, 18 * n AS byte_size

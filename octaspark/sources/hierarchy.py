@@ -88,7 +88,48 @@ def read_metadata(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schema).option("multiLine", True).json(path)
 
 
+_POINT = np.dtype([("xyz", "<i4", 3), ("rgb", "<u2", 3)])
+
+
 def decode_payload(data: bytes, scale: float, offset: float = 0.0) -> dict[str, np.ndarray]:
     """Points of a node: records of three 32-bit coordinates and three 16-bit colours."""
-    rows = np.frombuffer(data, np.dtype([("xyz", "<i4", 3), ("rgb", "<u2", 3)]))
+    rows = np.frombuffer(data, _POINT)
     return {a: rows["xyz"][:, k] * scale + offset for k, a in enumerate("xyz")} | {c: rows["rgb"][:, k].astype(np.int32) for k, c in enumerate("rgb")}
+
+
+def encode_payload(placed: DataFrame, scale: float) -> DataFrame:
+    """(level, key, records): the points of leaves as records. A leaf may come in several rows, so none is held whole."""
+    keys = ["leaf_level", "leaf_key"]
+    rows = placed.select(*keys, *"xyzrgb").repartitionByRange(*keys, "x", "y", "z").sortWithinPartitions(*keys)
+
+    def run(batches):
+        for b in batches:
+            level, key = (b.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            out = np.zeros(b.num_rows, _POINT)
+            for k in range(3):
+                out["xyz"][:, k] = np.floor(b.column(2 + k).to_numpy(zero_copy_only=False) / scale + 0.5)
+                out["rgb"][:, k] = b.column(5 + k).to_numpy(zero_copy_only=False)
+            cut = np.flatnonzero((np.diff(level, prepend=-1) != 0) | (np.diff(key, prepend=-1) != 0))
+            data = [out[i:j].tobytes() for i, j in zip(cut, [*cut[1:], len(out)])]
+            yield pa.RecordBatch.from_arrays([pa.array(level[cut], pa.int32()), pa.array(key[cut], pa.int64()), pa.array(data, pa.binary())], ["level", "key", "records"])
+
+    return rows.mapInArrow(run, "level int, key long, records binary")
+
+
+def scan_payload(payload: DataFrame, slices: DataFrame, scale: float, least: int) -> DataFrame:
+    """Points with their node, read in bins of nodes that follow each other in the file.
+
+    ``slices`` tells level, key and slice_offset of the leaves, ``least`` the points of a bin.
+    """
+    bins = slices.select("level", "key", F.floor(F.col("slice_offset") / least).cast("long").alias("bin"))
+
+    def run(batches):
+        for b in batches:
+            for level, key, place, data in zip(*(c.to_pylist() for c in b.columns)):
+                p = decode_payload(data, scale)
+                n = len(p["x"])
+                own = [pa.array([level] * n, pa.int32()), pa.array([key] * n, pa.int64()), pa.array([place] * n, pa.int64())]
+                yield pa.RecordBatch.from_arrays([*own, *(pa.array(p[a], pa.float64()) for a in "xyz"), *(pa.array(p[c], pa.int32()) for c in "rgb")], ["level", "key", "bin", *"xyzrgb"])
+
+    dealt = payload.join(bins, ["level", "key"]).select("level", "key", "bin", "records").repartition("bin")
+    return dealt.mapInArrow(run, "level int, key long, bin long, x double, y double, z double, r int, g int, b int")

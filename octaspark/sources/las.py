@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import struct
+import uuid
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -10,12 +11,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
-#: Where the colour starts in a record of each point format that has one.
-COLOUR_OFFSET = {2: 20, 3: 28, 5: 28, 7: 30, 8: 30}
-RECORD_LENGTH = {2: 26, 3: 34, 5: 63, 7: 36, 8: 38}
+from octaspark.staging import cut_lineage
+
+#: Where the colour starts in a record of each point format that has one, and all formats' lengths.
+COLOUR_OFFSET = {2: 20, 3: 28, 5: 28, 7: 30, 8: 30, 10: 30}
+RECORD_LENGTH = {0: 20, 1: 28, 2: 26, 3: 34, 4: 57, 5: 63, 6: 30, 7: 36, 8: 38, 9: 59, 10: 67}
 SCHEMA = "x double, y double, z double, r int, g int, b int, file string, point_id long"
 
 
@@ -36,8 +39,8 @@ class LasHeader:
     high: tuple[float, float, float]
 
 
-def parse_header(data: bytes, max_points: int = 1_000_000_000) -> LasHeader:
-    """The fields that reading needs; fails on other files, compressed records and formats without colour."""
+def parse_header(data: bytes, max_points: int | None = None) -> LasHeader:
+    """The fields that reading needs; fails on other files, compressed records and unknown formats. ``max_points`` crops on purpose."""
     if len(data) < 227 or data[:4] != b"LASF":
         raise LasError("not a LAS file")
     major, minor = data[24], data[25]
@@ -46,38 +49,42 @@ def parse_header(data: bytes, max_points: int = 1_000_000_000) -> LasHeader:
     if raw_format & 0x80:
         raise LasError("compressed (LAZ) records are not supported")
     point_format = raw_format % 128
-    if point_format not in COLOUR_OFFSET:
-        raise LasError(f"point format {point_format} has no colour")
+    if point_format not in RECORD_LENGTH:
+        raise LasError(f"unknown point format {point_format}")
     if (major, minor) >= (1, 4):
         if len(data) < 255:
             raise LasError("truncated header")
         count, = struct.unpack_from("<Q", data, 247)
     else:
         count, = struct.unpack_from("<I", data, 107)
-    if length < COLOUR_OFFSET[point_format] + 6:
+    if length < COLOUR_OFFSET.get(point_format, 6) + 6:
         raise LasError("records are too short for their format")
     scale, offset = struct.unpack_from("<3d", data, 131), struct.unpack_from("<3d", data, 155)
     x1, x0, y1, y0, z1, z0 = struct.unpack_from("<6d", data, 179)
-    return LasHeader((major, minor), at, point_format, length, min(count, max_points), scale, offset, (x0, y0, z0), (x1, y1, z1))
+    return LasHeader((major, minor), at, point_format, length, count if max_points is None else min(count, max_points), scale, offset, (x0, y0, z0), (x1, y1, z1))
+
+
+def _record(point_format: int, length: int) -> np.dtype:
+    """The fields of a record that are read: coordinates, and the colour if it has one."""
+    names = ["xyz", "rgb"][: 1 + (point_format in COLOUR_OFFSET)]
+    return np.dtype({"names": names, "formats": ["(3,)<i4", "(3,)<u2"][: len(names)], "offsets": [0, COLOUR_OFFSET.get(point_format)][: len(names)], "itemsize": length})
 
 
 def decode_records(data: bytes, header: LasHeader, origin: Sequence[float] | None = None) -> dict[str, np.ndarray]:
-    """Coordinates relative to ``origin`` (the header's minimum) and 8-bit colours of whole records."""
+    """Coordinates relative to ``origin`` (the header's minimum) and 8-bit colours of whole records; black without colour."""
     if len(data) % header.record_length:
         raise LasError("truncated records")
-    at = COLOUR_OFFSET[header.point_format]
-    kind = np.dtype({"names": ["xyz", "rgb"], "formats": ["(3,)<i4", "(3,)<u2"], "offsets": [0, at], "itemsize": header.record_length})
-    rows = np.frombuffer(data, kind)
+    rows = np.frombuffer(data, _record(header.point_format, header.record_length))
     origin = header.low if origin is None else origin
     out = {a: rows["xyz"][:, k] * header.scale[k] + header.offset[k] - origin[k] for k, a in enumerate("xyz")}
-    colour = rows["rgb"].astype(np.int32)
+    colour = rows["rgb"].astype(np.int32) if "rgb" in rows.dtype.names else np.zeros((len(rows), 3), np.int32)
     colour = np.where(colour > 255, colour // 256, colour)
     return out | {c: colour[:, k] for k, c in enumerate("rgb")}
 
 
 def encode(points: dict[str, np.ndarray], scale: float = 0.001, point_format: int = 2, version: tuple[int, int] = (1, 2)) -> bytes:
     """A LAS file of x, y, z (non-negative offsets from 0) and 8-bit r, g, b."""
-    n, at = len(points["x"]), COLOUR_OFFSET[point_format]
+    n = len(points["x"])
     header = bytearray(375 if version >= (1, 4) else 227)
     header[:4] = b"LASF"
     header[24], header[25] = version
@@ -89,18 +96,23 @@ def encode(points: dict[str, np.ndarray], scale: float = 0.001, point_format: in
     struct.pack_into("<3d", header, 131, scale, scale, scale)
     struct.pack_into("<3d", header, 155, 0.0, 0.0, 0.0)
     struct.pack_into("<6d", header, 179, *[v for h, lo in zip(high, low) for v in (h, lo)])
-    kind = np.dtype({"names": ["xyz", "rgb"], "formats": ["(3,)<i4", "(3,)<u2"], "offsets": [0, at], "itemsize": RECORD_LENGTH[point_format]})
-    rows = np.zeros(n, kind)
+    rows = np.zeros(n, _record(point_format, RECORD_LENGTH[point_format]))
     for k, (a, c) in enumerate(zip("xyz", "rgb")):
         rows["xyz"][:, k] = np.floor(points[a] / scale + 0.5)
-        rows["rgb"][:, k] = points[c]
+        if point_format in COLOUR_OFFSET:
+            rows["rgb"][:, k] = points[c]
     return bytes(header) + rows.tobytes()
 
 
-def _open(path: str):
+def _files(path: str):
+    """The file system of a path, and the path in it."""
     from pyarrow import fs
 
-    files, inner = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path.removeprefix("file:"))
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path.removeprefix("file:"))
+
+
+def _open(path: str):
+    files, inner = _files(path)
     return files.open_input_file(inner)
 
 
@@ -119,7 +131,7 @@ class _LasReader(DataSourceReader):
     def __init__(self, options: dict):
         self.paths = [p for p in options.get("paths", options.get("path", "")).split(",") if p]
         self.per_range = int(options.get("pointsPerPartition", 1_000_000))
-        self.max_points = int(options.get("maxPoints", 1_000_000_000))
+        self.max_points = int(options["maxPoints"]) if "maxPoints" in options else None
 
     def partitions(self) -> list[InputPartition]:
         bad = [p for p in self.paths if not p.lower().endswith(".las")]
@@ -150,8 +162,70 @@ def to_batch(points: dict[str, np.ndarray], file: str, first: int) -> pa.RecordB
     return pa.RecordBatch.from_arrays([*cols, pa.array([file] * n, pa.string()), pa.array(np.arange(first, first + n))], ["x", "y", "z", "r", "g", "b", "file", "point_id"])
 
 
+@dataclass
+class _Written(WriterCommitMessage):
+    files: list[str]
+
+
+class _LasWriter(DataSourceArrowWriter):
+    """Each task writes its rows, in their order, as files of at most ``pointsPerFile`` points below a folder
+    of the job; the driver moves the files of tasks that count into place, so that repeated attempts leave nothing."""
+
+    def __init__(self, options: dict, overwrite: bool):
+        self.path, self.overwrite = options["path"], overwrite
+        self.scale, self.point_format = float(options.get("scale", 0.001)), int(options.get("pointFormat", 2))
+        self.per_file = int(options.get("pointsPerFile", 10_000_000))
+        self.folder = f"_temporary-{uuid.uuid4().hex}"
+
+    def write(self, batches: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
+        from pyspark import TaskContext
+
+        task = TaskContext.get()
+        files, top = _files(self.path)
+        files.create_dir(f"{top}/{self.folder}", recursive=True)
+        out, rows, n = [], [], 0
+
+        def close() -> None:
+            table = pa.Table.from_batches(rows)
+            points = {c: table.column(c).to_numpy() for c in "xyzrgb"}
+            name = f"part-{task.partitionId():05d}-{task.taskAttemptId()}-{len(out):04d}.las"
+            with files.open_output_stream(f"{top}/{self.folder}/{name}") as f:
+                f.write(encode(points, self.scale, self.point_format, (1, 4)))
+            out.append(name)
+
+        for b in batches:
+            for at in range(0, b.num_rows, self.per_file):
+                part = b.slice(at, self.per_file)
+                if n and n + part.num_rows > self.per_file:
+                    close()
+                    rows, n = [], 0
+                rows.append(part)
+                n += part.num_rows
+        if n:
+            close()
+        return _Written(out)
+
+    def commit(self, messages: list) -> None:
+        files, top = _files(self.path)
+        if self.overwrite:
+            from pyarrow import fs
+
+            for old in files.get_file_info(fs.FileSelector(top)):
+                if old.path.endswith(".las"):
+                    files.delete_file(old.path)
+        for name in (f for m in messages if m for f in m.files):
+            files.move(f"{top}/{self.folder}/{name}", f"{top}/{name}")
+        self.abort(messages)
+
+    def abort(self, messages: list) -> None:
+        files, top = _files(self.path)
+        if files.get_file_info(f"{top}/{self.folder}").type.name == "Directory":
+            files.delete_dir(f"{top}/{self.folder}")
+
+
 class LasDataSource(DataSource):
-    """``spark.read.format("las")`` with options paths (comma-separated), pointsPerPartition, maxPoints."""
+    """``spark.read.format("las")`` with options paths (comma-separated), pointsPerPartition, maxPoints, and
+    ``df.write.format("las").save(path)`` of columns x, y, z, r, g, b with options scale, pointFormat, pointsPerFile."""
 
     @classmethod
     def name(cls) -> str:
@@ -163,6 +237,9 @@ class LasDataSource(DataSource):
     def reader(self, schema: StructType) -> DataSourceReader:
         return _LasReader(self.options)
 
+    def writer(self, schema: StructType, overwrite: bool) -> DataSourceArrowWriter:
+        return _LasWriter(self.options, overwrite)
+
 
 def read_las(spark: SparkSession, *paths: str, **options) -> DataFrame:
     spark.dataSource.register(LasDataSource)
@@ -172,6 +249,55 @@ def read_las(spark: SparkSession, *paths: str, **options) -> DataFrame:
     return reader.load()
 
 
+def write_las(points: DataFrame, path: str, **options) -> None:
+    points.sparkSession.dataSource.register(LasDataSource)
+    writer = points.select(*"xyzrgb").write.format("las").mode("overwrite")
+    for k, v in options.items():
+        writer = writer.option(k, v)
+    writer.save(path)
+
+
+def read_las_folder(spark: SparkSession, path: str, per_task: int = 1_000_000) -> DataFrame:
+    """Points of all .las files below a folder, relative to the least corner of all; headers are read by tasks, not by the driver."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.[lL][aA][sS]").option("recursiveFileLookup", True).load(path).select("path")
+    fields = ("path", "offset_to_points", "point_format", "record_length", "scale", "offset", "first", "count", "low")
+
+    def ranges(batches):
+        for b in batches:
+            rows = []
+            for p in b.column(0).to_pylist():
+                with _open(p) as f:
+                    h = parse_header(f.read(375))
+                rows += [(p, h.offset_to_points, h.point_format, h.record_length, h.scale, h.offset, at, min(per_task, h.points - at), h.low) for at in range(0, h.points, per_task)]
+            cols = list(zip(*rows)) or [[]] * len(fields)
+            d = pa.list_(pa.float64())
+            types = (pa.string(), pa.int64(), pa.int32(), pa.int64(), d, d, pa.int64(), pa.int64(), d)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], list(fields))
+
+    doubles = ", ".join(f"{c} array<double>" for c in ("scale", "offset"))
+    found = cut_lineage(files.repartition("path").mapInArrow(ranges, f"path string, offset_to_points long, point_format int, record_length long, {doubles}, first long, count long, low array<double>"))
+    origin = tuple(found.agg(*[F.min(F.col("low")[k]) for k in range(3)]).first())  # three numbers
+
+    def points(batches):
+        for b in batches:
+            for r in b.to_pylist():
+                h = LasHeader((1, 4), r["offset_to_points"], r["point_format"], r["record_length"], r["count"], r["scale"], r["offset"], r["low"], r["low"])
+                with _open(r["path"]) as f:
+                    f.seek(h.offset_to_points + r["first"] * h.record_length)
+                    for at in range(0, r["count"], 65536):
+                        data = f.read(min(65536, r["count"] - at) * h.record_length)
+                        yield to_batch(decode_records(data, h, origin), r["path"], r["first"] + at)
+
+    return found.repartition("path", "first").mapInArrow(points, SCHEMA)
+
+
+def probe_int32(files: DataFrame, at: int, name: str = "path", content: str = "content") -> DataFrame:
+    """The little-endian 32-bit number at a byte offset of each file."""
+    byte = lambda k: F.conv(F.hex(F.substring(content, at + 1 + k, 1)), 16, 10).cast("long")
+    value = sum((byte(k) * F.lit(1 << 8 * k) for k in range(4)), F.lit(0).cast("long"))
+    return files.select(F.col(name), F.when(value >= 1 << 31, value - (1 << 32)).otherwise(value).cast("int").alias("value"))
+
+
 def to_las_files(points: DataFrame, scale: float = 0.001, per_file: int = 50_000) -> DataFrame:
     """(name, content): the points as LAS files of at most ``per_file`` points, one row per file."""
 

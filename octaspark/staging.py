@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; one of this machine only where it is unset."""
+    """The folder named by ``spark.checkpoint.dir``; only a local session may do without and gets one of this machine."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     if sc.getCheckpointDir() is None:
+        if named is None and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-ckpt-"))
     return named or sc.getCheckpointDir()
 
@@ -20,3 +23,21 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """``df.checkpoint()`` in the shared folder, so that the rows survive lost executors."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def written(df: DataFrame, name: str, *by: str) -> DataFrame:
+    """``df`` as a table below the shared folder, in folders ``by`` columns: it has a known size, and scans are pruned."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.partitionBy(*by).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def remove_others(spark: SparkSession, folder: str, keep: str) -> None:
+    """Deletes all entries of a folder but one."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(folder)
+    files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for entry in files.listStatus(at):
+        if entry.getPath().getName() != keep:
+            files.delete(entry.getPath(), True)

@@ -11,9 +11,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from octaspark.functions.geometry import morton_inverse
 from octaspark.operators import octree
 from octaspark.operators.octree import TreeSpec
-from octaspark.staging import shared_folder
+from octaspark.staging import remove_others, shared_folder, written
 
 
 class IncrementalTree:
@@ -35,17 +36,42 @@ class IncrementalTree:
     def nodes(self) -> DataFrame:
         return octree.nodes(self.counts(), self.spec)
 
+    def voxels(self, levels: int = 3) -> DataFrame:
+        """level, vx, vy, vz and n: occupied voxels of inner nodes down to ``levels``, from the counts alone."""
+        most = self.spec.max_depth - self.spec.grid_bits
+        if not 0 < levels <= most + 1:
+            raise ValueError(f"counts are fine enough for {most + 1} levels")
+        level = F.explode(F.sequence(F.lit(0), F.lit(levels - 1))).alias("level")
+        cells = self.counts().select(level, "key", "n")
+        cell = F.expr(f"shiftright(key, 3 * ({most} - level))").alias("cell")
+        cells = cells.select("level", cell, "n").groupBy("level", "cell").agg(F.sum("n").alias("n"))
+        inner = self.nodes().where("NOT is_leaf").select("level", "key")
+        cells = cells.withColumn("key", F.shiftright("cell", 3 * self.spec.grid_bits)).join(inner, ["level", "key"], "left_semi")
+        at = morton_inverse(F.col("cell"), self.spec.max_depth)
+        return cells.select("level", *[c.alias(f"v{a}") for a, c in zip("xyz", at)], "n")
+
+    def compact(self, name: str) -> None:
+        """Puts the counts of all batches into one folder; call it while no query follows a stream."""
+        total = written(self.counts(), "counts")
+        total.write.mode("overwrite").parquet(f"{self.folder}/counts/batch={name}")
+        remove_others(self.spark, f"{self.folder}/counts", f"batch={name}")
+
     def follow(self, stream: DataFrame):
         """Starts a query that folds in what arrives; call ``stop`` or ``awaitTermination`` on it."""
         return stream.writeStream.foreachBatch(self.add).option("checkpointLocation", f"{self.folder}/progress").trigger(availableNow=True).start()
 
 
-def replay_events(points: DataFrame, spec: TreeSpec, files: int = 4) -> DataFrame:
-    """Nodes after streaming ``points`` (with event_id) through an incremental tree."""
+def replay(points: DataFrame, spec: TreeSpec, files: int = 4) -> IncrementalTree:
+    """An incremental tree after streaming ``points`` (with event_id), a file at a time."""
     spark = points.sparkSession
     top = f"{shared_folder(spark)}/incremental-{uuid.uuid4().hex}"
-    points.repartitionByRange(files, "event_id").write.parquet(f"{top}/in")
+    points.repartitionByRange(files, "event_id").write.option("maxRecordsPerFile", 5_000_000).parquet(f"{top}/in")
     tree = IncrementalTree(spark, spec, top)
     stream = spark.readStream.schema(points.schema).option("maxFilesPerTrigger", 1).parquet(f"{top}/in")
     tree.follow(stream).awaitTermination()
-    return tree.nodes()
+    return tree
+
+
+def replay_events(points: DataFrame, spec: TreeSpec, files: int = 4) -> DataFrame:
+    """Nodes after streaming ``points`` (with event_id) through an incremental tree."""
+    return replay(points, spec, files).nodes()

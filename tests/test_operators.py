@@ -148,19 +148,19 @@ def test_mask_tree_round_trip(spark):
         assert (level - 1, key >> 3) in order[:i]
 
 
-def test_poisson_disk(spark):
+@pytest.mark.parametrize("crowded", [False, True])
+def test_poisson_disk(spark, crowded):
     rng = np.random.default_rng(0)
-    points = spark.createDataFrame([(k, float(x), float(y)) for k, (x, y) in enumerate(rng.random((400, 2)))], "id long, x double, y double")
-    rows = thinning.poisson_disk(points, "id", 0.08, 0.25).collect()
-    everything, kept = points.collect(), {}
-    for r in rows:
-        kept.setdefault((r.tx, r.ty), []).append((r.id, r.x, r.y))
-    want = {}
-    for p in sorted(everything):
-        tile = want.setdefault((p.x // 0.25, p.y // 0.25), [])
-        if all((p.x - x) ** 2 + (p.y - y) ** 2 >= 0.08**2 for _, x, y in tile):
-            tile.append((p.id, p.x, p.y))
-    assert {k: sorted(v) for k, v in kept.items()} == {k: sorted(v) for k, v in want.items()}
+    xy = rng.random((400, 2)) if not crowded else np.concatenate([rng.random((100, 2)), 0.5 + 0.02 * rng.random((300, 2))])[rng.permutation(400)]
+    points = spark.createDataFrame([(k, float(x), float(y)) for k, (x, y) in enumerate(xy)], "id long, x double, y double")
+    got = {r.id: r.accepted for r in thinning.poisson_disk(points, "id", 0.08).collect()}
+    kept, want = [], {}
+    for k, (x, y) in enumerate(xy.tolist()):
+        want[k] = all((x - a) ** 2 + (y - b) ** 2 >= 0.08**2 for a, b in kept)
+        if want[k]:
+            kept.append((x, y))
+    assert got == want
+    assert thinning.poisson_disk(points.limit(0), "id", 0.08).count() == 0
 
 
 def test_incremental_equals_batch(spark, sf, tmp_path):
@@ -171,6 +171,8 @@ def test_incremental_equals_batch(spark, sf, tmp_path):
     for k in (0, 1, 1):  # a batch that comes again counts once
         tree.add(points.where(F.col("event_id") % 2 == k), k)
     assert {tuple(r) for r in tree.nodes().collect()} == want
+    tree.compact("all")
+    assert {tuple(r) for r in tree.nodes().collect()} == want and len(list((tmp_path / "counts").iterdir())) == 1
 
 
 def test_las_files(spark, tmp_path):
@@ -191,9 +193,33 @@ def test_las_files(spark, tmp_path):
     assert las.read_las(spark, paths[0], maxPoints=10).count() == 10
 
 
+@pytest.mark.parametrize("point_format", sorted(las.RECORD_LENGTH))
+def test_all_point_formats(point_format):
+    cols = {a: np.arange(4) / 2 for a in "xyz"} | {c: np.arange(4) for c in "rgb"}
+    data = las.encode(cols, 0.001, point_format, (1, 4))
+    h = las.parse_header(data)
+    got = las.decode_records(data[h.offset_to_points :], h)
+    assert got["x"].tolist() == cols["x"].tolist()
+    assert got["g"].tolist() == ([0, 1, 2, 3] if point_format in las.COLOUR_OFFSET else [0] * 4)
+
+
+def test_las_sink(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    rows = [(*np.round(rng.random(3), 3).tolist(), k % 256, 1, 2, k) for k in range(1000)]
+    points = spark.createDataFrame(rows, "x double, y double, z double, r int, g int, b int, k1 long").repartition(3)
+    for _ in range(2):  # again over the first files
+        las.write_las(points, str(tmp_path / "out"), pointFormat=3, pointsPerFile=100)
+    files = list((tmp_path / "out").iterdir())
+    assert len(files) >= 10 and all(f.suffix == ".las" for f in files)
+    low = [min(r[k] for r in rows) for k in range(3)]
+    got = sorted((round(r.x + low[0], 3), round(r.y + low[1], 3), round(r.z + low[2], 3), r.r) for r in las.read_las_folder(spark, str(tmp_path / "out"), 70).collect())
+    assert got == sorted((*r[:3], r[3]) for r in rows)
+    assert las.parse_header(files[0].read_bytes()[:375]).point_format == 3
+
+
 def test_bad_las_files():
     good = las.encode({a: np.zeros(3) for a in "xyz"} | {c: np.zeros(3) for c in "rgb"})
-    for at, value in ((104, 0), (104, 2 | 0x80), (0, 0)):
+    for at, value in ((104, 11), (104, 2 | 0x80), (0, 0)):
         data = bytearray(good)
         data[at] = value
         with pytest.raises(las.LasError):

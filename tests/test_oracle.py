@@ -12,7 +12,9 @@ from octaspark.plans.queries import ORACLE, QUERIES
 SOME = (
     "cloud_bbox grid_cell_counts subgrid_counts count_pyramid octree_leaves_skewed octree_nodes leaf_slices node_stats level_rate hierarchy_stats voxels_average voxels_neighborhood "
     "cloud_voxels_interpolated visible_nodes closest_color hqs_resolve edl_response depth_dilate morton_sort_rank block_shuffle quantize_30bit_planes delta_bits morton_image_xy "
-    "mask_stream_dfs mask_decode byte_offset_bins bench_median_run timing_report height_field_tiles las_scan octree_hierarchy_roundtrip"
+    "mask_stream_dfs mask_decode byte_offset_bins bench_median_run timing_report height_field_tiles las_scan octree_hierarchy_roundtrip voxels_first voxel_occupancy "
+    "cloud_voxels_smooth export_samples vertex_voxels plane_distance bits_total pack_variable_bits pack_20bit batch_octants strict_octants node_morton_order batch_morton_order order_by_centre "
+    "residue_order morton_runs blue_noise_tiles distinct_check incremental_octree incremental_voxels las_sorted_rewrite probe_point_counts node_csv payload_scan"
 ).split()
 
 
