@@ -99,10 +99,14 @@ def closest_colour(frags: DataFrame) -> DataFrame:
     return frags.groupBy("px", "py").agg(near).select("px", "py", F.col("s.depth").alias("depth"), *[F.col(f"s.{c}").alias(c) for c in "rgb"])
 
 
-def accumulate(frags: DataFrame, tolerance: float = 1.01) -> DataFrame:
-    """Colour sums and counts of fragments within one percent of their pixel's depth."""
-    nearest = frags.groupBy("px", "py").agg(F.min("depth").alias("nearest"))
-    close = frags.join(nearest, ["px", "py"]).where(F.col("depth") < F.col("nearest") * F.lit(tolerance))
+def accumulate(frags: DataFrame, tolerance: float = 1.01, slots: int = 8) -> DataFrame:
+    """Colour sums and counts of fragments within one percent of their pixel's depth.
+
+    A crowded pixel's fragments are dealt over ``slots`` before they meet its depth, which goes to each.
+    """
+    nearest = frags.groupBy("px", "py").agg(F.min("depth").alias("nearest")).withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))))
+    dealt = frags.withColumn("slot", F.pmod(F.xxhash64("depth", "r", "g", "b"), F.lit(slots)).cast("int"))
+    close = dealt.join(nearest, ["px", "py", "slot"]).where(F.col("depth") < F.col("nearest") * F.lit(tolerance))
     return close.groupBy("px", "py").agg(*[F.sum(c).alias(f"sum_{c}") for c in "rgb"], F.count("*").alias("n"))
 
 

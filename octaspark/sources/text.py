@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from octaspark.operators.ordering import ranked
+
 
 def read_voxel_csv(spark: SparkSession, path: str) -> DataFrame:
     """Six integers a line; other lines are skipped."""
@@ -12,15 +14,21 @@ def read_voxel_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_ply_vertices(spark: SparkSession, path: str) -> DataFrame:
-    """x, y, z of an ASCII PLY: lines of floats that aren't faces (which begin with their size).
+    """x, y, z of an ASCII PLY file, which is read line by line in splits.
 
-    The vertex count comes from the header, so a face line is never taken for a vertex.
+    Lines are numbered by where their split starts and their place in it; the header tells how many
+    vertices follow, so a face line is never taken for a vertex.
     """
-    lines = spark.read.text(path, wholetext=True).select(F.split("value", "end_header\\r?\\n").alias("parts"))
-    count = F.regexp_extract(F.col("parts")[0], r"element vertex (\d+)", 1).cast("int")
-    body = lines.select(F.posexplode(F.slice(F.split(F.col("parts")[1], "\\r?\\n"), F.lit(1), count)).alias("vertex_id", "line"))
-    fields = F.split("line", " ")
-    return body.select("vertex_id", *[fields[k].cast("double").alias(a) for k, a in enumerate("xyz")])
+    lines = spark.read.text(path).select(F.rtrim(F.regexp_replace("value", "\r$", "")).alias("value"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("i"))
+    rows = ranked(lines, "start", "i", name="line")
+    vertices = F.max(F.regexp_extract("value", r"^element vertex (\d+)", 1).try_cast("int"))
+    head = rows.where("value = 'end_header' OR value LIKE 'element vertex %'").agg(F.min(F.when(F.col("value") == "end_header", F.col("line"))), vertices).first()
+    end, n = head[0], head[1]
+    if end is None or n is None:
+        raise ValueError("not an ASCII PLY file with vertices")
+    fields = F.split("value", " +")
+    body = rows.where((F.col("line") > end) & (F.col("line") <= end + n))
+    return body.select((F.col("line") - end - 1).cast("int").alias("vertex_id"), *[fields[k].cast("double").alias(a) for k, a in enumerate("xyz")])
 
 
 def read_benchmark_runs(spark: SparkSession, path: str) -> DataFrame:
