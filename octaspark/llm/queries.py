@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from string import ascii_lowercase, ascii_uppercase
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -88,4 +90,14 @@ QUERIES = {
         op10_token_counts,
     )
 }
-ORACLE: dict[str, str] = {}
+#: All pairs that share a shingle, counted; their links; what each document reaches.
+NEAR_DUPLICATES_SQL = f"""WITH RECURSIVE wd AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{ascii_uppercase}', '{ascii_lowercase}'), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS w FROM documents),
+sh AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM wd WHERE len(w) > 0)),
+sz AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY 1),
+co AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+ln AS (SELECT a, b FROM co JOIN sz x ON x.doc_id = a JOIN sz y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+ed AS (SELECT a, b FROM ln UNION ALL SELECT b, a FROM ln),
+re AS (SELECT doc_id AS id, doc_id AS r FROM documents UNION SELECT re.id, ed.b FROM re JOIN ed ON re.r = ed.a),
+cm AS (SELECT id, min(r) AS component_id FROM re GROUP BY 1)
+SELECT id AS doc_id, coalesce(n, 0) AS n_shingles, component_id, id = component_id AS kept FROM cm LEFT JOIN sz ON sz.doc_id = id"""
+ORACLE: dict[str, str] = {"op8_minhash_forest": NEAR_DUPLICATES_SQL}

@@ -1,5 +1,6 @@
 """Operators 5, 7 and 9: held-out accuracy, and what must not matter."""
 
+import math
 import zlib
 
 import numpy as np
@@ -163,6 +164,35 @@ def test_attention_finds_the_bad_passage():
     assert np.mean([model.attention(b)[0].argmax() == b[:, 3].argmax() for b in bags[1::2]]) > 0.9
 
 
+def test_quality_scores_against_plain_loops(spark, labels):
+    """Passages by hand, attention by loops, for every document; the query gives the same."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = quality.train(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    got = {r.doc_id: r for r in quality.score(docs, model).collect()}
+    for r in docs.limit(150).collect():
+        x = [[(v - m) / s for v, m, s in zip(row, model.mean, model.scale)] for row in quality.encode(r.text).astype(float).tolist()]
+        e = []
+        for row in x:
+            gate = 0.0
+            for k in range(quality.HIDDEN):
+                v, u = sum(a * b for a, b in zip(row, model.v[:, k])), sum(a * b for a, b in zip(row, model.u[:, k]))
+                gate += math.tanh(v) / (1 + math.exp(-u)) * model.w[k]
+            e.append(math.exp(gate))
+        z = [sum(w * row[f] for w, row in zip(e, x)) / sum(e) for f in range(quality.FEATURES)]
+        want = 1 / (1 + math.exp(-max(-30, min(30, sum(a * b for a, b in zip(z, model.c)) + model.bias))))
+        assert abs(got[r.doc_id].score - want) < 1e-6 and got[r.doc_id].n_passages == len(e)
+        assert e[got[r.doc_id].top_passage] == pytest.approx(max(e))
+
+
+def test_features_of_a_passage_by_hand():
+    x = quality.encode("Big big cat! 42 dogs|ran\nfast")[0]
+    raw = "Big big cat! 42 dogs|ran\nfast"
+    shares = [sum(c.isupper() for c in raw), sum(c.islower() for c in raw), 2, 0, 0, 1, 1, 0, 1, 0]
+    assert np.allclose(x[:10], np.array(shares) / len(raw))
+    sizes = np.array([3, 3, 4, 2, 8, 4])
+    assert np.allclose(x[10:], [5 / 6, 1 / 6, sizes.mean() / 10, sizes.std() / 10, 1 / 6, 1 / 6, 5 / 6])
+
+
 def test_passages_cover_the_text():
     words = [f"w{k}" for k in range(500)]
     assert len(quality.encode(" ".join(words))) == 8
