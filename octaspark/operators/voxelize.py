@@ -1,8 +1,8 @@
 """Voxel samples of inner nodes, level by level, under selectable strategies.
 
 A node at level L samples its children on its own grid: leaf children give their
-points, inner children their voxels. All levels are one plan: each is one aggregation over the
-shuffle of the level below, which the result reads again, and the tables shrink geometrically.
+points, inner children their voxels. Only the loop over levels runs on the driver; each
+level is one aggregation over a table that shrinks geometrically.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from octaspark.operators.octree import TreeSpec
 from octaspark.sources.tables import ORDER
-from octaspark.staging import written
+from octaspark.staging import cut_lineage, written
 
 STRATEGIES = ("average", "first", "random", "central", "neighborhood")
 CELL = ["vx", "vy", "vz"]
@@ -121,6 +121,7 @@ def voxels(points: DataFrame, spec: TreeSpec, strategy: str = "average") -> Data
 
     ``points`` come from ``octree.with_leaf``. They are written to the shared folder once, in
     folders by leaf level, so that each level reads its own; levels below which no leaf lies are left out.
+    Each level's voxels are written once, too: as one plan the levels took three times as long, since the levels below were computed again.
     """
     carry, positions = _CARRY[strategy], strategy in ("central", "neighborhood")
     if strategy == "random":
@@ -142,7 +143,7 @@ def voxels(points: DataFrame, spec: TreeSpec, strategy: str = "average") -> Data
             if positions:
                 columns += [((F.col(f"v{a}") + 0.5) * 0.5).alias(f"g{a}") for a in "xyz"]
             samples = samples.unionByName(below.select(*columns))
-        below = _RUN[strategy](samples, spec, level)
+        below = cut_lineage(_RUN[strategy](samples, spec, level))
         done.append(below.select(F.lit(level).alias("level"), *CELL, "r", "g", "b", "samples"))
     return reduce(DataFrame.unionByName, done)
 
