@@ -37,20 +37,27 @@ _scratch = threading.local()
 def scratch(spark: SparkSession):
     """Tables that ``written`` makes inside are deleted at the end: use it around what writes its own result."""
     before, _scratch.paths = getattr(_scratch, "paths", None), []
+    _scratch.outer = [*getattr(_scratch, "outer", []), before]
     try:
         yield
     finally:
         paths, _scratch.paths = _scratch.paths, before
+        _scratch.outer.pop()
         for path in paths:
             remove_folder(spark, path)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table below the shared folder: like ``cut_lineage``, but the planner knows its size."""
+def written(df: DataFrame, name: str, outlives: bool = False) -> DataFrame:
+    """``df`` as a table below the shared folder: like ``cut_lineage``, but the planner knows its size.
+
+    With ``outlives`` it stays when the innermost ``scratch`` ends, and goes with the one around that.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    if getattr(_scratch, "paths", None) is not None:
-        _scratch.paths.append(path)
+    outer = getattr(_scratch, "outer", [])
+    paths = (outer[-1] if outer else None) if outlives else getattr(_scratch, "paths", None)
+    if paths is not None:
+        paths.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
