@@ -7,7 +7,7 @@ from string import ascii_lowercase, ascii_uppercase
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from octaspark.llm import bpe, decontam, html, langid, media, minhash, quality, resample, spelling, substring, tokens, toxicity
+from octaspark.llm import bpe, decontam, html, langid, media, minhash, quality, resample, secrets, spelling, substring, tokens, toxicity
 from octaspark.llm.common import fold, read
 
 
@@ -79,6 +79,10 @@ def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.scan(read(spark, sf_dir, "documents"), secrets.train()))
+
+
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(read(spark, sf_dir, "documents"))
 
@@ -97,6 +101,7 @@ QUERIES = {
         op9_quality,
         op10_token_counts,
         op11_importance_resampling,
+        op12_secret_scan,
         op13_spelling_variants,
     )
 }
