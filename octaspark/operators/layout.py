@@ -93,8 +93,11 @@ def packed(points: DataFrame, bits: int) -> DataFrame:
 
 
 def order_within(rows: DataFrame, group: list[str], code: Column) -> DataFrame:
-    """Place of each row in its group's Morton order. Groups are nodes or batches, whose size is bounded."""
-    return rows.withColumn("place", F.row_number().over(Window.partitionBy(*group).orderBy(code, *ORDER)).cast("long") - 1)
+    """Place of each row in its group's Morton order: the rank by group and code less the group's least, so no group is sorted by one task."""
+    order = [*[F.col(g) for g in group], F.col("_code"), *[F.col(k) for k in ORDER]]
+    numbered = ranked(rows.withColumn("_code", code), *order, name="_rank")
+    first = numbered.groupBy(*group).agg(F.min("_rank").alias("_first"))
+    return numbered.join(first, group).withColumn("place", F.col("_rank") - F.col("_first")).drop("_rank", "_first", "_code")
 
 
 def residue_permutation(c: Column, prime: int = 2147483647) -> Column:
@@ -177,4 +180,16 @@ def byte_offset_bins(tree: DataFrame, record: int, least: int) -> DataFrame:
     from octaspark.operators.octree import leaf_slices
 
     rows = leaf_slices(tree).withColumn("bin", F.floor(F.col("slice_offset") / least).cast("long"))
+    return _bin_summary(rows, record)
+
+
+def closing_bins(tree: DataFrame, record: int, most: int) -> DataFrame:
+    """Nodes in byte order put into bins that are closed once they hold more than ``most`` points."""
+    from octaspark.operators.octree import leaf_slices
+    from octaspark.operators.ordering import bins_with_reset
+
+    return _bin_summary(bins_with_reset(leaf_slices(tree), F.col("n"), most, "slice_offset", "level", "key"), record)
+
+
+def _bin_summary(rows: DataFrame, record: int) -> DataFrame:
     return rows.groupBy("bin").agg(F.count("*").alias("nodes"), F.sum("n").alias("points"), F.min("level").alias("weight"), (F.min("slice_offset") * record).alias("byte_offset"), (F.sum("n") * record).alias("byte_size"))

@@ -44,6 +44,55 @@ def poisson_disk(points: DataFrame, key: str, spacing: float) -> DataFrame:
     return out.select(F.col("k").alias(key), "x", "y", F.coalesce("accepted", F.lit(False)).alias("accepted"))
 
 
+#: Points whose spacings differ by less than this factor share a class of cells.
+CLASS_RATIO = 1.41
+
+
+def growing_disk(points: DataFrame, key: str, centre: Sequence[float], base: float, growth: float = 8.0) -> DataFrame:
+    """``key``, x, y, d and ``accepted`` of all points: greedy thinning from the centre outwards, with a spacing that grows.
+
+    Points are taken by their distance ``d`` to the centre (of equal ones by key). A point is accepted unless an
+    accepted one lies nearer to it than that one's own spacing, ``base + d / growth``.
+
+    Points of like spacing share a class, with cells so small that a cell's points exclude each other; only a
+    cell's first open point can be accepted. A point that excludes another has a spacing of the same class or the one
+    below, so a first point looks for open ones before it in the 25 cells around of each of two classes, and an accepted
+    one rejects those after it in the 25 cells around of its class and the one above. Rounds follow the longest chain of
+    points that wait for each other: from the centre out, about the number of rings of spacings.
+    """
+    if growth < 1 / (CLASS_RATIO - 1):
+        raise ValueError(f"a growth of less than {1 / (CLASS_RATIO - 1):.2f} spans more than two classes")
+    square = [(F.col(a) - F.lit(float(c))) * (F.col(a) - F.lit(float(c))) for a, c in zip("xy", centre)]
+    rows = points.select(F.col(key).alias("k"), "x", "y", F.sqrt(square[0] + square[1]).alias("d")).withColumn("s", F.lit(float(base)) + F.col("d") / F.lit(float(growth)))
+    rows = rows.withColumn("c", F.floor(F.log(F.col("s") / F.lit(float(base))) / F.log(F.lit(CLASS_RATIO))).cast("int"))
+    edge = lambda c: F.lit(0.7071 * base) * F.pow(F.lit(CLASS_RATIO), c)
+    everything = written(rows.withColumns({"cx": F.floor(F.col("x") / edge(F.col("c"))), "cy": F.floor(F.col("y") / edge(F.col("c")))}), "open")
+    around = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(-2, 3) for j in range(-2, 3)])).alias("o")
+    todo, accepted = everything, []
+
+    def spread(some: DataFrame, step: int) -> DataFrame:
+        """Each of ``some`` in the cells around it, of its own class and the one a step away."""
+        both = some.select(*[F.col(n).alias(f"p{n}") for n in "kxyds"], F.explode(F.array("c", F.col("c") + step)).alias("c")).where("c >= 0")
+        at = both.withColumns({"bx": F.floor(F.col("px") / edge(F.col("c"))), "by": F.floor(F.col("py") / edge(F.col("c")))})
+        return at.select("*", around).withColumns({"cx": F.col("bx") + F.col("o.i"), "cy": F.col("by") + F.col("o.j")}).drop("bx", "by", "o")
+
+    apart = F.sqrt((F.col("px") - F.col("x")) * (F.col("px") - F.col("x")) + (F.col("py") - F.col("y")) * (F.col("py") - F.col("y")))
+    before = F.struct(F.col("d").alias("d"), F.col("k").alias("k")) < F.struct(F.col("pd").alias("d"), F.col("pk").alias("k"))
+    after = F.struct(F.col("d").alias("d"), F.col("k").alias("k")) > F.struct(F.col("pd").alias("d"), F.col("pk").alias("k"))
+    while not todo.isEmpty():
+        first = todo.groupBy("c", "cx", "cy").agg(F.min(F.struct("d", "k", "x", "y", "s")).alias("p")).select("c", "cx", "cy", "p.*")
+        waits = spread(first, -1).join(todo, ["c", "cx", "cy"]).where(before & (apart < F.col("s"))).select(F.col("pk").alias("k")).distinct()
+        new = written(first.join(waits, "k", "left_anti"), "accepted")
+        gone = spread(new, 1).join(todo, ["c", "cx", "cy"]).where(after & (apart < F.col("ps"))).select("k").unionByName(new.select("k")).distinct()
+        todo = written(todo.join(gone, "k", "left_anti").select(everything.columns), "open")
+        accepted.append(new.select("k"))
+    kept = everything.select("k").limit(0) if not accepted else accepted[0]
+    for more in accepted[1:]:
+        kept = kept.unionByName(more)
+    out = everything.join(kept.withColumn("accepted", F.lit(True)), "k", "left")
+    return out.select(F.col("k").alias(key), "x", "y", "d", F.coalesce("accepted", F.lit(False)).alias("accepted"))
+
+
 def height_field(uv: DataFrame) -> DataFrame:
     """Adds the procedural height of each uv position."""
     dist = F.sqrt((F.col("u") - 0.5) * (F.col("u") - 0.5) + (F.col("v") - 0.5) * (F.col("v") - 0.5))

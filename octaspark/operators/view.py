@@ -164,6 +164,28 @@ def plane_distance(points: DataFrame, eye: Sequence[float], plane: Sequence[floa
     return points.withColumn("t", F.when(t >= 0, t))
 
 
+def ray_through_frustum(points: DataFrame, eye: Sequence[float], planes: Sequence[Sequence[float]]) -> DataFrame:
+    """Where the ray from the eye through each point meets a frustum of inward planes, in multiples of the way to the point.
+
+    ``closest``: the least positive distance to one of the planes, null if it meets none ahead. ``t_in`` and ``t_out``: the
+    interval that lies within all planes, from 0 on; null if there is none. ``t_out`` is infinite if nothing ends it.
+    """
+    way = {a: F.col(a) - F.lit(float(e)) for a, e in zip("xyz", eye)}
+    infinity = F.lit(float("inf"))
+    start, end, closest, outside = F.lit(0.0), infinity, infinity, F.lit(False)
+    for nx, ny, nz, d in planes:
+        slope = F.lit(float(nx)) * way["x"] + F.lit(float(ny)) * way["y"] + F.lit(float(nz)) * way["z"]
+        height = nx * eye[0] + ny * eye[1] + nz * eye[2] + d  # of the eye over the plane
+        t = F.when(slope != 0, F.lit(-float(height)) / slope)
+        closest = F.least(closest, F.when(t > 0, t).otherwise(infinity))
+        start = F.greatest(start, F.when(slope > 0, t).otherwise(F.lit(0.0)))
+        end = F.least(end, F.when(slope < 0, t).otherwise(infinity))
+        outside = outside | ((slope == 0) & F.lit(height < 0))
+    out = points.withColumns({"closest": F.when(closest < infinity, closest), "_in": start, "_out": end})
+    met = (F.col("_in") <= F.col("_out")) & ~outside
+    return out.withColumns({"t_in": F.when(met, F.col("_in")), "t_out": F.when(met, F.col("_out"))}).drop("_in", "_out")
+
+
 def in_bounds(points: DataFrame, low: Sequence[float], high: Sequence[float]) -> DataFrame:
     ok: Column = F.lit(True)
     for a, lo, hi in zip("xyz", low, high):

@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from octaspark.functions.geometry import morton_inverse
 from octaspark.operators.octree import TreeSpec
 from octaspark.sources.tables import ORDER
 from octaspark.staging import cut_lineage, written
@@ -148,6 +149,29 @@ def voxels(points: DataFrame, spec: TreeSpec, strategy: str = "average") -> Data
     return reduce(DataFrame.unionByName, done)
 
 
+def average_from_sums(cells: DataFrame, spec: TreeSpec) -> DataFrame:
+    """The voxels of strategy ``average`` from sums instead of points.
+
+    ``cells`` has cell (Morton code on the grid of the deepest inner nodes), leaf_level, n and the sums r, g, b of the
+    points in it. A cell lies in one leaf, and every voxel that a leaf's points meet is made of whole cells, so
+    sums give what points would.
+    """
+    cells = written(cells.select("cell", "leaf_level", "n", "r", "g", "b"), "sums", "leaf_level")
+    deepest = cells.agg(F.max("leaf_level")).first()[0] or 0  # one number, from the folders' names
+    below: DataFrame | None = None
+    done: list[DataFrame] = []
+    for level in range(max(deepest, 1) - 1, -1, -1):
+        own = cells.where(F.col("leaf_level") == level + 1)
+        samples = own.select(F.shiftright("cell", 3 * (spec.max_depth - 1 - level)).alias("cell"), "n", "r", "g", "b")
+        if below is not None:
+            samples = samples.unionByName(below.select(F.shiftright("cell", 3).alias("cell"), F.lit(1).cast("long").alias("n"), *[F.col(c).cast("long").alias(c) for c in "rgb"]))
+        mean = [F.floor(F.sum(c) / F.sum("n")).cast("int").alias(c) for c in "rgb"]
+        below = written(samples.groupBy("cell").agg(*mean, F.sum("n").alias("samples")), "voxels")
+        done.append(below.withColumn("level", F.lit(level)))
+    at = morton_inverse(F.col("cell"), spec.max_depth - 1 + spec.grid_bits)
+    return reduce(DataFrame.unionByName, done).select("level", *[c.alias(f"v{a}") for a, c in zip("xyz", at)], "r", "g", "b", "samples")
+
+
 # Whole-cloud voxels: one grid over the unit cube, no tree.
 
 

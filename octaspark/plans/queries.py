@@ -14,7 +14,7 @@ from octaspark.operators.octree import SMALL
 from octaspark.plans import oracle
 from octaspark.plans.build import LodTree
 from octaspark.plans.oracle import morton_sql, num
-from octaspark.sources import hierarchy, las, sinks
+from octaspark.sources import blocks, hierarchy, las, octree_file, sinks
 from octaspark.sources.tables import ORDER, PC_SQL, bounds, embedding_points, event_points, lineitem_points, read
 from octaspark.staging import shared_folder
 from octaspark.streaming.incremental import replay, replay_events
@@ -345,6 +345,31 @@ def plane_distance(spark, d):
     return view.plane_distance(uniform(spark, d), (1.6, -1.2, 1.1), _PLANE).select(*ORDER, "t")
 
 
+def _ray_sql() -> str:
+    eye, rows = (1.6, -1.2, 1.1), []
+    for k, (nx, ny, nz, dd) in enumerate(geometry.frustum_planes(CAMERA.matrix)):
+        height = nx * eye[0] + ny * eye[1] + nz * eye[2] + dd
+        rows.append(f"{num(nx)} * {_WAY['x']} + {num(ny)} * {_WAY['y']} + {num(nz)} * {_WAY['z']} AS s{k}, {num(-height)} AS h{k}")
+    return ", ".join(rows)
+
+
+_INF = "CAST('inf' AS DOUBLE)"
+_T = [f"(CASE WHEN s{k} <> 0 THEN h{k} / s{k} END)" for k in range(6)]
+_AHEAD = "least(" + ", ".join(f"CASE WHEN {t} > 0 THEN {t} ELSE {_INF} END" for t in _T) + ")"
+_IN = "greatest(CAST(0 AS DOUBLE), " + ", ".join(f"CASE WHEN s{k} > 0 THEN {t} ELSE CAST(0 AS DOUBLE) END" for k, t in enumerate(_T)) + ")"
+_OUT = "least(" + ", ".join(f"CASE WHEN s{k} < 0 THEN {t} ELSE {_INF} END" for k, t in enumerate(_T)) + ")"
+_BESIDE = " OR ".join(f"(s{k} = 0 AND h{k} > 0)" for k in range(6))
+
+
+@query(
+    f"""{PC} SELECT {ORD}, CASE WHEN c < {_INF} THEN c END AS closest, CASE WHEN ti <= tu AND NOT o THEN ti END AS t_in, CASE WHEN ti <= tu AND NOT o THEN tu END AS t_out
+FROM (SELECT *, {_AHEAD} AS c, {_IN} AS ti, {_OUT} AS tu, {_BESIDE} AS o FROM (SELECT *, {_ray_sql()} FROM pc))"""
+)
+def ray_through_frustum(spark, d):
+    """Where rays from the eye through each point enter and leave the camera's frustum."""
+    return view.ray_through_frustum(uniform(spark, d), (1.6, -1.2, 1.1), geometry.frustum_planes(CAMERA.matrix)).select(*ORDER, "closest", "t_in", "t_out")
+
+
 # Layout
 
 _CODE = {o: morton_sql(*[oracle.cell(a, 21) for a in "xyz"], 21, o) for o in ("xyz", "zyx")}
@@ -578,6 +603,35 @@ def byte_offset_bins(spark, d):
     return layout.byte_offset_bins(tree_of(spark, d).nodes, 18, 5000)
 
 
+@query(
+    f"""{TREE.replace('WITH ', 'WITH RECURSIVE ', 1)}, sl AS (SELECT level, key, n, row_number() OVER (ORDER BY level, key) AS i, CAST(sum(n) OVER (ORDER BY level, key) - n AS BIGINT) AS o FROM tr WHERE is_leaf),
+lo AS (SELECT CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS held, CAST(0 AS BIGINT) AS bin UNION ALL
+SELECT sl.i, CASE WHEN held > 5000 THEN 0 ELSE held END + n, CASE WHEN held > 5000 THEN bin + 1 ELSE bin END FROM lo JOIN sl ON sl.i = lo.i + 1)
+SELECT bin, count(*) AS nodes, CAST(sum(n) AS BIGINT) AS points, min(level) AS weight, min(o) * 18 AS byte_offset, CAST(sum(n) AS BIGINT) * 18 AS byte_size FROM lo JOIN sl ON lo.i = sl.i GROUP BY 1"""
+)
+def closing_bins(spark, d):
+    """Bins of nodes that are closed once they hold more than 5,000 points."""
+    return layout.closing_bins(tree_of(spark, d).nodes, 18, 5000)
+
+
+_BLOCK = f"""{_BATCHED}, {_SUMMARY}, wd AS (SELECT batch_id, n, (bits_x + bits_y + bits_z) AS bits, bits_x, bits_y, bits_z FROM (SELECT batch_id, n, {_WIDTHS} FROM bs)),
+bk AS (SELECT *, CAST(c + {blocks.ALIGN} - c % {blocks.ALIGN} AS BIGINT) AS byte_size FROM (SELECT *, (bits * n + 7) // 8 AS c FROM wd))"""
+
+
+@query(f"{_BLOCK} SELECT batch_id, n, bits_x, bits_y, bits_z, byte_size, CAST(sum(byte_size) OVER (ORDER BY batch_id) - byte_size AS BIGINT) AS byte_offset, CAST(sum(n) OVER (ORDER BY batch_id) - n AS BIGINT) AS first_point FROM bk")
+def packed_block_plan(spark, d):
+    """Where the bit-packed block of each batch lies."""
+    return blocks.plan_blocks(layout.with_batches(uniform(spark, d), BATCH)).select("batch_id", "n", "bits_x", "bits_y", "bits_z", "byte_size", "byte_offset", "first_point")
+
+
+@query(f"{_BATCHED}, {_SUMMARY} SELECT bt.batch_id, pid - min(pid) OVER (PARTITION BY bt.batch_id) AS place, {_STEPS}, r, g, b FROM bt JOIN bs ON bt.batch_id = bs.batch_id")
+def packed_block_roundtrip(spark, d):
+    """Steps and colours read back from the files of bit-packed blocks."""
+    path = f"{shared_folder(spark)}/blocks-{uuid.uuid4().hex}"
+    blocks.write_blocks(layout.with_batches(uniform(spark, d), BATCH), path)
+    return blocks.read_blocks(spark, path, 16).select("batch_id", "place", "qx", "qy", "qz", "r", "g", "b")
+
+
 # Runs, thinning, streams
 
 _RUNS = "SELECT l_returnflag || l_linestatus AS strategy, l_orderkey * 8 + l_linenumber AS run, l_extendedprice AS duration FROM lineitem"
@@ -616,6 +670,22 @@ def blue_noise_tiles(spark, d):
     return thinning.poisson_disk(embedding_points(spark, d), "vec_id", spacing=0.08)
 
 
+_GROW_CENTRE, _GROW_BASE = (0.0, 0.0), 0.15
+
+
+@query(
+    f"""WITH RECURSIVE pd AS (SELECT vec_id, x, y, sqrt((x - {num(0.0)}) * (x - {num(0.0)}) + (y - {num(0.0)}) * (y - {num(0.0)})) AS d FROM (SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y FROM embeddings)),
+pt AS (SELECT row_number() OVER (ORDER BY d, vec_id) AS i, * FROM pd),
+gr AS (SELECT CAST(0 AS BIGINT) AS i, CAST([] AS STRUCT(x DOUBLE, y DOUBLE, s DOUBLE)[]) AS kept, false AS accepted UNION ALL
+SELECT i, CASE WHEN ok THEN list_append(kept, {{'x': x, 'y': y, 's': {num(_GROW_BASE)} + d / 8}}) ELSE kept END, ok FROM (SELECT pt.i, pt.x, pt.y, pt.d, gr.kept,
+  len(list_filter(gr.kept, lambda k: sqrt((k.x - pt.x) * (k.x - pt.x) + (k.y - pt.y) * (k.y - pt.y)) < k.s)) = 0 AS ok FROM gr JOIN pt ON pt.i = gr.i + 1))
+SELECT vec_id, x, y, d, accepted FROM gr JOIN pt ON pt.i = gr.i"""
+)
+def growing_blue_noise(spark, d):
+    """Greedy thinning from the centre outwards with a spacing that grows with the distance."""
+    return thinning.growing_disk(embedding_points(spark, d), "vec_id", _GROW_CENTRE, _GROW_BASE)
+
+
 @query("SELECT event_type, count(DISTINCT user_id) AS users, count(DISTINCT user_id) = 1 AS single, count(*) AS n FROM events GROUP BY 1")
 def distinct_check(spark, d):
     """Whether rows that should agree do: distinct values by group."""
@@ -658,6 +728,13 @@ def incremental_voxels(spark, d):
     return replay(event_points(spark, d), SMALL).voxels(3)
 
 
+@query(f"{TREE}, {oracle.voxel_ctes('average')} SELECT level, vx, vy, vz, r, g, b, samples FROM vo")
+def incremental_coloured_voxels(spark, d):
+    """Coloured voxels of all levels kept up by a stream of line items, with a compaction on the way."""
+    points = skewed(spark, d).select("x", "y", "z", "r", "g", "b", (F.col("k1") * 8 + F.col("k4")).alias("event_id"))
+    return replay(points, SMALL, compact_at=1).coloured_voxels()
+
+
 # Files
 
 
@@ -686,6 +763,18 @@ def las_sorted_rewrite(spark, d):
     return las.read_las_folder(spark, path, 7_000).select(*"xyzrgb")
 
 
+_BOX = ((0.2, 0.3, 0.1), (0.45, 0.5, 0.6))
+_IN_BOX = " AND ".join(f"{a} BETWEEN {num(lo)} AND {num(hi)}" for a, lo, hi in zip("xyz", *_BOX))
+
+
+@query(f"{PC}, qs AS (SELECT {_LAS}, r, g, b FROM pc) SELECT * FROM qs WHERE {_IN_BOX}")
+def las_box_scan(spark, d):
+    """Points of a box from LAS files in Morton order, of which only ranges that meet the box are read."""
+    path = f"{shared_folder(spark)}/las-{uuid.uuid4().hex}"
+    sinks.write_morton_sorted_las(uniform(spark, d), path, scale=1e-6)
+    return las.read_las_box(las.index_las_folder(spark, path, 1000), *_BOX).select(*"xyzrgb")
+
+
 @query("SELECT CAST(count(*) AS BIGINT) AS points FROM lineitem")
 def probe_point_counts(spark, d):
     """The point count that each file's header holds at byte 107, summed."""
@@ -710,6 +799,32 @@ def payload_scan(spark, d):
     return hierarchy.scan_payload(hierarchy.encode_payload(t.points, 1e-6), octree.leaf_slices(t.nodes), 1e-6, 5000)
 
 
+_STEP_SQL = ", ".join(f"CAST(floor({a} / {num(1e-6)} + {num(0.5)}) AS BIGINT) * {num(1e-6)} + 0 AS {a}" for a in "xyz")
+
+
+def _octree_files(spark, d, voxels: bool = False) -> str:
+    t = tree_of(spark, d)
+    path = f"{shared_folder(spark)}/octree-{uuid.uuid4().hex}"
+    octree_file.write_octree_file(octree.describe(t.nodes), octree_file.node_samples(t.points, t.voxels("average") if voxels else None, SMALL.grid_bits), path, 1e-6)
+    return path
+
+
+@query(
+    f"""{TREE}, {oracle.described()}, {oracle.voxel_ctes('average')}, al AS (SELECT leaf_level AS level, leaf_key AS key, x, y, z, r, g, b FROM lv UNION ALL
+SELECT level, {morton_sql(*[f'(v{a} >> {SMALL.grid_bits})' for a in 'xyz'], SMALL.max_depth)} AS key, {', '.join(f'(v{a} + {num(0.5)}) / pow(CAST(2 AS DOUBLE), level + {SMALL.grid_bits}) AS {a}' for a in 'xyz')}, r, g, b FROM vo)
+SELECT name, al.level, {_STEP_SQL}, r, g, b FROM al JOIN ds ON al.level = ds.level AND al.key = ds.key"""
+)
+def octree_file_roundtrip(spark, d):
+    """Leaf points and inner nodes' voxels written as an octree file and read back."""
+    return octree_file.read_octree_file(spark, _octree_files(spark, d, True), pointsPerPartition=20_000).select("name", "level", *"xyzrgb")
+
+
+@query(f"{_VISIBLE} SELECT name, vs.level, {_STEP_SQL}, r, g, b FROM lv JOIN vs ON lv.leaf_level = vs.level AND lv.leaf_key = vs.key WHERE visible")
+def octree_file_view(spark, d):
+    """Points of the leaves that a camera sees, of which alone bytes are read."""
+    return octree_file.read_octree_file(spark, _octree_files(spark, d), camera=CAMERA, pointsPerPartition=20_000).select("name", "level", *"xyzrgb")
+
+
 @query(
     f"""{TREE}, {oracle.described()}, sl AS (SELECT level, key, CAST(sum(n) OVER (ORDER BY level, key) - n AS BIGINT) AS o FROM tr WHERE is_leaf)
 SELECT name, ds.level, CASE WHEN is_leaf THEN 1 ELSE 0 END AS node_type, child_mask, n AS num_points, 18 * coalesce(o, 0) AS byte_offset, 18 * n AS byte_size

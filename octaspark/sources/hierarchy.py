@@ -14,6 +14,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from octaspark.operators.ordering import running_sum
+from octaspark.sources.files import to_steps
+
 #: A record is type, child mask, points, byte offset and byte size.
 RECORD = "<BBIqq"
 RECORD_SIZE = struct.calcsize(RECORD)
@@ -41,27 +44,30 @@ def decode_chunk(root: str, data: bytes) -> list[tuple]:
 
 
 def encode_chunks(nodes: DataFrame) -> DataFrame:
-    """(chunk, records) from name, level, is_leaf, child_mask, n and slice_offset.
+    """(chunk, chunk_offset, records) from name, level, is_leaf, child_mask, n and slice_offset.
 
-    A chunk has at most 8**0 + ... + 8**STEP records, so its group is small by construction.
+    A chunk has at most 8**0 + ... + 8**STEP records, so its group is small by construction. A proxy tells where
+    the chunk that it stands for lies in a file of all chunks, which follow each other by depth and name.
     """
     own = nodes.select("name", "level", "is_leaf", "child_mask", "n", "slice_offset", F.expr(f"substring(name, 1, 1 + level - level % {STEP})").alias("chunk"), F.lit(False).alias("proxy"))
     heads = own.where(f"level > 0 AND level % {STEP} = 0").withColumns({"chunk": F.expr(f"substring(name, 1, 1 + level - {STEP})"), "proxy": F.lit(True)})
-    fields = F.struct("level", "name", "proxy", "is_leaf", "child_mask", "n", "slice_offset")
-    groups = own.unionByName(heads).groupBy("chunk").agg(F.sort_array(F.collect_list(fields)).alias("nodes"))
+    rows = own.unionByName(heads)
+    sizes = rows.groupBy("chunk").agg((F.count("*") * RECORD_SIZE).alias("chunk_size"))
+    places = running_sum(sizes, F.col("chunk_size"), F.length("chunk"), "chunk", name="chunk_offset")
+    of_proxy = places.select(F.col("chunk").alias("name"), F.lit(True).alias("proxy"), F.col("chunk_offset").alias("at"), F.col("chunk_size").alias("size"))
+    rows = rows.join(of_proxy, ["name", "proxy"], "left").withColumns({"at": F.coalesce("at", F.coalesce("slice_offset", F.lit(0)) * 18), "size": F.coalesce("size", F.col("n") * 18)})
+    fields = F.struct("level", "name", "proxy", "is_leaf", "child_mask", "n", "at", "size")
+    groups = rows.groupBy("chunk").agg(F.sort_array(F.collect_list(fields)).alias("nodes")).join(places.select("chunk", "chunk_offset"), "chunk")
 
     def run(batches):
         for b in batches:
             data = []
-            for rows in b.column(1).to_pylist():
-                out = b""
-                for r in rows:
-                    kind = PROXY if r["proxy"] else LEAF if r["is_leaf"] else NORMAL
-                    out += struct.pack(RECORD, kind, r["child_mask"], r["n"], 18 * (r["slice_offset"] or 0), 18 * r["n"])
-                data.append(out)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(data, pa.binary())], ["chunk", "records"])
+            for rows in b.column(2).to_pylist():
+                kinds = [PROXY if r["proxy"] else LEAF if r["is_leaf"] else NORMAL for r in rows]
+                data.append(b"".join(struct.pack(RECORD, k, r["child_mask"], r["n"], r["at"], r["size"]) for k, r in zip(kinds, rows)))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(data, pa.binary())], ["chunk", "chunk_offset", "records"])
 
-    return groups.mapInArrow(run, "chunk string, records binary")
+    return groups.select("chunk", "chunk_offset", "nodes").mapInArrow(run, "chunk string, chunk_offset long, records binary")
 
 
 def decode_chunks(chunks: DataFrame) -> DataFrame:
@@ -107,7 +113,7 @@ def encode_payload(placed: DataFrame, scale: float) -> DataFrame:
             level, key = (b.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
             out = np.zeros(b.num_rows, _POINT)
             for k in range(3):
-                out["xyz"][:, k] = np.floor(b.column(2 + k).to_numpy(zero_copy_only=False) / scale + 0.5)
+                out["xyz"][:, k] = to_steps(b.column(2 + k).to_numpy(zero_copy_only=False), scale, 0.0)
                 out["rgb"][:, k] = b.column(5 + k).to_numpy(zero_copy_only=False)
             cut = np.flatnonzero((np.diff(level, prepend=-1) != 0) | (np.diff(key, prepend=-1) != 0))
             data = [out[i:j].tobytes() for i, j in zip(cut, [*cut[1:], len(out)])]

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
-from octaspark.staging import cut_lineage
+from octaspark.sources.files import to_steps
+from octaspark.staging import cut_lineage, written
 
 #: Where the colour starts in a record of each point format that has one, and all formats' lengths.
 COLOUR_OFFSET = {2: 20, 3: 28, 5: 28, 7: 30, 8: 30, 10: 30}
@@ -82,8 +83,8 @@ def decode_records(data: bytes, header: LasHeader, origin: Sequence[float] | Non
     return out | {c: colour[:, k] for k, c in enumerate("rgb")}
 
 
-def encode(points: dict[str, np.ndarray], scale: float = 0.001, point_format: int = 2, version: tuple[int, int] = (1, 2)) -> bytes:
-    """A LAS file of x, y, z (non-negative offsets from 0) and 8-bit r, g, b."""
+def encode(points: dict[str, np.ndarray], scale: float = 0.001, point_format: int = 2, version: tuple[int, int] = (1, 2), offset: Sequence[float] = (0.0, 0.0, 0.0)) -> bytes:
+    """A LAS file of x, y, z and 8-bit r, g, b; fails if a coordinate less its offset doesn't fit 32 bits at the scale."""
     n = len(points["x"])
     header = bytearray(375 if version >= (1, 4) else 227)
     header[:4] = b"LASF"
@@ -94,11 +95,11 @@ def encode(points: dict[str, np.ndarray], scale: float = 0.001, point_format: in
     struct.pack_into("<BH", header, 104, point_format, RECORD_LENGTH[point_format])
     struct.pack_into("<Q" if version >= (1, 4) else "<I", header, 247 if version >= (1, 4) else 107, n)
     struct.pack_into("<3d", header, 131, scale, scale, scale)
-    struct.pack_into("<3d", header, 155, 0.0, 0.0, 0.0)
+    struct.pack_into("<3d", header, 155, *offset)
     struct.pack_into("<6d", header, 179, *[v for h, lo in zip(high, low) for v in (h, lo)])
     rows = np.zeros(n, _record(point_format, RECORD_LENGTH[point_format]))
     for k, (a, c) in enumerate(zip("xyz", "rgb")):
-        rows["xyz"][:, k] = np.floor(points[a] / scale + 0.5)
+        rows["xyz"][:, k] = to_steps(points[a], scale, offset[k])
         if point_format in COLOUR_OFFSET:
             rows["rgb"][:, k] = points[c]
     return bytes(header) + rows.tobytes()
@@ -175,7 +176,9 @@ class _LasWriter(DataSourceArrowWriter):
         self.path, self.overwrite = options["path"], overwrite
         self.scale, self.point_format = float(options.get("scale", 0.001)), int(options.get("pointFormat", 2))
         self.per_file = int(options.get("pointsPerFile", 10_000_000))
-        self.folder = f"_temporary-{uuid.uuid4().hex}"
+        self.offset = tuple(map(float, options["offset"].split(","))) if "offset" in options else None
+        self.job = uuid.uuid4().hex
+        self.folder = f"_temporary-{self.job}"
 
     def write(self, batches: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
         from pyspark import TaskContext
@@ -188,9 +191,10 @@ class _LasWriter(DataSourceArrowWriter):
         def close() -> None:
             table = pa.Table.from_batches(rows)
             points = {c: table.column(c).to_numpy() for c in "xyzrgb"}
-            name = f"part-{task.partitionId():05d}-{task.taskAttemptId()}-{len(out):04d}.las"
+            name = f"part-{task.partitionId():05d}-{task.taskAttemptId()}-{len(out):04d}-{self.job}.las"
+            offset = self.offset or tuple(float(np.floor(points[a].min())) for a in "xyz")
             with files.open_output_stream(f"{top}/{self.folder}/{name}") as f:
-                f.write(encode(points, self.scale, self.point_format, (1, 4)))
+                f.write(encode(points, self.scale, self.point_format, (1, 4), offset))
             out.append(name)
 
         for b in batches:
@@ -206,15 +210,14 @@ class _LasWriter(DataSourceArrowWriter):
         return _Written(out)
 
     def commit(self, messages: list) -> None:
-        files, top = _files(self.path)
-        if self.overwrite:
-            from pyarrow import fs
+        from pyarrow import fs
 
-            for old in files.get_file_info(fs.FileSelector(top)):
-                if old.path.endswith(".las"):
-                    files.delete_file(old.path)
+        files, top = _files(self.path)
+        old = [f.path for f in files.get_file_info(fs.FileSelector(top, allow_not_found=True)) if f.path.lower().endswith(".las")] if self.overwrite else []
         for name in (f for m in messages if m for f in m.files):
             files.move(f"{top}/{self.folder}/{name}", f"{top}/{name}")
+        for path in old:  # only now, so that a failure leaves the old files or both, never none
+            files.delete_file(path)
         self.abort(messages)
 
     def abort(self, messages: list) -> None:
@@ -225,7 +228,8 @@ class _LasWriter(DataSourceArrowWriter):
 
 class LasDataSource(DataSource):
     """``spark.read.format("las")`` with options paths (comma-separated), pointsPerPartition, maxPoints, and
-    ``df.write.format("las").save(path)`` of columns x, y, z, r, g, b with options scale, pointFormat, pointsPerFile."""
+    ``df.write.format("las").save(path)`` of columns x, y, z, r, g, b with options scale, pointFormat, pointsPerFile and offset
+    (three numbers with commas; without it each file takes its own least corner, rounded down)."""
 
     @classmethod
     def name(cls) -> str:
@@ -250,17 +254,23 @@ def read_las(spark: SparkSession, *paths: str, **options) -> DataFrame:
 
 
 def write_las(points: DataFrame, path: str, **options) -> None:
+    """Points as LAS files. All get one offset, the cloud's least corner rounded down, unless the options name another."""
     points.sparkSession.dataSource.register(LasDataSource)
+    if "offset" not in options:
+        low = points.agg(*[F.floor(F.min(a)) for a in "xyz"]).first()  # three numbers
+        options["offset"] = ",".join(str(float(v or 0)) for v in low)
     writer = points.select(*"xyzrgb").write.format("las").mode("overwrite")
     for k, v in options.items():
         writer = writer.option(k, v)
     writer.save(path)
 
 
-def read_las_folder(spark: SparkSession, path: str, per_task: int = 1_000_000) -> DataFrame:
-    """Points of all .las files below a folder, relative to the least corner of all; headers are read by tasks, not by the driver."""
+RANGE = "path string, offset_to_points long, point_format int, record_length long, scale array<double>, offset array<double>, first long, count long, low array<double>"
+
+
+def _folder_ranges(spark: SparkSession, path: str, per_task: int) -> DataFrame:
+    """Ranges of at most ``per_task`` records of all .las files below a folder, from headers that tasks read."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.[lL][aA][sS]").option("recursiveFileLookup", True).load(path).select("path")
-    fields = ("path", "offset_to_points", "point_format", "record_length", "scale", "offset", "first", "count", "low")
 
     def ranges(batches):
         for b in batches:
@@ -269,26 +279,86 @@ def read_las_folder(spark: SparkSession, path: str, per_task: int = 1_000_000) -
                 with _open(p) as f:
                     h = parse_header(f.read(375))
                 rows += [(p, h.offset_to_points, h.point_format, h.record_length, h.scale, h.offset, at, min(per_task, h.points - at), h.low) for at in range(0, h.points, per_task)]
-            cols = list(zip(*rows)) or [[]] * len(fields)
+            cols = list(zip(*rows)) or [[]] * 9
             d = pa.list_(pa.float64())
             types = (pa.string(), pa.int64(), pa.int32(), pa.int64(), d, d, pa.int64(), pa.int64(), d)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], list(fields))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], [f.split()[0] for f in RANGE.split(", ")])
+
+    return files.repartition("path").mapInArrow(ranges, RANGE)
 
-    doubles = ", ".join(f"{c} array<double>" for c in ("scale", "offset"))
-    found = cut_lineage(files.repartition("path").mapInArrow(ranges, f"path string, offset_to_points long, point_format int, record_length long, {doubles}, first long, count long, low array<double>"))
-    origin = tuple(found.agg(*[F.min(F.col("low")[k]) for k in range(3)]).first())  # three numbers
 
+def _read_range(r: dict, origin: Sequence[float]) -> Iterator[tuple[int, dict[str, np.ndarray]]]:
+    """Number of the first point and the points, piece by piece, of a row of ``RANGE``; fails if the file ends before the range does."""
+    h = LasHeader((1, 4), r["offset_to_points"], r["point_format"], r["record_length"], r["count"], r["scale"], r["offset"], r["low"], r["low"])
+    with _open(r["path"]) as f:
+        f.seek(h.offset_to_points + r["first"] * h.record_length)
+        for at in range(0, r["count"], 65536):
+            n = min(65536, r["count"] - at)
+            data = f.read(n * h.record_length)
+            if len(data) < n * h.record_length:
+                raise LasError(f"truncated file {r['path']}")
+            yield r["first"] + at, decode_records(data, h, origin)
+
+
+def _read_ranges(ranges: DataFrame, origin: Sequence[float]) -> DataFrame:
     def points(batches):
         for b in batches:
             for r in b.to_pylist():
-                h = LasHeader((1, 4), r["offset_to_points"], r["point_format"], r["record_length"], r["count"], r["scale"], r["offset"], r["low"], r["low"])
-                with _open(r["path"]) as f:
-                    f.seek(h.offset_to_points + r["first"] * h.record_length)
-                    for at in range(0, r["count"], 65536):
-                        data = f.read(min(65536, r["count"] - at) * h.record_length)
-                        yield to_batch(decode_records(data, h, origin), r["path"], r["first"] + at)
+                for first, found in _read_range(r, origin):
+                    yield to_batch(found, r["path"], first)
+
+    return ranges.repartition("path", "first").mapInArrow(points, SCHEMA)
+
+
+def read_las_folder(spark: SparkSession, path: str, per_task: int = 1_000_000) -> DataFrame:
+    """Points of all .las files below a folder, relative to the least corner of all; headers are read by tasks, not by the driver.
+
+    Fails on a file that holds fewer points than its header tells.
+    """
+    found = cut_lineage(_folder_ranges(spark, path, per_task))
+    origin = tuple(found.agg(*[F.min(F.col("low")[k]) for k in range(3)]).first())  # three numbers
+    return _read_ranges(found, origin)
+
+
+def index_las_folder(spark: SparkSession, path: str, per_range: int = 100_000) -> DataFrame:
+    """A row for each range of ``per_range`` records: where it lies in its file, and the box of its points.
+
+    One pass over the files; the table is small (a row for so many points) and is written to the shared folder.
+    Save it beside the files to keep it.
+    """
+    corners = [f"{e}_{a}" for e in ("least", "most") for a in "xyz"]
+
+    def boxes(batches):
+        for b in batches:
+            rows = []
+            for r in b.to_pylist():
+                low, high = np.full(3, np.inf), np.full(3, -np.inf)
+                for _, found in _read_range(r, (0.0, 0.0, 0.0)):
+                    low = np.minimum(low, [found[a].min() for a in "xyz"])
+                    high = np.maximum(high, [found[a].max() for a in "xyz"])
+                rows.append([*low.tolist(), *high.tolist()])
+            extra = [pa.array([r[k] for r in rows], pa.float64()) for k in range(6)]
+            yield pa.RecordBatch.from_arrays([*b.columns, *extra], [*b.schema.names, *corners])
+
+    found = _folder_ranges(spark, path, per_range)
+    return written(found.repartition("path", "first").mapInArrow(boxes, RANGE + "".join(f", {c} double" for c in corners)), "boxes")
+
+
+def ranges_in_box(index: DataFrame, low: Sequence[float], high: Sequence[float]) -> DataFrame:
+    """The rows of an index whose box meets the closed box from ``low`` to ``high``."""
+    meets = F.lit(True)
+    for a, lo, hi in zip("xyz", low, high):
+        meets = meets & (F.col(f"most_{a}") >= F.lit(float(lo))) & (F.col(f"least_{a}") <= F.lit(float(hi)))
+    return index.where(meets)
+
 
-    return found.repartition("path", "first").mapInArrow(points, SCHEMA)
+def read_las_box(index: DataFrame, low: Sequence[float], high: Sequence[float]) -> DataFrame:
+    """The points of a closed box, with their coordinates as stored; only ranges whose box meets it are opened."""
+    points = _read_ranges(ranges_in_box(index, low, high).select([f.split()[0] for f in RANGE.split(", ")]), (0.0, 0.0, 0.0))
+    inside = F.lit(True)
+    for a, lo, hi in zip("xyz", low, high):
+        inside = inside & F.col(a).between(float(lo), float(hi))
+    return points.where(inside)
 
 
 def probe_int32(files: DataFrame, at: int, name: str = "path", content: str = "content") -> DataFrame:
@@ -324,6 +394,8 @@ def scan_las_files(files: DataFrame, name: str = "path", content: str = "content
             for file, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 h = parse_header(data[:375])
                 body = data[h.offset_to_points : h.offset_to_points + h.points * h.record_length]
+                if len(body) < h.points * h.record_length:
+                    raise LasError(f"truncated file {file}")
                 yield to_batch(decode_records(body, h, (0.0, 0.0, 0.0)), file, 0)
 
     return files.select(F.col(name), F.col(content)).mapInArrow(run, SCHEMA)

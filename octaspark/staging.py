@@ -33,11 +33,22 @@ def written(df: DataFrame, name: str, *by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def remove_others(spark: SparkSession, folder: str, keep: str) -> None:
-    """Deletes all entries of a folder but one."""
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(folder)
-    files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    for entry in files.listStatus(at):
-        if entry.getPath().getName() != keep:
-            files.delete(entry.getPath(), True)
+def _files(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def names_in(spark: SparkSession, folder: str) -> list[str]:
+    """Names of a folder's entries, none if it isn't there."""
+    files, at = _files(spark, folder)
+    return sorted(e.getPath().getName() for e in files.listStatus(at)) if files.exists(at) else []
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    files, at = _files(spark, path)
+    files.delete(at, True)
+
+
+def make_folder(spark: SparkSession, path: str) -> None:
+    files, at = _files(spark, path)
+    files.mkdirs(at)

@@ -1,7 +1,8 @@
-"""Incremental builds: the state of a growing tree is its table of finest-cell counts.
+"""Incremental builds: the state of a growing tree is a table of sums by finest voxel cell.
 
-Leaves are not monotone (a leaf may split later), so no node is ever emitted for good:
-each micro-batch adds its counts, and nodes are derived from the counts when asked for.
+Leaves are not monotone (a leaf may split later), so neither nodes nor voxels are ever emitted for good: each
+micro-batch adds its counts and colour sums, and nodes and coloured voxels are derived from the state when
+asked for, equal to those of a build of all points at once.
 """
 
 from __future__ import annotations
@@ -11,27 +12,56 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from octaspark.functions.geometry import morton_inverse
-from octaspark.operators import octree
+from octaspark.functions.geometry import morton, morton_inverse
+from octaspark.operators import octree, voxelize
 from octaspark.operators.octree import TreeSpec
-from octaspark.staging import remove_others, shared_folder, written
+from octaspark.staging import make_folder, names_in, remove, shared_folder
+
+STATE = "cell long, n long, r long, g long, b long"
 
 
 class IncrementalTree:
-    """Folds streams of points into counts kept as one Parquet folder per micro-batch.
+    """Folds streams of points into state, one Parquet folder per micro-batch.
 
-    Writing a batch again (after a failure) replaces its folder, so counts stay exact.
+    Writing a batch again (after a failure) replaces its folder, so sums stay exact. ``compact`` puts batches together
+    under a new name that tells which it holds; the newest such folder that is complete counts, and batches that it holds
+    count no more, whether their folders are still there, are gone, or come again.
     """
 
     def __init__(self, spark: SparkSession, spec: TreeSpec, folder: str):
         self.spark, self.spec, self.folder = spark, spec, folder
 
     def add(self, points: DataFrame, batch_id: int) -> None:
-        counts = octree.cell_counts(octree.with_fine_index(points, self.spec))
-        counts.write.mode("overwrite").parquet(f"{self.folder}/counts/batch={batch_id}")
+        """Folds in a batch of points; without columns r, g, b their colour is black."""
+        if batch_id <= self._compacted()[1]:
+            return  # it came again after it was compacted
+        indexed = octree.with_fine_index(points, self.spec)
+        colours = [F.sum(F.col(c).cast("long")) if c in points.columns else F.lit(0).cast("long") for c in "rgb"]
+        cell = morton(*[F.shiftright(f"i{a}", 1) for a in "xyz"]).alias("cell")
+        state = indexed.groupBy(cell).agg(F.count("*").alias("n"), *[s.alias(c) for s, c in zip(colours, "rgb")])
+        state.write.mode("overwrite").parquet(f"{self.folder}/state/batch={batch_id}")
+
+    def _compacted(self) -> tuple[str | None, int]:
+        """Name of the newest complete compaction, and the last batch that it holds."""
+        done = [n for n in names_in(self.spark, f"{self.folder}/done")]
+        if not done:
+            return None, -1
+        newest = max(done, key=lambda n: int(n.split("-")[1]))
+        return newest, int(newest.split("-")[1])
+
+    def state(self) -> DataFrame:
+        """cell, n and sums r, g, b of all points so far."""
+        newest, last = self._compacted()
+        folders = [n for n in names_in(self.spark, f"{self.folder}/state") if n.startswith("batch=") and int(n[6:]) > last]
+        folders += [newest] if newest else []
+        if not folders:
+            return self.spark.createDataFrame([], STATE)
+        rows = self.spark.read.schema(STATE).parquet(*[f"{self.folder}/state/{n}" for n in folders])
+        return rows.groupBy("cell").agg(*[F.sum(c).alias(c) for c in ("n", "r", "g", "b")])
 
     def counts(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/counts").groupBy("key").agg(F.sum("n").alias("n"))
+        """key and n of the cells of the deepest nodes."""
+        return self.state().groupBy(F.shiftright("cell", 3 * (self.spec.grid_bits - 1)).alias("key")).agg(F.sum("n").alias("n"))
 
     def nodes(self) -> DataFrame:
         return octree.nodes(self.counts(), self.spec)
@@ -50,25 +80,43 @@ class IncrementalTree:
         at = morton_inverse(F.col("cell"), self.spec.max_depth)
         return cells.select("level", *[c.alias(f"v{a}") for a, c in zip("xyz", at)], "n")
 
-    def compact(self, name: str) -> None:
-        """Puts the counts of all batches into one folder; call it while no query follows a stream."""
-        total = written(self.counts(), "counts")
-        total.write.mode("overwrite").parquet(f"{self.folder}/counts/batch={name}")
-        remove_others(self.spark, f"{self.folder}/counts", f"batch={name}")
+    def coloured_voxels(self) -> DataFrame:
+        """level, vx, vy, vz, r, g, b and samples of all inner nodes' voxels, averaged."""
+        cells = self.state().withColumn("key", F.shiftright("cell", 3 * (self.spec.grid_bits - 1)))
+        return voxelize.average_from_sums(octree.with_leaf(cells, self.spec, self.counts(), self.nodes()), self.spec)
+
+    def compact(self) -> None:
+        """Puts all batches so far together; a crash at any point leaves the state as it was or as it will be."""
+        newest, last = self._compacted()
+        covered = [n for n in names_in(self.spark, f"{self.folder}/state") if n.startswith("batch=")]
+        upto = max([last, *(int(n[6:]) for n in covered)])
+        if upto == last:
+            return
+        name = f"upto-{upto}-{uuid.uuid4().hex}"
+        self.state().write.parquet(f"{self.folder}/state/{name}")
+        make_folder(self.spark, f"{self.folder}/done/{name}")  # from here on it counts
+        for old in [*covered, *([newest] if newest else [])]:
+            remove(self.spark, f"{self.folder}/state/{old}")
+        if newest:
+            remove(self.spark, f"{self.folder}/done/{newest}")
 
     def follow(self, stream: DataFrame):
         """Starts a query that folds in what arrives; call ``stop`` or ``awaitTermination`` on it."""
         return stream.writeStream.foreachBatch(self.add).option("checkpointLocation", f"{self.folder}/progress").trigger(availableNow=True).start()
 
 
-def replay(points: DataFrame, spec: TreeSpec, files: int = 4) -> IncrementalTree:
-    """An incremental tree after streaming ``points`` (with event_id), a file at a time."""
+def replay(points: DataFrame, spec: TreeSpec, files: int = 4, order: str = "event_id", compact_at: int | None = None) -> IncrementalTree:
+    """An incremental tree after streaming ``points``, a file at a time; with ``compact_at`` the batches until that one are put together."""
     spark = points.sparkSession
     top = f"{shared_folder(spark)}/incremental-{uuid.uuid4().hex}"
-    points.repartitionByRange(files, "event_id").write.option("maxRecordsPerFile", 5_000_000).parquet(f"{top}/in")
+    points.repartitionByRange(files, order).write.option("maxRecordsPerFile", 5_000_000).parquet(f"{top}/in")
     tree = IncrementalTree(spark, spec, top)
     stream = spark.readStream.schema(points.schema).option("maxFilesPerTrigger", 1).parquet(f"{top}/in")
-    tree.follow(stream).awaitTermination()
+    if compact_at is not None:
+        once = stream.writeStream.foreachBatch(lambda df, k: (tree.add(df, k), tree.compact() if k == compact_at else None)[0])
+        once.option("checkpointLocation", f"{top}/progress").trigger(availableNow=True).start().awaitTermination()
+    else:
+        tree.follow(stream).awaitTermination()
     return tree
 
 
