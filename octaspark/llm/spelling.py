@@ -1,17 +1,16 @@
 """Operator 13: spelling variants by a relational trie frontier.
 
-Words are counted over all texts. The frequent ones form a trie, kept as a table of its nodes by
-depth: a node is a prefix, with its children's letters, counts and next letters. States (word,
-position, node, edits) are joined with the nodes of one depth at a time. A state without an edit
-stands where its word stands; there it may replace the word's letter by a greater one, or drop
-it, and goes to edits = 1. A state with an edit follows its word's letters. A child is taken only
-if it has the letter that the word needs next. A state that has used up its word at a
-node that is itself a word tells a pair of neighbours. Each pair is found once (the lesser word replaces, the
-longer one drops; of a run of equal letters the last is dropped) and then read both ways.
-
-The nodes of depth 0 and 1 are at most 1 + 90 rows, as an alphabet has 90 letters, and are
-broadcast; below that the join shuffles by node, and AQE splits a node with very many states. After every
-``STRIDE`` depths the states are written to the shared folder; the tables are deleted when the neighbours are.
+Words are counted over all texts. The frequent ones, forwards and backwards, form a trie, kept as a table of
+its nodes by depth: a node is a prefix, with its children's letters, counts and next letters. States (word, position,
+node, edits) are joined with the nodes of one depth at a time. A state without an edit stands where its word stands;
+in the second half of the word it may replace a letter by a greater one, or drop it, and has an edit from then on
+(edits in the first half are made in the second half of the word read backwards). A state with an edit follows its
+word's letters. A child is taken only if it has the letter that the word needs next. A state that has used up its
+word at a node that is itself a word tells a pair of neighbours. Each pair is found once (the lesser word
+replaces, the longer one drops; of a run of equal letters the last is dropped) and then read both ways.
+
+Joins shuffle by node, and AQE splits a node with very many states. After every ``STRIDE`` depths the states are
+written to the shared folder; the tables are deleted when the neighbours are written.
 
 The frontier goes ``LEVELS`` deep. Words longer than that are settled by an exact way for the rest: hashes
 of the word without each of its letters, joined with hashes of other words and of words without the
@@ -44,7 +43,7 @@ LEVELS = 40
 #: So many depths are joined in one job, then the states are written.
 STRIDE = 4
 #: Letters of the distinct words that a task counts before it passes them on.
-HELD_LETTERS = 4_000_000
+HELD_LETTERS = 1_000_000
 _RUN = re.compile("[A-Za-zÀ-ÿ]+")
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -79,71 +78,91 @@ def count_words(docs: DataFrame, id_col: str = "doc_id", text: str = "text", mod
             return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], ["word", "n"])
 
         for b in batches:
-            for key, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                for w, n in words_of(key, t, modulus, least_letters).items():
-                    if w not in held:
-                        letters += len(w)
-                    held[w] += n
-                if letters > HELD_LETTERS:
-                    yield out()
-                    held, letters = Counter(), 0
+            for part in (b.slice(lo, 256) for lo in range(0, b.num_rows, 256)):
+                for key, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                    for w, n in words_of(key, t, modulus, least_letters).items():
+                        if w not in held:
+                            letters += len(w)
+                        held[w] += n
+                    if letters > HELD_LETTERS:
+                        yield out()
+                        held, letters = Counter(), 0
         yield out()
 
     rows = docs.select(F.col(id_col).cast("string").alias("key"), F.col(text).alias("text"))
     return rows.mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= least_count)
 
 
-def trie(words: DataFrame, levels: int = LEVELS) -> DataFrame:
-    """depth, node (a prefix), own (the count of the node as a word, else 0) and kids (letter, count, next letters).
+def both_ways(words: DataFrame) -> DataFrame:
+    """w, n and first: each word behind ``>`` and, backwards, behind ``<``, and the first place where it may be edited.
 
-    A prefix's row is pre-aggregated by task; it holds at most as many letters as an alphabet has.
+    An edit in the second half of a word is found forwards, one in the first half backwards: so a state has used
+    half of its word before it branches, where nodes have few children.
     """
-    prefixes = words.select("word", "n", F.explode(F.sequence(F.lit(0), F.length("word"))).alias("depth"))
-    at = prefixes.select("depth", F.substring("word", F.lit(1), F.col("depth")).alias("node"), F.when(F.col("depth") == F.length("word"), F.col("n")).otherwise(0).alias("own"), F.substring("word", F.col("depth") + 1, F.lit(1)).alias("next"))
-    nodes = at.groupBy("depth", "node").agg(F.max("own").alias("own"), F.array_join(F.array_sort(F.collect_set("next")), "").alias("letters"))
-    kid = F.struct(F.right("node", F.lit(1)).alias("letter"), F.col("own").alias("n"), F.col("letters").alias("next"))
-    edges = nodes.where("depth > 0").groupBy((F.col("depth") - 1).alias("depth"), F.substring("node", F.lit(1), F.col("depth") - 1).alias("node")).agg(F.collect_list(kid).alias("kids"))
-    return nodes.select("depth", "node", "own").join(edges, ["depth", "node"])
-
-
-def _letter(at: str) -> str:
-    return f"substring(word, {at} + 1, 1)"
+    half = F.floor(F.length("word") / 2).cast("int")
+    forwards = F.struct(F.concat(F.lit(">"), "word").alias("w"), (1 + half).alias("first"))
+    backwards = F.struct(F.concat(F.lit("<"), F.reverse("word")).alias("w"), (1 + F.length("word") - half).alias("first"))
+    return words.select("n", F.explode(F.array(forwards, backwards)).alias("s")).select("s.w", "n", "s.first")
 
 
-#: A child whose letter is taken leads on if the word ends there and it is a word, or has the letter needed next.
-_LEADS_ON = "IF({at} = length(word), k.n > 0, instr(k.next, substring(word, {at} + 1, 1)) > 0)"
+def trie(words: DataFrame) -> DataFrame:
+    """depth, node (a prefix of some w), own (the count of the node as a word, else 0), letters (that follow) and kids (letter, count, next letters).
 
-
-def advance(states: DataFrame, nodes: DataFrame) -> DataFrame:
-    """States (word, n, pos, node, edits, m) one node deeper, from states at the nodes of one depth.
-
-    A state that has ended at a word of count ``m`` stays as it is. Others have a null ``m``.
+    A prefix's row is pre-aggregated by task; it holds at most as many letters as an alphabet has.
     """
-    first = f"k.letter > {_letter('pos')} AND {_LEADS_ON.format(at='(pos + 1)')}"  # replaces the letter
-    # Drops the letter: not before one of the same, whose dropping gives the same word.
-    dropped = f"k.letter = {_letter('pos + 1')} AND pos + 1 < length(word) AND {_letter('pos')} <> {_letter('pos + 1')} AND {_LEADS_ON.format(at='(pos + 2)')}"
-    follows = f"k.letter = {_letter('pos')} AND {_LEADS_ON.format(at='(pos + 1)')}"
-    to = lambda test, used: f"transform(filter(kids, k -> {test}), k -> named_struct('letter', k.letter, 'm', k.n, 'pos', pos + {used}))"
-    shorter = "IF(own > 0 AND pos + 1 = length(word), array(named_struct('letter', '', 'm', own, 'pos', pos + 1)), array())"
-    moves = f"CASE WHEN m IS NOT NULL THEN array(named_struct('letter', '', 'm', m, 'pos', pos)) WHEN kids IS NULL THEN array() WHEN edits = 0 THEN concat({to(first, 1)}, {to(dropped, 2)}, {shorter}) ELSE {to(follows, 1)} END"
-    moved = states.join(nodes, "node", "left").select("word", "n", "node", F.explode(F.expr(moves)).alias("k"))
-    ended = F.col("k.pos") == F.length("word")
-    return moved.select("word", "n", F.col("k.pos").alias("pos"), F.concat("node", "k.letter").alias("node"), F.lit(1).alias("edits"), F.when(ended, F.col("k.m")).alias("m"))
+    prefixes = words.select("w", "n", F.explode(F.sequence(F.lit(1), F.length("w"))).alias("depth"))
+    own = F.when(F.col("depth") == F.length("w"), F.col("n")).otherwise(0).alias("own")
+    at = prefixes.select("depth", F.substring("w", F.lit(1), F.col("depth")).alias("node"), own, F.substring("w", F.col("depth") + 1, F.lit(1)).alias("next"))
+    nodes = written(at.groupBy("depth", "node").agg(F.max("own").alias("own"), F.array_join(F.collect_set("next"), "").alias("letters")), "prefixes")
+    kid = F.struct(F.right("node", F.lit(1)).alias("letter"), F.col("own").alias("n"), F.col("letters").alias("next"))
+    edges = nodes.where("depth > 1").groupBy((F.col("depth") - 1).alias("depth"), F.substring("node", F.lit(1), F.col("depth") - 1).alias("node")).agg(F.collect_list(kid).alias("kids"))
+    return nodes.join(edges, ["depth", "node"], "left")
+
+
+def edited(words: DataFrame, nodes: DataFrame, depth: int) -> DataFrame:
+    """States (w, n, pos, node, m) that edit their word's letter at ``depth``; ``m`` is the count of the word that they end at, else null."""
+    at = lambda k: F.substring("w", depth + k + 1, 1)
+    fresh = words.where((F.col("first") <= depth) & (F.length("w") > depth))
+    fresh = fresh.select("w", "n", F.substring("w", 1, depth).alias("node"), at(0).alias("a"), at(1).alias("b"), at(2).alias("c"), F.length("w").alias("z"))
+    # Of a run of equal letters the last is dropped, in the order of the word.
+    one_of_run = f"IF(startswith(w, '>'), a <> b, substring(w, {depth}, 1) <> a)"
+    replaces = f"k.letter > a AND IF({depth + 1} = z, k.n > 0, instr(k.next, b) > 0)"
+    drops = f"{depth + 1} < z AND k.letter = b AND {one_of_run} AND IF({depth + 2} = z, k.n > 0, instr(k.next, c) > 0)"
+    kids = fresh.join(nodes.where("kids IS NOT NULL").select("node", "kids"), "node").select("w", "n", "node", "a", "b", "c", "z", F.explode("kids").alias("k"))
+    moves = F.explode(F.expr(f"array_compact(array(IF({replaces}, {depth + 1}, NULL), IF({drops}, {depth + 2}, NULL)))")).alias("pos")
+    led = kids.where(f"({replaces}) OR ({drops})").select("w", "n", "z", "node", "k", moves)
+    return led.select("w", "n", "pos", F.concat("node", "k.letter").alias("node"), F.when(F.col("pos") == F.col("z"), F.col("k.n")).alias("m"))
+
+
+def followed(states: DataFrame, below: DataFrame) -> DataFrame:
+    """States with an edit after their word's next letter; ``below`` are the nodes one deeper. States that have ended stay."""
+    letter = lambda k: F.expr(f"substring(w, pos + {k + 1}, 1)")
+    ended = F.col("m").isNotNull()
+    to = F.when(ended, F.concat(F.lit("!"), "w")).otherwise(F.concat("node", letter(0)))  # the ended match none, each on its own key
+    met = states.withColumn("to", to).join(below.select(F.col("node").alias("to"), "own", "letters"), "to", "left")
+    last = F.expr("pos + 1 = length(w)")
+    on = F.when(last, F.col("own") > 0).otherwise(F.instr("letters", letter(1)) > 0)
+    further = (F.col("pos") + 1).alias("pos")
+    kept = met.where(ended | on)
+    return kept.select("w", "n", F.when(ended, F.col("pos")).otherwise(further).alias("pos"), F.when(ended, F.col("node")).otherwise(F.col("to")).alias("node"), F.when(ended, F.col("m")).when(last, F.col("own")).alias("m"))
 
 
 def neighbours(words: DataFrame, levels: int = LEVELS) -> DataFrame:
     """word, n, other, m: each pair of words up to ``levels`` letters that are one edit apart, once, with their counts."""
-    short = words.where(F.length("word") <= levels)
-    nodes = written(trie(short, levels).repartition("depth", "node").sortWithinPartitions("depth"), "nodes")
-    deepest = nodes.agg(F.max("depth")).first()[0]
-    states = short.where("false").select("word", "n", F.lit(0).alias("pos"), F.lit("").alias("node"), F.lit(0).alias("edits"), F.lit(None).cast("long").alias("m"))
-    for depth in range(0 if deepest is None else deepest + 1):
-        fresh = short.where(F.length("word") > depth).select("word", "n", F.lit(depth).alias("pos"), F.substring("word", 1, depth).alias("node"), F.lit(0).alias("edits"), F.lit(None).cast("long").alias("m"))
-        level = nodes.where(F.col("depth") == depth).drop("depth")
-        states = advance(states.unionByName(fresh) if depth else fresh, F.broadcast(level) if depth < 2 else level)
-        if (depth + 1) % STRIDE == 0:
+    lines = written(both_ways(words.where(F.length("word") <= levels)), "lines")
+    nodes = written(trie(lines).repartition("depth", "node").sortWithinPartitions("depth"), "nodes")
+    shape = lines.agg(F.min("first"), F.max(F.length("w"))).first()  # two numbers
+    # A word without its last letter, where that is a word.
+    cut = lines.where("first < length(w) AND (startswith(w, '>') OR right(w, 1) <> substring(w, -2, 1))").withColumn("node", F.expr("substring(w, 1, length(w) - 1)"))
+    states = cut.join(lines.select(F.col("w").alias("node"), F.col("n").alias("m")), "node").select("w", "n", F.length("w").alias("pos"), "node", "m")
+    for depth in range(shape[0] or 0, shape[1] or 0):
+        level = lambda d: nodes.where(F.col("depth") == d).drop("depth")
+        # What was edited before stands at nodes of this depth.
+        states = followed(states, level(depth + 1)).unionByName(edited(lines, level(depth), depth))
+        if (depth - shape[0]) % STRIDE == STRIDE - 1:
             states = written(states, f"frontier-{depth}")
-    return states.where("m IS NOT NULL").select("word", "n", F.col("node").alias("other"), "m")
+    plain = lambda c: F.when(F.startswith(c, F.lit("<")), F.reverse(F.substring(c, 2, levels))).otherwise(F.substring(c, 2, levels))
+    return states.where("m IS NOT NULL").select(plain(F.col("w")).alias("word"), "n", plain(F.col("node")).alias("other"), "m")
 
 
 def _deletions(batches):
