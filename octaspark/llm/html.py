@@ -1,21 +1,25 @@
 """Operator 4: main text of web pages by a decision tree over flat text blocks.
 
-A page becomes a flat list of text blocks: runs of text between block-level tags, with
-inline markup dropped. Each block has its number of words, its link density, both of
-its neighbours, and where it stands: in an article, in a main element or a container named
-as content, or in neither, and what is the most that the page has of these; inside something
-that is or is named a menu, header, footer, sidebar, notice, advert, form or comments;
-whether it is a heading, and whether it reads like a notice. A decision tree tells main
-text from the rest. It is grown on the blocks of a few hundred small pages made by rule
-(``labelled_pages``), whose main text is known by construction.
+A page becomes a flat list of text blocks: runs of text between block-level tags, with inline markup dropped.
+Blocks in elements whose tag or role is that of a menu, footer, sidebar, form or the like, which are hidden, or whose
+class or id names them as such, don't count. A name is judged by whole tokens: all parts of a compound must be
+words for such elements or say nothing, and an element that holds the page's main element is never set aside by its
+name. Of several articles, those inside another and teasers (small beside the largest) don't count either.
+
+All other blocks are classified by a decision tree that sees a block's number of words and link density, both of the
+block before and after it, whether it stands in an article, a main element or neither, the most that the page has
+of these, whether it is a heading and whether it reads like a notice. It is grown on the blocks of a few hundred small
+pages made by rule (``labelled_pages``), whose main text is known by construction; blocks that are set aside aren't
+among its examples, so it must tell the rest by words, links and neighbours.
 
 Character references are decoded, white space inside a block becomes one space, and
 main blocks are joined in page order by two line ends. Scripts, styles and templates
 are skipped to their end tag, or to the end of the page without one; other elements whose
-content isn't text (media, buttons) only if they have an end tag.
+content isn't text (media, buttons) only if they have an end tag. Work is linear in the page's length.
 
 Defined results: null and empty pages have empty text. A tag that the page's end cuts off
-is dropped. Where everything would be a form's, forms count as plain containers.
+is dropped. Where the tree takes nothing, all that isn't links or a notice counts; where nothing at all would
+be left, names don't set aside, and then forms don't.
 Equal pages have equal texts. Repeated and very long pages are rows like others. Extra columns are ignored.
 """
 
@@ -47,32 +51,45 @@ IMPLIED = {"p": set(), "li": {"ul", "ol", "menu", "dir"}, "dt": {"dl"}, "dd": {"
 ASIDE_WORDS = set(
     "ad ads advert adverts advertisement advertising adsense sponsor sponsors sponsored promo promos promotion banner cookie cookies consent gdpr notice notices alert alerts "
     "popup modal overlay newsletter subscribe subscription signup login navbar nav navigation menu menus breadcrumb breadcrumbs sidebar aside widget widgets related recommended "
-    "recommendations share sharing social comment comments commentlist disqus replies reply respond footer masthead toolbar topbar pagination pager skip search copyright legal disclaimer".split()
+    "recommendations share sharing social comment comments commentlist disqus replies reply respond responses opinion opinions feedback discussion discuss talkback guestbook "
+    "footer masthead toolbar topbar pagination pager skip search copyright legal disclaimer teaser teasers".split()
 )
 HEADER_WORDS = {"header", "head", "top"}
 ARTICLE_WORDS = {"article", "post", "entry", "story", "content", "main"}
 CONTAINER_WORDS = ARTICLE_WORDS | {"body", "text", "page", "news", "blog", "single", "wrapper", "container", "area"}
-#: A name that starts so tells what an element has or lacks, not what it is.
-MODIFIERS = {"with", "has", "have", "no", "without", "non", "not", "after", "before", "is", "hide", "show"}
+#: Tokens that by themselves say that an element holds the page or its article.
+CONTAINERS = CONTAINER_WORDS | {"wrap", "layout", "site", "hentry", "app", "root", "grid", "row", "document"}
+#: Parts of a compound that say nothing about what an element is.
+NEUTRAL = set(
+    "site main left right top bottom box boxes list bar block area section wrapper wrap container inner outer item items post posts article articles page link links user users reader readers "
+    "global primary secondary story stories content slot unit text group panel module col column header head title more my the and cnt js sub entry form icons buttons media news".split()
+)
+#: A name that starts so tells what an element has or lacks or is about, not what it is; one that ends so tells a state.
+MODIFIERS = {"with", "has", "have", "no", "without", "non", "not", "after", "before", "is", "hide", "show", "category", "cat", "tag", "format", "type", "status", "layout", "topic", "theme", "template"}
+STATES = {"open", "opened", "closed", "active", "enabled", "disabled", "visible", "collapsed", "expanded", "off", "on", "allowed", "loaded", "ready"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "alert", "dialog", "form"}
-NOTICE = re.compile(r"\u00a9|\(c\) ?\d|\bcopyright\b|all rights reserved|\bcookies?\b|\bsubscribe\b|\bsign (?:up|in)\b|\blog ?in\b|privacy policy|terms of (?:use|service)", re.I)
+NOTICE = re.compile(
+    r"\u00a9|\(c\) ?\d|\bcopyright\b|all rights reserved|\b(?:uses?|accept(?: all)?) cookies\b|\bcookie (?:policy|settings|notice|preferences)\b|\bsubscribe (?:to|now|here|today)\b"
+    r"|\bsign up (?:for|to|now|here)\b|\b(?:sign|log) ?in (?:to|now|here)\b|privacy policy|terms of (?:use|service)",
+    re.I,
+)
 _ATTRIBUTE = re.compile(r"""(?<![\w-])(class|id|role|hidden|style|aria-hidden)(?![\w-])(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?""", re.I)
 _PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
     r"|<(?P<raw>" + "|".join(RAW) + r")(?=[\s/>])[^>]*>(?:.*?(?:</(?P=raw)\s*>|\Z))"
-    r"|<(?P<closed>" + "|".join(CLOSED) + r")(?=[\s/>])(?:[^>]*/>|[^>]*>.*?</(?P=closed)\s*>)"
     r"|<(?P<end>/?)(?P<tag>[a-z][a-z0-9:-]*)(?P<rest>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|<(?P<end2>/?)(?P<tag2>[a-z][a-z0-9:-]*)(?P<rest2>[^>]*+)>"
     r"|<[!?][^>]*(?:>|\Z)"
     r"|</?[a-z][^>]*\Z",
     re.I | re.S,
 )
+_CLOSED_END = {name: re.compile(rf"</{name}\s*>", re.I) for name in CLOSED}
 
-FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "content", "page_content", "set_aside", "heading", "notice")
+FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "content", "page_content", "heading", "notice")
 
 
-def labelled_pages(seed: int = 7, pages: int = 80) -> list[str]:
+def labelled_pages(seed: int = 7, pages: int = 150) -> list[str]:
     """Small pages by rule, ``pages`` of each of four layouts; words of main text start with m, others with o."""
     rng = random.Random(seed)
 
@@ -96,7 +113,7 @@ def labelled_pages(seed: int = 7, pages: int = 80) -> list[str]:
         for _ in range(pages):
             share = (0, 0, 0, 0.1, 0.4) if layout == "bare" else (0, 0, 0, 0.3, 1)
             least = 6 if layout == "bare" else 1
-            body = [f"<h1>{text('m', 2, 12)}</h1>"]
+            body = [f"<h1>{text('m', 2, 12)}</h1>" if layout != "bare" or rng.random() < 0.7 else ""]
             for k in range(rng.choice((1, 1, 2, 3, 5, 8, 12))):
                 body.append(f"<p>{text('m', least if k else 2 * least, rng.choice((14, 40, 120)), rng.choice(share))}</p>")
                 body.append(maybe(0.2, lambda: f"<h2>{text('m', 1, 7)}</h2><p>{text('m', 2 * least, 60)}</p>"))
@@ -107,6 +124,7 @@ def labelled_pages(seed: int = 7, pages: int = 80) -> list[str]:
                     body.append(maybe(0.2, lambda: f"<p>{text('m', 1, 6)}</p><p>{text('m', 12, 60)}</p>"))
             body.append(maybe(0.3, lambda: named("comments", "userComments")))
             inner = "".join(body)
+            slogan = lambda: rng.choice(("", "", f"<p>{text('o', 2, 9)}</p>", f"<div>{text('o', 1, 5)}</div><div>{text('o', 2, 8, 0.5)}</div>"))
             stray = lambda: maybe(0.4, lambda: f"<p>{text('o', 3, 60)}</p>")
             if layout == "article":
                 inner = stray() + f"<article>{inner}</article>" + stray()
@@ -116,10 +134,11 @@ def labelled_pages(seed: int = 7, pages: int = 80) -> list[str]:
                 inner = stray() + f"<main>{inner}</main>" + stray()
             elif layout == "named":
                 inner = stray() + f'<div class="{rng.choice(("content", "article-body", "post-content"))}">{inner}</div>' + stray()
-            notice = lambda: rng.choice(("ocopy copyright oall", "we use cookies ohere", "subscribe ohere onow", "&copy; 2024 oname"))
+            notice = lambda: rng.choice(("ocopy copyright oall", "we use cookies ohere", "subscribe now ohere", "&copy; 2024 oname"))
             top = rng.choice((f"<nav>{links(2, 8)}</nav>", links(2, 8), f"<header>{text('o', 1, 4, 1)}</header>", f"<div>{text('o', 1, 4, 1)}</div>{links(2, 6)}"))
+            top = maybe(0.7, lambda: top)
             end = rng.choice((f"<footer>{text('o', 2, 12)}</footer>", named("footer", "site-footer"), f"<div>{notice()} {text('o', 1, 12, 0.3)}</div>", f"<p>{notice()}</p>{links(2, 5)}", links(2, 6), ""))
-            out.append(f"<html><body>{maybe(0.3, lambda: f'<div>{notice()} {text('o', 2, 30)}</div>')}{top}{inner}{end}</body></html>")
+            out.append(f"<html><body>{maybe(0.3, lambda: f'<div>{notice()} {text('o', 2, 30)}</div>')}{slogan()}{top}{slogan()}{inner}{end}</body></html>")
     return out
 
 
@@ -165,7 +184,11 @@ def grow(x: np.ndarray, y: np.ndarray, depth: int = 10, least: int = 3) -> Node:
 @functools.lru_cache(maxsize=1)
 def train() -> Node:
     """The tree grown on the blocks of the labelled pages."""
-    found = [(f, b.text) for page in labelled_pages() for b, f in features(blocks(page))]
+    found = []
+    for page in labelled_pages():
+        page_blocks = blocks(page)
+        out = set_aside(page_blocks)
+        found += [(f, b.text) for b, f, o in zip(page_blocks.blocks, features(page_blocks, out), out) if not o]
     x = np.array([f for f, _ in found], float)
     return grow(x, np.array([t[0] == "m" for _, t in found], float))
 
@@ -176,42 +199,95 @@ class Block:
     words: int
     links: float
     content: int  # 2 in an article, 1 in a main element or named container
-    set_aside: bool
-    form: bool
+    strong: bool  # in something whose tag, role or state sets it aside
+    named: int  # the innermost element whose name does, or -1
+    form: int  # the innermost form, or -1
+    article: int  # the outermost article, or -1
+    nested: bool  # in an article inside an article
     heading: bool
 
 
-def _says(tag: str, rest: str, content: int) -> tuple[bool, int]:
-    """Whether attributes name the element as something beside the main text, or hide it, and what content it is."""
-    inside = 0
+@dataclass
+class Page:
+    blocks: list[Block]
+    named: list[tuple[int, int]]  # of each named element: the one around it, and which anchors it holds (a sum of bits)
+    excused: set[int]  # forms around the content
+    anchor: int  # the bit of the best anchor that the page has
+
+
+#: What marks the main element of a page, best first; an h1 does only in what holds most of the page's words.
+MAIN, ARTICLE, NAMED, HEADLINE = 8, 4, 2, 1
+
+
+def names_aside(value: str, content: int) -> tuple[bool, int]:
+    """Whether a class or id names an element as something beside the main text, and what content it names."""
+    tokens = [[x.lower() for x in _PARTS.findall(t)] for t in value.split()]
+    tokens = [t for t in tokens if t and t[0] not in MODIFIERS and t[-1] not in STATES]
+    inside = max((1 for t in tokens if not ARTICLE_WORDS.isdisjoint(t) and CONTAINER_WORDS.issuperset(t)), default=0)
+    if any(len(t) == 1 and t[0] in CONTAINERS for t in tokens):
+        return False, inside
+    for t in tokens:
+        own = [x for x in t if x in ASIDE_WORDS]
+        if own and all(x in ASIDE_WORDS or x in NEUTRAL or x.isdigit() or len(x) == 1 for x in t):
+            return True, 0
+        if t[-1] in HEADER_WORDS and not content and ARTICLE_WORDS.isdisjoint(t):
+            return True, 0
+    return False, inside
+
+
+def _says(rest: str, content: int) -> tuple[bool, bool, int]:
+    """Of an element's attributes: whether they set it aside by role or hide it, whether by name, and what content it is."""
+    named, inside = False, 0
     for m in _ATTRIBUTE.finditer(rest):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value, re.I):
-            return True, 0
+            return True, False, 0
         if name == "role":
             if value.lower() in ROLES and not (value.lower() == "banner" and content):
-                return True, 0
+                return True, False, 0
             inside = max(inside, {"article": 2, "main": 1}.get(value.lower(), 0))
         if name in ("class", "id"):
-            for token in value.split():
-                parts = [x.lower() for x in _PARTS.findall(token)]
-                if not parts or parts[0] in MODIFIERS:
-                    continue
-                of_article = not ARTICLE_WORDS.isdisjoint(parts)
-                if not ASIDE_WORDS.isdisjoint(parts) or parts[-1] in HEADER_WORDS and not content and not of_article:
-                    return True, 0
-                if of_article and CONTAINER_WORDS.issuperset(parts):
-                    inside = max(inside, 1)
-    return False, inside
+            aside, more = names_aside(value, content)
+            named, inside = named or aside, max(inside, more)
+    return False, named, inside
+
+
+class _Open:
+    """The elements that are open: what holds for a block within them is kept with each, so nothing is searched."""
 
+    def __init__(self):
+        self.stack: list[tuple] = []  # name, and the state within: content, strong, named, form, article, nested
+        self.places: dict[str, list[int]] = {}
 
-def blocks(page: str) -> list[Block]:
+    @property
+    def state(self) -> tuple:
+        return self.stack[-1][1] if self.stack else (0, False, -1, -1, -1, False)
+
+    def push(self, name: str, state: tuple) -> None:
+        self.places.setdefault(name, []).append(len(self.stack))
+        self.stack.append((name, state))
+
+    def last(self, name: str) -> int:
+        at = self.places.get(name)
+        return at[-1] if at else -1
+
+    def cut(self, at: int) -> None:
+        while len(self.stack) > at:
+            self.places[self.stack.pop()[0]].pop()
+
+
+def blocks(page: str) -> Page:
     """All text blocks of a page, in order."""
     out: list[Block] = []
-    open_tags: list[tuple[str, int, bool, bool]] = []  # name, content, set aside, form
+    opened = _Open()
+    named: list[list[int]] = []
+    forms, forms_open, excused = 0, [], set()
+    articles = 0
+    anchors = 0
+    no_end: set[str] = set()
     text: list[str] = []
     linked: list[str] = []
-    state = (0, False, False)
+    state = opened.state
     in_link = 0
     heading = ""
 
@@ -224,8 +300,21 @@ def blocks(page: str) -> list[Block]:
                 out.append(Block(" ".join(words), len(words), min(1.0, n_linked / len(words)), *state, bool(heading)))
             text, linked = [], []
 
+    def anchor(bit: int) -> None:
+        """Tells what is open that it holds the first such element."""
+        nonlocal anchors
+        if anchors & bit:
+            return
+        anchors |= bit
+        k = opened.state[2]
+        while k >= 0:
+            named[k][1] |= bit
+            k = named[k][0]
+
     at = 0
-    for m in _TOKEN.finditer(page):
+    scan = _TOKEN.finditer
+    tokens = scan(page)
+    while (m := next(tokens, None)) is not None:
         if m.start() > at:
             piece = page[at : m.start()]
             text.append(piece)
@@ -237,13 +326,21 @@ def blocks(page: str) -> list[Block]:
             if m["raw"].lower() == "title":
                 close()
             continue
-        if m["closed"] is not None:
-            text.append(" ")
-            continue
         if tag is None:
             continue
         tag = tag.lower()
         end = bool(m["end"] or m["end2"])
+        rest = m["rest"] if m["rest"] is not None else m["rest2"]
+        if tag in _CLOSED_END and not end:
+            text.append(" ")
+            if not (rest or "").endswith("/") and tag not in no_end:
+                close_at = _CLOSED_END[tag].search(page, at)
+                if close_at is None:
+                    no_end.add(tag)
+                else:
+                    at = close_at.end()
+                    tokens = scan(page, at)
+            continue
         if tag == "a":
             in_link = max(0, in_link - 1) if end else 1
             if not end:
@@ -258,54 +355,110 @@ def blocks(page: str) -> list[Block]:
         if tag in VOID or tag not in BLOCK and tag != "span":
             continue
         if not end:
-            rest = m["rest"] if m["rest"] is not None else m["rest2"]
             if tag in IMPLIED:
-                for k in range(len(open_tags) - 1, -1, -1):
-                    if open_tags[k][0] in IMPLIED[tag] or tag == "p" and open_tags[k][0] != "p":
-                        break
-                    if open_tags[k][0] == tag or tag[0] == "d" and open_tags[k][0] in ("dt", "dd"):
-                        del open_tags[k:]
-                        break
-            aside, inside = tag in ASIDE or tag == "header" and not state[0], {"article": 2, "main": 1}.get(tag, 0)
+                own = max(opened.last("dt"), opened.last("dd")) if tag in ("dt", "dd") else opened.last(tag)
+                barrier = len(opened.stack) - 2 if tag == "p" else max((opened.last(b) for b in IMPLIED[tag]), default=-1)
+                if own >= 0 and own > barrier:
+                    opened.cut(own)
+            content, strong, name, form, article, nested = opened.state
+            inside = {"article": 2, "main": 1}.get(tag, 0)
+            strong = strong or tag in ASIDE or tag == "header" and not content
+            by_name, of_main = False, tag == "main"
             if rest and tag not in ("html", "body"):
-                said, more = _says(tag, rest, state[0])
-                aside, inside = aside or said, max(inside, more)
-            if inside and not aside:  # a form around the content doesn't set it aside
-                open_tags = [(*t[:3], False) for t in open_tags]
-            open_tags.append((tag, inside, aside, tag == "form"))
+                said, by_name, more = _says(rest, content)
+                strong, inside = strong or said, max(inside, more)
+                of_main = of_main or more == 1 and "main" in rest.lower()
+            if by_name and not strong:
+                named.append([name, 0])
+                name = len(named) - 1
+            if tag == "form":
+                form, forms = forms, forms + 1
+                forms_open.append(form)
+            if inside == 2 or tag == "article":
+                nested = nested or article >= 0
+                article, articles = (articles if article < 0 else article), articles + 1
+            opened.push(tag, (max(content, inside), strong, name, form, article, nested))
+            if not strong and not nested:
+                if inside and not by_name or tag == "article":
+                    excused.update(forms_open)  # a form around the content doesn't set it aside
+                    forms_open.clear()
+                    anchor(MAIN if of_main and tag == "main" else ARTICLE if inside == 2 else NAMED)
+                elif tag == "h1":
+                    anchor(HEADLINE)
         else:
-            for k in range(len(open_tags) - 1, -1, -1):
-                if open_tags[k][0] == tag:
-                    del open_tags[k:]
-                    break
-        now = (max((t[1] for t in open_tags), default=0), any(t[2] for t in open_tags), any(t[3] for t in open_tags))
+            k = opened.last(tag)
+            if k >= 0:
+                opened.cut(k)
+                if tag == "form" and forms_open:
+                    forms_open.pop()
+        now = opened.state
         if now != state:
             close()
             state = now
     if at < len(page):
         text.append(page[at:])
     close()
+    return Page(out, [tuple(x) for x in named], excused, anchors)
+
+
+def set_aside(page: Page, names: bool = True, forms: bool = True) -> list[bool]:
+    """Which blocks don't count because of the elements that they stand in."""
+    most = [0] * len(page.named)
+    for b in page.blocks:
+        if b.named >= 0 and not b.strong:
+            most[b.named] += b.words
+    for k in range(len(most) - 1, -1, -1):  # what lies in an element lies in those around it
+        if page.named[k][0] >= 0:
+            most[page.named[k][0]] += most[k]
+    total = sum(b.words for b in page.blocks if not b.strong)
+    best = next((bit for bit in (MAIN, ARTICLE, NAMED, HEADLINE) if page.anchor & bit), 0)
+    hides = []
+    for k, (around, held) in enumerate(page.named):
+        holds_main = bool(held & best) and (best != HEADLINE or 2 * most[k] >= total)
+        hides.append(names and (not holds_main or around >= 0 and hides[around]))
+    whole = forms and all(b.strong or b.form >= 0 and b.form not in page.excused for b in page.blocks)  # a page within one form
+    by_article: dict[int, int] = {}
+    linked: dict[int, bool] = {}
+    out = []
+    for b in page.blocks:
+        aside = b.strong or b.nested or b.named >= 0 and hides[b.named] or forms and not whole and b.form >= 0 and b.form not in page.excused
+        out.append(aside)
+        if b.article >= 0 and not aside:
+            by_article[b.article] = by_article.get(b.article, 0) + b.words
+            linked[b.article] = linked.get(b.article, False) or b.heading and b.links > 0.5
+    if len(by_article) > 1:
+        largest = max(by_article.values())
+        teasers = {a for a, n in by_article.items() if 4 * n < largest and (n <= 60 or linked[a])}
+        out = [o or b.article in teasers for b, o in zip(page.blocks, out)]
     return out
 
 
-def features(found: list[Block]) -> list[tuple[Block, tuple]]:
-    """Blocks with what the tree looks at, in the order of ``FEATURES``."""
-    forms = all(b.form or b.set_aside for b in found)  # a page within one form
-    aside = [b.set_aside or b.form and not forms for b in found]
+def features(page: Page, aside: list[bool]) -> list[tuple]:
+    """What the tree looks at in each block, in the order of ``FEATURES``."""
+    found = page.blocks
     most = max((b.content for b, x in zip(found, aside) if not x), default=0)
     out = []
     for k, b in enumerate(found):
         before, after = found[k - 1] if k else None, found[k + 1] if k + 1 < len(found) else None
         near = [x for n in (before, after) for x in ((n.words, n.links) if n else (0, 0.0))]
-        out.append((b, (b.words, b.links, *near, b.content, most, aside[k], b.heading, bool(NOTICE.search(b.text)))))
+        out.append((b.words, b.links, *near, b.content, most, b.heading, bool(NOTICE.search(b.text))))
     return out
 
 
 def main_text(page: str | None, tree: Node) -> tuple[str, int, int]:
     """The main text, how many blocks it has and how many the page has."""
-    found = features(blocks(page)) if page else []
-    keep = [b.text for b, x in found if tree.predict(x) >= 0.5]
-    return "\n\n".join(keep), len(keep), len(found)
+    if not page:
+        return "", 0, 0
+    found = blocks(page)
+    keep: list[str] = []
+    for names, forms in ((True, True), (False, True), (False, False)):  # where nothing is left, the weakest reasons go
+        aside = set_aside(found, names, forms)
+        keep = [b.text for b, x, o in zip(found.blocks, features(found, aside), aside) if not o and tree.predict(x) >= 0.5]
+        if not keep:
+            keep = [b.text for b, o in zip(found.blocks, aside) if not o and b.links < 0.5 and not NOTICE.search(b.text)]
+        if keep:
+            break
+    return "\n\n".join(keep), len(keep), len(found.blocks)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url: str = "url", col: str = "html") -> DataFrame:

@@ -66,7 +66,7 @@ def test_text_known_by_construction():
     for k in range(4):
         kept = main = right = 0
         for page in pages[60 * k : 60 * k + 60]:
-            found = html.blocks(page)
+            found = html.blocks(page).blocks
             text = html.main_text(page, TREE)[0].split("\n\n")
             own = [b.text for b in found if b.text.startswith("m")]
             kept, main, right = kept + len(text), main + len(own), right + sum(t in own for t in text)
@@ -127,3 +127,70 @@ def test_pages(spark, sf):
     got = html.extract(odd).collect()
     assert sorted(r.n_chars for r in got)[:2] == [0, 0] and len(got) == 4
     assert html.extract(odd.limit(0)).count() == 0
+
+
+STORY = "<h1>The headline of it</h1>" + "".join(f"<p>{LONG} {k}</p>" for k in range(5))
+TOLD = "\n\n".join(["The headline of it", *(f"{LONG} {k}" for k in range(5))])
+
+
+@pytest.mark.parametrize(
+    "opening",
+    [
+        *(f'article class="{c}"' for c in ("post category-legal", "post tag-social-media", "hentry comments-open", "post format-aside", "post status-publish has-related", "entry share-enabled", "story topic-advertising", "post type-notice")),
+        *(
+            f'div class="{c}"'
+            for c in ("wrapper sidebar-right", "layout right-sidebar", "site menu-open", "page no-sidebar", "container with-footer", "content nav-visible", "row sidebar-left", "app cookie-consent-active", "main widget-area", "grid promo-on", "search-results-article", "newsletter-archive-story")
+        ),
+        'div id="search-results-article"', 'div id="social-history"', 'main class="sidebar"', 'section class="notice-of-the-meeting"', 'div class="legal-news"', 'div class="comments"', 'div id="footer"',
+    ],
+)
+def test_names_of_containers_keep_the_page(opening):
+    page = f"<body>{NAV}<{opening}>{STORY}</{opening.split()[0]}><footer>Imprint</footer></body>"
+    assert html.main_text(page, TREE)[0] == TOLD
+
+
+@pytest.mark.parametrize(
+    "aside",
+    [
+        *(f'<div class="{c}"><p>{LONG}</p></div>' for c in ("sidebar", "site-footer", "main-nav", "cookie-banner", "related-posts", "comment-list", "reader-opinions", "user-feedback", "adSlot", "sidebar-right", "newsletter-box", "share-buttons")),
+        f'<div id="comments"><article><p>{LONG} says a reader.</p></article></div>', f"<article><h2><a href='x'>Another story</a></h2><p>{LONG[:60]}</p></article>", f"<aside><p>{LONG}</p></aside>",
+        f'<div role="complementary"><p>{LONG}</p></div>', f"<p hidden>{LONG}</p>", f'<section class="discussion"><h2>Talk</h2><p>{LONG}</p><p>{LONG}</p></section>',
+    ],
+)
+@pytest.mark.parametrize("inside", [False, True])
+def test_what_stands_beside_goes(aside, inside):
+    page = f"<body>{NAV}<article>{STORY}{aside if inside else ''}</article>{'' if inside else aside}</body>"
+    assert html.main_text(page, TREE)[0] == TOLD
+
+
+def test_words_of_notices_in_main_text():
+    bake = "Bake the cookies for ten minutes and then let them cool on a rack."
+    assert html.main_text(f"<h1>Cookies</h1><p>{bake}</p>", TREE)[0] == f"Cookies\n\n{bake}"
+    assert html.main_text(f"<p>We use cookies on this site.</p><h1>Cookies</h1><p>{bake}</p><p>{LONG}</p><p>&copy; 2024 Baker</p>", TREE)[0] == f"Cookies\n\n{bake}\n\n{LONG}"
+
+
+def test_the_tree_needs_words_links_and_neighbours():
+    used = set()
+
+    def walk(node):
+        if node.low is not None:
+            used.add(html.FEATURES[node.feature])
+            walk(node.low)
+            walk(node.high)
+
+    walk(TREE)
+    assert {"words", "links"} <= used and used & {"words_before", "words_after"} and used & {"links_before", "links_after"}
+    line = "Six words stand in this line"  # main text between paragraphs, not between links
+    between = html.main_text(f"<body>{NAV}<h1>Title of it</h1><p>{LONG}</p><p>{line}</p><p>{LONG}</p></body>", TREE)[0]
+    beside = html.main_text(f'<body><p>{line}</p>{NAV}<h1>Title of it</h1><p>{LONG}</p><p>{LONG}</p></body>', TREE)[0]
+    assert line in between and line not in beside
+
+
+@pytest.mark.parametrize("piece", ["<button>x", "<div>", "<div class='a'><li>", "<p title=\"x>", "<ul><li><p>", "<form><article>", "</div>", "<svg><p>", "<!--", "<span class='comments'>y", "<h1>z</h2>"])
+def test_time_is_linear(piece):
+    import time
+
+    page = "<body>" + piece * (1_000_000 // len(piece))
+    start = time.process_time()
+    html.main_text(page, TREE)
+    assert time.process_time() - start < 12  # a second or two on a quiet machine; quadratic parsing takes minutes
