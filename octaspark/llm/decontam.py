@@ -155,73 +155,112 @@ def item_windows(benchmark: DataFrame, id_col: str, text: str) -> DataFrame:
 
 
 def document_windows(docs: DataFrame, sizes: list[int], wanted: np.ndarray | None, id_col: str, text: str) -> DataFrame:
-    """id, own, size, at, h and values of document windows, if given only of hashes in ``wanted`` (sorted)."""
+    """id, own, size, h and all places (at, values) of each distinct window of a document, if given only of hashes in ``wanted`` (sorted)."""
+    place = pa.struct([("at", pa.int32()), ("values", pa.list_(pa.int64()))])
 
     def run(batches):
         for b in batches:
             for lo in range(0, b.num_rows, 512):
-                part, ids, cols = b.slice(lo, 512), [], [[], [], [], []]
+                part, ids, cols = b.slice(lo, 512), [], [[], [], []]
                 for k, t in enumerate(part.column(2).to_pylist()):
                     if not t:
                         continue
                     words, value = template(t)
+                    v = value.view(np.int64)
                     for size in sizes:
                         at, h = windows(words, value, size) if size > 0 else verbatim(t, -size)
                         if wanted is not None and len(h):
                             near = np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)
                             at, h = at[ok := wanted[near] == h], h[ok]
-                        v = value.view(np.int64)
-                        ids += [k] * len(h)
-                        for c, x in zip(cols, ([size] * len(h), at.tolist(), h.tolist(), [v[p : p + max(size, 0)].tolist() for p in at])):
-                            c += x
+                        order = np.argsort(h, kind="stable")
+                        for same in np.split(order, np.flatnonzero(np.diff(h[order])) + 1) if len(h) else ():
+                            ids.append(k)
+                            found = [{"at": int(p), "values": v[p : p + max(size, 0)].tolist()} for p in at[same]]
+                            for c, x in zip(cols, (size, int(h[same[0]]), found)):
+                                c.append(x)
                 rows = pa.array(ids, pa.int64())
-                types = (pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(rows), part.column(1).take(rows), *(pa.array(c, k) for c, k in zip(cols, types))], ["id", "own", "size", "at", "h", "values"]
-                )
+                types = (pa.int32(), pa.int64(), pa.list_(place))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(rows), part.column(1).take(rows), *(pa.array(c, k) for c, k in zip(cols, types))], ["id", "own", "size", "h", "places"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("own"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, f"id {kind}, own long, size int, at int, h long, values array<long>")
+    return rows.mapInArrow(run, f"id {kind}, own long, size int, h long, places array<struct<at:int,values:array<bigint>>>")
 
 
-def _bound(matches: list[dict]) -> tuple[int, int]:
+def _bound(matches: list[tuple]) -> tuple[int, int]:
+    """Windows of the item that agree, and slot values that changed, of matches (item_at, at, item_values, values) in the item's order."""
     there: dict[int, int] = {}
     back: dict[int, int] = {}
     met, changed = set(), set()
-    for m in sorted(matches, key=lambda m: (m["item_at"], m["at"])):
-        pairs = [(x, y) for x, y in zip(m["item_values"], m["values"]) if x or y]
+    for item_at, _, own, values in matches:
+        pairs = [(x, y) for x, y in zip(own, values) if x or y]
         if all(there.get(x, y) == y and back.get(y, x) == x for x, y in pairs):
             there.update(pairs)
             back.update((y, x) for x, y in pairs)
-            met.add(m["item_at"])
+            met.add(item_at)
             changed.update(x for x, y in pairs if x != y)
     return len(met), len(changed)
 
 
-def slots_agree(matches: list[dict]) -> tuple[int, int]:
+def slots_agree(shared: list[tuple[list, list]], needed: float = 0) -> tuple[int, int]:
     """How many of an item's windows occur with agreeing slots, and how many slot values changed.
 
-    Windows are taken in the item's order. A window whose slots contradict those
-    taken before isn't counted. Each occurrence (windows that lie in the document as in
-    the item, up to ``SHIFT``) is judged on its own, and all windows together; the best counts.
+    ``shared`` has, for each window that both have, its places in the document (at, values) and in the item (item_at,
+    item_values). Windows are taken in the item's order; one whose slots contradict those taken before isn't
+    counted. Each occurrence (places that lie in the document as in the item, up to ``SHIFT``) is judged on its own,
+    and all together; the best counts. Of places in one occurrence that have the same values only the first matters. So
+    what is held at a time grows with the document and the item, not with the product of places of a window that
+    both repeat. Occurrences with fewer than ``needed`` windows, which can't match, aren't judged.
     """
-    order = sorted(matches, key=lambda m: m["at"] - m["item_at"])
-    groups, last = [], None
-    for m in order:
-        d = m["at"] - m["item_at"]
-        if last is None or d - last > SHIFT:
-            groups.append([])
-        groups[-1].append(m)
-        last = d
-    found = [_bound(g) for g in groups] + ([_bound(matches)] if len(groups) > 1 else [])
-    return max(found, key=lambda x: (x[0], -x[1]))
+    rows = []
+    for places, own in shared:
+        kinds: dict[tuple, int] = {}
+        at = sorted((p["at"], kinds.setdefault(tuple(p["values"]), len(kinds))) for p in places)
+        rows.append((np.array([a for a, _ in at], np.int64), np.array([k for _, k in at], np.int64), list(kinds), [(w["item_at"], w["item_values"]) for w in own]))
+    low = min(int(a[0]) - w[0] for a, _, _, own in rows for w in own)
+    high = max(int(a[-1]) - w[0] for a, _, _, own in rows for w in own)
+    present = np.zeros(high - low + 1, bool)
+    for a, _, _, own in rows:
+        for item_at, _ in own:
+            present[a - item_at - low] = True
+    there = np.flatnonzero(present)
+    group = np.zeros(len(present), np.int32)
+    group[there] = np.concatenate([[0], np.cumsum(np.diff(there) > SHIFT)])
+
+    def collected(by_group: bool) -> list[np.ndarray]:
+        """group, item_at, first place, row, number in the row's own places, kind of values."""
+        out = []
+        for r, (a, kind, kinds, own) in enumerate(rows):
+            for k, (item_at, _) in enumerate(own):
+                g = group[a - item_at - low].astype(np.int64) if by_group else np.zeros(len(a), np.int64)
+                key, first = np.unique(g * len(kinds) + kind, return_index=True)
+                out.append(np.stack([key // len(kinds), np.full(len(key), item_at), a[first], np.full(len(key), r), np.full(len(key), k), key % len(kinds)]))
+        found = np.concatenate(out, 1)
+        return found[:, np.lexsort((found[2], found[1], found[0]))]
+
+    def judged(found: np.ndarray) -> tuple[int, int]:
+        return _bound([(item_at, at, rows[r][3][k][1], rows[r][2][kind]) for _, item_at, at, r, k, kind in found.T.tolist()])
+
+    found = collected(True)
+    cuts = np.concatenate([[0], np.flatnonzero(np.diff(found[0])) + 1, [found.shape[1]]])
+    best = (0, 0)
+    for a, b in zip(cuts, cuts[1:]):
+        most = 1 + int((np.diff(found[1, a:b]) > 0).sum())
+        if most >= needed and most >= best[0]:
+            best = max(best, judged(found[:, a:b]), key=lambda x: (x[0], -x[1]))
+    if len(cuts) > 2:
+        best = max(best, judged(collected(False)), key=lambda x: (x[0], -x[1]))
+    return best
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """Pairs of document and item that match: ids, n_matched, n_windows, coverage, slots_changed."""
-    items = cut_lineage(item_windows(benchmark, item_col, item_text))
-    n = items.count()
+    """Pairs of document and item that match: ids, n_matched, n_windows, coverage, slots_changed.
+
+    A document and an item meet once for each distinct window that both have, whatever its places.
+    """
+    by_item = item_windows(benchmark, item_col, item_text).groupBy("item", "item_hash", "size", "n_windows", "h")
+    items = cut_lineage(by_item.agg(F.array_sort(F.collect_set(F.struct("item_at", "item_values"))).alias("own_places")))
+    n = items.agg(F.coalesce(F.sum(F.size("own_places")), F.lit(0))).first()[0]
     wanted, right = None, items
     if n <= BROADCAST_WINDOWS:
         found = items.select("h").distinct().toPandas()["h"].to_numpy(np.int64)
@@ -233,27 +272,30 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     left = document_windows(docs, sizes, wanted, id_col, text)
     joined = left.join(right, ["size", "h"])
     matches = joined.groupBy("id", "own", "item", "item_hash").agg(
-        F.max("n_windows").alias("n_windows"), F.collect_set(F.struct("item_at", "at", "item_values", "values")).alias("matches")
+        F.max("n_windows").alias("n_windows"), F.sum(F.size("own_places")).alias("most"), F.collect_set(F.struct("places", "own_places")).alias("shared")
     )
-    enough = matches.where(F.size("matches") >= F.least(F.ceil(COVER * F.col("n_windows")), F.lit(MANY)))
+    enough = matches.where(F.col("most") >= F.least(F.ceil(COVER * F.col("n_windows")), F.lit(MANY)))
     names = [id_col, item_col, "n_matched", "n_windows", "coverage", "slots_changed"]
 
     def judge(batches):
         for b in batches:
-            keep, rows = [], []
-            for k, (total, m) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist())):
-                met, changed = slots_agree(m)
-                if met >= min(COVER * total, MANY):
-                    keep.append(k)
-                    rows.append((met, total, met / total, changed))
-            at = pa.array(keep, pa.int64())
-            cols = list(zip(*rows)) or [[]] * 4
-            types = (pa.int64(), pa.int64(), pa.float64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), *(pa.array(c, t) for c, t in zip(cols, types))], names)
+            for lo in range(0, b.num_rows, 64):
+                part, keep, rows = b.slice(lo, 64), [], []
+                for k in range(part.num_rows):
+                    total = part.column(2)[k].as_py()
+                    needed = min(COVER * total, MANY)
+                    met, changed = slots_agree([(m["places"], m["own_places"]) for m in part.column(3)[k].as_py()], needed)
+                    if met >= needed:
+                        keep.append(k)
+                        rows.append((met, total, met / total, changed))
+                at = pa.array(keep, pa.int64())
+                cols = list(zip(*rows)) or [[]] * 4
+                types = (pa.int64(), pa.int64(), pa.float64(), pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(1).take(at), *(pa.array(c, t) for c, t in zip(cols, types))], names)
 
     kinds = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
     schema = f"`{id_col}` {kinds[0]}, `{item_col}` {kinds[1]}, n_matched long, n_windows long, coverage double, slots_changed long"
-    return enough.select("id", "item", "n_windows", "matches").mapInArrow(judge, schema)
+    return enough.select("id", "item", "n_windows", "shared").mapInArrow(judge, schema)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:

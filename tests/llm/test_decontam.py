@@ -1,3 +1,5 @@
+import random
+
 from octaspark.llm import decontam
 from octaspark.llm.decontam import template
 from tests.llm.conftest import ODD
@@ -64,6 +66,60 @@ def test_very_long_text(spark, make_docs):
     assert set(got) == {(1, 7)}
 
 
+def plain_slots(matches):
+    """The rule of ``slots_agree`` over all matches one by one."""
+
+    def bound(some):
+        there, back, met, changed = {}, {}, set(), set()
+        for m in sorted(some, key=lambda m: (m["item_at"], m["at"])):
+            pairs = [(x, y) for x, y in zip(m["item_values"], m["values"]) if x or y]
+            if all(there.get(x, y) == y and back.get(y, x) == x for x, y in pairs):
+                there.update(pairs)
+                back.update((y, x) for x, y in pairs)
+                met.add(m["item_at"])
+                changed.update(x for x, y in pairs if x != y)
+        return len(met), len(changed)
+
+    groups, last = [], None
+    for m in sorted(matches, key=lambda m: m["at"] - m["item_at"]):
+        d = m["at"] - m["item_at"]
+        if last is None or d - last > decontam.SHIFT:
+            groups.append([])
+        groups[-1].append(m)
+        last = d
+    found = [bound(g) for g in groups] + ([bound(matches)] if len(groups) > 1 else [])
+    return max(found, key=lambda x: (x[0], -x[1]))
+
+
+def one_by_one(shared):
+    return [{**p, **w} for places, own in shared for p in places for w in own]
+
+
+def test_slots_of_repeated_windows_equal_the_plain_rule():
+    rng = random.Random(3)
+    for _ in range(300):
+        shared, seen = [], set()
+        for _ in range(rng.randint(1, 5)):
+            places = [{"at": a, "values": [rng.choice((0, 0, 7, 8)), rng.choice((0, 9))]} for a in sorted(rng.sample(range(60), rng.randint(1, 9)))]
+            own = [{"item_at": a, "item_values": [rng.choice((0, 5)), rng.choice((0, 6))]} for a in rng.sample([x for x in range(30) if x not in seen], rng.randint(1, 4))]
+            seen |= {w["item_at"] for w in own}
+            shared.append((places, own))
+        assert decontam.slots_agree(shared) == plain_slots(one_by_one(shared))
+
+
+def test_repeated_windows_stay_small(spark, make_docs):
+    """A window that a document repeats 100,000 times and an item 1,000 times: nothing holds the product of the two."""
+    import tracemalloc
+
+    places, own = [{"at": a, "values": [0] * 8} for a in range(100_000)], [{"item_at": a, "item_values": [0] * 8} for a in range(993)]
+    tracemalloc.start()
+    assert decontam.slots_agree([(places, own)]) == (993, 0)
+    assert tracemalloc.get_traced_memory()[1] < 300e6
+    tracemalloc.stop()
+    got = pairs(spark, make_docs([(1, "again " * 100_000), (2, "again and again")]), [(7, "again " * 1000), (8, "no " * 50)])
+    assert {k: (r.n_matched, r.n_windows) for k, r in got.items()} == {(1, 7): (993, 993)}
+
+
 def brute_pairs(rows, items):
     """Items whose windows of template words occur often enough, looked for one by one."""
     out = set()
@@ -74,7 +130,7 @@ def brute_pairs(rows, items):
             n = min(decontam.WINDOW, len(w))
             at = [k for k in range(len(w) - n + 1) if sum(x == 0 for x in v[k : k + n]) >= min(decontam.LEAST_LITERALS, n - 1)]
             there = [{"item_at": k, "at": p, "item_values": v[k : k + n], "values": value[p : p + n]} for k in at for p in range(len(words) - n + 1) if words[p : p + n] == w[k : k + n]]
-            if there and decontam.slots_agree(there)[0] >= min(decontam.COVER * len(at), decontam.MANY):
+            if there and plain_slots(there)[0] >= min(decontam.COVER * len(at), decontam.MANY):
                 out.add((i, j))
     return out
 
@@ -88,7 +144,7 @@ def test_against_brute_force(spark, make_docs, sf):
 
 def test_slots_must_agree():
     def m(at, item, doc):
-        return {"item_at": at, "at": at, "item_values": item, "values": doc}
+        return [{"at": at, "values": doc}], [{"item_at": at, "item_values": item}]
 
     assert decontam.slots_agree([m(0, [5, 0], [8, 0]), m(1, [0, 5], [0, 8])]) == (2, 1)
     assert decontam.slots_agree([m(0, [5, 0], [8, 0]), m(1, [0, 5], [0, 9])]) == (1, 1)
