@@ -1,12 +1,12 @@
 """Operator 5: toxicity by a weighted finite-state grammar over clauses.
 
-Words map to classes: insult, threat, target, negation, reporting verb, clause end and
-other. Small transducers rewrite the class string of a clause: one marks what follows
-a reporting verb, one what follows a negation closely, one insults with a target
-before them. They are composed once into a single machine. A second one reads what that
-gives from the end: it marks insults with a target after them, and threats whose object is one;
-threats of anything else come to nothing. Together they run over each
-clause that holds an insult or threat. A clause's weight for a pattern is that of its path,
+Words map to classes: insult, harm (a verb), target, self, modal, intent (both in one word), wish, death, reflexive, negation,
+reporting verb, clause end and other. Small transducers rewrite the class string of a clause: one marks what follows a
+reporting verb, one what follows a negation closely, one insults with a target before them, one harm that a self means to
+do (self, then modal, then harm), one a death wished to a target. They are composed once into a single machine. A
+second one reads what that gives from the end: it marks insults with a target after them, meant harm whose very next
+word is its target, and harm told to be done to oneself. Harm alone, or to anything else, comes to nothing. Together
+they run over each clause that holds an insult, harm or death. A clause's weight for a pattern is that of its path,
 the sum over the arcs that matched; what is scored are clauses, not words.
 
 A text's score is a logistic function of its clauses that insult, those of them that
@@ -17,7 +17,7 @@ clauses are told but have no weight, so they never raise one.
 What counts as an insult is learned: words, and word beginnings, that documents
 labelled toxic hold far more often than others. That, and the weights, come from at most
 ``SAMPLE`` labelled rows of each class, chosen by a hash of the id and written once; their words are
-counted in Spark. Seed words are added for threats, targets, negations and reporting.
+counted in Spark. Seed words are added for the other classes. Insults without a target count, as the labels hold many.
 
 Defined results: null and empty texts score like any text without a match. Equal texts
 have equal scores. With no training rows of both classes the seed lexicon and fixed
@@ -47,21 +47,29 @@ MOST_ENTRIES = 2000
 #: The share of toxic texts that scores assume, whatever the sample's.
 PRIOR = 0.25
 STEMS = range(3, 9)
-OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, END = range(7)
+OTHER, INSULT, HARM, TARGET, NEGATION, REPORT, END, SELF, MODAL, INTENT, WISH, DEATH, REFLEXIVE = range(13)
 
 # Seed words by class.
 SEEDS = {
-    THREAT: "kill murder hurt destroy beat shoot stab burn strangle choke punch smash slap lynch poison attack töten umbringen schlagen erschießen verletzen "
-    "tuer frapper égorger étrangler brûler matar golpear degollar quemar",
-    TARGET: "you u ya your yourself he she they them him her his their people everyone women men family du dich dir euch ihr ihn sie er leute tu te toi vous ils elle elles lui leur gens tú usted ustedes "
+    HARM: "kill murder hurt destroy beat shoot stab burn strangle choke punch smash slap lynch poison attack end bury töten umbringen schlagen erschießen verletzen vernichten "
+    "tuer frapper égorger étrangler brûler détruire matar golpear degollar quemar destruir matarte matarlo matarla matarlos tuerai",
+    TARGET: "you u ya your he she they them him her his their people everyone women men family du dich dir euch ihr ihn sie er leute tu te toi vous ils elle elles lui leur gens tú usted ustedes "
     "ellos ella ellas gente",
+    REFLEXIVE: "yourself yourselves dich-selbst toi-même ti-mismo",
     NEGATION: "not no never without cannot nicht kein keine keiner nie niemals ohne ne pas jamais sans nunca sin ni",
     REPORT: "said says say wrote writes claimed claims called calls quoted told sagte schrieb behauptete nannte disait dit écrit traité dijo dice escribió llamó",
+    SELF: "i we ich wir je nous yo nosotros",
+    MODAL: "will shall would going want wanna werde werden würde wollen will vais allons veux voulons voy vamos quiero queremos",
+    INTENT: "i'll we'll i’ll we’ll gonna imma voy-a",
+    WISH: "hope wish pray hoffe hoffentlich wünsche espère souhaite espero ojalá deseo",
+    DEATH: "die dies dead perish rot suffer stirbst sterbt stirb verreckst crève crèves meurs mueras muera mueran muere",
 }
 _WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)?|[.!?;:\n]")
 PATTERNS = ("insult", "targeted", "negated", "reported", "threat")
 #: How far after a reporting verb and a negation, and from its target, a match may be, in words.
-REPORT_REACH, NEGATION_REACH, TARGET_REACH, OBJECT_REACH = 12, 3, 6, 3
+REPORT_REACH, NEGATION_REACH, TARGET_REACH, OBJECT_REACH = 12, 3, 6, 1
+#: How many words may stand between a self and its modal, a modal and its verb, and the parts of a wish.
+MODAL_REACH, VERB_REACH, WISH_REACH = 2, 3, 3
 
 
 @dataclass
@@ -91,14 +99,15 @@ def compose(first: Transducer, second: Transducer, symbols) -> Transducer:
     return Transducer({(names[s], x): (names[t], z) for (s, x), (t, z) in arcs.items()})
 
 
-SYMBOLS = (OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, END)
+SYMBOLS = tuple(range(13))
+MARKS = ("targeted", "negated", "reported", "meant", "wished")
 
 
 def _window(trigger, reach: dict) -> Transducer:
     """After ``trigger``, a symbol of ``reach`` within its number of symbols is rewritten; a clause end stops that."""
     arcs, length = {}, max(n for n, _ in reach.values())
     for s in range(length + 1):
-        for x in (*SYMBOLS, "targeted", "negated", "reported"):
+        for x in (*SYMBOLS, *MARKS):
             n, to = reach.get(x, (0, x))
             arcs[s, x] = (max(0, s - 1), to if s > length - n else x)
         arcs[s, trigger] = (length, trigger)
@@ -106,16 +115,47 @@ def _window(trigger, reach: dict) -> Transducer:
     return Transducer(arcs)
 
 
+def _chain(steps: list[tuple[tuple, int]], rewritten, to, skip: dict | None = None) -> Transducer:
+    """Marks ``rewritten`` as ``to`` after the symbols of ``steps``, each within a number of symbols of the one before.
+
+    A state is how many steps were met and how many symbols may still pass. ``skip`` has symbols that stand for several steps.
+    """
+    arcs = {}
+    states = [(0, 0), *((k + 1, left) for k, (_, n) in enumerate(steps) for left in range(1, n + 1))]
+    for k, left in states:
+        for x in (*SYMBOLS, *MARKS):
+            met = (skip or {}).get(x) or next((j + 1 for j in range(min(k, len(steps) - 1), -1, -1) if x in steps[j][0]), None)
+            if x == END:
+                arcs[(k, left), x] = ((0, 0), x)
+            elif k == len(steps) and x == rewritten:
+                arcs[(k, left), x] = ((0, 0), to)
+            elif met is not None:
+                arcs[(k, left), x] = ((met, steps[met - 1][1]), x)
+            else:
+                arcs[(k, left), x] = ((k, left - 1) if left > 1 else (0, 0), x)
+    names = {s: i for i, s in enumerate(states)}
+    return Transducer({(names[s], x): (names[t], y) for (s, x), (t, y) in arcs.items()})
+
+
 def grammar() -> tuple[Transducer, Transducer]:
     """The machine that reads a clause, and the one that reads what it gives from the end."""
-    reported = _window(REPORT, {INSULT: (REPORT_REACH, "reported"), THREAT: (REPORT_REACH, "reported")})
-    negated = _window(NEGATION, {INSULT: (NEGATION_REACH, "negated"), THREAT: (NEGATION_REACH, "negated")})
+    hostile = (INSULT, HARM, DEATH)
+    reported = _window(REPORT, {x: (REPORT_REACH, "reported") for x in hostile})
+    negated = _window(NEGATION, {x: (NEGATION_REACH, "negated") for x in hostile})
     before = _window(TARGET, {INSULT: (TARGET_REACH, "targeted")})
-    after = _window(TARGET, {INSULT: (TARGET_REACH, "targeted"), THREAT: (OBJECT_REACH, "threat")})
-    return compose(compose(reported, negated, SYMBOLS), before, SYMBOLS), after
+    meant = _chain([((SELF,), MODAL_REACH), ((MODAL,), VERB_REACH)], HARM, "meant", {INTENT: 2})
+    wished = _chain([((WISH,), WISH_REACH), ((TARGET,), WISH_REACH)], DEATH, "wished")
+    last = _chain([((SELF,), MODAL_REACH), ((MODAL,), VERB_REACH), ((TARGET,), OBJECT_REACH)], "meant", "wished", {INTENT: 2})  # the target comes before the verb
+    after = _window(TARGET, {INSULT: (TARGET_REACH, "targeted"), "meant": (OBJECT_REACH, "threat")})
+    told = _window(REFLEXIVE, {HARM: (1, "threat"), "meant": (1, "threat"), INSULT: (TARGET_REACH, "targeted")})
+    forward = reported
+    for machine in (negated, before, meant, wished, last):
+        forward = compose(forward, machine, SYMBOLS)
+    return forward, compose(after, told, (*SYMBOLS, *MARKS))
 
 
 _FORWARD, _BACKWARD = grammar()
+HOSTILE = {INSULT, HARM, DEATH}
 
 
 def read(clause: list[int]) -> list:
@@ -126,7 +166,7 @@ def read(clause: list[int]) -> list:
             state, y = machine.step(state, x)
             out.append(y)
         clause = out[::-1]
-    return clause
+    return ["threat" if y == "wished" else y for y in clause]
 
 
 def stems(word: str) -> list[str]:
@@ -144,7 +184,7 @@ class Lexicon:
         self.seen: dict[str, int] = {}
 
     def weight(self, word: str) -> float:
-        """The greatest log odds of the word's entries, above the least an entry has; seed threats weigh 1."""
+        """The greatest log odds of the word's entries, above the least an entry has; seed words weigh 1."""
         return max((self.insults[s] - LEAST_ODDS + 0.5 for s in stems(word) if s in self.insults), default=1.0)
 
     def classes(self, words: list[str]) -> list[int]:
@@ -160,16 +200,16 @@ class Lexicon:
         number, weight = Counter(), Counter()
         words = _WORD.findall(text.lower()) if text else []
         kinds = self.classes(words)
-        if INSULT not in kinds and THREAT not in kinds:
+        if HOSTILE.isdisjoint(kinds):
             return number, weight
         ends = [-1, *(i for i, k in enumerate(kinds) if k == END), len(kinds)]
         for a, b in zip(ends, ends[1:]):
             clause = kinds[a + 1 : b]
-            if INSULT in clause or THREAT in clause:
+            if not HOSTILE.isdisjoint(clause):
                 path: dict[str, float] = {}
                 for i, got in enumerate(read(clause), a + 1):
                     got = "insult" if got == INSULT else got
-                    if isinstance(got, str):
+                    if got in PATTERNS:
                         path[got] = path.get(got, 0.0) + self.weight(words[i])
                 number.update(path.keys())
                 weight.update(path)

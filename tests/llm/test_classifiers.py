@@ -56,37 +56,61 @@ def test_grammar_reads_clauses():
     assert m("that is not an idiot. idiot") == m("it isn't the idiot; such an idiot") == {"negated": 1, "insult": 1}
     assert m("the paper wrote that some are scummy idiot fellows") == {"reported": 1}
     assert m("an idiot and another idiot") == {"insult": 1}  # a clause counts once
-    assert m("they will hurt you") == m("I will kill you all") == {"threat": 1}
+    assert m("we will hurt you") == m("I will kill you all") == m("I'll end you") == m("I hope you die") == m("go kill yourself") == m("ich werde dich töten") == {"threat": 1}
+    assert m("they will beat them 3-0") == m("I will kill time with you") == m("the punch you made tastes good") == m("the plants die, I hope you water them") == {}
     assert m("we do kill weeds in gardens") == m("you kill time") == {}
-    assert m("I will not hurt you") == {"negated": 1}
+    assert m("I will not hurt you") == {"negated": 1} and m("she said I will hurt you") == {"reported": 1}
     assert m("he said so; scumbag") == {"insult": 1}
     assert m("nothing here") == {} and m(None) == {} and m("") == {}
 
 
+def follow(out, steps, rewritten, to, intent=None):
+    """Marks ``rewritten`` where the steps came before it, each within its number of symbols of the one before."""
+    met, left = 0, 0
+    for i, x in enumerate(out):
+        if met == len(steps) and x == rewritten:
+            out[i], met, left = to, 0, 0
+            continue
+        new = 2 if intent and x == toxicity.INTENT else max((j + 1 for j, (kind, _) in enumerate(steps) if x == kind and j <= met), default=0)
+        if new:
+            met, left = new, steps[new - 1][1]
+        else:
+            left -= 1
+            met = met if left > 0 else 0
+
+
 def clause_by_rule(kinds):
-    """What the two machines say, from the definition: every match looks at the symbols around it."""
-    out = []
+    """What the machines say, from the definition: every match looks at the symbols around it."""
+    t = toxicity
+    near = lambda i, kind, step, reach: any(0 <= i + step * d < len(kinds) and kinds[i + step * d] == kind for d in range(1, reach + 1))
+    out = list(kinds)
     for i, k in enumerate(kinds):
-        last = lambda kind: next((i - j for j in range(i - 1, -1, -1) if kinds[j] == kind), 99)  # noqa: B023, E731
-        after = next((j - i for j in range(i + 1, len(kinds)) if kinds[j] == toxicity.TARGET), 99)
-        if k in (toxicity.INSULT, toxicity.THREAT):
-            if last(toxicity.REPORT) <= toxicity.REPORT_REACH:
-                k = "reported"
-            elif last(toxicity.NEGATION) <= toxicity.NEGATION_REACH:
-                k = "negated"
-            elif k == toxicity.INSULT and min(last(toxicity.TARGET), after) <= toxicity.TARGET_REACH:
-                k = "targeted"
-            elif k == toxicity.THREAT and after <= toxicity.OBJECT_REACH:
-                k = "threat"
-        out.append(k)
+        if k in (t.INSULT, t.HARM, t.DEATH):
+            if near(i, t.REPORT, -1, t.REPORT_REACH):
+                out[i] = "reported"
+            elif near(i, t.NEGATION, -1, t.NEGATION_REACH):
+                out[i] = "negated"
+            elif k == t.INSULT and (near(i, t.TARGET, -1, t.TARGET_REACH) or near(i, t.TARGET, 1, t.TARGET_REACH) or near(i, t.REFLEXIVE, 1, t.TARGET_REACH)):
+                out[i] = "targeted"
+    follow(out, [(t.SELF, t.MODAL_REACH), (t.MODAL, t.VERB_REACH)], t.HARM, "meant", True)
+    follow(out, [(t.WISH, t.WISH_REACH), (t.TARGET, t.WISH_REACH)], t.DEATH, "wished")
+    follow(out, [(t.SELF, t.MODAL_REACH), (t.MODAL, t.VERB_REACH), (t.TARGET, 1)], "meant", "wished", True)
+    for i, k in enumerate(out):
+        if k == "meant" and near(i, t.TARGET, 1, 1) or k in ("meant", t.HARM) and near(i, t.REFLEXIVE, 1, 1) or k == "wished":
+            out[i] = "threat"
     return out
 
 
 def test_grammar_against_its_definition():
     rng = np.random.default_rng(5)
-    for _ in range(3000):
-        kinds = rng.choice(6, rng.integers(1, 25), p=[0.6, 0.12, 0.1, 0.08, 0.05, 0.05]).tolist()
-        assert toxicity.read(kinds) == clause_by_rule(kinds)
+    symbols = [s for s in toxicity.SYMBOLS if s != toxicity.END]
+    met = set()
+    for _ in range(6000):
+        kinds = rng.choice(symbols, rng.integers(1, 20), p=[0.28, *[0.72 / 11] * 11]).tolist()
+        got = toxicity.read(kinds)
+        assert got == clause_by_rule(kinds)
+        met.update(got)
+    assert {"targeted", "negated", "reported", "meant", "threat"} <= met
 
 
 def test_patterns_never_outweigh_the_direct_one(spark):
