@@ -8,7 +8,8 @@ the rank order of byte-level BPE. A pre-token that is a vocabulary entry as a wh
 is that entry, as in the tiktoken library, even if merges would not reach it.
 
 Texts are cut into pre-tokens by a pattern; each distinct pre-token is encoded once
-per worker memory, each apart. Decoding maps ids back to bytes.
+per worker memory, each apart. Short ones are remembered, up to ``REMEMBERED_BYTES``. Decoding maps a document's
+ids back to bytes, one by one.
 
 Defined results: null text counts as empty and has no ids. Lone surrogates, which no
 Spark string holds, are not expected. Equal texts get equal results. Extra columns
@@ -21,6 +22,7 @@ import base64
 import functools
 import hashlib
 import re
+import sys
 from collections.abc import Iterable
 
 import pyarrow as pa
@@ -28,8 +30,11 @@ from pyspark.sql import DataFrame
 
 from octaspark.llm.common import chunks
 
-#: Pre-tokens that a worker remembers, and characters whose new pre-tokens are encoded together.
-REMEMBERED = 250_000
+#: What a worker's memory of pre-tokens may take; beyond it the memory is emptied and filled anew. Longer ones are never kept.
+REMEMBERED_BYTES, LONGEST_KEPT = 64 << 20, 64
+#: Of an entry beside its texts: its place in the table.
+ENTRY_BYTES = 110
+#: Characters whose new pre-tokens are encoded together.
 BATCH_CHARS = 2 << 20
 
 
@@ -93,7 +98,7 @@ class Splitter:
 
 
 class ByteBPE:
-    """Encodes and decodes; remembers ids and bytes of pre-tokens it has met."""
+    """Encodes and decodes; remembers the ids of short pre-tokens it has met."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         import sentencepiece as spm
@@ -102,52 +107,62 @@ class ByteBPE:
         self.split = Splitter(pattern)
         self.ranks = ranks
         by_rank = sorted(ranks.items(), key=lambda x: x[1])
-        self.decimal = [""] + [str(i) for _, i in by_rank]  # of each piece: its id as a decimal, and its bytes
-        self.raw = [b""] + [t for t, _ in by_rank]
-        self.bytes_of = {i: t for t, i in ranks.items()}
+        self.decimal = [""] + [str(i) for _, i in by_rank]  # of each piece: its id as a decimal
+        self.bytes_of = {str(i): t for t, i in ranks.items()}  # of an id as a decimal
         self.table = dict(enumerate(byte_characters()))
         self.ids: dict[str, str] = {}  # of a pre-token, as decimals joined by commas
-        self.back: dict[str, bytes] = {}  # what those ids decode to
+        self.held = 0  # bytes of what is remembered, about
 
-    def _learn(self, tokens: set[str]) -> None:
-        if len(self.ids) > REMEMBERED:  # what isn't in use now goes
-            self.ids = {t: self.ids[t] for t in tokens if t in self.ids}
-            self.back = {t: self.back[t] for t in self.ids}
+    def _learn(self, tokens: set[str]) -> list[str]:
+        """Finds the ids of tokens that aren't known, and tells which those are."""
         ids, hard = self.ids, []
-        for t in [t for t in tokens if t not in ids]:
+        new = [t for t in tokens if t not in ids]
+        for t in new:
             rank = self.ranks.get(t.encode("utf-8"))
             if rank is None:
                 hard.append(t)
             else:
                 ids[t] = str(rank)
-                self.back[t] = self.decode((rank,))
-        blank, table, back = self.table[32], self.table, self.back
+        blank, table = self.table[32], self.table
         mapped = [t.replace(" ", blank) if t.isascii() and t.isprintable() else t.encode("utf-8").decode("latin-1").translate(table) for t in hard]
-        decimal, raw = self.decimal.__getitem__, self.raw.__getitem__
+        decimal = self.decimal.__getitem__
         for t, pieces in zip(hard, self.processor.encode(mapped, num_threads=1)):
             ids[t] = ",".join(map(decimal, pieces))
-            back[t] = b"".join(map(raw, pieces))
+        return new
 
-    def split_all(self, texts: list[str | None]) -> list[list[str]]:
-        """Pre-tokens of each text; afterwards all of them are known."""
+    def _forget(self, new: list[str]) -> None:
+        ids = self.ids
+        for t in new:
+            if len(t) > LONGEST_KEPT:
+                del ids[t]
+            else:
+                self.held += sys.getsizeof(t) + sys.getsizeof(ids[t]) + ENTRY_BYTES
+        if self.held > REMEMBERED_BYTES:
+            ids.clear()
+            self.held = 0
+
+    def ids_of(self, texts: list[str | None]) -> list[str]:
+        """The ids of each text, as decimals joined by commas."""
         cut = [self.split(t) if t else [] for t in texts]
-        self._learn(set().union(*cut))
-        return cut
+        new = self._learn(set().union(*cut))
+        out = [",".join(map(self.ids.__getitem__, tokens)) for tokens in cut]
+        self._forget(new)
+        return out
 
     def encode(self, text: str | None) -> list[int]:
-        return [int(i) for t in self.split_all([text])[0] for i in self.ids[t].split(",")]
+        ids = self.ids_of([text])[0]
+        return list(map(int, ids.split(","))) if ids else []
 
     def decode(self, ids: Iterable[int]) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, ids))
+        return b"".join(map(self.bytes_of.__getitem__, map(str, ids)))
 
     def digests(self, texts: list[str | None]) -> list[tuple[int, str, str]]:
-        """Number of ids, sha256 of the joined ids and of the decoded bytes of each text."""
+        """Number of ids, sha256 of the joined ids and of what these ids decode to, of each text."""
         out = []
-        for tokens in self.split_all(texts):
-            ids = ",".join(map(self.ids.__getitem__, tokens))
-            back = b"".join(map(self.back.__getitem__, tokens))
-            n = ids.count(",") + 1 if ids else 0
-            out.append((n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(back).hexdigest()))
+        for ids in self.ids_of(texts):
+            each = ids.split(",") if ids else []
+            back = b"".join(map(self.bytes_of.__getitem__, each))
+            out.append((len(each), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(back).hexdigest()))
         return out
 
 

@@ -2,7 +2,7 @@
 
 Texts reach Python in Arrow batches. They are regrouped into batches of about
 ``BATCH_BYTES``, cut into units at safe boundaries, and only units that the worker
-hasn't counted yet are encoded, all of a batch in one call. A boundary before white
+doesn't remember are encoded, all of a batch in one call. Short units are remembered, up to ``REMEMBERED_BYTES``. A boundary before white
 space is safe when no piece of the vocabulary holds the white-space mark after
 another character (checked when the model is loaded; otherwise whole texts are
 encoded). A unit longer than ``LONG_UNIT`` is cut further, between two characters
@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import functools
 import re
+import sys
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,10 +25,12 @@ from octaspark.llm.common import chunks
 
 BATCH_BYTES = 4 << 20
 LONG_UNIT = 4096
-#: Units that a worker remembers; beyond it the memory is emptied and filled anew.
-REMEMBERED = 600_000
+#: What a worker's memory of units may take; beyond it the memory is emptied and filled anew. Longer units are never kept.
+REMEMBERED_BYTES, LONGEST_KEPT = 96 << 20, 48
 LIMIT = 4096
 MARK = "▁"
+#: Of an entry beside its text: its place in the table and its number.
+ENTRY_BYTES = 140
 _UNIT = re.compile(" +[^ ]*")
 
 
@@ -58,6 +61,7 @@ class PieceCounter:
         proto.normalizer_spec.add_dummy_prefix = False
         self.bare = spm.SentencePieceProcessor(model_proto=proto.SerializeToString())
         self.seen: dict[str, int] = {}
+        self.held = 0  # bytes of what is remembered, about
 
     def units(self, text: str) -> list[str]:
         """Units whose token counts add up to the text's."""
@@ -100,17 +104,17 @@ class PieceCounter:
         per_text = [self.units(t or "") for t in texts]
         seen = self.seen
         new = list({u for us in per_text for u in us if u not in seen})
-        counts = dict(zip(new, self._encode(new)))
-        if len(seen) + len(new) > REMEMBERED:
-            old = {u: seen[u] for us in per_text for u in us if u in seen}
+        seen.update(zip(new, self._encode(new)))
+        out = [sum(map(seen.__getitem__, us)) for us in per_text]
+        for u in new:
+            if len(u) > LONGEST_KEPT:
+                del seen[u]
+            else:
+                self.held += sys.getsizeof(u) + ENTRY_BYTES
+        if self.held > REMEMBERED_BYTES:
             seen.clear()
-            seen.update(old)
-        lookup = seen if len(seen) + len(new) <= REMEMBERED else None
-        if lookup is not None:
-            seen.update((u, n) for u, n in counts.items())
-            return [sum(map(seen.__getitem__, us)) for us in per_text]
-        both = {**seen, **counts}
-        return [sum(map(both.__getitem__, us)) for us in per_text]
+            self.held = 0
+        return out
 
 
 @functools.lru_cache(maxsize=2)
@@ -124,6 +128,8 @@ def library_counter(path: str):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
+    t.no_truncation()
+    t.no_padding()
     return t
 
 

@@ -48,7 +48,7 @@ def test_bpe_takes_whole_tokens_that_merges_miss():
 
 
 def test_bpe_forgets_without_harm(monkeypatch, reference):
-    monkeypatch.setattr(bpe, "REMEMBERED", 20)
+    monkeypatch.setattr(bpe, "REMEMBERED_BYTES", 4000)
     codec = bpe.ByteBPE(bpe.read_ranks(P.path("byte_bpe_multi_50k.tiktoken")), P.PATTERN)
     for t in odd_texts(200, 2):
         assert codec.encode(t) == reference.encode_ordinary(t)
@@ -78,7 +78,7 @@ def test_counts_equal_the_library(pieces, texts):
 
 
 def test_counts_forget_without_harm(monkeypatch, pieces):
-    monkeypatch.setattr(tokens, "REMEMBERED", 10)
+    monkeypatch.setattr(tokens, "REMEMBERED_BYTES", 2000)
     counter = tokens.PieceCounter(P.path("piece_bpe_32k.model"))
     for t in odd_texts(150, 3):
         assert counter.count([t, t]) == [len(pieces.encode(t))] * 2
@@ -93,3 +93,47 @@ def test_count_documents(make_docs, pieces):
     other = tokens.count_tokens(docs, P.path("byte_bpe_50k.json"))
     assert other.where("doc_id = 2").first().n_tokens == 0
     assert tokens.count_tokens(docs.limit(0), P.path("piece_bpe_32k.model")).count() == 0
+
+
+def deep_size(memory):
+    import sys
+
+    return sys.getsizeof(memory) + sum(sys.getsizeof(k) + sys.getsizeof(v) for k, v in memory.items())
+
+
+def odd_units(seed):
+    """Texts without blanks, long words, and very many short words."""
+    rng = random.Random(seed)
+    letters = [chr(0x4E00 + k) for k in range(3000)]
+    yield from ("".join(rng.choices(letters, k=3000)) for _ in range(60))
+    yield from ("".join(rng.choices("abcdefgh/+", k=20_000)) for _ in range(20))
+    yield from (" ".join("".join(rng.choices("abcdefghijklmnop", k=7)) for _ in range(3000)) for _ in range(60))
+
+
+def test_what_workers_remember_is_bounded_by_bytes(monkeypatch):
+    bound = 1 << 20
+    monkeypatch.setattr(tokens, "REMEMBERED_BYTES", bound)
+    monkeypatch.setattr(bpe, "REMEMBERED_BYTES", bound)
+    path = P.path("piece_bpe_32k.model")
+    counter, library = tokens.PieceCounter(path), spm.SentencePieceProcessor(model_file=path)
+    ranks = bpe.read_ranks(P.path("byte_bpe_multi_50k.tiktoken"))
+    codec, other = bpe.ByteBPE(ranks, P.PATTERN), tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    emptied = 0
+    for k, text in enumerate(odd_units(1)):
+        assert counter.count([text, text]) == [len(library.encode(text))] * 2
+        assert codec.encode(text) == other.encode_ordinary(text)
+        assert deep_size(counter.seen) < 1.3 * bound and deep_size(codec.ids) < 1.3 * bound
+        assert max(map(len, counter.seen), default=0) <= tokens.LONGEST_KEPT and max(map(len, codec.ids), default=0) <= bpe.LONGEST_KEPT
+        emptied += not counter.seen
+        if k == 79:
+            assert not counter.seen  # nothing but long units so far
+    assert emptied > 80  # the short ones filled the memory more than once
+
+
+def test_ids_are_what_is_decoded(monkeypatch):
+    """Digests of decoded bytes come from the document's ids: another byte for one id changes them."""
+    codec = bpe.ByteBPE(bpe.read_ranks(P.path("byte_bpe_multi_50k.tiktoken")), P.PATTERN)
+    before = codec.digests(["a small text"])
+    codec.bytes_of[str(codec.encode("a small text")[1])] = b"?"
+    after = codec.digests(["a small text"])
+    assert before[0][:2] == after[0][:2] and before[0][2] != after[0][2]
