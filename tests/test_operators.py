@@ -171,8 +171,8 @@ def test_incremental_equals_batch(spark, sf, tmp_path):
     for k in (0, 1, 1):  # a batch that comes again counts once
         tree.add(points.where(F.col("event_id") % 2 == k), k)
     assert {tuple(r) for r in tree.nodes().collect()} == want
-    tree.compact("all")
-    assert {tuple(r) for r in tree.nodes().collect()} == want and len(list((tmp_path / "counts").iterdir())) == 1
+    tree.compact()
+    assert {tuple(r) for r in tree.nodes().collect()} == want and len(list((tmp_path / "state").iterdir())) == 1
 
 
 def test_las_files(spark, tmp_path):
@@ -252,3 +252,100 @@ def test_text_inputs_and_sinks(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "out/metadata")).first().points == 300
     sinks.write_morton_sorted(tree.points.select("x", "y", "z", *ORDER), str(tmp_path / "sorted"))
     assert spark.read.parquet(str(tmp_path / "sorted")).count() == 300
+
+
+@pytest.mark.parametrize("sizes", [[], [5], [5, 11], [11, 0, 0, 3, 8], None])
+def test_bins_with_reset_equal_the_loop(spark, sizes):
+    rng = random.Random(7)
+    sizes = [rng.choice((0, 1, 2, 3, 9, 12, 40)) for _ in range(700)] if sizes is None else sizes
+    want, held, bin_ = [], 0, 0
+    for n in sizes:
+        if held > 10:
+            held, bin_ = 0, bin_ + 1
+        held += n
+        want.append(bin_)
+    df = spark.createDataFrame(list(enumerate(sizes)), "id long, n long").repartition(5)
+    got = {r.id: r.bin for r in ordering.bins_with_reset(df, F.col("n"), 10, "id").collect()}
+    assert [got[k] for k in range(len(sizes))] == want
+
+
+def test_bins_with_reset_of_many_nodes(spark):
+    n, most = 100_000, 1000
+    sizes = (np.arange(n) * 7919 % 97).tolist()
+    cuts, held = [], 0
+    for k, v in enumerate(sizes):
+        if held > most:
+            cuts.append(k)
+            held = 0
+        held += v
+    df = spark.range(n).select("id", ((F.col("id") * 7919) % 97).alias("n"))
+    got = ordering.bins_with_reset(df, F.col("n"), most, "id").groupBy("bin").agg(F.min("id").alias("first")).orderBy("bin").collect()
+    assert [r["first"] for r in got] == [0, *cuts] and [r.bin for r in got] == list(range(len(cuts) + 1))
+
+
+@pytest.mark.parametrize("crowded", [False, True])
+def test_growing_disk(spark, crowded):
+    """Greedy thinning with spacing ``2 + d / 8``, with ties in the distance."""
+    rng = np.random.default_rng(11)
+    xy = rng.normal(0, 14, (300, 2)) if not crowded else np.concatenate([rng.normal(0, 25, (120, 2)), 9 + 0.5 * rng.random((180, 2))])
+    xy = np.concatenate([xy, -xy[:20], [[0.0, 0.0]] * 3])[rng.permutation(len(xy) + 23)]
+    points = spark.createDataFrame([(k, float(x), float(y)) for k, (x, y) in enumerate(xy)], "id long, x double, y double")
+    got = {r.id: r.accepted for r in thinning.growing_disk(points, "id", (0.0, 0.0), 2.0, 8.0).collect()}
+    kept, want = [], {}
+    for k in sorted(range(len(xy)), key=lambda k: (np.sqrt(xy[k][0] ** 2 + xy[k][1] ** 2), k)):
+        x, y = xy[k].tolist()
+        want[k] = all(np.sqrt((x - a) ** 2 + (y - b) ** 2) >= 2 + d / 8 for a, b, d in kept)
+        if want[k]:
+            kept.append((x, y, float(np.sqrt(x * x + y * y))))
+    assert got == want and 5 < len(kept) < len(xy) / 2
+    if not crowded:
+        assert thinning.growing_disk(points.limit(0), "id", (0.0, 0.0), 2.0).count() == 0
+        with pytest.raises(ValueError):
+            thinning.growing_disk(points, "id", (0.0, 0.0), 2.0, 1.0)
+
+
+def test_rays_through_the_frustum_equal_a_loop(spark):
+    rng = np.random.default_rng(12)
+    planes = g.frustum_planes(view.Camera.at((2, 2, 2), (0.5, 0.5, 0.5), 64, 64).matrix)
+    for eye in ((2.0, 2.0, 2.0), (0.4, 0.5, 0.6), (-3.0, 0.5, 0.5)):
+        xyz = rng.random((60, 3)) * 3 - 1
+        points = spark.createDataFrame([(k, *map(float, p)) for k, p in enumerate(xyz)], "id long, x double, y double, z double")
+        for r in view.ray_through_frustum(points, eye, planes).collect():
+            way = np.array([r.x, r.y, r.z]) - eye
+            at = [-(np.dot(p[:3], eye) + p[3]) / np.dot(p[:3], way) for p in planes]
+            ahead = [t for t in at if t > 0]
+            assert r.closest == pytest.approx(min(ahead)) if ahead else r.closest is None
+            # The inner interval, from where each half-space holds.
+            low = max([0.0, *(t for t, p in zip(at, planes) if np.dot(p[:3], way) > 0)])
+            high = min([np.inf, *(t for t, p in zip(at, planes) if np.dot(p[:3], way) < 0)])
+            assert (r.t_in, r.t_out) == ((None, None) if low > high else (pytest.approx(low), pytest.approx(high)))
+            if low <= high:
+                middle = eye + way * ((low + min(high, low + 1)) / 2)
+                assert all(np.dot(p[:3], middle) + p[3] > -1e-9 for p in planes)
+
+
+def test_coloured_stream_equals_a_build_of_all_points(spark, tmp_path):
+    xyz, spec = next(small_clouds())
+    points = cloud(spark, xyz).cache()
+    tree = IncrementalTree(spark, spec, str(tmp_path))
+    assert tree.nodes().count() == 0
+
+    def same(part):
+        want = LodTree.of(part, spec)
+        assert sorted(map(tuple, tree.coloured_voxels().collect())) == sorted(map(tuple, want.voxels("average").collect()))
+        assert {tuple(r) for r in tree.nodes().collect()} == {tuple(r) for r in want.nodes.collect()}
+
+    for k in (0, 1, 1, 2):  # leaves split from batch to batch, and one comes again
+        tree.add(points.where(F.col("k1") % 4 == k), k)
+    same(points.where("k1 % 4 < 3"))
+    tree.compact()
+    tree.add(points.where("k1 % 4 = 1"), 1)  # comes again after it was put together
+    tree.add(points.where("k1 % 4 = 3"), 3)
+    same(points)
+    # A crash after the sums were written but before they count, and one before the old ones went.
+    tree.state().write.parquet(str(tmp_path / "state/upto-3-crashed"))
+    same(points)
+    tree.compact()
+    (tmp_path / "state/batch=2").mkdir()
+    same(points)
+    assert len([p for p in (tmp_path / "done").iterdir() if not p.name.startswith(".")]) == 1
