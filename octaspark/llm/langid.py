@@ -5,9 +5,10 @@ Every language gets a binary codeword. For each code bit a binary n-gram classif
 a document gets the language whose codeword has the least weighted loss, and is
 flagged as ambiguous when the runner-up is nearly as close.
 
-Training needs only n-gram counts per language, which Spark sums over all training
-rows; what reaches the driver has at most ``MOST_LANGUAGES x BUCKETS`` rows. Of more
-values in the language column those with most text are learned.
+Training needs only n-gram counts per language, which Spark sums over all training rows. A task holds the counts of at
+most ``HELD`` languages at a time. From them Spark sums, for each bit and bucket, the shares of the
+languages on either side; these sums (bits x ``BUCKETS``, the bits growing with the logarithm of the languages) and the
+languages' names and totals are all that reaches the driver. Every value of the language column is learned.
 
 Defined results: null text, empty text and text without a letter give ``und`` with
 score 0 and are not ambiguous. Equal texts get equal results. With no training
@@ -30,7 +31,8 @@ from pyspark.sql import functions as F
 from octaspark.llm.common import cut_lineage, fold
 
 BUCKETS = 8192
-MOST_LANGUAGES = 500
+#: Languages whose counts a task holds at a time.
+HELD = 64
 UNDETERMINED = "und"
 #: Scale from a mean log-odds per n-gram to a classifier margin.
 SHARPNESS = 2.0
@@ -105,33 +107,53 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> LanguageMo
 
     def count(batches):
         total: dict[str, np.ndarray] = {}
+
+        def out():
+            for g, n in total.items():
+                at = np.flatnonzero(n)
+                yield pa.RecordBatch.from_arrays([pa.array([g] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(n[at], pa.int64())], ["lang", "bucket", "n"])
+            total.clear()
+
         for b in batches:
             for t, g in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if g not in total and len(total) >= HELD:
+                    yield from out()
                 total[g] = total.get(g, 0) + ngram_counts(t)
-        for g, n in total.items():
-            at = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([g] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(n[at], pa.int64())], ["lang", "bucket", "n"]
-            )
+        yield from out()
 
     known = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
     counts = cut_lineage(known.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")))
-    most = counts.groupBy("lang").agg(F.sum("n").alias("total")).orderBy(F.desc("total"), "lang").limit(MOST_LANGUAGES).select("lang")
-    rows = counts.join(F.broadcast(most), "lang").toPandas()  # at most MOST_LANGUAGES x BUCKETS rows
-    languages = sorted(rows["lang"].unique()) if len(rows) else []
+    totals = {r.lang: r.total for r in counts.groupBy("lang").agg(F.sum("n").alias("total")).collect()}  # a name and a number each
+    languages = sorted(totals)
     code = codewords(len(languages))
-    counts = np.zeros((len(languages), BUCKETS))
-    for i, g in enumerate(languages):
-        own = rows[rows["lang"] == g]
-        counts[i, own["bucket"]] = own["n"]
-    p = (counts + 0.5) / (counts.sum(1, keepdims=True) + 0.5 * BUCKETS)
-    weights = np.zeros((BUCKETS, code.shape[1]), np.float32)
-    trust = np.ones(code.shape[1])
-    for b in range(code.shape[1]):
-        yes, no = p[code[:, b] == 1].mean(0), p[code[:, b] == -1].mean(0)
-        weights[:, b] = np.log(yes / no)
-        trust[b] = ((yes - no) * weights[:, b]).sum()  # how far apart the two sides are
-    return LanguageModel(languages, code, weights, trust / trust.mean() if len(trust) else trust)
+    bits = code.shape[1]
+    if not bits:
+        return LanguageModel(languages, code, np.zeros((BUCKETS, 0), np.float32), np.ones(0))
+    number = {g: k for k, g in enumerate(languages)}
+    size = np.array([totals[g] for g in languages]) + 0.5 * BUCKETS  # counts are smoothed by a half for each bucket
+
+    def sides(batches):
+        share = np.zeros((BUCKETS, 1 + bits))  # of all languages, then of those on the one side of each bit
+        for b in batches:
+            own = np.array([number[g] for g in b.column(0).to_pylist()], np.int64)
+            for lo in range(0, len(own), 4096):
+                k, at = own[lo : lo + 4096], b.column(1).to_numpy()[lo : lo + 4096]
+                part = b.column(2).to_numpy()[lo : lo + 4096] / size[k]
+                np.add.at(share, at, part[:, None] * np.hstack([np.ones((len(k), 1)), code[k] == 1]))
+        at = np.flatnonzero(share[:, 0])
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(share[at].tolist(), pa.list_(pa.float64()))], ["bucket", "share"])
+
+    one = F.posexplode("share").alias("bit", "share")
+    sums = counts.mapInArrow(sides, "bucket int, share array<double>").select("bucket", one).groupBy("bucket", "bit").agg(F.sum("share").alias("share")).toPandas()
+    share = np.zeros((BUCKETS, 1 + bits))
+    share[sums["bucket"], sums["bit"]] = sums["share"]
+    there = code == 1
+    base = 0.5 / size
+    yes = (share[:, 1:] + (base[:, None] * there).sum(0)) / there.sum(0)
+    no = (share[:, :1] - share[:, 1:] + (base[:, None] * ~there).sum(0)) / (~there).sum(0)
+    weights = np.log(yes / no)
+    trust = ((yes - no) * weights).sum(0)  # how far apart the two sides are
+    return LanguageModel(languages, code, weights.astype(np.float32), trust / trust.mean())
 
 
 def train_on_folds(docs: DataFrame, id_col: str = "doc_id", modulus: int = 4, held: int = 2) -> LanguageModel:

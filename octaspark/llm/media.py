@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 RATE = 16_000
-UP, DOWN, TAPS = 1, 2, 32
+UP, DOWN, TAPS = 2, 3, 32
 FRAME, HOP, MELS = 256, 128, 24
 TENSOR_FRAMES = 32
 BLOCK_FRAMES = 4096

@@ -1,6 +1,7 @@
 """Operators 5, 7 and 9: held-out accuracy, and what must not matter."""
 
 import math
+import random
 import zlib
 
 import numpy as np
@@ -221,3 +222,23 @@ def test_passages_cover_the_text():
     words = [f"w{k}" for k in range(500)]
     assert len(quality.encode(" ".join(words))) == 8
     assert len(quality.encode(" ".join(words[:64 + 20]))) == 1 and len(quality.encode(None)) == 1
+
+
+def test_many_values_in_the_language_column(spark, make_docs, monkeypatch):
+    """A dirty column: every value is learned, however few languages a task holds; the model equals one fitted in one piece."""
+    rng = random.Random(4)
+    values = [f"l{k}" for k in range(300)]
+    rows = [(k, " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz"[(k % 300) % 20 :][:6], k=6)) for _ in range(12)), values[k % 300]) for k in range(900)]
+    docs = make_docs(rows).repartition(3)
+    want = langid.train(docs)
+    assert want.languages == sorted(values)
+    monkeypatch.setattr(langid, "HELD", 5)
+    got = langid.train(docs)
+    np.testing.assert_allclose(got.weights, want.weights, rtol=1e-4, atol=1e-6)
+    counts = np.zeros((300, langid.BUCKETS))
+    for _, t, g in rows:
+        counts[got.languages.index(g)] += langid.ngram_counts(t)
+    p = (counts + 0.5) / (counts.sum(1, keepdims=True) + 0.5 * langid.BUCKETS)
+    for b in range(0, got.code.shape[1], 9):
+        yes, no = p[got.code[:, b] == 1].mean(0), p[got.code[:, b] == -1].mean(0)
+        np.testing.assert_allclose(got.weights[:, b], np.log(yes / no), rtol=1e-3, atol=1e-5)
