@@ -7,8 +7,9 @@ softmax(w . (tanh(V h) * sigmoid(U h))), and the weighted mean representation is
 by a logistic unit. Only documents have labels; weights of passages follow from them.
 
 Training uses at most ``SAMPLE`` labelled rows of each class, chosen by a hash of the
-id; Spark encodes them and the driver fits a few hundred parameters on their passage
-encodings. Scoring encodes every passage of every text.
+id, and of each at most ``MOST_PASSAGES`` passages, evenly spread over the text; Spark encodes them and the
+driver fits a few hundred parameters on their passage encodings, whose size is thus
+bounded (100 MB). Scoring encodes every passage of every text.
 
 Defined results: null and empty texts are one passage without words. Equal texts have
 equal scores. With no training rows of both classes every score is 0.5. Rows
@@ -29,6 +30,8 @@ from octaspark.llm.toxicity import training_rows
 
 #: Labelled rows of each class that training uses at most.
 SAMPLE = 3000
+#: Passages of a training text that are used at most, evenly spread over it; scoring reads all.
+MOST_PASSAGES = 256
 PASSAGE_WORDS = 64
 HIDDEN = 8
 _hasher = WordHasher(b"\x20\x09\x0a\x0b\x0c\x0d", seed=41)
@@ -137,12 +140,17 @@ def fit(bags: list[np.ndarray], y: np.ndarray, steps: int = 400, rate: float = 0
     return QualityModel(mean, scale, p["v"], p["u"], p["w"], p["c"], float(p["b"][0]))
 
 
+def spread(x: np.ndarray, most: int) -> np.ndarray:
+    """At most ``most`` rows, evenly spread from the first to the last."""
+    return x if len(x) <= most else x[np.linspace(0, len(x) - 1, most).round().astype(int)]
+
+
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str = "doc_id", text: str = "text") -> QualityModel:
     rows = training_rows(docs, labels, label, id_col, text, SAMPLE)
 
     def run(batches):
         for b in batches:
-            x = [encode(t).ravel().tolist() for t in b.column(0).to_pylist()]
+            x = [spread(encode(t), MOST_PASSAGES).ravel().tolist() for t in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float32())), b.column(1)], ["x", "label"])
 
     got = rows.selectExpr("text", "cast(label AS int) AS label").mapInArrow(run, "x array<float>, label int").toArrow()

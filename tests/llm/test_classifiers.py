@@ -242,3 +242,10 @@ def test_many_values_in_the_language_column(spark, make_docs, monkeypatch):
     for b in range(0, got.code.shape[1], 9):
         yes, no = p[got.code[:, b] == 1].mean(0), p[got.code[:, b] == -1].mean(0)
         np.testing.assert_allclose(got.weights[:, b], np.log(yes / no), rtol=1e-3, atol=1e-5)
+
+
+def test_training_takes_a_bounded_number_of_passages():
+    x = np.arange(1000.0)[:, None]
+    some = quality.spread(x, 256)
+    assert len(some) == 256 and some[0] == 0 and some[-1] == 999 and (np.diff(some[:, 0]) <= 4).all()
+    assert len(quality.spread(x[:200], 256)) == 200
