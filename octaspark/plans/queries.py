@@ -763,6 +763,16 @@ def las_sorted_rewrite(spark, d):
     return las.read_las_folder(spark, path, 7_000).select(*"xyzrgb")
 
 
+@query(f"{PC} SELECT {_LAS}, r, g, b FROM (SELECT * FROM pc ORDER BY {ORD} LIMIT 5000)")
+def las_crop_file(spark, d):
+    """The first points of a LAS file as a file of their own: the limit is the feature."""
+    folder = f"{shared_folder(spark)}/crop-{uuid.uuid4().hex}"
+    las.write_las_file(uniform(spark, d), f"{folder}/all", "all.las", *ORDER, scale=1e-6)
+    las.crop_las_file(spark, f"{folder}/all/all.las", f"{folder}/cropped", "cropped.las", 5000)
+    everywhere = (float("-inf"),) * 3, (float("inf"),) * 3
+    return las.read_las_box(las.index_las_folder(spark, f"{folder}/cropped", 1000), *everywhere).select(*"xyzrgb")
+
+
 _BOX = ((0.2, 0.3, 0.1), (0.45, 0.5, 0.6))
 _IN_BOX = " AND ".join(f"{a} BETWEEN {num(lo)} AND {num(hi)}" for a, lo, hi in zip("xyz", *_BOX))
 

@@ -50,6 +50,14 @@ class Assembly:
 
         return rows.select("at", "data").mapInArrow(run, "n long").agg({"n": "sum"}).first()[0] or 0
 
+    def patch(self, name: str, at: int, data: bytes) -> None:
+        """Writes a small piece, such as a header, from the driver."""
+        out = os.open(f"{self.folder}/{name}", os.O_WRONLY)
+        try:
+            write_all(out, data, at)
+        finally:
+            os.close(out)
+
     def describe(self, name: str, content: dict) -> None:
         with open(f"{self.folder}/{name}", "w") as f:
             json.dump(content, f)

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
-from octaspark.sources.files import to_steps
+from octaspark.operators.ordering import ranked
+from octaspark.sources.files import Assembly, to_steps
 from octaspark.staging import cut_lineage, written
 
 #: Where the colour starts in a record of each point format that has one, and all formats' lengths.
@@ -83,13 +84,10 @@ def decode_records(data: bytes, header: LasHeader, origin: Sequence[float] | Non
     return out | {c: colour[:, k] for k, c in enumerate("rgb")}
 
 
-def encode(points: dict[str, np.ndarray], scale: float = 0.001, point_format: int = 2, version: tuple[int, int] = (1, 2), offset: Sequence[float] = (0.0, 0.0, 0.0)) -> bytes:
-    """A LAS file of x, y, z and 8-bit r, g, b; fails if a coordinate less its offset doesn't fit 32 bits at the scale."""
-    n = len(points["x"])
+def encode_header(n: int, low: Sequence[float], high: Sequence[float], scale: float, point_format: int, version: tuple[int, int], offset: Sequence[float]) -> bytes:
     header = bytearray(375 if version >= (1, 4) else 227)
     header[:4] = b"LASF"
     header[24], header[25] = version
-    low, high = ([float(f(points[a])) if n else 0.0 for a in "xyz"] for f in (np.min, np.max))
     struct.pack_into("<H", header, 94, len(header))
     struct.pack_into("<I", header, 96, len(header))
     struct.pack_into("<BH", header, 104, point_format, RECORD_LENGTH[point_format])
@@ -97,12 +95,23 @@ def encode(points: dict[str, np.ndarray], scale: float = 0.001, point_format: in
     struct.pack_into("<3d", header, 131, scale, scale, scale)
     struct.pack_into("<3d", header, 155, *offset)
     struct.pack_into("<6d", header, 179, *[v for h, lo in zip(high, low) for v in (h, lo)])
-    rows = np.zeros(n, _record(point_format, RECORD_LENGTH[point_format]))
+    return bytes(header)
+
+
+def encode_records(points: dict[str, np.ndarray], scale: float, point_format: int, offset: Sequence[float]) -> np.ndarray:
+    rows = np.zeros(len(points["x"]), _record(point_format, RECORD_LENGTH[point_format]))
     for k, (a, c) in enumerate(zip("xyz", "rgb")):
         rows["xyz"][:, k] = to_steps(points[a], scale, offset[k])
         if point_format in COLOUR_OFFSET:
             rows["rgb"][:, k] = points[c]
-    return bytes(header) + rows.tobytes()
+    return rows
+
+
+def encode(points: dict[str, np.ndarray], scale: float = 0.001, point_format: int = 2, version: tuple[int, int] = (1, 2), offset: Sequence[float] = (0.0, 0.0, 0.0)) -> bytes:
+    """A LAS file of x, y, z and 8-bit r, g, b; fails if a coordinate less its offset doesn't fit 32 bits at the scale."""
+    n = len(points["x"])
+    low, high = ([float(f(points[a])) if n else 0.0 for a in "xyz"] for f in (np.min, np.max))
+    return encode_header(n, low, high, scale, point_format, version, offset) + encode_records(points, scale, point_format, offset).tobytes()
 
 
 def _files(path: str):
@@ -265,6 +274,68 @@ def write_las(points: DataFrame, path: str, **options) -> None:
     writer.save(path)
 
 
+def write_las_file(points: DataFrame, folder: str, name: str, *order: str, scale: float = 0.001, point_format: int = 2) -> None:
+    """Points as one LAS file, in the order of columns ``order``: each task writes its records at their places.
+
+    The offset is the cloud's least corner, rounded down. An older file stays until this one is complete.
+    """
+    box = points.agg(*[f(a) for f in (F.min, F.max) for a in "xyz"]).first()  # six numbers
+    low, high = ([float(v or 0) for v in box[k : k + 3]] for k in (0, 3))
+    offset = [float(np.floor(v)) for v in low]
+    length = RECORD_LENGTH[point_format]
+    start = 375
+
+    def run(batches):
+        for b in batches:
+            at = b.column(0).to_numpy()
+            rows = encode_records({c: b.column(c).to_numpy() for c in "xyzrgb"}, scale, point_format, offset)
+            cut = np.flatnonzero(np.diff(at, prepend=at[:1] - 2) != 1)
+            data = [rows[i:j].tobytes() for i, j in zip(cut, [*cut[1:], len(at)])]
+            yield pa.RecordBatch.from_arrays([pa.array(start + at[cut] * length), pa.array(data, pa.binary())], ["at", "data"])
+
+    out = Assembly(folder)
+    placed = ranked(points.select(*"xyzrgb", *(c for c in order if c not in "xyzrgb")), *order, name="_rank").select("_rank", *"xyzrgb")
+    n = out.write(name, placed.mapInArrow(run, "at long, data binary")) // length
+    header = encode_header(n, low, high, scale, point_format, (1, 4), offset)
+    out.patch(name, 0, header)
+    out.commit()
+
+
+def crop_las_file(spark: SparkSession, source: str, folder: str, name: str, most: int, per_task: int = 1_000_000) -> int:
+    """Copies a file's first ``most`` records, with all that stands before them, and returns how many there are.
+
+    Records are copied byte for byte, so fields that aren't read elsewhere stay. Only the count in the header changes.
+    """
+    with _open(source) as f:
+        head = f.read(375)
+        h = parse_header(head, most)
+        f.seek(0)
+        before = bytearray(f.read(h.offset_to_points))
+    if h.version >= (1, 4):
+        struct.pack_into("<Q", before, 247, h.points)
+    else:
+        struct.pack_into("<I", before, 107, h.points)
+
+    def copy(batches):
+        for b in batches:
+            for task in b.column(0).to_pylist():
+                first, step = task * per_task, 65536
+                with _open(source) as f:
+                    f.seek(h.offset_to_points + first * h.record_length)
+                    for at in range(first, min(first + per_task, h.points), step):
+                        n = min(step, first + per_task - at, h.points - at) * h.record_length
+                        data = f.read(n)
+                        if len(data) < n:
+                            raise LasError(f"truncated file {source}")
+                        yield pa.RecordBatch.from_arrays([pa.array([h.offset_to_points + at * h.record_length]), pa.array([data], pa.binary())], ["at", "data"])
+
+    out = Assembly(folder)
+    out.write(name, spark.range(-(-h.points // per_task)).repartition(max(1, min(1000, -(-h.points // per_task)))).mapInArrow(copy, "at long, data binary"))
+    out.patch(name, 0, bytes(before))
+    out.commit()
+    return h.points
+
+
 RANGE = "path string, offset_to_points long, point_format int, record_length long, scale array<double>, offset array<double>, first long, count long, low array<double>"
 
 

@@ -200,3 +200,21 @@ def test_box_index_reads_less(spark, tmp_path):
         assert las.read_las_box(index, low, high).count() == sum(low[0] <= r[0] <= high[0] for r in rows)
     assert read[0] < 500 < read[1] < 2500 and index.agg(F.sum("count")).first()[0] == 4000
     assert las.read_las_box(index, (2, 2, 2), (3, 3, 3)).count() == 0
+
+
+def test_one_las_file_by_many_tasks(spark, tmp_path):
+    rng = np.random.default_rng(9)
+    rows = [(*np.round(rng.random(3) + 1000, 3).tolist(), k % 256, 1, 2, k) for k in range(900)]
+    points = spark.createDataFrame(rows, "x double, y double, z double, r int, g int, b int, k long").repartition(5)
+    las.write_las_file(points, str(tmp_path / "one"), "all.las", "k", point_format=3)
+    data = (tmp_path / "one/all.las").read_bytes()
+    h = las.parse_header(data)
+    assert (h.points, h.point_format, len(data)) == (900, 3, 375 + 900 * 34) and h.low == tuple(min(r[k] for r in rows) for k in range(3))
+    got = las.decode_records(data[375:], h, (0, 0, 0))
+    assert np.allclose(got["x"], [r[0] for r in rows]) and got["r"].tolist() == [r[3] for r in rows]
+    for most, want in ((70, 70), (5000, 900), (0, 0)):
+        assert las.crop_las_file(spark, str(tmp_path / "one/all.las"), str(tmp_path / f"c{most}"), "c.las", most, per_task=32) == want
+        part = (tmp_path / f"c{most}/c.las").read_bytes()
+        assert las.parse_header(part).points == want and part[375:] == data[375 : 375 + 34 * want]
+    las.write_las_file(points.limit(0), str(tmp_path / "one"), "all.las", "k")
+    assert las.parse_header((tmp_path / "one/all.las").read_bytes()).points == 0

@@ -15,7 +15,7 @@ SOME = (
     "mask_stream_dfs mask_decode byte_offset_bins bench_median_run timing_report height_field_tiles las_scan octree_hierarchy_roundtrip voxels_first voxel_occupancy "
     "cloud_voxels_smooth export_samples vertex_voxels plane_distance bits_total pack_variable_bits pack_20bit batch_octants strict_octants node_morton_order batch_morton_order order_by_centre "
     "residue_order morton_runs blue_noise_tiles distinct_check incremental_octree incremental_voxels las_sorted_rewrite probe_point_counts node_csv payload_scan "
-    "closing_bins packed_block_plan packed_block_roundtrip ray_through_frustum las_box_scan octree_file_roundtrip octree_file_view incremental_coloured_voxels growing_blue_noise"
+    "closing_bins packed_block_plan packed_block_roundtrip ray_through_frustum las_box_scan octree_file_roundtrip octree_file_view incremental_coloured_voxels growing_blue_noise las_crop_file"
 ).split()
 
 
