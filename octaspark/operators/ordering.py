@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from octaspark.staging import cut_lineage, written
+from octaspark.staging import cut_lineage, discard, written
 
 
 def running_sum(df: DataFrame, value: Column, *order: Column | str, name: str) -> DataFrame:
@@ -62,9 +62,11 @@ def bins_with_reset(df: DataFrame, size: Column, most: int, *order: Column | str
         more = written(met.join(starts, "_i", "left_anti").distinct(), "starts")
         if more.isEmpty():
             break
+        before = starts, more, jump
         starts = written(starts.unionByName(more), "starts")
         further = jump.select(F.col("_i").alias("to"), F.col("to").alias("further"))
         jump = written(jump.join(further, "to").select("_i", F.col("further").alias("to")), "jump")
+        discard(*before)
     opened = numbered.join(starts.withColumn("_opens", F.lit(1)), "_i", "left").withColumn("_opens", F.coalesce("_opens", F.lit(0)).cast("long"))
     out = running_sum(opened, F.col("_opens"), "_i", name="_closed")
     return out.withColumn(name, F.col("_closed") + F.col("_opens") - 1).drop("_i", "_size", "_before", "_opens", "_closed")

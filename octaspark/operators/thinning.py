@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from octaspark.staging import written
+from octaspark.staging import discard, written
 
 
 def poisson_disk(points: DataFrame, key: str, spacing: float) -> DataFrame:
@@ -33,7 +33,8 @@ def poisson_disk(points: DataFrame, key: str, spacing: float) -> DataFrame:
         near = written(reach.join(first, ["cx", "cy"]).where((F.col("k") != F.col("pk")) & (dx * dx + dy * dy < square)).select("k", "pk"), "near")
         new = written(first.select("pk").join(near.where("k < pk").select("pk").distinct(), "pk", "left_anti"), "accepted")
         gone = near.join(new, "pk").select("k").unionByName(new.select(F.col("pk").alias("k")))
-        todo = written(todo.join(gone, "k", "left_anti").select(todo.columns), "open")
+        spent, todo = todo, written(todo.join(gone, "k", "left_anti").select(todo.columns), "open")
+        discard(near, *([] if spent is everything else [spent]))
         accepted.append(new)
     if not accepted:
         return everything.select(F.col("k").alias(key), "x", "y", F.lit(False).alias("accepted"))
@@ -84,7 +85,8 @@ def growing_disk(points: DataFrame, key: str, centre: Sequence[float], base: flo
         waits = spread(first, -1).join(todo, ["c", "cx", "cy"]).where(before & (apart < F.col("s"))).select(F.col("pk").alias("k")).distinct()
         new = written(first.join(waits, "k", "left_anti"), "accepted")
         gone = spread(new, 1).join(todo, ["c", "cx", "cy"]).where(after & (apart < F.col("ps"))).select("k").unionByName(new.select("k")).distinct()
-        todo = written(todo.join(gone, "k", "left_anti").select(everything.columns), "open")
+        spent, todo = todo, written(todo.join(gone, "k", "left_anti").select(everything.columns), "open")
+        discard(*([] if spent is everything else [spent]))
         accepted.append(new.select("k"))
     kept = everything.select("k").limit(0) if not accepted else accepted[0]
     for more in accepted[1:]:

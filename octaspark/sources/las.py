@@ -5,6 +5,7 @@ from __future__ import annotations
 import struct
 import uuid
 from collections.abc import Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
@@ -147,10 +148,13 @@ class _LasReader(DataSourceReader):
         bad = [p for p in self.paths if not p.lower().endswith(".las")]
         if bad or not self.paths:
             raise LasError(f"not .las files: {bad}" if bad else "no path given")
-        headers = []
-        for p in self.paths:
-            with _open(p) as f:
-                headers.append(parse_header(f.read(375), self.max_points))
+
+        def header(path: str) -> LasHeader:
+            with _open(path) as f:
+                return parse_header(f.read(375), self.max_points)
+
+        with ThreadPoolExecutor(16) as pool:  # one small read a file; a folder's headers are read by tasks, see read_las_folder
+            headers = list(pool.map(header, self.paths))
         origin = tuple(min(h.low[k] for h in headers) for k in range(3))
         return [_Range(p, h, at, min(self.per_range, h.points - at), origin) for p, h in zip(self.paths, headers) for at in range(0, h.points, self.per_range)]
 
