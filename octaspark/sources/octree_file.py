@@ -11,6 +11,7 @@ so chunks under it aren't read; of octree.bin only ranges of wanted nodes are. T
 
 from __future__ import annotations
 
+import functools
 import json
 from collections import deque
 from collections.abc import Iterable, Iterator, Sequence
@@ -84,8 +85,12 @@ class Wanted:
     matrix: tuple | None = None
     threshold: float = 0.0
 
+    @functools.cached_property
+    def planes(self) -> list[tuple[float, float, float, float]]:
+        return frustum_planes(self.matrix)
+
     def in_sight(self, low: Sequence[float], high: Sequence[float]) -> bool:
-        for nx, ny, nz, d in frustum_planes(self.matrix):
+        for nx, ny, nz, d in self.planes:
             corner = [high[k] if n >= 0 else low[k] for k, n in enumerate((nx, ny, nz))]
             if not nx * corner[0] + ny * corner[1] + nz * corner[2] + d >= 0:
                 return False
@@ -141,7 +146,7 @@ class OctreeReader(DataSourceReader):
         self.scale, self.offset = meta["scale"], meta["offset"]
         self.origin, self.size = meta["boundingBox"]["min"], meta["boundingBox"]["max"][0] - meta["boundingBox"]["min"][0]
         self.root = ("r", 0, meta["hierarchy"]["firstChunkSize"])
-        self.per_part, self.plan_chunks = int(options.get("pointsPerPartition", 1_000_000)), int(options.get("planChunks", 20_000))
+        self.per_part, self.plan_chunks = int(options.get("pointsPerPartition", 1_000_000)), int(options.get("planChunks", 200))
         self.wanted = Wanted()
         if "camera" in options:
             camera = json.loads(options["camera"])
