@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import struct
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
@@ -12,7 +12,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import (
+    DataSource,
+    DataSourceArrowWriter,
+    DataSourceReader,
+    EqualTo,
+    Filter,
+    GreaterThan,
+    GreaterThanOrEqual,
+    InputPartition,
+    LessThan,
+    LessThanOrEqual,
+    WriterCommitMessage,
+)
 from pyspark.sql.types import StructType
 
 from octaspark.operators.ordering import ranked
@@ -143,6 +155,11 @@ class _LasReader(DataSourceReader):
         self.paths = [p for p in options.get("paths", options.get("path", "")).split(",") if p]
         self.per_range = int(options.get("pointsPerPartition", 1_000_000))
         self.max_points = int(options["maxPoints"]) if "maxPoints" in options else None
+        self.low, self.high = [-np.inf] * 3, [np.inf] * 3  # of the coordinates that are wanted
+
+    def meets(self, h: LasHeader, origin: Sequence[float]) -> bool:
+        """Whether a file may hold wanted points, by its header's box and a step around it."""
+        return all(h.low[k] - origin[k] - h.scale[k] <= self.high[k] and h.high[k] - origin[k] + h.scale[k] >= self.low[k] for k in range(3))
 
     def partitions(self) -> list[InputPartition]:
         bad = [p for p in self.paths if not p.lower().endswith(".las")]
@@ -156,7 +173,8 @@ class _LasReader(DataSourceReader):
         with ThreadPoolExecutor(16) as pool:  # one small read a file; a folder's headers are read by tasks, see read_las_folder
             headers = list(pool.map(header, self.paths))
         origin = tuple(min(h.low[k] for h in headers) for k in range(3))
-        return [_Range(p, h, at, min(self.per_range, h.points - at), origin) for p, h in zip(self.paths, headers) for at in range(0, h.points, self.per_range)]
+        wanted = [(p, h) for p, h in zip(self.paths, headers) if self.meets(h, origin)]
+        return [_Range(p, h, at, min(self.per_range, h.points - at), origin) for p, h in wanted for at in range(0, h.points, self.per_range)] or [_Range(self.paths[0], headers[0], 0, 0, origin)]
 
     def read(self, part: _Range) -> Iterator[pa.RecordBatch]:
         h, step = part.header, 65536
@@ -170,6 +188,21 @@ class _LasReader(DataSourceReader):
                 yield to_batch(decode_records(data, h, part.origin), part.path, part.first + at)
 
 
+class _PushingLasReader(_LasReader):
+    """Bounds on x, y, z keep files from being opened whose header's box lies outside; Spark still applies all filters to the rows."""
+
+    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
+        for f in filters:
+            of = getattr(f, "attribute", None)
+            if of in (("x",), ("y",), ("z",)):
+                k = "xyz".index(of[0])
+                if isinstance(f, (EqualTo, GreaterThan, GreaterThanOrEqual)):
+                    self.low[k] = max(self.low[k], float(f.value))
+                if isinstance(f, (EqualTo, LessThan, LessThanOrEqual)):
+                    self.high[k] = min(self.high[k], float(f.value))
+            yield f
+
+
 def to_batch(points: dict[str, np.ndarray], file: str, first: int) -> pa.RecordBatch:
     n = len(points["x"])
     cols = [pa.array(points[a], pa.float64()) for a in "xyz"] + [pa.array(points[c], pa.int32()) for c in "rgb"]
@@ -240,7 +273,8 @@ class _LasWriter(DataSourceArrowWriter):
 
 
 class LasDataSource(DataSource):
-    """``spark.read.format("las")`` with options paths (comma-separated), pointsPerPartition, maxPoints, and
+    """``spark.read.format("las")`` with options paths (comma-separated), pointsPerPartition, maxPoints, pushFilters (bounds on x, y, z skip
+    files; needs ``spark.sql.python.filterPushdown.enabled``), and
     ``df.write.format("las").save(path)`` of columns x, y, z, r, g, b with options scale, pointFormat, pointsPerFile and offset
     (three numbers with commas; without it each file takes its own least corner, rounded down)."""
 
@@ -252,7 +286,7 @@ class LasDataSource(DataSource):
         return SCHEMA
 
     def reader(self, schema: StructType) -> DataSourceReader:
-        return _LasReader(self.options)
+        return _PushingLasReader(self.options) if self.options.get("pushFilters") == "true" else _LasReader(self.options)
 
     def writer(self, schema: StructType, overwrite: bool) -> DataSourceArrowWriter:
         return _LasWriter(self.options, overwrite)
@@ -260,7 +294,7 @@ class LasDataSource(DataSource):
 
 def read_las(spark: SparkSession, *paths: str, **options) -> DataFrame:
     spark.dataSource.register(LasDataSource)
-    reader = spark.read.format("las").option("paths", ",".join(paths))
+    reader = spark.read.format("las").option("paths", ",".join(paths)).option("pushFilters", spark.conf.get("spark.sql.python.filterPushdown.enabled", "false"))
     for k, v in options.items():
         reader = reader.option(k, v)
     return reader.load()

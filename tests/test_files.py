@@ -218,3 +218,20 @@ def test_one_las_file_by_many_tasks(spark, tmp_path):
         assert las.parse_header(part).points == want and part[375:] == data[375 : 375 + 34 * want]
     las.write_las_file(points.limit(0), str(tmp_path / "one"), "all.las", "k")
     assert las.parse_header((tmp_path / "one/all.las").read_bytes()).points == 0
+
+
+def test_bounds_skip_las_files(spark, tmp_path):
+    for k in range(3):
+        cols = {a: np.arange(50) / 100 + (10 * k if a == "x" else 0) for a in "xyz"} | {c: np.full(50, k) for c in "rgb"}
+        (tmp_path / f"{k}.las").write_bytes(las.encode(cols))
+    paths = [str(tmp_path / f"{k}.las") for k in range(3)]
+    reader = las._PushingLasReader({"paths": ",".join(paths)})
+    list(reader.pushFilters([las.GreaterThan(("x",), 9.0), las.LessThanOrEqual(("x",), 10.25), las.EqualTo(("r",), 1)]))
+    assert {p.path for p in reader.partitions()} == {paths[1]}
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    try:
+        got = las.read_las(spark, *paths).where("x > 9 AND x <= 10.25").collect()
+        assert len(got) == 26 and {r.r for r in got} == {1}
+        assert las.read_las(spark, *paths).where("x > 99").count() == 0 and las.read_las(spark, *paths).count() == 150
+    finally:
+        spark.conf.set("spark.sql.python.filterPushdown.enabled", "false")
