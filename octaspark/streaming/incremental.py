@@ -49,11 +49,17 @@ class IncrementalTree:
         newest = max(done, key=lambda n: int(n.split("-")[1]))
         return newest, int(newest.split("-")[1])
 
+    def _current(self) -> tuple[list[str], int]:
+        """Folders that make up the state now, and the last batch in them."""
+        newest, last = self._compacted()
+        batches = [n for n in names_in(self.spark, f"{self.folder}/state") if n.startswith("batch=") and int(n[6:]) > last]
+        return batches + ([newest] if newest else []), max([last, *(int(n[6:]) for n in batches)])
+
     def state(self) -> DataFrame:
         """cell, n and sums r, g, b of all points so far."""
-        newest, last = self._compacted()
-        folders = [n for n in names_in(self.spark, f"{self.folder}/state") if n.startswith("batch=") and int(n[6:]) > last]
-        folders += [newest] if newest else []
+        return self._sums(self._current()[0])
+
+    def _sums(self, folders: list[str]) -> DataFrame:
         if not folders:
             return self.spark.createDataFrame([], STATE)
         rows = self.spark.read.schema(STATE).parquet(*[f"{self.folder}/state/{n}" for n in folders])
@@ -88,13 +94,13 @@ class IncrementalTree:
     def compact(self) -> None:
         """Puts all batches so far together; a crash at any point leaves the state as it was or as it will be."""
         newest, last = self._compacted()
-        covered = [n for n in names_in(self.spark, f"{self.folder}/state") if n.startswith("batch=")]
-        upto = max([last, *(int(n[6:]) for n in covered)])
+        folders, upto = self._current()  # a batch that comes while this runs isn't in it
         if upto == last:
             return
         name = f"upto-{upto}-{uuid.uuid4().hex}"
-        self.state().write.parquet(f"{self.folder}/state/{name}")
+        self._sums(folders).write.parquet(f"{self.folder}/state/{name}")
         make_folder(self.spark, f"{self.folder}/done/{name}")  # from here on it counts
+        covered = [n for n in names_in(self.spark, f"{self.folder}/state") if n.startswith("batch=") and int(n[6:]) <= upto]
         for old in [*covered, *([newest] if newest else [])]:
             remove(self.spark, f"{self.folder}/state/{old}")
         if newest:
