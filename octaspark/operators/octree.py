@@ -112,9 +112,23 @@ def with_leaf(indexed: DataFrame, spec: TreeSpec, cells: DataFrame | None = None
     """
     cells = cell_counts(indexed) if cells is None else cells
     tree = nodes(cells, spec) if tree is None else tree
+    return at_home(indexed, homes(cells, spec, tree))
+
+
+def homes(cells: DataFrame, spec: TreeSpec, tree: DataFrame) -> DataFrame:
+    """cell, leaf_level and leaf_key: the leaf of each finest cell."""
     found = tree.where("is_leaf").select("level", "key")
-    home = _roll_up(cells, spec).join(found, ["level", "key"]).select(F.col("fine").alias("key"), F.col("level").alias("leaf_level"), F.col("key").alias("leaf_key"))
-    return indexed.join(home, "key")
+    return _roll_up(cells, spec).join(found, ["level", "key"]).select(F.col("fine").alias("cell"), F.col("level").alias("leaf_level"), F.col("key").alias("leaf_key"))
+
+
+def at_home(indexed: DataFrame, home: DataFrame) -> DataFrame:
+    """Points joined with ``homes``.
+
+    The points' side of the join is never null, else Spark would first filter by a copy of the whole key
+    expression, in which each coordinate is computed again for every use.
+    """
+    rows = indexed.withColumn("_at", F.coalesce("key", F.lit(-1).cast("long")))
+    return rows.join(home.withColumnRenamed("cell", "_at"), "_at").select("key", *(c for c in indexed.columns if c != "key"), "leaf_level", "leaf_key")
 
 
 def describe(tree: DataFrame, max_depth: int = 12) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from octaspark.functions.geometry import box_in_frustum, dot4, frustum_planes, project
+from octaspark.staging import cut_lineage
 
 BACKGROUND = (0x11, 0x22, 0x33)
 
@@ -71,12 +72,15 @@ def visible_totals(nodes: DataFrame, voxel_counts: DataFrame) -> DataFrame:
 
 
 def unsuppressed(voxels: DataFrame, nodes: DataFrame, grid_bits: int) -> DataFrame:
-    """Voxels of visible nodes without those that lie in a visible child node."""
+    """Voxels of visible nodes without those that lie in a visible child node.
+
+    The visible nodes are written once: both joins are pushed below the union of levels, where each level would find them anew.
+    """
     from octaspark.functions.geometry import morton
 
     key = morton(*[F.shiftright(f"v{a}", grid_bits) for a in "xyz"])
     child = morton(*[F.shiftright(f"v{a}", grid_bits - 1) for a in "xyz"])
-    seen = nodes.where("visible").select("level", "key")
+    seen = cut_lineage(nodes.where("visible").select("level", "key"))
     own = voxels.withColumns({"key": key, "child": child}).join(seen, ["level", "key"], "left_semi")
     below = seen.select((F.col("level") - 1).alias("level"), F.col("key").alias("child"))
     return own.join(below, ["level", "child"], "left_anti").drop("child")
