@@ -176,18 +176,21 @@ def ray_through_frustum(points: DataFrame, eye: Sequence[float], planes: Sequenc
     """
     way = {a: F.col(a) - F.lit(float(e)) for a, e in zip("xyz", eye)}
     infinity = F.lit(float("inf"))
-    start, end, closest, outside = F.lit(0.0), infinity, infinity, F.lit(False)
+    met = []  # of each plane the slope of the way towards it, and where the ray meets it
     for nx, ny, nz, d in planes:
         slope = F.lit(float(nx)) * way["x"] + F.lit(float(ny)) * way["y"] + F.lit(float(nz)) * way["z"]
         height = nx * eye[0] + ny * eye[1] + nz * eye[2] + d  # of the eye over the plane
-        t = F.when(slope != 0, F.lit(-float(height)) / slope)
-        closest = F.least(closest, F.when(t > 0, t).otherwise(infinity))
-        start = F.greatest(start, F.when(slope > 0, t).otherwise(F.lit(0.0)))
-        end = F.least(end, F.when(slope < 0, t).otherwise(infinity))
-        outside = outside | ((slope == 0) & F.lit(height < 0))
-    out = points.withColumns({"closest": F.when(closest < infinity, closest), "_in": start, "_out": end})
-    met = (F.col("_in") <= F.col("_out")) & ~outside
-    return out.withColumns({"t_in": F.when(met, F.col("_in")), "t_out": F.when(met, F.col("_out"))}).drop("_in", "_out")
+        met.append(F.struct(slope.alias("s"), F.when(slope != 0, F.lit(-float(height)) / slope).alias("t"), F.lit(height < 0).alias("below")))
+    # As arrays the planes share one piece of code; written out, it is longer than Java compiles.
+    rows = points.withColumn("_met", F.array(*met))
+    ahead = F.array_min(F.transform("_met", lambda p: F.when(p["t"] > 0, p["t"]).otherwise(infinity)))
+    start = F.greatest(F.lit(0.0), F.array_max(F.transform("_met", lambda p: F.when(p["s"] > 0, p["t"]).otherwise(F.lit(0.0)))))
+    end = F.least(infinity, F.array_min(F.transform("_met", lambda p: F.when(p["s"] < 0, p["t"]).otherwise(infinity))))
+    outside = F.exists("_met", lambda p: (p["s"] == 0) & p["below"])
+    out = rows.withColumns({"_ahead": ahead, "_in": start, "_out": end, "_beside": outside})
+    inside = (F.col("_in") <= F.col("_out")) & ~F.col("_beside")
+    out = out.withColumns({"closest": F.when(F.col("_ahead") < infinity, F.col("_ahead")), "t_in": F.when(inside, F.col("_in")), "t_out": F.when(inside, F.col("_out"))})
+    return out.drop("_met", "_ahead", "_in", "_out", "_beside")
 
 
 def in_bounds(points: DataFrame, low: Sequence[float], high: Sequence[float]) -> DataFrame:
