@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from octaspark.functions.geometry import bit_length, clamp, grid_index, morton, morton2_inverse
 from octaspark.operators.ordering import ranked
 from octaspark.sources.tables import ORDER
+from octaspark.staging import few, written
 
 
 def with_morton(points: DataFrame, bits: int = 21, order: str = "xyz") -> DataFrame:
@@ -23,9 +26,16 @@ def shuffle_hash(c: Column, seed: int = 0) -> Column:
     return ((c + seed) % 2147483647 * 48271 + 12345) % 2147483647
 
 
-def block_shuffle(points: DataFrame, block: int = 128) -> DataFrame:
-    """Morton order, then whole blocks in pseudo-random order; keeps the order within a block."""
-    rows = morton_rank(points).withColumns({"block": F.floor(F.col("rank") / block).cast("long"), "place": F.col("rank") % block})
+def block_shuffle(points: DataFrame, block: int = 128, keep: Sequence[str] | None = None) -> DataFrame:
+    """Morton order, then whole blocks in pseudo-random order; keeps the order within a block.
+
+    Only columns ``keep`` travel beside the order, all without it.
+    """
+    rows = with_morton(points)
+    rows = ranked(rows if keep is None else rows.select("code", *dict.fromkeys([*ORDER, *keep])), "code", *ORDER)
+    rows = rows.withColumns({"block": F.floor(F.col("rank") / block).cast("long"), "place": F.col("rank") % block})
+    if keep is not None:
+        rows = rows.select(*keep, "block", "place")
     return ranked(rows, shuffle_hash(F.col("block")), "block", "place", name="position")
 
 
@@ -92,11 +102,15 @@ def packed(points: DataFrame, bits: int) -> DataFrame:
     return q.select(*ORDER, F.expr(f"qx | shiftleft(qy, {bits}) | shiftleft(qz, {2 * bits})").alias("code"))
 
 
-def order_within(rows: DataFrame, group: list[str], code: Column) -> DataFrame:
-    """Place of each row in its group's Morton order: the rank by group and code less the group's least, so no group is sorted by one task."""
-    order = [*[F.col(g) for g in group], F.col("_code"), *[F.col(k) for k in ORDER]]
-    numbered = ranked(rows.withColumn("_code", code), *order, name="_rank")
-    first = numbered.groupBy(*group).agg(F.min("_rank").alias("_first"))
+def order_within(rows: DataFrame, group: list[str], code: Column | str) -> DataFrame:
+    """Place of each row in its group's Morton order: the rank by group and code less the group's least, so no group is sorted by one task.
+
+    Rows are shuffled once if there are few groups; select beforehand what shall travel.
+    """
+    if not isinstance(code, str):
+        rows, code = rows.withColumn("_code", code), "_code"
+    numbered = ranked(rows, *group, code, *ORDER, name="_rank")
+    first = few(written(numbered.groupBy(*group).agg(F.min("_rank").alias("_first")), "first"))
     return numbered.join(first, group).withColumn("place", F.col("_rank") - F.col("_first")).drop("_rank", "_first", "_code")
 
 

@@ -30,11 +30,12 @@ def ranked(df: DataFrame, *order: Column | str, name: str = "rank") -> DataFrame
     """A dense 0-based rank in a total order.
 
     One range shuffle: rows are sorted within their partition and written with their place in it, which the low
-    bits of the row number tell; what a partition starts at is one number for each.
+    bits of the row number tell; what a partition starts at is one number for each. Columns named in the order
+    travel once; only expressions get a column of their own.
     """
-    cols = [F.col(c) if isinstance(c, str) else c for c in order]
-    keys = [f"_o{k}" for k in range(len(cols))]
-    dealt = df.withColumns(dict(zip(keys, cols))).repartitionByRange(*keys).sortWithinPartitions(*keys).drop(*keys)
+    made = {f"_o{k}": c for k, c in enumerate(order) if not isinstance(c, str)}
+    keys = [c if isinstance(c, str) else f"_o{k}" for k, c in enumerate(order)]
+    dealt = df.withColumns(made).repartitionByRange(*keys).sortWithinPartitions(*keys).drop(*made)
     place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
     placed = written(dealt.withColumns({"_part": F.spark_partition_id(), "_place": place}), "ranked")
     totals = placed.groupBy("_part").agg(F.count("*").alias("_n"))

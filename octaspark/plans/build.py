@@ -10,13 +10,13 @@ from pyspark.sql import functions as F
 from octaspark.functions.geometry import morton
 from octaspark.operators import octree, voxelize
 from octaspark.operators.octree import TreeSpec
-from octaspark.staging import cut_lineage
+from octaspark.staging import cut_lineage, few, written
 
 
 @dataclass
 class LodTree:
-    """DataFrames of one tree. Cell counts and nodes are written to the shared folder; points
-    are read again where they are used."""
+    """DataFrames of one tree. Cell counts, nodes and the cells' leaves are written to the shared folder; points
+    are read again where they are used, and not shuffled to find their leaf unless there are very many cells."""
 
     spec: TreeSpec
     points: DataFrame  # with ix, iy, iz, key, leaf_level, leaf_key
@@ -27,7 +27,8 @@ class LodTree:
         indexed = octree.with_fine_index(points, spec)
         cells = cut_lineage(octree.cell_counts(indexed))
         nodes = cut_lineage(octree.nodes(cells, spec))
-        return cls(spec, octree.with_leaf(indexed, spec, cells, nodes), nodes)
+        home = few(written(octree.homes(cells, spec, nodes), "homes"))
+        return cls(spec, octree.at_home(indexed, home), nodes)
 
     def voxel_counts(self) -> DataFrame:
         """level, key and num_voxels of inner nodes."""

@@ -394,7 +394,7 @@ def morton_sort_rank_zyx(spark, d):
 SELECT {ORD}, block, row_number() OVER (ORDER BY ((block % 2147483647) * 48271 + 12345) % 2147483647, block, rank) - 1 AS position FROM bl"""
 )
 def block_shuffle(spark, d):
-    return layout.block_shuffle(uniform(spark, d)).select(*ORDER, "block", "position")
+    return layout.block_shuffle(uniform(spark, d), keep=ORDER).select(*ORDER, "block", "position")
 
 
 @query(f"{PC} SELECT {ORD}, row_number() OVER (ORDER BY ((k1 * 8 + k4) % 2147483647 * 48271 + 12345) % 2147483647, {ORD}) - 1 AS position FROM pc")
@@ -509,13 +509,14 @@ def strict_octants(spark, d):
 def node_morton_order(spark, d):
     """Places of points in their leaf's Morton order, seven bits to an axis as far as the grid goes."""
     code = geometry.morton(*[F.expr(f"shiftright(i{a}, greatest({SMALL.fine_bits - 7} - leaf_level, 0)) & 127") for a in "xyz"])
-    return layout.order_within(tree_of(spark, d).points, ["leaf_level", "leaf_key"], code).select(*ORDER, "leaf_level", "leaf_key", "place")
+    rows = tree_of(spark, d).points.select(*ORDER, "leaf_level", "leaf_key", code.alias("code"))
+    return layout.order_within(rows, ["leaf_level", "leaf_key"], "code").select(*ORDER, "leaf_level", "leaf_key", "place")
 
 
 @query(f"{_BATCHED} SELECT {ORD}, batch_id, row_number() OVER (PARTITION BY batch_id ORDER BY {morton_sql(*[oracle.cell(a, 21) for a in 'xyz'], 21)}, {ORD}) - 1 AS place FROM bt")
 def batch_morton_order(spark, d):
-    rows = layout.with_morton(layout.with_batches(uniform(spark, d), BATCH))
-    return layout.order_within(rows, ["batch_id"], F.col("code")).select(*ORDER, "batch_id", "place")
+    rows = layout.with_batches(layout.with_morton(uniform(spark, d)).select(*ORDER, "code"), BATCH)
+    return layout.order_within(rows.select(*ORDER, "batch_id", "code"), ["batch_id"], "code").select(*ORDER, "batch_id", "place")
 
 
 _D2 = " + ".join(["CAST(0 AS DOUBLE)"] + [f"({a} - {num(0.5)}) * ({a} - {num(0.5)})" for a in "xyz"])

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -33,6 +34,11 @@ def written(df: DataFrame, name: str, *by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def few(table: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """A table that was written, marked for broadcast if it has at most ``most`` rows (of a few numbers)."""
+    return F.broadcast(table) if table.count() <= most else table
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes tables made by ``written`` (without folders by column) that nothing reads any more."""
     for df in tables:
