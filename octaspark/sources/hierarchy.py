@@ -11,11 +11,13 @@ import struct
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from octaspark.operators.ordering import running_sum
 from octaspark.sources.files import to_steps
+from octaspark.staging import few, written
 
 #: A record is type, child mask, points, byte offset and byte size.
 RECORD = "<BBIqq"
@@ -122,6 +124,16 @@ def encode_payload(placed: DataFrame, scale: float) -> DataFrame:
     return rows.mapInArrow(run, "level int, key long, records binary")
 
 
+def _runs(ends: np.ndarray, most: int):
+    """(from, to) of rows that follow each other and end within ``most`` of where they start, or are one row; ``ends`` grow."""
+    lo = 0
+    while lo < len(ends):
+        start = ends[lo - 1] if lo else 0
+        hi = max(lo + 1, int(np.searchsorted(ends, start + most, "right")))
+        yield lo, hi
+        lo = hi
+
+
 def scan_payload(payload: DataFrame, slices: DataFrame, scale: float, least: int) -> DataFrame:
     """Points with their node, read in bins of nodes that follow each other in the file.
 
@@ -131,11 +143,13 @@ def scan_payload(payload: DataFrame, slices: DataFrame, scale: float, least: int
 
     def run(batches):
         for b in batches:
-            for level, key, place, data in zip(*(c.to_pylist() for c in b.columns)):
-                p = decode_payload(data, scale)
-                n = len(p["x"])
-                own = [pa.array([level] * n, pa.int32()), pa.array([key] * n, pa.int64()), pa.array([place] * n, pa.int64())]
+            ends = np.cumsum(pc.binary_length(b.column(3)).to_numpy())
+            for lo, hi in _runs(ends, 65536 * _POINT.itemsize):
+                part = b.slice(lo, hi - lo)
+                n = pc.binary_length(part.column(3)).to_numpy() // _POINT.itemsize
+                p = decode_payload(b"".join(part.column(3).to_pylist()), scale)
+                own = [pa.array(np.repeat(part.column(k).to_numpy(), n)) for k in range(3)]
                 yield pa.RecordBatch.from_arrays([*own, *(pa.array(p[a], pa.float64()) for a in "xyz"), *(pa.array(p[c], pa.int32()) for c in "rgb")], ["level", "key", "bin", *"xyzrgb"])
 
-    dealt = payload.join(bins, ["level", "key"]).select("level", "key", "bin", "records").repartition("bin")
+    dealt = payload.join(few(written(bins, "bins")), ["level", "key"]).select("level", "key", "bin", "records").repartition("bin")
     return dealt.mapInArrow(run, "level int, key long, bin long, x double, y double, z double, r int, g int, b int")
