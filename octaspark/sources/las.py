@@ -500,12 +500,14 @@ def scan_las_files(files: DataFrame, name: str = "path", content: str = "content
 
     def run(batches):
         for b in batches:
-            for file, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                h = parse_header(data[:375])
-                body = data[h.offset_to_points : h.offset_to_points + h.points * h.record_length]
-                if len(body) < h.points * h.record_length:
+            for k in range(b.num_rows):  # one file at a time, of which nothing is copied
+                file, data = b.column(0)[k].as_py(), memoryview(b.column(1)[k].as_buffer())
+                h = parse_header(bytes(data[:375]))
+                if len(data) < h.offset_to_points + h.points * h.record_length:
                     raise LasError(f"truncated file {file}")
-                yield to_batch(decode_records(body, h, (0.0, 0.0, 0.0)), file, 0)
+                for at in range(0, h.points, 65536):
+                    lo, hi = (h.offset_to_points + n * h.record_length for n in (at, min(at + 65536, h.points)))
+                    yield to_batch(decode_records(data[lo:hi], h, (0.0, 0.0, 0.0)), file, at)
 
     return files.select(F.col(name), F.col(content)).mapInArrow(run, SCHEMA)
 
@@ -515,10 +517,10 @@ def header_rows(files: DataFrame, name: str = "path", content: str = "content")
 
     def run(batches):
         for b in batches:
-            rows = [(f, h.points, *h.low, *h.high) for f, d in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for h in [parse_header(d[:375])]]
+            rows = [(f, h.points, *h.low, *h.high) for f, d in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for h in [parse_header(d)]]
             cols = list(zip(*rows)) or [[]] * 8
             types = [pa.string(), pa.int64()] + [pa.float64()] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["file", "points", "min_x", "min_y", "min_z", "max_x", "max_y", "max_z"])
 
     boxes = ", ".join(f"{e}_{a} double" for e in ("min", "max") for a in "xyz")
-    return files.select(F.col(name), F.col(content)).mapInArrow(run, f"file string, points long, {boxes}")
+    return files.select(F.col(name), F.substring(content, 1, 375).alias("head")).mapInArrow(run, f"file string, points long, {boxes}")
