@@ -112,12 +112,17 @@ class IncrementalTree:
 
 
 def replay(points: DataFrame, spec: TreeSpec, files: int = 4, order: str = "event_id", compact_at: int | None = None) -> IncrementalTree:
-    """An incremental tree after streaming ``points``, a file at a time; with ``compact_at`` the batches until that one are put together."""
+    """An incremental tree after streaming ``points`` in about ``files`` batches; with ``compact_at`` the batches until that one are put together.
+
+    What a batch holds is written by many tasks, as many as shuffles have.
+    """
     spark = points.sparkSession
     top = f"{shared_folder(spark)}/incremental-{uuid.uuid4().hex}"
-    points.repartitionByRange(files, order).write.option("maxRecordsPerFile", 5_000_000).parquet(f"{top}/in")
+    tasks = max(files, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    points.repartitionByRange(tasks, order).write.option("maxRecordsPerFile", 5_000_000).parquet(f"{top}/in")
     tree = IncrementalTree(spark, spec, top)
-    stream = spark.readStream.schema(points.schema).option("maxFilesPerTrigger", 1).parquet(f"{top}/in")
+    found = sum(n.endswith(".parquet") for n in names_in(spark, f"{top}/in"))
+    stream = spark.readStream.schema(points.schema).option("maxFilesPerTrigger", max(1, -(-found // files))).parquet(f"{top}/in")
     if compact_at is not None:
         once = stream.writeStream.foreachBatch(lambda df, k: (tree.add(df, k), tree.compact() if k == compact_at else None)[0])
         once.option("checkpointLocation", f"{top}/progress").trigger(availableNow=True).start().awaitTermination()
