@@ -44,7 +44,7 @@ def write_octree_file(described: DataFrame, payload: DataFrame, path: str, scale
     """
     spark = described.sparkSession
     out = Assembly(path)
-    placed = written(ranked(payload.select("level", "key", *"xyzrgb"), "level", "key", *"xyzrgb", name="at"), "placed")
+    placed = ranked(payload.select("level", "key", *"xyzrgb"), "level", "key", *"xyzrgb", name="at")  # which it writes
     slices = written(placed.groupBy("level", "key").agg(F.min("at").alias("slice_offset"), F.count("*").alias("n")), "slices")
 
     def encode(batches):
