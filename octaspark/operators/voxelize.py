@@ -1,8 +1,9 @@
 """Voxel samples of inner nodes, level by level, under selectable strategies.
 
 A node at level L samples its children on its own grid: leaf children give their
-points, inner children their voxels. Only the loop over levels runs on the driver; each
-level is one aggregation over a table that shrinks geometrically.
+points, inner children their voxels. Points meet in their own voxels in one aggregation for all
+levels. Only the loop over levels runs on the driver; each level is one aggregation over a
+table that shrinks geometrically.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from octaspark.functions.geometry import morton_inverse
 from octaspark.operators.octree import TreeSpec
 from octaspark.sources.tables import ORDER
-from octaspark.staging import cut_lineage, written
+from octaspark.staging import written
 
 STRATEGIES = ("average", "first", "random", "central", "neighborhood")
 CELL = ["vx", "vy", "vz"]
@@ -53,7 +54,7 @@ def _pick(samples: DataFrame, by: list[Column], keep: list[str]) -> DataFrame:
     return samples.groupBy(*CELL).agg(chosen, F.count("*").alias("samples")).select(*CELL, "s.*", "samples")
 
 
-def _average(samples: DataFrame, spec: TreeSpec, level: int) -> DataFrame:
+def _average(samples: DataFrame) -> DataFrame:
     mean = [F.floor(F.sum(c) / F.count("*")).cast("int").alias(c) for c in "rgb"]
     return samples.groupBy(*CELL).agg(*mean, F.count("*").alias("samples"))
 
@@ -68,15 +69,15 @@ def exponential_weight(d2: Column) -> Column:
     return F.floor(10_000 * F.exp(-3.5 * d2))
 
 
-def _neighborhood(samples: DataFrame, spec: TreeSpec, level: int, weight=linear_weight) -> DataFrame:
-    """Weighted by distance over the 27 cells around, of which only occupied ones count.
+def _taps(samples: DataFrame, bits: int, weight=linear_weight, *keep: str) -> DataFrame:
+    """``keep``, cell (c*), weight, weighted colours and ``own`` of what samples give to the 27 cells around, on nodes of 2**bits cells an axis.
 
     Of the 27, a sample reaches its own and the nearer one on each axis: 8 taps. Cells beyond
     the node's border are clamped to it, so their tap falls on the sample's own cell once more; such taps
-    are counted as a factor. Taps without weight go before the shuffle; a cell is occupied if some
-    sample lies in it, which its own taps tell, so the filter needs no second pass over the samples.
+    are counted as a factor. Taps without weight go before the shuffle; ``own`` is 1 for the tap on the
+    sample's own cell, so the occupied cells need no second pass over the samples.
     """
-    mask = (1 << spec.grid_bits) - 1
+    mask = (1 << bits) - 1
     out_of = lambda c, a: (c < F.col(f"low_{a}")) | (c > F.col(f"low_{a}") + mask)
     rows = samples.withColumns(
         {f"low_{a}": F.col(f"v{a}").bitwiseAND(F.lit(~mask)) for a in "xyz"} | {f"side_{a}": F.when(F.col(f"g{a}") - F.col(f"v{a}") < 0.5, F.lit(-1)).otherwise(F.lit(1)) for a in "xyz"}
@@ -93,59 +94,103 @@ def _neighborhood(samples: DataFrame, spec: TreeSpec, level: int, weight=linear_
     for a in "xyz":
         times = times * F.when(F.col(f"t.{a}") == 0, 1 + F.col(f"out_{a}").cast("int") + F.col(f"far_{a}").cast("int")).otherwise(F.lit(1))
     own = (F.col("t.x") == 0) & (F.col("t.y") == 0) & (F.col("t.z") == 0)
-    rows = rows.select("cx", "cy", "cz", "r", "g", "b", square.alias("d2"), own.alias("own"), times.alias("times")).where("d2 < 1")
+    rows = rows.select(*keep, "cx", "cy", "cz", "r", "g", "b", square.alias("d2"), own.cast("long").alias("own"), times.alias("times")).where("d2 < 1")
     rows = rows.withColumn("w", weight(F.col("d2")) * F.col("times"))
-    sums = [F.floor(F.sum(F.col("w") * F.col(c)) / F.sum("w")).cast("int").alias(c) for c in "rgb"]
-    out = rows.groupBy("cx", "cy", "cz").agg(*sums, F.count_if("own").alias("samples")).where("samples > 0")
+    return rows.select(*keep, "cx", "cy", "cz", "w", *[(F.col("w") * F.col(c)).alias(c) for c in "rgb"], "own")
+
+
+def _neighborhood(samples: DataFrame, bits: int, weight=linear_weight) -> DataFrame:
+    """Weighted by distance over the 27 cells around, of which only occupied ones count."""
+    sums = [F.floor(F.sum(c) / F.sum("w")).cast("int").alias(c) for c in "rgb"]
+    out = _taps(samples, bits, weight).groupBy("cx", "cy", "cz").agg(*sums, F.sum("own").alias("samples")).where("samples > 0")
     return out.select(*[F.col(f"c{a}").alias(f"v{a}") for a in "xyz"], "r", "g", "b", "samples")
 
 
-def _first(samples: DataFrame, spec: TreeSpec, level: int) -> DataFrame:
-    return _pick(samples, [F.col(k) for k in ORDER], ["r", "g", "b", *ORDER])
+# Voxels of a tree. Cells travel as one number, which hash tables and sorts take at its cheapest: v* on the
+# grid of a level, below the leaf's level where that is told.
+
+
+def _packed(cell: list[Column], bits: int, level: Column | None = None) -> Column:
+    x, y, z = (c.cast("long") for c in cell)
+    out = F.shiftleft(x, 2 * bits).bitwiseOR(F.shiftleft(y, bits)).bitwiseOR(z)
+    return out if level is None else out.bitwiseOR(F.shiftleft(level.cast("long"), 3 * bits))
+
+
+def _unpacked(cell: str, bits: int) -> list[Column]:
+    return [F.shiftright(cell, k * bits).bitwiseAND(F.lit((1 << bits) - 1)) for k in (2, 1, 0)]
+
+
+def _offset(axes: str = "xyz") -> Column:
+    """Squared distance of a sample to the middle of its cell."""
+    return sum(((F.col(f"g{a}") - F.col(f"v{a}") - 0.5) * (F.col(f"g{a}") - F.col(f"v{a}") - 0.5) for a in axes), F.lit(0.0))
+
+
+#: What a sample is first by, least first; fields of the struct that travels.
+_FIRST_BY = {"first": list(ORDER), "random": ["late", *ORDER], "central": ["d2", *ORDER]}
 
 
-def _random(samples: DataFrame, spec: TreeSpec, level: int) -> DataFrame:
-    return _pick(samples, [-F.col("priority"), *[F.col(k) for k in ORDER]], ["r", "g", "b", "priority", *ORDER])
+def _terms(strategy: str, samples: DataFrame, spec: TreeSpec, *keep: str) -> DataFrame:
+    """``keep``, v* and what each sample adds to its cell (or to the cells around): columns that ``_merged`` puts together."""
+    if strategy == "neighborhood":
+        return _taps(samples, spec.grid_bits, linear_weight, *keep).withColumnsRenamed({f"c{a}": f"v{a}" for a in "xyz"}).withColumnRenamed("own", "n")
+    one = F.lit(1).cast("long").alias("n")
+    if strategy == "average":
+        return samples.select(*keep, *CELL, *[F.col(c).cast("long").alias(c) for c in "rgb"], one)
+    if strategy == "central":
+        samples = samples.withColumn("d2", _offset())
+    return samples.select(*keep, *CELL, F.struct(*_FIRST_BY[strategy], "r", "g", "b").alias("s"), one)
 
 
-def _central(samples: DataFrame, spec: TreeSpec, level: int) -> DataFrame:
-    square = sum(((F.col(f"g{a}") - F.col(f"v{a}") - 0.5) * (F.col(f"g{a}") - F.col(f"v{a}") - 0.5) for a in "xyz"), F.lit(0.0))
-    return _pick(samples.withColumn("d2", square), [F.col("d2"), *[F.col(k) for k in ORDER]], ["r", "g", "b", *ORDER])
+def _merged(strategy: str, terms: DataFrame) -> DataFrame:
+    """``cell`` and the terms of each cell put together; what comes out can be put together again."""
+    sums = {"average": ["r", "g", "b"], "neighborhood": ["w", "r", "g", "b"]}.get(strategy, [])
+    found = [F.sum(c).alias(c) for c in sums] or [F.min("s").alias("s")]
+    return terms.groupBy("cell").agg(*found, F.sum("n").alias("n"))
 
 
-_RUN = {"average": _average, "first": _first, "random": _random, "central": _central, "neighborhood": _neighborhood}
-_CARRY = {"average": [], "first": list(ORDER), "random": ["priority", *ORDER], "central": list(ORDER), "neighborhood": []}
+def _resolved(strategy: str, merged: DataFrame) -> DataFrame:
+    """cell, r, g, b, samples of each voxel, and what the order of samples needs."""
+    if strategy == "average":
+        return merged.select("cell", *[F.floor(F.col(c) / F.col("n")).cast("int").alias(c) for c in "rgb"], F.col("n").alias("samples"))
+    if strategy == "neighborhood":
+        return merged.where("n > 0").select("cell", *[F.floor(F.col(c) / F.col("w")).cast("int").alias(c) for c in "rgb"], F.col("n").alias("samples"))
+    keep = [c for c in _FIRST_BY[strategy] if c != "d2"]
+    return merged.select("cell", *[F.col(f"s.{c}").alias(c) for c in ("r", "g", "b", *keep)], F.col("n").alias("samples"))
 
 
 def voxels(points: DataFrame, spec: TreeSpec, strategy: str = "average") -> DataFrame:
     """level, vx, vy, vz (cell on the level's whole grid), r, g, b and samples of all voxels.
 
-    ``points`` come from ``octree.with_leaf``. They are written to the shared folder once, in
-    folders by leaf level, so that each level reads its own; levels below which no leaf lies are left out.
-    Each level's voxels are written once, too: as one plan the levels took three times as long, since the levels below were computed again.
+    ``points`` come from ``octree.with_leaf``. Whatever their leaf's level, they meet in the voxels of their leaf's parent in one
+    aggregation, whose partial sums (or first samples) are written once, in folders by leaf level; points themselves are
+    neither written nor sorted by level. Each level puts those of its own leaves together with the voxels below and is written
+    once: as one plan the levels took three times as long, since the levels below were computed again. Levels below which no leaf lies are left out.
     """
-    carry, positions = _CARRY[strategy], strategy in ("central", "neighborhood")
+    bits = spec.max_depth - 1 + spec.grid_bits
+    up = F.expr(f"{spec.max_depth + 1} - leaf_level").cast("int")
+    columns = {f"v{a}": F.call_function("shiftright", F.col(f"i{a}"), up) for a in "xyz"}
     if strategy == "random":
-        points = points.withColumn("priority", priority())
-    points = points.select("ix", "iy", "iz", *("xyz" if positions else ()), "r", "g", "b", *carry, "leaf_level")
-    points = written(points, "points", "leaf_level")
-    deepest = points.agg(F.max("leaf_level")).first()[0] or 0  # one number, from the folders' names
+        columns["late"] = -priority()
+    if strategy in ("central", "neighborhood"):
+        columns |= {f"g{a}": F.col(a) * F.expr(f"cast(shiftleft(1L, leaf_level + {spec.grid_bits - 1}) AS double)") for a in "xyz"}
+    carry = [c for c in _FIRST_BY.get(strategy, ()) if c != "d2"]
+    samples = points.where("leaf_level > 0").withColumns(columns).select("leaf_level", *columns, *(c for c in ("r", "g", "b", *carry) if c not in columns))
+    terms = _terms(strategy, samples, spec, "leaf_level")
+    met = _merged(strategy, terms.withColumn("cell", _packed([F.col(c) for c in CELL], bits, F.col("leaf_level"))))
+    met = met.withColumns({"leaf_level": F.shiftright("cell", 3 * bits).cast("int"), "cell": F.col("cell").bitwiseAND(F.lit((1 << 3 * bits) - 1))})
+    met = written(met, "met", "leaf_level")
+    deepest = met.agg(F.max("leaf_level")).first()[0] or 0  # one number, from the folders' names
     below: DataFrame | None = None
     done: list[DataFrame] = []
     for level in range(max(deepest, 1) - 1, -1, -1):
-        shift = spec.max_depth - level
-        own = points.where(F.col("leaf_level") == level + 1)
-        columns = [F.shiftright(f"i{a}", shift).alias(f"v{a}") for a in "xyz"] + [F.col(c) for c in ("r", "g", "b", *carry)]
-        if positions:
-            columns += [(F.col(a) * float(1 << (level + spec.grid_bits))).alias(f"g{a}") for a in "xyz"]
-        samples = own.select(*columns)
+        found = met.where(F.col("leaf_level") == level + 1).drop("leaf_level")
         if below is not None:
-            columns = [F.shiftright(c, 1).alias(c) for c in CELL] + [F.col(c) for c in ("r", "g", "b", *carry)]
-            if positions:
-                columns += [((F.col(f"v{a}") + 0.5) * 0.5).alias(f"g{a}") for a in "xyz"]
-            samples = samples.unionByName(below.select(*columns))
-        below = cut_lineage(_RUN[strategy](samples, spec, level))
-        done.append(below.select(F.lit(level).alias("level"), *CELL, "r", "g", "b", "samples"))
+            fine = below.withColumns(dict(zip(("ux", "uy", "uz"), _unpacked("cell", bits))))
+            columns = {f"v{a}": F.shiftright(f"u{a}", 1) for a in "xyz"} | {f"g{a}": (F.col(f"u{a}") + 0.5) * 0.5 for a in "xyz"}
+            terms = _terms(strategy, fine.withColumns(columns), spec)
+            found = found.unionByName(terms.withColumn("cell", _packed([F.col(c) for c in CELL], bits)).drop(*CELL))
+        below = written(_resolved(strategy, _merged(strategy, found)), "voxels")
+        done.append(below.select(F.lit(level).alias("level"), *[c.alias(v) for v, c in zip(CELL, _unpacked("cell", bits))], "r", "g", "b", "samples"))
     return reduce(DataFrame.unionByName, done)
 
 
@@ -180,10 +225,10 @@ def cloud_voxels(points: DataFrame, bits: int, method: str) -> DataFrame:
     n = float(1 << bits)
     base = points.select(*[F.least(F.floor(F.col(a) * n), F.lit((1 << bits) - 1)).cast("long").alias(f"v{a}") for a in "xyz"], *[(F.col(a) * n).alias(f"g{a}") for a in "xyz"], "r", "g", "b", *ORDER)
     if method == "first":
-        return _first(base, None, 0).select(*CELL, "r", "g", "b", "samples")
+        return _pick(base, [F.col(k) for k in ORDER], ["r", "g", "b"])
     if method == "average":
-        return _average(base, None, 0)
-    return _neighborhood(base, TreeSpec(grid_bits=bits), 0, exponential_weight if method == "smooth" else linear_weight)
+        return _average(base)
+    return _neighborhood(base, bits, exponential_weight if method == "smooth" else linear_weight)
 
 
 def supported_voxels(points: DataFrame, bits: int, least: int) -> DataFrame:
