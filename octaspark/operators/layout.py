@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from octaspark.functions.geometry import bit_length, clamp, grid_index, morton, morton2_inverse
@@ -26,17 +26,38 @@ def shuffle_hash(c: Column, seed: int = 0) -> Column:
     return ((c + seed) % 2147483647 * 48271 + 12345) % 2147483647
 
 
+#: Blocks whose first positions travel together, as one array.
+BUNCH = 1024
+
+
 def block_shuffle(points: DataFrame, block: int = 128, keep: Sequence[str] | None = None) -> DataFrame:
     """Morton order, then whole blocks in pseudo-random order; keeps the order within a block.
 
-    Only columns ``keep`` travel beside the order, all without it.
+    Only columns ``keep`` travel beside the order, all without it. Rows are shuffled once, for the first order. Blocks alone
+    are put into the second; a row's position is its block's first one and its place in it.
     """
     rows = with_morton(points)
     rows = ranked(rows if keep is None else rows.select("code", *dict.fromkeys([*ORDER, *keep])), "code", *ORDER)
     rows = rows.withColumns({"block": F.floor(F.col("rank") / block).cast("long"), "place": F.col("rank") % block})
+    first = few(written(first_positions(rows.agg(F.count("*")).first()[0], block, points.sparkSession), "blocks"), 8_000)  # 8 KB each
     if keep is not None:
         rows = rows.select(*keep, "block", "place")
-    return ranked(rows, shuffle_hash(F.col("block")), "block", "place", name="position")
+    at = F.get("_first", (F.col("block") % BUNCH).cast("int")) + F.col("place")
+    return rows.withColumn("_bunch", F.shiftright("block", BUNCH.bit_length() - 1)).join(first, "_bunch").withColumn("position", at).drop("_bunch", "_first")
+
+
+def first_positions(n: int, block: int, spark: SparkSession) -> DataFrame:
+    """_bunch and _first, the first positions of its blocks, when the blocks of ``n`` rows follow each other by ``shuffle_hash``.
+
+    All blocks are full but the one with the highest number, so those after it begin earlier by what it lacks.
+    """
+    blocks = ranked(spark.range(-(-n // block)).select(F.col("id").alias("block"), shuffle_hash(F.col("id")).alias("_hash")), "_hash", "block")
+    last = -(-n // block) - 1
+    lacks = (last + 1) * block - n
+    behind = F.col("_hash") > shuffle_hash(F.lit(last).cast("long"))
+    position = F.col("rank") * block - F.when(behind, F.lit(lacks)).otherwise(F.lit(0))
+    bunches = blocks.groupBy(F.shiftright("block", BUNCH.bit_length() - 1).alias("_bunch")).agg(F.sort_array(F.collect_list(F.struct("block", position.alias("position")))).alias("_all"))
+    return bunches.select("_bunch", F.col("_all.position").alias("_first"))
 
 
 def with_batches(points: DataFrame, size: int) -> DataFrame:
