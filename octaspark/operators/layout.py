@@ -135,6 +135,15 @@ def order_within(rows: DataFrame, group: list[str], code: Column | str) -> DataF
     return numbered.join(first, group).withColumn("place", F.col("_rank") - F.col("_first")).drop("_rank", "_first", "_code")
 
 
+def order_within_known(rows: DataFrame, group: Column, code: str, first: DataFrame) -> DataFrame:
+    """As ``order_within``, where ``code`` holds the group in its top bits and ``first`` (leaf, first) tells how many rows lie before each group.
+
+    Points aren't read again for what is known.
+    """
+    numbered = ranked(rows, code, *ORDER, name="_rank").withColumn("leaf", group)
+    return numbered.join(few(written(first, "first")), "leaf").withColumn("place", F.col("_rank") - F.col("first")).drop("_rank", "first", code)
+
+
 def residue_permutation(c: Column, prime: int = 2147483647) -> Column:
     """A permutation of 0 .. prime - 1 by quadratic residues; the prime leaves 3 when divided by 4."""
     square = (c * c) % prime

@@ -507,10 +507,19 @@ def strict_octants(spark, d):
 
 @query(f"{TREE} SELECT {ORD}, leaf_level, leaf_key, row_number() OVER (PARTITION BY leaf_level, leaf_key ORDER BY {morton_sql(*[f'((i{a} >> greatest(6 - leaf_level, 0)) & 127)' for a in 'xyz'], 7)}, {ORD}) - 1 AS place FROM lv")
 def node_morton_order(spark, d):
-    """Places of points in their leaf's Morton order, seven bits to an axis as far as the grid goes."""
+    """Places of points in their leaf's Morton order, seven bits to an axis as far as the grid goes.
+
+    Leaf and code are one number, so rows are sorted by it and not by columns that mostly tie; where a leaf starts is
+    known from the nodes' counts.
+    """
+    t = tree_of(spark, d)
     code = geometry.morton(*[F.expr(f"shiftright(i{a}, greatest({SMALL.fine_bits - 7} - leaf_level, 0)) & 127") for a in "xyz"])
-    rows = tree_of(spark, d).points.select(*ORDER, "leaf_level", "leaf_key", code.alias("code"))
-    return layout.order_within(rows, ["leaf_level", "leaf_key"], "code").select(*ORDER, "leaf_level", "leaf_key", "place")
+    leaf = lambda level, key: F.shiftleft(F.col(level).cast("long"), 3 * SMALL.max_depth).bitwiseOR(F.col(key))
+    rows = t.points.select(*ORDER, F.shiftleft(leaf("leaf_level", "leaf_key"), 21).bitwiseOR(code).alias("code"))
+    first = octree.leaf_slices(t.nodes).select(leaf("level", "key").alias("leaf"), F.col("slice_offset").alias("first"))
+    placed = layout.order_within_known(rows, F.shiftright("code", 21), "code", first)
+    at = [F.shiftright("leaf", 3 * SMALL.max_depth).cast("int").alias("leaf_level"), F.col("leaf").bitwiseAND(F.lit((1 << 3 * SMALL.max_depth) - 1)).alias("leaf_key")]
+    return placed.select(*ORDER, *at, "place")
 
 
 @query(f"{_BATCHED} SELECT {ORD}, batch_id, row_number() OVER (PARTITION BY batch_id ORDER BY {morton_sql(*[oracle.cell(a, 21) for a in 'xyz'], 21)}, {ORD}) - 1 AS place FROM bt")
