@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from octaspark.functions.geometry import morton
 from octaspark.operators import octree, voxelize
 from octaspark.operators.octree import TreeSpec
-from octaspark.staging import cut_lineage, few, written
+from octaspark.staging import few, written
 
 
 @dataclass
@@ -25,8 +25,8 @@ class LodTree:
     @classmethod
     def of(cls, points: DataFrame, spec: TreeSpec) -> LodTree:
         indexed = octree.with_fine_index(points, spec)
-        cells = cut_lineage(octree.cell_counts(indexed))
-        nodes = cut_lineage(octree.nodes(cells, spec))
+        cells = written(octree.cell_counts(indexed), "cells")
+        nodes = written(octree.nodes(cells, spec), "nodes")
         home = few(written(octree.homes(cells, spec, nodes), "homes"))
         return cls(spec, octree.at_home(indexed, home), nodes)
 
